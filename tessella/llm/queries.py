@@ -8,9 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm.exact_dedup import exact_dedup
 from tessella.llm.simhash import simhash_groups
+from tessella.llm.toxicity import score
 from tessella.session import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -20,7 +25,7 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op5_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op5_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
