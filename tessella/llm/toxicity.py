@@ -165,7 +165,7 @@ def _trained(alpha: float, beta: float, l1: float, l2: float):
     return train
 
 
-def train(docs: DataFrame, labels: DataFrame, learnable: Column, most_positive: int = 2048, most_negative: int = 4096, epochs: int = 4, alpha: float = 3.0, beta: float = 1.0, l1: float = 4.0, l2: float = 0.01) -> pd.DataFrame:
+def train(docs: DataFrame, labels: DataFrame, learnable: Column, most_positive: int = 3072, most_negative: int = 3072, epochs: int = 4, alpha: float = 3.0, beta: float = 1.0, l1: float = 4.0, l2: float = 0.01) -> pd.DataFrame:
     """The model as (idx, weight) rows, idx -1 being the bias; learnable: condition on doc_id."""
     tune(docs.sparkSession)
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & learnable)
