@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessella.llm import warc
 from tessella.llm.exact_dedup import exact_dedup
 from tessella.llm.packing import pack
 from tessella.llm.simhash import simhash_groups
@@ -30,12 +31,16 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(spark, table(spark, sf_dir, "pages"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op4_substring_dedup, op5_simhash_near_dedup, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op4_substring_dedup, op5_simhash_near_dedup, op6_warc, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -47,4 +52,12 @@ def oracle_sql() -> dict[str, str]:
                    doc_id = max(doc_id) OVER g AS kept, text_sha256
             FROM d WINDOW g AS (PARTITION BY text_sha256)
         """,
+        "op6_warc": """
+            WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS n FROM pages),
+            q AS (SELECT page_id, n AS payload_bytes, sha1(h) AS payload_digest, max(page_id) OVER (PARTITION BY h) AS top FROM p)
+            SELECT page_id, payload_bytes, payload_digest,
+                   CASE WHEN payload_bytes >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+                   CASE WHEN payload_bytes >= 1000 AND page_id < top THEN top END AS refers_to
+            FROM q
+        """,
     }
