@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm import warc
+from tessella.llm.embeddings import near_duplicates
 from tessella.llm.exact_dedup import exact_dedup
 from tessella.llm.packing import pack
 from tessella.llm.simhash import simhash_groups
@@ -23,6 +24,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
@@ -40,7 +45,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op4_substring_dedup, op5_simhash_near_dedup, op6_warc, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_embedding_near_dedup, op4_substring_dedup, op5_simhash_near_dedup, op6_warc, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
