@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import warc
+from tessella.llm import merge_dropout, warc
 from tessella.llm.embeddings import near_duplicates
 from tessella.llm.exact_dedup import exact_dedup
 from tessella.llm.html import extract
 from tessella.llm.packing import pack
 from tessella.llm.simhash import simhash_groups
 from tessella.llm.substring import substring_dedup
+from tessella.llm.token_files import token_files
 from tessella.llm.toxicity import score
 from tessella.session import table
 
@@ -41,16 +42,28 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(spark, table(spark, sf_dir, "pages"))
 
 
+def op7_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return merge_dropout.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_embedding_near_dedup, op4_substring_dedup, op5_simhash_near_dedup, op6_warc, op8_html_extraction, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_embedding_near_dedup, op4_substring_dedup, op5_simhash_near_dedup, op6_warc, op7_merge_dropout, op8_html_extraction, op9_token_files, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
