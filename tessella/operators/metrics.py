@@ -1,8 +1,16 @@
-"""Confusion counts and the ratios built on them."""
+"""Confusion counts, the ratios built on them, losses as aggregates and latency statistics."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+EPS = 1e-6  # fixed value of the soft F1 loss
+
+
+def sigmoid(x: Column) -> Column:
+    return 1 / (1 + F.exp(-x))
 
 
 def hit(score: Column, threshold: float = 0.5) -> Column:
@@ -30,6 +38,51 @@ def prf(df: DataFrame) -> DataFrame:
     )
 
 
+def iou_of_f1(f1: Column) -> Column:
+    return f1 / (2 - f1)
+
+
+def bce_with_logits(x: Column, z: Column) -> Column:
+    """Mean binary cross-entropy of logits x and targets z, in the form that doesn't overflow."""
+    return F.avg(F.greatest(x, F.lit(0.0)) - x * z + F.log1p(F.exp(-F.abs(x))))
+
+
+def soft_f1_loss(x: Column, z: Column) -> Column:
+    """1 - F1 of the probabilities themselves, with EPS on both sides of each ratio."""
+    p = sigmoid(x)
+    tp, fp, fn = F.sum(p * z), F.sum(p * (1 - z)), F.sum((1 - p) * z)
+    return 1 - (2 * tp + EPS) / (2 * tp + fp + fn + EPS)
+
+
+def weighted_mean(value: str, weight: str) -> Column:
+    """Weighted mean, 0.0 of nothing."""
+    return F.coalesce(F.try_divide(F.sum(F.col(value) * F.col(weight)), F.sum(weight)), F.lit(0.0))
+
+
+def percentiles(df: DataFrame, keys: Sequence[str], value: str, at: dict[str, float]) -> DataFrame:
+    """Exact percentiles with linear interpolation for each group.
+
+    Equal values are counted before anything is sorted, and the sort can spill, so a group may be larger than memory.
+    """
+    hist = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    group = Window.partitionBy(*keys)
+    hist = hist.withColumns({"_cum": F.sum("_c").over(group.orderBy("_v")), "_n": F.sum("_c").over(group)})
+    out = []
+    for name, q in at.items():
+        place = F.lit(q) * (F.col("_n") - 1)
+        low, frac = F.floor(place), place - F.floor(place)
+        a = F.min(F.when(F.col("_cum") > low, F.col("_v")))
+        b = F.min(F.when(F.col("_cum") > F.ceil(place), F.col("_v")))
+        out.append((a + (b - a) * F.max(frac)).alias(name))
+    return hist.groupBy(*keys).agg(*out)
+
+
+def latency_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """runs, min, mean, median and p90 of each group."""
+    base = df.groupBy(*keys).agg(F.count(value).alias("runs"), F.min(value).alias("min_ms"), F.avg(value).alias("mean_ms"))
+    return base.join(percentiles(df, keys, value, {"median_ms": 0.5, "p90_ms": 0.9}), list(keys))
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Rounds every double column, so that summation order does not show."""
     return df.withColumns({c: F.round(c, digits) for c, t in df.dtypes if t == "double"})

@@ -1,55 +1,14 @@
-"""The registry behind ``__spark_entry__``: name -> (query, SQL or None)."""
+"""The registry behind ``__spark_entry__``."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-from tessella.session import table
-
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def put(f: Query) -> Query:
-        _QUERIES[name] = f
-        if sql is not None:
-            _SQL[name] = sql
-        return f
-
-    return put
+from tessella.plans import evaluation, histories, pairing, reporting, tiling  # noqa: F401
+from tessella.plans.registry import QUERIES, SQL, Query
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
-@register(
-    "eval_micro_prf",
-    """
-    WITH s AS (
-      SELECT CASE WHEN 1 / (1 + exp(-(n_chars - 500) / 250.0)) >= 0.5 THEN 1 ELSE 0 END AS p, quality AS t
-      FROM documents JOIN labels USING (doc_id)
-    ), c AS (SELECT sum(p * t) AS tp, sum(p * (1 - t)) AS fp, sum((1 - p) * t) AS fn FROM s)
-    SELECT CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn,
-           round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 6) AS "precision",
-           round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 6) AS recall,
-           round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END, 6) AS f1,
-           round(CASE WHEN tp + fp + fn > 0 THEN tp / (tp + fp + fn) ELSE 0 END, 6) AS iou
-    FROM c
-    """,
-)
-def eval_micro_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tessella.operators import metrics as M
-
-    score = F.expr("1 / (1 + exp(-(n_chars - 500) / 250.0D))")
-    scored = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
-    scored = scored.select(M.hit(score).alias("p"), F.col("quality").alias("t"))
-    return M.rounded(M.prf(scored.agg(*M.counts("p", "t"))))
+    return dict(SQL)
