@@ -1 +1,192 @@
-"""Queries on pixels and tiles (written below)."""
+"""Queries on pixels and tiles. An embedding of 64 values stands for an 8 x 8 tile with one channel."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from tessella.functions import tiles as T
+from tessella.operators import metrics as M
+from tessella.plans.registry import register
+from tessella.session import table
+
+SIDE = 8
+
+
+def _digest(px, digits: int = 6):
+    """Checks of an array that depend on order: its length, first and last values and a weighted sum."""
+    weighted = F.aggregate(F.transform(px, lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return [F.size(px).cast("bigint").alias("n"), F.round(F.get(px, F.lit(0)).cast("double"), digits).alias("head"), F.round(F.element_at(px, -1).cast("double"), digits).alias("tail"), F.round(weighted, 4).alias("weighted")]
+
+
+def _oracle(array: str) -> str:
+    return f"""WITH a AS (SELECT vec_id, {array} AS px FROM embeddings)
+    SELECT vec_id, len(px) AS n, round(px[1]::DOUBLE, 6) AS head, round(px[len(px)]::DOUBLE, 6) AS tail,
+           round(list_sum(list_transform(generate_series(1, len(px)), lambda i: px[i]::DOUBLE * i)), 4) AS weighted FROM a"""
+
+
+def _tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+
+
+def _picked(source: str, n: int = SIDE * SIDE) -> str:
+    return f"list_transform(generate_series(0, {n - 1}), lambda i: embedding[CAST({source} AS INTEGER) + 1])"
+
+
+@register("px_normalize", _oracle("list_transform(list_transform(embedding, lambda x: CAST(floor(abs(x) * 255) AS INTEGER) % 256), lambda v: CAST(v / 255.0 AS FLOAT))"))
+def px_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.transform("embedding", lambda x: F.floor(F.abs(x) * 255).cast("int") % 256)
+    return _tiles(spark, sf_dir).select("vec_id", *_digest(T.to_unit(raw)))
+
+
+@register("px_threshold", _oracle("list_transform(embedding, lambda x: CASE WHEN 1 / (1 + exp(-x::DOUBLE)) >= 0.5 THEN 1.0 ELSE 0.0 END)"))
+def px_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prob = F.transform("embedding", lambda x: M.sigmoid(x.cast("double")))
+    return _tiles(spark, sf_dir).select("vec_id", *_digest(T.binarize(prob)))
+
+
+@register("px_any_positive", _oracle("list_transform(generate_series(0, 15), lambda i: CASE WHEN embedding[i * 4 + 1] > 0 OR embedding[i * 4 + 2] > 0 OR embedding[i * 4 + 3] > 0 OR embedding[i * 4 + 4] > 0 THEN 255 ELSE 0 END)"))
+def px_any_positive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tiles(spark, sf_dir).select("vec_id", *_digest(T.any_positive(F.col("embedding"), 4)))
+
+
+@register("px_flip_horizontal", _oracle(_picked("(i // 8) * 8 + 7 - i % 8")))
+def px_flip_horizontal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tiles(spark, sf_dir).select("vec_id", *_digest(T.flip_horizontal(F.col("embedding"), SIDE, SIDE)))
+
+
+@register("px_flip_vertical", _oracle(_picked("(7 - i // 8) * 8 + i % 8")))
+def px_flip_vertical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tiles(spark, sf_dir).select("vec_id", *_digest(T.flip_vertical(F.col("embedding"), SIDE, SIDE)))
+
+
+@register("px_transpose", _oracle(_picked("(i % 8) * 8 + i // 8")))
+def px_transpose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tiles(spark, sf_dir).select("vec_id", *_digest(T.transpose(F.col("embedding"), SIDE, SIDE)))
+
+
+@register("px_channels_first", _oracle(_picked("(i % 16) * 4 + i // 16")))
+def px_channels_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tiles(spark, sf_dir).select("vec_id", *_digest(T.channels_first(F.col("embedding"), 4, 4, 4)))
+
+
+@register("px_resize_nearest", _oracle(_picked("least(7, floor((i // 5 + 0.5) * 8 / 5)) * 8 + least(7, floor((i % 5 + 0.5) * 8 / 5))", 25)))
+def px_resize_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tiles(spark, sf_dir).select("vec_id", *_digest(T.resize_nearest(F.col("embedding"), SIDE, SIDE, 5, 5)))
+
+
+@register("px_crop", _oracle("list_transform(generate_series(0, CAST(4 * least(4, 8 - vec_id % 6) - 1 AS BIGINT)), lambda i: embedding[CAST(((vec_id % 5) + i // least(4, 8 - vec_id % 6)) * 8 + vec_id % 6 + i % least(4, 8 - vec_id % 6) AS INTEGER) + 1])"))
+def px_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of four by four, cut off at the right border."""
+    top, left = (F.col("vec_id") % 5).cast("int"), (F.col("vec_id") % 6).cast("int")
+    return _tiles(spark, sf_dir).select("vec_id", *_digest(T.crop(F.col("embedding"), SIDE, SIDE, top, left, 4)))
+
+
+@register("px_brightness_contrast", _oracle("list_transform(embedding, lambda x: greatest(0.0::DOUBLE, least(1.0::DOUBLE, x::DOUBLE * 1.5::DOUBLE + 0.1::DOUBLE)))"))
+def px_brightness_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    px = F.transform("embedding", lambda x: x.cast("double"))
+    return _tiles(spark, sf_dir).select("vec_id", *_digest(T.brightness_contrast(px, 1.5, 0.1)))
+
+
+@register(
+    "px_counts",
+    """WITH p AS (SELECT a.label, unnest(a.embedding) AS x, unnest(b.embedding) AS y FROM embeddings a JOIN embeddings b ON a.vec_id + 1 = b.vec_id),
+    c AS (SELECT label, sum(CASE WHEN x >= 0 AND y >= 0.1 THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN x >= 0 AND y < 0.1 THEN 1 ELSE 0 END) AS fp, sum(CASE WHEN x < 0 AND y >= 0.1 THEN 1 ELSE 0 END) AS fn FROM p GROUP BY label)
+    SELECT label, tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, round(2 * tp / (2 * tp + fp + fn), 6) AS f1 FROM c""",
+)
+def px_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixel confusion of aligned tiles; each pair is counted in place, so no pixel becomes a row."""
+    a = table(spark, sf_dir, "embeddings")
+    b = a.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("truth"))
+    pair = F.zip_with("embedding", "truth", lambda x, y: F.when(x >= 0, 2).otherwise(0) + F.when(y >= F.lit(0.1).cast("double"), 1).otherwise(0))
+    count = lambda v: F.coalesce(F.sum(F.size(F.filter("z", lambda z: z == v))), F.lit(0)).cast("bigint")
+    df = a.join(b, "vec_id").select("label", pair.alias("z")).groupBy("label").agg(count(3).alias("tp"), count(2).alias("fp"), count(1).alias("fn"))
+    return M.rounded(M.prf(df).select("label", "tp", "fp", "fn", "f1"))
+
+
+@register(
+    "tile_starts",
+    """WITH d AS (SELECT p_partkey, p_size * 40 AS dim FROM part)
+    SELECT p_partkey, dim, CASE WHEN dim <= 512 THEN '0' ELSE array_to_string(list_distinct_sorted, ',') END AS starts
+    FROM (SELECT *, list_sort(list_distinct(list_append(generate_series(0, greatest(dim - 512, 0), 512), CAST(dim - 512 AS BIGINT)))) AS list_distinct_sorted FROM d)""",
+)
+def tile_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dim = F.col("p_size") * 40
+    starts = F.concat_ws(",", T.tile_starts(dim, 512).cast("array<string>"))
+    return table(spark, sf_dir, "part").select("p_partkey", dim.alias("dim"), starts.alias("starts"))
+
+
+@register(
+    "grid_tiles",
+    """WITH d AS (SELECT p_partkey AS n, p_size * 40 AS h, (p_partkey % 30) * 60 + 100 AS w FROM part),
+    s AS (SELECT n, h, w, CASE WHEN h <= 512 THEN [0] ELSE list_distinct(list_append(generate_series(0, h - 512, 512), CAST(h - 512 AS BIGINT))) END AS rows_,
+                 CASE WHEN w <= 512 THEN [0] ELSE list_distinct(list_append(generate_series(0, w - 512, 512), CAST(w - 512 AS BIGINT))) END AS cols_ FROM d),
+    e AS (SELECT n, h, w, r, unnest(cols_) AS c FROM (SELECT n, h, w, cols_, unnest(rows_) AS r FROM s))
+    SELECT n, CAST(r AS BIGINT) AS r, CAST(c AS BIGINT) AS c, CAST(least(512, h - r) AS BIGINT) AS tile_h, CAST(least(512, w - c) AS BIGINT) AS tile_w,
+           row_number() OVER (PARTITION BY n ORDER BY r, c) - 1 AS tile_idx FROM e""",
+)
+def grid_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each tile of each image; tiles are numbered within their image, so nothing is shuffled."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("n"), (F.col("p_size") * 40).alias("h"), ((F.col("p_partkey") % 30) * 60 + 100).cast("int").alias("w"))
+    rows, cols = T.tile_starts(F.col("h"), 512), T.tile_starts(F.col("w"), 512)
+    e = p.select("n", "h", "w", F.size(cols).alias("k"), cols.alias("cols"), F.posexplode(rows).alias("i", "r")).select("n", "h", "w", "k", "i", "r", F.posexplode("cols").alias("j", "c"))
+    big = lambda c: c.cast("bigint")
+    return e.select("n", big(F.col("r")).alias("r"), big(F.col("c")).alias("c"), big(F.least(F.lit(512), F.col("h") - F.col("r"))).alias("tile_h"), big(F.least(F.lit(512), F.col("w") - F.col("c"))).alias("tile_w"), big(F.col("i") * F.col("k") + F.col("j")).alias("tile_idx"))
+
+
+@register(
+    "polygon_mask",
+    """WITH t AS (SELECT p_partkey AS id, p_size % 10 + 3 AS w, p_size % 7 + 3 AS h FROM part),
+    px AS (SELECT id, w, h, x, y FROM t, generate_series(0, 15) a(x), generate_series(0, 15) b(y))
+    SELECT id, count(*) AS pixels, sum(x)::BIGINT AS sx, sum(y)::BIGINT AS sy FROM px WHERE (x + 0.5) / w + (y + 0.5) / h < 1 OR (x + 0.5 > 10 AND x + 0.5 < 14 AND y + 0.5 > 2 AND y + 0.5 < 2 + h) GROUP BY id""",
+)
+def polygon_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Union of each image's polygons (a triangle and a rectangle here) on a 16 x 16 canvas, pixel centres tested even-odd."""
+    w, h = (F.col("p_size") % 10 + 3).cast("double"), (F.col("p_size") % 7 + 3).cast("double")
+    z = F.lit(0.0)
+    polygons = F.array(F.array(z, z, w, z, z, h), F.array(F.lit(10.0), F.lit(2.0), F.lit(14.0), F.lit(2.0), F.lit(14.0), h + 2, F.lit(10.0), h + 2), F.array(z, z, w, h))
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.filter(polygons, lambda q: F.size(q) >= 6).alias("polygons"))
+    return covered(p, "id", "polygons", 16, 16)
+
+
+def covered(df: DataFrame, key: str, polygons: str, width: int, height: int) -> DataFrame:
+    """pixels, sx, sy of the union of each row's polygons; pixels are an array in the row, not rows."""
+    grid = F.sequence(F.lit(0), F.lit(width * height - 1))
+
+    def inside(i, poly):
+        x, y = i % width + 0.5, F.floor(i / width) + 0.5
+        n = (F.size(poly) / 2).cast("int")
+
+        def crosses(k):
+            x1, y1 = F.get(poly, 2 * k), F.get(poly, 2 * k + 1)
+            m = (k + 1) % n
+            x2, y2 = F.get(poly, 2 * m), F.get(poly, 2 * m + 1)
+            return ((y1 > y) != (y2 > y)) & (x < (x2 - x1) * (y - y1) / F.nullif(y2 - y1, F.lit(0.0)) + x1)
+
+        return F.size(F.filter(F.sequence(F.lit(0), n - 1), crosses)) % 2 == 1
+
+    lit = F.filter(grid, lambda i: F.exists(F.col(polygons), lambda p: inside(i, p)))
+    df = df.select(key, F.explode(lit).alias("i"))
+    return df.groupBy(key).agg(F.count("*").alias("pixels"), F.sum(F.col("i") % width).alias("sx"), F.sum(F.floor(F.col("i") / width)).alias("sy"))
+
+
+@register(
+    "width_params",
+    """WITH m(mult) AS (VALUES (1.0::DOUBLE), (0.75::DOUBLE), (0.5::DOUBLE), (0.25::DOUBLE), (0.125::DOUBLE)), b(k, base) AS (VALUES (1, 64), (2, 128), (3, 256), (4, 512), (5, 1024)),
+    w AS (SELECT mult, k, CAST(greatest(8, round_even(base * mult / 8, 0) * 8) AS BIGINT) AS w FROM m, b),
+    p AS (SELECT mult, k, w, lag(w) OVER (PARTITION BY mult ORDER BY k) AS prev, lead(w) OVER (PARTITION BY mult ORDER BY k) AS next FROM w),
+    q AS (SELECT mult, k, w, 9 * coalesce(prev, 3) * w + 9 * w * w + 4 * w AS down, CASE WHEN next IS NULL THEN 0 ELSE 4 * next * w + w + 9 * (2 * w) * w + 9 * w * w + 4 * w END AS up, CASE WHEN k = 1 THEN w + 1 ELSE 0 END AS head FROM p)
+    SELECT mult, CAST(sum(down + up + head) AS BIGINT) AS params, max(w) AS widest, CAST(round(sum(down + up + head) / 1e6, 1) AS VARCHAR) || 'M' AS label FROM q GROUP BY mult""",
+)
+def width_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parameters of the encoder-decoder network for each width: two convolutions a level, transposed ones on the way up, and a head."""
+    mults = spark.createDataFrame([(m,) for m in (1.0, 0.75, 0.5, 0.25, 0.125)], "mult double")
+    levels = spark.createDataFrame([(k, 32 << k) for k in range(1, 6)], "k int, base int")
+    order = Window.partitionBy("mult").orderBy("k")
+    w = F.col("w")
+    df = mults.crossJoin(levels).withColumn("w", T.scale_width(F.col("base"), F.col("mult")).cast("bigint"))
+    df = df.withColumns({"prev": F.coalesce(F.lag("w").over(order), F.lit(3)), "next": F.lead("w").over(order)})
+    double = lambda i: 9 * i * w + 9 * w * w + 4 * w
+    up = F.when(F.col("next").isNull(), 0).otherwise(4 * F.col("next") * w + w + double(2 * w))
+    params = F.sum(double(F.col("prev")) + up + F.when(F.col("k") == 1, w + 1).otherwise(0))
+    df = df.groupBy("mult").agg(params.alias("params"), F.max("w").alias("widest"))
+    return df.withColumn("label", F.concat(F.round(F.col("params") / 1e6, 1).cast("string"), F.lit("M")))
