@@ -190,3 +190,41 @@ def width_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     params = F.sum(double(F.col("prev")) + up + F.when(F.col("k") == 1, w + 1).otherwise(0))
     df = df.groupBy("mult").agg(params.alias("params"), F.max("w").alias("widest"))
     return df.withColumn("label", F.concat(F.round(F.col("params") / 1e6, 1).cast("string"), F.lit("M")))
+
+
+def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as 8 x 8 images with a mask of their positive pixels."""
+    e = table(spark, sf_dir, "embeddings")
+    mask = F.transform("embedding", lambda x: F.when(x > 0, 1.0).otherwise(0.0).cast("float"))
+    return e.select(F.col("vec_id").alias("n"), F.lit(SIDE).alias("h"), F.lit(SIDE).alias("w"), F.lit(1).alias("c"), F.col("embedding").alias("image"), mask.alias("mask"))
+
+
+@register("onnx_score")
+def onnx_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles scored by a convolution model and counted against their masks."""
+    import numpy as np
+
+    from tessella.operators import scoring
+
+    tiles = _images(spark, sf_dir)
+    prob = scoring.score(tiles, scoring.small_model(np.full((3, 3), 2.0)))
+    pair = F.zip_with("prob", "mask", lambda p, t: F.when(p >= 0.5, 2).otherwise(0) + F.when(t >= 0.5, 1).otherwise(0))
+    count = lambda v: F.size(F.filter("z", lambda z: z == v)).cast("bigint")
+    df = prob.join(tiles.select("n", "mask"), "n").select("n", pair.alias("z"))
+    return M.rounded(M.prf(df.select("n", count(3).alias("tp"), count(2).alias("fp"), count(1).alias("fn"))))
+
+
+@register("augment_tiles")
+def augment_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tile after one epoch's seeded augmentation."""
+    from tessella.operators import augment as A
+
+    out = A.augment(_images(spark, sf_dir), A.Plan(crop=(5, 8), hsv_p=0.0, seed=7), epoch=1)
+    return out.select("n", *_digest(F.col("image")), F.aggregate("mask", F.lit(0.0), lambda a, x: a + x).alias("lit"))
+
+
+@register("resize_bicubic")
+def resize_bicubic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.operators import augment as A
+
+    return A.resize_tiles(_images(spark, sf_dir), 12, 12).select("n", *_digest(F.col("image"), 4))
