@@ -20,9 +20,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from tessella.llm.common import stored, tune, utf8
+from tessella.llm.common import fresh, stored, tune, utf8
 
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -202,10 +202,25 @@ def exact_dedup(docs: DataFrame, keys_a_bucket: int = 100_000) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
+def _with_digest(name: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, at = utf8(b.column("text"))
+            raw = data.tobytes()
+            hexes = [hashlib.sha256(raw[x:y].lower()).hexdigest() for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hexes, pa.string())], [*b.schema.names, name])
+
+    return run
+
+
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, one for each distinct text; repeated rows with one id count once."""
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    raw = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
-    ids = docs.groupBy("doc_id").count().where("count > 1").limit(1)
-    out = raw.drop("_id", "_sha")
-    return out if ids.isEmpty() else out.dropDuplicates(["doc_id", "text"])
+    groups, _ = stored(exact_dedup(docs).select("doc_id", "text_sha256", "kept"), "kept")
+    id_, sha, own = fresh(docs, "id"), fresh(docs, "sha"), fresh(docs, "digest")
+    gone = groups.where("not kept").select(F.col("doc_id").alias(id_), F.col("text_sha256").alias(sha)).distinct()
+    schema = T.StructType([*docs.schema.fields, T.StructField(own, T.StringType())])
+    rows = docs.mapInArrow(_with_digest(own), schema)
+    out = rows.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(sha)), "left_anti")
+    again = groups.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1")
+    out = out if again.isEmpty() else out.dropDuplicates(["doc_id", own])
+    return out.drop(own)

@@ -87,7 +87,7 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(words, pa.int64()), pa.array([h - (1 << 64) if h >> 63 else h for h in hashes], pa.int64())], ["doc_id", "source", "words", "copy"])
 
 
-OUT = "doc_id long, piece int, start long, length long, source string, cluster long, shard long, bin long, bin_offset long"
+OUT = "doc_id long, piece int, start long, length long, source string, cluster long, row long, shard long, bin long, bin_offset long"
 
 
 def pack(docs: DataFrame, cluster: str | None = None, capacity: int = CAPACITY, per_source: int = PER_SOURCE, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -99,14 +99,14 @@ def pack(docs: DataFrame, cluster: str | None = None, capacity: int = CAPACITY,
     else:
         words = F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
         rows = docs.select(ids.alias("doc_id"), F.col("source").cast("string").alias("source"), words.alias("words"), F.col(cluster).cast("long").alias("copy"))
-    rows, _ = stored(rows, "lengths")
+    rows, _ = stored(rows.withColumn("row", F.monotonically_increasing_id()), "lengths")  # fixed once written
     shards = max(1, math.ceil(rows.count() / shard_rows))
     cost = F.col("words") + 1
-    rows = rows.select("doc_id", F.coalesce("source", F.lit("\0")).alias("source"), F.col("copy").alias("cluster"), cost.alias("cost"), F.xxhash64("doc_id", "copy").alias("turn"))
+    rows = rows.select("doc_id", F.coalesce("source", F.lit("\0")).alias("source"), F.col("copy").alias("cluster"), "row", cost.alias("cost"), F.xxhash64("doc_id", "copy").alias("turn"))
     last = F.greatest(F.lit(0), F.floor((F.col("cost") - 1) / capacity)).cast("int")
     pieces = rows.select("*", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
     start = F.col("piece").cast("long") * capacity
-    pieces = pieces.select("doc_id", "piece", start.alias("start"), F.least(F.lit(capacity).cast("long"), F.col("cost") - start).alias("length"), "source", "cluster", "turn", F.pmod("turn", F.lit(shards)).alias("shard"))
+    pieces = pieces.select("doc_id", "piece", start.alias("start"), F.least(F.lit(capacity).cast("long"), F.col("cost") - start).alias("length"), "source", "cluster", "row", "turn", F.pmod("turn", F.lit(shards)).alias("shard"))
     whole = F.col("length") == capacity  # a piece that fills its bin has nothing to share
     alone = pieces.where(whole).withColumns({"bin": F.lit(-1).cast("long"), "bin_offset": F.lit(0).cast("long")})
 
@@ -114,5 +114,5 @@ def pack(docs: DataFrame, cluster: str | None = None, capacity: int = CAPACITY,
         return pack_shard(pdf, capacity, per_source).drop(columns="turn")
 
     packed = pieces.where(~whole).groupBy("shard").applyInPandas(one, OUT).unionByName(alone.drop("turn"))
-    bin_id = F.when(F.col("bin") < 0, F.concat_ws("-", F.lit("w"), "doc_id", F.hex("cluster"), "piece")).otherwise(F.concat_ws("-", F.lit("s"), "shard", "bin"))
+    bin_id = F.when(F.col("bin") < 0, F.concat_ws("-", F.lit("w"), "row", "piece")).otherwise(F.concat_ws("-", F.lit("s"), "shard", "bin"))
     return packed.select("doc_id", "piece", "start", "length", F.nullif("source", F.lit("\0")).alias("source"), "cluster", bin_id.alias("bin_id"), "bin_offset")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from xxhash import xxh64_intdigest
 
-from tessella.llm.common import components, find, partitions, stored, tune, unite, utf8
+from tessella.llm.common import components, find, fresh, partitions, stored, tune, unite, utf8
 
 BITS, PIVOTS, RADIUS = 64, 16, 3
 LEVELS = ((5, 2), (8, 5), (16, 13))
@@ -226,5 +226,6 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """The documents that are the smallest id of their group, and those without an id."""
-    gone = simhash_groups(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    gone = fresh(docs, "gone")
+    copies = simhash_groups(docs).where("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(copies, F.col("doc_id").cast("long") == F.col(gone), "left_anti")
