@@ -2,9 +2,10 @@
 
 A paragraph is a line of at least `min_words` words. Copies that agree in all their words (A-Z lowered, white space ignored) are one
 row from the first shuffle on. The five-word shingles of each distinct paragraph give a MinHash signature, cut into bands
-that are tuned for the wanted recall. Paragraphs that meet in a band are compared with the smallest of their bucket, which
-links a group of copies of any size by as many comparisons as it has members; then all pairs of one bucket
-that are still in different components are compared too, so no colliding pair is left out. Links need an exact Jaccard similarity
+that are tuned for the wanted recall. Paragraphs that meet in a band are compared with the most frequent one of their bucket, the
+likely original of its variants, which links a group of any size by as many comparisons as it has members; then all pairs of one bucket
+that are still in different components are compared too, so no colliding pair is left out: in buckets of at most SMALL members one by one, in
+larger ones by an exact prefix-filtered join inside the task that holds the bucket, which never makes rows of its pairs. Links need an exact Jaccard similarity
 of the shingle sets of `threshold` or more. In each component the occurrence with the smallest (doc_id, position) stays; the others are removed.
 
 Defined results: null and empty texts have no paragraphs and stay as they are; rows with a null doc_id are left
@@ -22,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from xxhash import xxh3_128_digest
 
-from tessella.llm.common import components, partitions, stored, tune, utf8
+from tessella.llm.common import components, find, fresh, partitions, stored, tune, unite, utf8
 from tessella.llm.toxicity import powers
 
 SHINGLE, MIN_WORDS, THRESHOLD = 5, 20, 0.8
 PIECE = 1 << 20
+SMALL = 16
 _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
 _space = np.zeros(256, bool)
@@ -108,6 +110,10 @@ class Lines:
     def shingles(self, i: int) -> np.ndarray:
         return np.unique(self.hashes[self.w0[i] : self.w1[i] - SHINGLE + 1])
 
+    def distinct(self) -> list[int]:
+        """How many different shingles each line has."""
+        return [len(self.shingles(i)) for i in range(len(self.w0))]
+
     def bands(self) -> np.ndarray:
         """(lines, BANDS) band hashes of the MinHash signatures."""
         if not len(self.w0):
@@ -135,31 +141,31 @@ def _paragraphs(min_words: int):
                 bands = lines.bands().astype("<i8").tobytes()
                 step = 8 * BANDS
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[lines.row], pa.int64()), pa.array(lines.pos, pa.int32()), pa.array(lines.keys(), pa.binary()), pa.array([bands[i * step : (i + 1) * step] for i in range(len(lines.row))], pa.binary())],
-                    ["doc_id", "pos", "key", "bands"],
+                    [pa.array(ids[lines.row], pa.int64()), pa.array(lines.pos, pa.int32()), pa.array(lines.keys(), pa.binary()), pa.array([bands[i * step : (i + 1) * step] for i in range(len(lines.row))], pa.binary()), pa.array(lines.distinct(), pa.int32())],
+                    ["doc_id", "pos", "key", "bands", "size"],
                 )
 
     return run
 
 
 def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, pos, key, bands) of every long line of every row with an id."""
+    """(doc_id, pos, key, bands, size) of every long line of every row with an id."""
     tune(docs.sparkSession)
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(_paragraphs(min_words), "doc_id long, pos int, key binary, bands binary")
+    return rows.mapInArrow(_paragraphs(min_words), "doc_id long, pos int, key binary, bands binary, size int")
 
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(band, hash, id) of each band of each paragraph."""
+    """(band, hash, id, copies, size) of each band of each paragraph."""
     for b in batches:
-        ids = b.column(0).to_numpy()
         bands = np.frombuffer(b"".join(b.column(1).to_pylist()), "<i8").reshape(-1, BANDS)
-        n = len(ids)
-        yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(BANDS, dtype=np.int32), n)), pa.array(bands.ravel()), pa.array(np.repeat(ids, BANDS))], ["band", "hash", "id"])
+        n = b.num_rows
+        rest = [pa.array(np.repeat(b.column(k).to_numpy(), BANDS)) for k in (0, 2, 3)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(BANDS, dtype=np.int32), n)), pa.array(bands.ravel()), *rest], ["band", "hash", "id", "copies", "size"])
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """The rows of each (band, hash), over sorted input; lone rows are passed over."""
+def _runs(batches: Iterator[pa.RecordBatch], first: int = 2) -> Iterator[list[np.ndarray]]:
+    """The columns of each run of equal (band, hash), over sorted input; lone rows are passed over."""
     held: list[list[np.ndarray]] = []
     last = None
     for b in batches:
@@ -176,7 +182,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
                 if sum(len(x[0]) for x in held) > 1:
                     yield [np.concatenate(x) for x in zip(*held, strict=True)]
                 held, last = [], it
-            held.append([c[lo:hi] for c in cols[2:]])
+            held.append([c[lo:hi] for k, c in enumerate(cols) if k >= first])
     if sum(len(x[0]) for x in held) > 1:
         yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
@@ -186,36 +192,94 @@ def _pairs(parts: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], ["a", "b"])
 
 
-def _stars(batches: Iterator[pa.RecordBatch], most: int = 200_000) -> Iterator[pa.RecordBatch]:
-    """Each member of a bucket with its smallest one."""
-    parts, size = [], 0
-    for (ids,) in _runs(batches):
-        ids = np.unique(ids)
-        if len(ids) > 1:
-            parts.append(np.stack([ids[1:], np.full(len(ids) - 1, ids[0])], axis=1))
-            size += len(ids)
-        if size > most:
-            yield _pairs(parts)
-            parts, size = [], 0
-    yield _pairs(parts)
-
-
-def _across(batches: Iterator[pa.RecordBatch], most: int = 200_000) -> Iterator[pa.RecordBatch]:
-    """All pairs of a bucket whose components differ, but those with its smallest id, which were compared before."""
-    parts, size = [], 0
-    for ids, roots in _runs(batches):
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of buckets with two members or more."""
+    for band, hash_, ids, copies, sizes in _runs(batches, first=0):
+        if (ids != ids[0]).any():
+            yield pa.RecordBatch.from_arrays([pa.array(band, pa.int32()), pa.array(hash_), pa.array(ids), pa.array(copies), pa.array(sizes, pa.int32())], ["band", "hash", "id", "copies", "size"])
+
+
+def _scan(pairs_of, threshold: float):
+    """Over runs (ids, copies, sizes, roots): the pairs that pairs_of gives, smaller id second, in batches without repeats."""
+
+    def run(batches: Iterator[pa.RecordBatch], most: int = 200_000) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
+        for ids, copies, sizes, roots in _runs(batches):
+            ids, at = np.unique(ids, return_index=True)
+            for a, b in pairs_of(ids, copies[at], sizes[at], roots[at]) if len(ids) > 1 else ():
+                n, m = sizes[at][a], sizes[at][b]
+                b = ids[b[np.minimum(n, m) >= threshold * np.maximum(n, m)]]
+                parts.append(np.stack([np.maximum(b, ids[a]), np.minimum(b, ids[a])], axis=1))
+                size += len(b)
+                if size > most:
+                    yield _pairs(parts)
+                    parts, size = [], 0
+        yield _pairs(parts)
+
+    return run
+
+
+def _star(ids: np.ndarray, copies: np.ndarray, sizes: np.ndarray, roots: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The most frequent member with all of other components."""
+    c = int(np.argmax(copies))
+    yield c, np.flatnonzero(roots != roots[c])
+
+
+def _across(ids: np.ndarray, copies: np.ndarray, sizes: np.ndarray, roots: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Every pair of different components, in small buckets."""
+    if len(ids) <= SMALL:
+        for i in range(len(ids) - 1):
+            yield i, i + 1 + np.flatnonzero(roots[i + 1 :] != roots[i])
+
+
+def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, id, root) of the members of larger buckets that hold more than one component; a bucket is named by its band and smallest id."""
+    for band, _, ids, _, _, roots in _runs(batches, first=0):
         ids, at = np.unique(ids, return_index=True)
-        roots = roots[at]
-        if len(np.unique(roots)) < 2:
-            continue
-        for i in range(1, len(ids) - 1):
-            other = ids[i + 1 :][roots[i + 1 :] != roots[i]]
-            parts.append(np.stack([other, np.full(len(other), ids[i])], axis=1))
-            size += len(other)
-            if size > most:
-                yield _pairs(parts)
-                parts, size = [], 0
-    yield _pairs(parts)
+        if len(ids) > SMALL and (roots[at] != roots[at][0]).any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), band[0], np.int32)), pa.array(np.full(len(ids), ids[0])), pa.array(ids), pa.array(roots[at])], ["band", "hash", "id", "root"])
+
+
+def similar(sets: list[np.ndarray], roots: list[int], threshold: float) -> list[tuple[int, int]]:
+    """Places of a spanning set of the pairs of different roots whose Jaccard similarity reaches the threshold; exact.
+
+    By size, each set is looked up in an index of the smaller ones by its rarest shingles: |x| - ceil(t |x|) + 1 of them on the looking
+    side and |y| - ceil(2t/(1+t) |y|) + 1 on the index's are bound to share one (Xiao et al., 2008).
+    """
+    values, counts = np.unique(np.concatenate(sets), return_counts=True)
+    rank = np.empty(len(values), np.int64)
+    rank[np.lexsort((values, counts))] = np.arange(len(values))
+    ranked = [np.sort(rank[np.searchsorted(values, s)]) for s in sets]
+    index: dict[int, dict[int, list[int]]] = {}
+    parent: dict[int, int] = {r: r for r in roots}
+    out = []
+    for i in sorted(range(len(sets)), key=lambda i: len(sets[i])):
+        x, n = ranked[i], len(sets[i])
+        tried: set[int] = set()
+        for token in x[: n - math.ceil(threshold * n - 1e-9) + 1].tolist():
+            for root, places in index.get(token, {}).items():
+                for j in places:
+                    if find(parent, root) == find(parent, roots[i]):
+                        break
+                    if j in tried or len(sets[j]) < threshold * n:
+                        continue
+                    tried.add(j)
+                    if jaccard(sets[i], sets[j]) >= threshold:
+                        out.append((i, j))
+                        unite(parent, roots[i], root)
+        for token in x[: n - math.ceil(2 * threshold / (1 + threshold) * n - 1e-9) + 1].tolist():
+            index.setdefault(token, {}).setdefault(roots[i], []).append(i)
+    return out
+
+
+def _joined(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links inside larger buckets, over rows (band, hash, id, root, shingles)."""
+        for ids, roots, raw in _runs(batches):
+            found = similar([np.frombuffer(x, "<u8") for x in raw], roots.tolist(), threshold)
+            yield pa.RecordBatch.from_arrays([pa.array([int(ids[i]) for i, _ in found], pa.int64()), pa.array([int(ids[j]) for _, j in found], pa.int64())], ["a", "b"])
+
+    return run
 
 
 def _sets(min_words: int):
@@ -249,21 +313,22 @@ def _verified(threshold: float):
     return run
 
 
-def verified(pairs: DataFrame, homes: DataFrame, docs: DataFrame, min_words: int, threshold: float, broadcast_rows: int = 300_000) -> DataFrame:
-    """The pairs whose shingle sets are similar enough. homes: (id, doc_id, pos).
+def shingle_sets(ids: DataFrame, homes: DataFrame, docs: DataFrame, min_words: int, broadcast_rows: int = 300_000) -> DataFrame:
+    """(id, shingles) of the wanted ids. homes: (id, doc_id, pos).
 
     The wanted lines are fetched from their documents. Their places (about 30 bytes each) are broadcast up to
     broadcast_rows, else joined by a shuffle.
     """
-    pairs, _ = stored(pairs.distinct(), "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     want = homes.join(ids, "id").groupBy("doc_id").agg(F.collect_list(F.struct("pos", "id")).alias("l")).select("doc_id", "l.pos", "l.id")
     want, _ = stored(want, "wanted")
     if want.select(F.coalesce(F.sum(F.size("id")), F.lit(0))).first()[0] <= broadcast_rows:
         want = F.broadcast(want)
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(want, "doc_id")
-    sets = rows.select("text", "pos", "id").mapInArrow(_sets(min_words), "id long, shingles binary").dropDuplicates(["id"])
-    sets, _ = stored(sets, "sets")
+    return stored(rows.select("text", "pos", "id").mapInArrow(_sets(min_words), "id long, shingles binary").dropDuplicates(["id"]), "sets")[0]
+
+
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs whose shingle sets are similar enough."""
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(_verified(threshold), "a long, b long")
 
@@ -272,20 +337,29 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float = THR
     """(doc_id, pos, stays, home_doc, home_pos) of every long line that occurs more than once, near copies included."""
     spark = docs.sparkSession
     rows, _ = stored(paragraphs(docs, min_words), "paragraphs")
-    reps = rows.groupBy("key").agg(F.min(F.struct("doc_id", "pos")).alias("home"), F.first("bands").alias("bands"))
-    reps, _ = stored(reps.select(F.monotonically_increasing_id().alias("id"), "key", "home.doc_id", "home.pos", "bands"), "distinct")
+    reps = rows.groupBy("key").agg(F.min(F.struct("doc_id", "pos")).alias("home"), F.first("bands").alias("bands"), F.first("size").alias("size"), F.count("*").alias("copies"))
+    reps, _ = stored(reps.select(F.monotonically_increasing_id().alias("id"), "key", "home.doc_id", "home.pos", "bands", "copies", "size"), "distinct")
     homes = reps.select("id", "doc_id", "pos")
-    dealt = reps.select("id", "bands").mapInArrow(_spread, "band int, hash long, id long")
-
-    def scan(rows: DataFrame, f) -> DataFrame:
-        return rows.repartition(partitions(spark), "band", "hash").sortWithinPartitions("band", "hash").mapInArrow(f, "a long, b long")
-
-    links, _ = stored(verified(scan(dealt, _stars), homes, docs, min_words, threshold), "links")
-    roots = components(links)
-    named = dealt.join(roots.withColumnRenamed("node", "id"), "id", "left").select("band", "hash", "id", F.coalesce("root", "id").alias("root"))
-    more = scan(named, _across)
-    links, _ = stored(links.unionAll(verified(more, homes, docs, min_words, threshold)), "links")
-    roots = components(links)
+    dealt = reps.select("id", "bands", "copies", "size").mapInArrow(_spread, "band int, hash long, id long, copies long, size int")
+
+    def buckets(rows: DataFrame, *more: str) -> DataFrame:
+        return rows.repartition(partitions(spark), "band", "hash").sortWithinPartitions("band", "hash").select("band", "hash", "id", *more)
+
+    def pairs(step) -> DataFrame:
+        return stored(buckets(named, "copies", "size", "root").mapInArrow(_scan(step, threshold), "a long, b long").distinct(), "pairs")[0]
+
+    ends = F.explode(F.array("a", "b")).alias("id")
+    dealt, _ = stored(buckets(dealt, "copies", "size").mapInArrow(_shared, dealt.schema), "shared")
+    named = dealt.withColumn("root", F.col("id"))
+    stars = pairs(_star)
+    links, _ = stored(verified(stars, shingle_sets(stars.select(ends).distinct(), homes, docs, min_words), threshold), "links")
+
+    named = dealt.join(components(links).withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    few = pairs(_across)
+    mixed, _ = stored(buckets(named, "copies", "size", "root").mapInArrow(_mixed, "band int, hash long, id long, root long"), "mixed")
+    sets = shingle_sets(few.select(ends).unionAll(mixed.select("id")).distinct(), homes, docs, min_words)
+    many = buckets(mixed.join(sets, "id"), "root", "shingles").mapInArrow(_joined(threshold), "a long, b long")
+    roots = components(stored(links.unionAll(verified(few, sets, threshold)).unionAll(many), "links")[0])
     named = reps.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "doc_id", "pos", F.coalesce("root", "id").alias("root"))
     first = named.groupBy("root").agg(F.min(F.struct("doc_id", "pos")).alias("home"), F.count("*").alias("n"))
     named = named.select("key", "root").join(first, "root").select("key", "home", "n")
@@ -321,8 +395,9 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
 
 def drop_passages(docs: DataFrame) -> DataFrame:
     """docs with the repeated passages taken out of text, and n_chars (where it exists) following it."""
-    cut = removals(docs).where(F.size("removed") > 0).select(F.col("doc_id").alias("_id"), F.col("removed").alias("_removed"))
-    out = docs.join(cut, F.col("doc_id").cast("long") == F.col("_id"), "left")
-    text = _without(F.col("text"), F.col("_removed"))
-    columns = [text.alias(c) if c == "text" else F.when(F.col("_id").isNull(), F.col(c)).otherwise(F.length(text)).cast(t).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes]
+    id_, gone = fresh(docs, "cut_id"), fresh(docs, "cut")
+    cut = removals(docs).where(F.size("removed") > 0).select(F.col("doc_id").alias(id_), F.col("removed").alias(gone))
+    out = docs.join(cut, F.col("doc_id").cast("long") == F.col(id_), "left")
+    text = _without(F.col("text"), F.col(gone))
+    columns = [text.alias(c) if c == "text" else F.when(F.col(id_).isNull(), F.col(c)).otherwise(F.length(text)).cast(t).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes]
     return out.select(*columns)
