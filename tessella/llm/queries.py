@@ -75,6 +75,19 @@ def oracle_sql() -> dict[str, str]:
                    doc_id = max(doc_id) OVER g AS kept, text_sha256
             FROM d WINDOW g AS (PARTITION BY text_sha256)
         """,
+        "op3_embedding_near_dedup": """
+            WITH RECURSIVE v AS (
+                SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+                WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                  AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+            ), l AS (
+                SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+                ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.93
+            ), r AS (SELECT vec_id, vec_id AS root FROM v UNION SELECT l.a, r.root FROM r JOIN l ON l.b = r.vec_id),
+            c AS (SELECT vec_id, min(root) AS root FROM r GROUP BY vec_id), n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
+            SELECT vec_id, coalesce(n.n, 0) AS n_links, coalesce(c.root, vec_id) AS component_id, vec_id = coalesce(c.root, vec_id) AS kept
+            FROM embeddings LEFT JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)
+        """,
         "op6_warc": """
             WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS n FROM pages),
             q AS (SELECT page_id, n AS payload_bytes, sha1(h) AS payload_digest, max(page_id) OVER (PARTITION BY h) AS top FROM p)
