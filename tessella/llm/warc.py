@@ -148,10 +148,10 @@ def parse(raw: bytes) -> dict:
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = []
-        for at, next_, whole, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if not all(whole):
+        for at, end, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if end != len(raw):
                 raise ValueError("a damaged archive: its chain of records doesn't reach the end")
-            for x, y in zip(at, next_, strict=True):
+            for x, y in zip(at, [*at[1:], end], strict=True):
                 r = parse(raw[x:y])
                 digest = r["WARC-Payload-Digest"].removeprefix("sha1:")
                 if r["WARC-Type"] == "response" and (hashlib.sha1(r["payload"]).hexdigest() != digest or len(r["payload"]) != r["payload_bytes"]):
@@ -165,17 +165,21 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 PARSED = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """Every record of the archives under path; revisits have no payload."""
+def read(spark: SparkSession, path: str, broadcast_records: int = 2_000_000) -> DataFrame:
+    """Every record of the archives under path; revisits have no payload.
+
+    The offsets of the records (8 bytes each) go to the files: broadcast up to broadcast_records, else by a shuffle join.
+    """
     tune(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("path", "length", "content")
     found, _ = stored(boundaries(files), "records")
-    lists = found.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("at", "next", "whole"))).alias("l")).select("path", "l.at", "l.next", "l.whole")
+    lists = found.groupBy("path").agg(F.sort_array(F.collect_list("at")).alias("at"), F.max("next").alias("end"))
     lists, _ = stored(lists, "chains")
-    content = files.select("path", "content").join(lists, "path", "left")
-    empty = F.array()
-    cols = [F.coalesce(c, empty.cast(t)).alias(c) for c, t in (("at", "array<bigint>"), ("next", "array<bigint>"), ("whole", "array<boolean>"))]
-    return content.where(F.length("content") > 0).select(*cols, "content").mapInArrow(_parsed, PARSED)
+    if found.count() <= broadcast_records:
+        lists = F.broadcast(lists)
+    content = files.where("length > 0").select("path", "content").join(lists, "path", "left")
+    at, end = F.coalesce("at", F.array().cast("array<bigint>")), F.coalesce("end", F.lit(0).cast("long"))
+    return content.select(at.alias("at"), end.alias("end"), "content").mapInArrow(_parsed, PARSED)
 
 
 def archive(spark: SparkSession, pages: DataFrame) -> DataFrame:
