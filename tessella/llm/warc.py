@@ -165,21 +165,38 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 PARSED = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
 
-def read(spark: SparkSession, path: str, broadcast_records: int = 2_000_000) -> DataFrame:
+def read(spark: SparkSession, path: str, broadcast_records: int = 2_000_000, most_groups: int = 64) -> DataFrame:
     """Every record of the archives under path; revisits have no payload.
 
-    The offsets of the records (8 bytes each) go to the files: broadcast up to broadcast_records, else by a shuffle join.
+    The offsets of the records (8 bytes each) go to the files that hold them. Files are read in as many groups as keep a group near
+    broadcast_records, and each group's offsets are broadcast; beyond most_groups they are joined by a shuffle.
     """
     tune(spark)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("path", "length", "content")
+
+    def opened(*paths: str) -> DataFrame:
+        return spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load([*paths]).select("path", "length", "content")
+
+    def joined(files: DataFrame, lists: DataFrame) -> DataFrame:
+        return files.join(lists, "path").select("at", "end", "content")
+
+    files = opened(path)
     found, _ = stored(boundaries(files), "records")
-    lists = found.groupBy("path").agg(F.sort_array(F.collect_list("at")).alias("at"), F.max("next").alias("end"))
-    lists, _ = stored(lists, "chains")
-    if found.count() <= broadcast_records:
-        lists = F.broadcast(lists)
-    content = files.where("length > 0").select("path", "content").join(lists, "path", "left")
-    at, end = F.coalesce("at", F.array().cast("array<bigint>")), F.coalesce("end", F.lit(0).cast("long"))
-    return content.select(at.alias("at"), end.alias("end"), "content").mapInArrow(_parsed, PARSED)
+    lists, _ = stored(found.groupBy("path").agg(F.sort_array(F.collect_list("at")).alias("at"), F.max("next").alias("end")), "chains")
+    if not files.where("length > 0").select("path").join(lists, "path", "left_anti").isEmpty():
+        raise ValueError("an archive has no record at its start")
+    groups = max(1, -(-found.count() // broadcast_records))
+    if groups > most_groups:
+        content = joined(files, lists)
+    else:
+        lists = lists.withColumn("group", F.pmod(F.xxhash64("path"), F.lit(groups)))
+        names: dict[int, list[str]] = {}
+        for r in lists.select("group", "path").collect():  # one row a file
+            names.setdefault(r["group"], []).append(r["path"])
+        parts = [joined(opened(*names[g]), F.broadcast(lists.where(F.col("group") == g))) for g in sorted(names)]
+        content = parts[0] if parts else joined(files, lists)
+        for p in parts[1:]:
+            content = content.unionAll(p)
+    return content.mapInArrow(_parsed, PARSED)
 
 
 def archive(spark: SparkSession, pages: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from helpers import docs, strange
+from tessella.llm.common import new_path
 from tessella.llm import html, merge_dropout, mixcoder, packing, token_files, toxicity, warc
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -83,6 +84,11 @@ def test_archives(spark):
         want[(i, len(raw), hashlib.sha1(raw).hexdigest(), "revisit" if again else "response", 3 if again else None)] += 1
     assert got == want
     assert warc.archive(spark, pages.limit(0)).count() == 0
+    warc.write(pages, path := new_path(spark, "test"))
+    whole = Counter(map(tuple, warc.read(spark, path).collect()))
+    assert len(whole) == 9 and {r[2]: r[6] for r in whole if r[6]}[len(NASTY)].decode() == NASTY
+    for options in ({"broadcast_records": 3}, {"broadcast_records": 3, "most_groups": 1}):
+        assert Counter(map(tuple, warc.read(spark, path, **options).collect())) == whole
 
 
 def test_chains_reject_magic_inside_payloads(spark, tmp_path):
