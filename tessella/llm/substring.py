@@ -8,6 +8,12 @@ that are still in different components are compared too, so no colliding pair is
 larger ones by an exact prefix-filtered join inside the task that holds the bucket, which never makes rows of its pairs. Links need an exact Jaccard similarity
 of the shingle sets of `threshold` or more. In each component the occurrence with the smallest (doc_id, position) stays; the others are removed.
 
+What the lines leave is then searched for passages of PASSAGE words or more that stand verbatim (A-Z lowered, any white space) in longer lines or across lines.
+Every run of PASSAGE words holds a GRAM-word shingle that is the least of its neighbours, whatever surrounds the run; such anchors are
+counted over the corpus, and around those that occur twice every window of PASSAGE words is grouped by its words. Of each window the
+occurrence with the smallest (doc_id, text digest, position) stays; the words of the others go, except those that the staying one has itself.
+Embedded passages with edits fewer than PASSAGE words apart are not found.
+
 Defined results: null and empty texts have no paragraphs and stay as they are; rows with a null doc_id are left
 alone and compared with nothing; rows repeated under one doc_id count as one document; a document may lose all its text and then stays with an empty
 one; an empty table gives an empty result; extra columns are carried by `drop_passages` and ignored by `passages`.
@@ -16,7 +22,9 @@ one; an empty table gives an empty result; extra columns are carried by `drop_pa
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +37,8 @@ from tessella.llm.toxicity import powers
 SHINGLE, MIN_WORDS, THRESHOLD = 5, 20, 0.8
 PIECE = 1 << 20
 SMALL = 16
+PASSAGE, GRAM = 51, 26
+NEAR = PASSAGE - GRAM + 1
 _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
 _space = np.zeros(256, bool)
@@ -70,21 +80,27 @@ def line_blocks(column: pa.Array, size: int = PIECE) -> Iterator[tuple[np.ndarra
         i = j
 
 
+def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(lowered bytes, starts, stops, hashes) of the words of texts that begin and end at the offsets."""
+    low = _lower[data]
+    inside = ~_space[low]
+    head = np.zeros(len(low) + 1, bool)
+    head[at] = True
+    prev = np.concatenate([[False], inside[:-1]]) if len(low) else inside
+    starts = np.flatnonzero(inside & (head[:-1] | ~prev))
+    stops = np.flatnonzero(inside & (head[1:] | ~np.concatenate([inside[1:], [False]]))) + 1 if len(low) else starts
+    up, down = powers(len(low) + 1)
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((low + np.uint64(1)) * up[: len(low)], dtype=np.uint64)])
+        return low, starts, stops, (sums[stops] - sums[starts]) * down[starts]
+
+
 class Lines:
     """The long lines of a block: row, position, byte span, and the hashes of their shingles."""
 
     def __init__(self, rows: np.ndarray, first: np.ndarray, data: np.ndarray, at: np.ndarray, min_words: int):
-        self.low = low = _lower[data]
-        inside = ~_space[low]
-        head = np.zeros(len(low) + 1, bool)
-        head[at] = True
-        prev = np.concatenate([[False], inside[:-1]]) if len(low) else inside
-        starts = np.flatnonzero(inside & (head[:-1] | ~prev))
-        stops = np.flatnonzero(inside & (head[1:] | ~np.concatenate([inside[1:], [False]]))) + 1 if len(low) else starts
-        up, down = powers(len(low) + 1)
-        with np.errstate(over="ignore"):
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((low + np.uint64(1)) * up[: len(low)], dtype=np.uint64)])
-            word = (sums[stops] - sums[starts]) * down[starts]
+        self.low, starts, stops, word = word_hashes(data, at)
+        low = self.low
         breaks = np.concatenate([[0], np.cumsum(low == 10)])
         doc = np.searchsorted(at, starts, "right") - 1
         line = breaks[starts] + doc  # a new number after every break and every text
@@ -381,23 +397,188 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float = THR
     return found.groupBy("doc_id").agg(F.count("*").alias("n_repeated"), F.array_sort(F.collect_list(gone)).alias("removed"), F.array_sort(F.collect_set(F.when(~F.col("stays"), F.col("home_doc")))).alias("home_docs"))
 
 
+def _sliding(x: np.ndarray, width: int, least: bool) -> np.ndarray:
+    """The least or greatest of x[i : i + width] for every i that has so many."""
+    pick, have = np.minimum if least else np.maximum, 1
+    while 2 * have <= width:
+        x, have = pick(x[:-have], x[have:]), 2 * have
+    return pick(x[: len(x) - (width - have)], x[width - have :]) if have < width else x
+
+
+def anchors(word: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, hashes) of the shingles of GRAM words that are the least of NEAR neighbours in one text."""
+    if len(word) < PASSAGE:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    up, down = powers(len(word) + 1)
+    with np.errstate(over="ignore"):
+        mixed = (word ^ word >> np.uint64(32)) * np.uint64(0xFF51AFD7ED558CCD)
+        mixed ^= mixed >> np.uint64(29)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed * up[: len(word)], dtype=np.uint64)])
+        n = len(word) - GRAM + 1
+        h = (sums[GRAM:] - sums[:n]) * down[:n]
+        h = (h ^ h >> np.uint64(32)) * np.uint64(0xC4CEB9FE1A85EC53)
+        h = (h ^ h >> np.uint64(29)) | np.uint64(1)
+    least = _sliding(h, NEAR, True)
+    least[doc[: len(least)] != doc[PASSAGE - 1 :]] = 0
+    none = np.zeros(NEAR - 1, np.uint64)
+    at = np.flatnonzero(_sliding(np.concatenate([none, least, none]), NEAR, False) == h)
+    return at, h[at]
+
+
+def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, tag, pos, hash) of the anchors of each text, which is read in pieces that overlap by PASSAGE words."""
+
+    def batch(b: pa.RecordBatch, row: np.ndarray, pos: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
+        who = b.select([0, 1]).take(pa.array(row))
+        return pa.RecordBatch.from_arrays([*who.columns, pa.array(pos, pa.int32()), pa.array(h.view(np.int64))], ["doc_id", "tag", "pos", "hash"])
+
+    for b in batches:
+        data, at = utf8(b.column(2))
+        i = 0
+        while i < b.num_rows:
+            j = i + 1
+            while j < b.num_rows and at[j + 1] - at[i] <= PIECE:
+                j += 1
+            if at[j] - at[i] <= PIECE:
+                _, starts, _, word = word_hashes(data[at[i] : at[j]], at[i : j + 1] - at[i])
+                doc = np.searchsorted(at[i : j + 1] - at[i], starts, "right") - 1
+                where, h = anchors(word, doc)
+                yield batch(b, i + doc[where], where - np.searchsorted(doc, doc[where]), h)
+            else:
+                raw, lo, first, size = data[at[i] : at[j]], 0, 0, PIECE
+                while True:
+                    stop = lo + size
+                    while stop < len(raw) and not _space[raw[stop]]:
+                        stop += 1
+                    part = raw[lo:stop]
+                    _, starts, _, word = word_hashes(part, np.array([0, len(part)]))
+                    where, h = anchors(word, np.zeros(len(word), np.int64))
+                    yield batch(b, np.full(len(where), i), first + where, h)
+                    if stop >= len(raw):
+                        break
+                    if len(starts) <= 2 * PASSAGE:
+                        size *= 2
+                        continue
+                    lo, first, size = lo + int(starts[-PASSAGE]), first + len(starts) - PASSAGE, PIECE
+            i = j
+
+
+def _windowed(batches: Iterator[pa.RecordBatch], most: int = 50_000) -> Iterator[pa.RecordBatch]:
+    """(key, doc_id, tag, pos) of every window of PASSAGE words around the given anchors of each text."""
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        types = (pa.binary(), pa.int64(), pa.int64(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["key", "doc_id", "tag", "pos"])
+
+    rows: list[tuple] = []
+    for b in batches:
+        data, at = utf8(b.column(2))
+        for i, (doc_id, tag, found) in enumerate(zip(*(b.column(k).to_pylist() for k in (0, 1, 3)), strict=True)):
+            words = data[at[i] : at[i + 1]].tobytes().lower().split()
+            text, starts = b" ".join(words), [0, *accumulate(len(w) + 1 for w in words)]
+            for w in sorted({w for p in found for w in range(max(0, p - NEAR + 1), min(p, len(words) - PASSAGE) + 1)}):
+                rows.append((xxh3_128_digest(text[starts[w] : starts[w + PASSAGE] - 1]), doc_id, tag, w))
+                if len(rows) >= most:
+                    yield batch(rows)
+                    rows = []
+    yield batch(rows)
+
+
+_word = re.compile(r"[^\t-\r ]+")
+
+
+def kept_pieces(text: str, gone: list[tuple[int, int | None]]) -> tuple[list[int], list[int], int]:
+    """(starts, lengths, words cut): the pieces of text, in characters, that stay when the windows at these words go.
+
+    gone: (first word, first word of the window that stays, if that is in the same text). A cut takes the blanks behind it; a line break
+    inside it stays where it parts two lines.
+    """
+    spans = [m.span() for m in _word.finditer(text)]
+    cut = np.zeros(len(spans), bool)
+    for p, own in gone:
+        cut[p if own is None else max(p, own + PASSAGE) : p + PASSAGE] = True
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], cut.view(np.int8), [0]]))).reshape(-1, 2).tolist()
+    pieces, at = [], 0
+    for a, z in edges:
+        lo, hi = spans[a][0], spans[z - 1][1]
+        while hi < len(text) and text[hi] in " \t":
+            hi += 1
+        pieces.append((at, lo - at))
+        broken = text.find("\n", lo, hi)
+        if broken >= 0 and lo and text[lo - 1] != "\n" and hi < len(text) and text[hi] != "\n":
+            pieces.append((broken, 1))
+        at = hi
+    pieces = [p for p in [*pieces, (at, len(text) - at)] if p[1]]
+    return [p for p, _ in pieces], [n for _, n in pieces], int(cut.sum())
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        cols = [c.to_pylist() for c in b.columns]
+        kept = [kept_pieces(t, list(zip(p, o, strict=True))) for t, p, o in zip(cols[2], cols[3], cols[4], strict=True)]
+        yield pa.RecordBatch.from_arrays([*b.select([0, 1]).columns, pa.array([k[0] for k in kept], pa.list_(pa.int32())), pa.array([k[1] for k in kept], pa.list_(pa.int32())), pa.array([k[2] for k in kept], pa.int64()), b.column(5)], ["doc_id", "tag", "at", "len", "n_cut", "cut_homes"])
+
+
+def embedded(rows: DataFrame, broadcast_rows: int = 300_000) -> DataFrame:
+    """(doc_id, tag, at, len, n_cut, cut_homes) of the texts that lose embedded passages. rows: (doc_id, tag, text), a stored table; equal (doc_id, tag) are one text.
+
+    Places (20 to 30 bytes each) are broadcast up to broadcast_rows, else joined by a shuffle.
+    """
+    who = ["doc_id", "tag"]
+
+    def sided(df: DataFrame, name: str, size: str) -> DataFrame:
+        df, _ = stored(df, name)
+        return F.broadcast(df) if df.select(F.coalesce(F.sum(F.size(size)), F.lit(0))).first()[0] <= broadcast_rows else df
+
+    rows = rows.where("doc_id is not null and text is not null")
+    found, _ = stored(rows.select(*who, "text").mapInArrow(_anchored, "doc_id long, tag long, pos int, hash long"), "anchors")
+    place = F.xxhash64("doc_id", "tag", "pos")
+    twice = found.groupBy("hash").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a < b").select("hash")
+    want = sided(found.join(twice, "hash").groupBy(*who).agg(F.collect_set("pos").alias("found")), "wanted", "found")
+    windows = rows.join(want, who).select(*who, "text", "found").mapInArrow(_windowed, "key binary, doc_id long, tag long, pos int")
+    windows, _ = stored(windows.distinct(), "windows")
+    here = F.struct("doc_id", "tag", "pos")
+    homes = windows.groupBy("key").agg(F.min(here).alias("home"), F.count("*").alias("n")).where("n > 1").select("key", "home")
+    again = windows.join(homes, "key").where(here != F.col("home"))
+    own = F.when((F.col("home.doc_id") == F.col("doc_id")) & (F.col("home.tag") == F.col("tag")), F.col("home.pos"))
+    gone = again.groupBy(*who).agg(F.collect_list(F.struct("pos", own.alias("own"))).alias("w"), F.array_sort(F.collect_set("home.doc_id")).alias("cut_homes"))
+    gone = sided(gone.select(*who, "w.pos", "w.own", "cut_homes"), "gone", "pos")
+    pieces = rows.join(gone, who).select(*who, "text", "pos", "own", "cut_homes").mapInArrow(_pieces, "doc_id long, tag long, at array<int>, len array<int>, n_cut long, cut_homes array<long>")
+    return sided(pieces.dropDuplicates(who), "pieces", "at")
+
+
+def _kept(text, at, len_):
+    parts = F.transform(F.arrays_zip(at.alias("at"), len_.alias("len")), lambda p: F.substring(text, p["at"] + 1, p["len"]))
+    return F.when(at.isNull(), text).otherwise(F.array_join(parts, ""))
+
+
 def substring_dedup(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_repeated, n_removed, removed, home_docs, text): every row of docs with its text after removal."""
+    """(doc_id, n_repeated, n_removed, removed, home_docs, text, n_cut): every row of docs with its text after removal; n_cut: words of embedded passages."""
     cut = removals(docs).withColumnRenamed("doc_id", "_id")
     text = F.col("text").cast("string")
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).join(cut, F.col("doc_id") == F.col("_id"), "left")
     none = F.array().cast("array<int>")
-    return out.select(
+    out = out.select(
         "doc_id", F.coalesce("n_repeated", F.lit(0)).cast("long").alias("n_repeated"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("removed", none).alias("removed"), F.coalesce("home_docs", F.array().cast("array<bigint>")).alias("home_docs"), _without(F.col("text"), F.col("removed")).alias("text"),
     )
+    out, _ = stored(out.withColumn("tag", F.xxhash64("text")), "lines-left")
+    out = out.join(embedded(out), ["doc_id", "tag"], "left")
+    homes = F.when(F.col("cut_homes").isNull(), F.col("home_docs")).otherwise(F.array_sort(F.array_union("home_docs", "cut_homes")))
+    return out.select("doc_id", "n_repeated", "n_removed", "removed", homes.alias("home_docs"), _kept(F.col("text"), F.col("at"), F.col("len")).alias("text"), F.coalesce("n_cut", F.lit(0)).cast("long").alias("n_cut"))
 
 
 def drop_passages(docs: DataFrame) -> DataFrame:
     """docs with the repeated passages taken out of text, and n_chars (where it exists) following it."""
-    id_, gone = fresh(docs, "cut_id"), fresh(docs, "cut")
+    id_, gone, cut_, tag, at, len_ = (fresh(docs, c) for c in ("cut_id", "cut", "was_cut", "cut_tag", "cut_at", "cut_len"))
     cut = removals(docs).where(F.size("removed") > 0).select(F.col("doc_id").alias(id_), F.col("removed").alias(gone))
     out = docs.join(cut, F.col("doc_id").cast("long") == F.col(id_), "left")
-    text = _without(F.col("text"), F.col(gone))
-    columns = [text.alias(c) if c == "text" else F.when(F.col(id_).isNull(), F.col(c)).otherwise(F.length(text)).cast(t).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes]
+    text = _without(F.col("text").cast("string"), F.col(gone))
+    out, _ = stored(out.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns], F.col(id_).isNotNull().alias(cut_), F.xxhash64(text).alias(tag)), "lines-left")
+    more = embedded(out.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(tag).alias("tag"), "text"))
+    more = more.select(F.col("doc_id").alias(id_), F.col("tag").alias(f"{tag}_"), F.col("at").alias(at), F.col("len").alias(len_))
+    out = out.join(more, (F.col("doc_id").cast("long") == F.col(id_)) & (F.col(tag) == F.col(f"{tag}_")), "left")
+    left = fresh(docs, "text_left")
+    out = out.withColumn(left, _kept(F.col("text"), F.col(at), F.col(len_)))
+    columns = [F.col(left).alias(c) if c == "text" else F.when(F.col(cut_) | F.col(id_).isNotNull(), F.length(left)).otherwise(F.col(c)).cast(t).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes]
     return out.select(*columns)

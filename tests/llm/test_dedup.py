@@ -185,3 +185,35 @@ def test_long_texts_are_cut_between_lines():
     assert [k for p in parts for k in p.keys()] == whole.keys()
     assert np.concatenate([p.pos for p in parts]).tolist() == whole.pos.tolist() == list(range(400))
     assert (np.concatenate([p.bands() for p in parts]) == whole.bands()).all()
+
+
+def test_passages_inside_longer_lines(spark):
+    rng = random.Random(29)
+    p, q = _lines(rng, 53), _lines(rng, 50)
+    a, b, c = _lines(rng, 40), _lines(rng, 37), _lines(rng, 45)
+    wrapped = "\n".join(" ".join(p.split()[k : k + 9]) for k in range(0, 53, 9))
+    rows = [(1, f"é {a} {p} {b}"), (2, f"top\n{c} É {p.upper()} {a[:90]}\nend"), (3, f"head\n{wrapped}\ntail"), (4, f"{b[:70]} {q}"), (5, f"{q} {c[:80]}"), (6, "x " * 400), (None, p), (7, None)]
+    got = {r.doc_id: r for r in substring.substring_dedup(strange(docs(spark, rows))).collect()}
+    want = dict(rows) | {2: f"top\n{c} É {a[:90]}\nend", 3: "head\n\ntail", 6: "x " * 51}
+    assert {i: r.text for i, r in got.items()} == want
+    assert {i: r.n_cut for i, r in got.items() if r.n_cut} == {2: 53, 3: 53, 6: 349} and got[2].home_docs == [1]
+    kept = substring.drop_passages(strange(docs(spark, rows))).collect()
+    assert {r.doc_id: r.text for r in kept} == want and all(r.n_chars == len(r.text or "") for r in kept)
+
+
+def test_anchors_are_the_same_in_pieces_and_in_any_surroundings():
+    import pyarrow as pa
+
+    rng = random.Random(31)
+    p = _lines(rng, 51)
+    long = _lines(rng, 400_000)
+    texts = [f"{_lines(rng, 30)} {p} {_lines(rng, 9)}", p, f"{long[:1_060_000]} {p} {long[1_060_000:]}"]
+    b = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([0, 0, 0]), pa.array(texts)], ["doc_id", "tag", "text"])
+    got = {}
+    for x in substring._anchored(iter([b])):
+        for i, _, pos, h in zip(*(c.to_pylist() for c in x.columns), strict=True):
+            got.setdefault(i, {})[pos] = h
+    inside = set(got[2].values())
+    assert inside and all(inside & set(got[i].values()) for i in (1, 3))
+    words = np.array([hash(w) & (1 << 63) - 1 for w in texts[2].split()], np.uint64)
+    assert max(np.diff(sorted(got[3]))) <= substring.NEAR and len(got[3]) < len(words) / 8
