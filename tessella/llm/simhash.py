@@ -14,7 +14,7 @@ are returned as often as they occur; an empty table gives an empty result; extra
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -51,15 +51,20 @@ def bit_counts(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def fingerprint(text: bytes) -> int:
+    return voted(shingle_hashes(text))
+
+
+def voted(blocks: Iterable[np.ndarray]) -> int:
+    """The fingerprint of all the blocks of one text."""
     counts, n = np.zeros(BITS, np.int64), 0
-    for h in shingle_hashes(text):
+    for h in blocks:
         counts += bit_counts(h, np.array([0, len(h)]))[0]
         n += len(h)
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], chunk: int = 100_000) -> Iterator[pa.RecordBatch]:
-    """Short texts are counted together, long ones by themselves."""
+    """Texts of one block of shingles are counted together, longer ones by themselves."""
     for b in batches:
         data, at = utf8(b.column(1))
         raw, out = data.tobytes(), np.zeros(b.num_rows, np.uint64)
@@ -76,7 +81,11 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], chunk: int = 100_000) -> It
             if len(text) > 1 << 18:
                 out[i] = fingerprint(text)
                 continue
-            for h in shingle_hashes(text):
+            blocks = list(shingle_hashes(text))
+            if len(blocks) > 1:
+                out[i] = voted(blocks)
+                continue
+            for h in blocks:
                 held.append((i, h))
                 size += len(h)
             if size > chunk:

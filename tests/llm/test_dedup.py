@@ -217,3 +217,13 @@ def test_anchors_are_the_same_in_pieces_and_in_any_surroundings():
     assert inside and all(inside & set(got[i].values()) for i in (1, 3))
     words = np.array([hash(w) & (1 << 63) - 1 for w in texts[2].split()], np.uint64)
     assert max(np.diff(sorted(got[3]))) <= substring.NEAR and len(got[3]) < len(words) / 8
+
+
+def test_simhash_of_a_text_of_more_shingles_than_a_block():
+    import pyarrow as pa
+
+    rng = random.Random(37)
+    texts = ["a b", " ".join(rng.choice("abcdefgh") for _ in range(100_000)), " ".join(rng.choice("xyz") for _ in range(65_538)) + " q", "c d"]
+    b = pa.RecordBatch.from_arrays([pa.array(range(4)), pa.array(texts)], ["doc_id", "text"])
+    got = pa.Table.from_batches(simhash._fingerprints(iter([b])))["fp"].to_numpy().view(np.uint64).tolist()
+    assert got == [_fingerprint(t) for t in texts]
