@@ -2,8 +2,8 @@
 
 Equal vectors of one label are one class from the first shuffle on. In each pass every class gets a key, the signs of its products
 with that pass's random directions one after another; classes are ordered by label and key, cut into even ranges, and each is compared with
-the `window` next ones. Near vectors agree in most signs, so they are neighbours in some pass with a probability that
-grows with the passes. Pairs with a cosine (double precision) of `threshold` or more are united across all
+the `window` next ones, over the edges of ranges too. Near vectors agree in most signs, so they are neighbours in some pass with a probability that
+grows with the passes; their number follows from the largest label, for a recall of RECALL of lone pairs at the threshold. Pairs with a cosine (double precision) of `threshold` or more are united across all
 passes. Within each component, pairs are then compared in blocks of at most `block` classes a side, so that n_links counts
 the links of a group of copies that is larger than any window as well.
 
@@ -14,6 +14,7 @@ one vec_id and vector count once; an empty table gives an empty result; extra co
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,18 @@ from xxhash import xxh3_128_digest
 
 from tessella.llm.common import components, find, partitions, stored, tune, unite
 
-THRESHOLD, PASSES, DIRECTIONS, WINDOW, BLOCK = 0.93, 16, 30, 16, 1024
+THRESHOLD, PASSES, DIRECTIONS, WINDOW, BLOCK, RECALL = 0.93, 16, 30, 16, 1024, 0.999
+
+
+def passes_for(n: int, threshold: float = THRESHOLD, window: int = WINDOW, recall: float = RECALL) -> int:
+    """Passes that bring a lone pair at the threshold within the window of one another with the wanted probability, among n vectors of spread directions.
+
+    The pair has to agree in the leading log2(n / window) signs of some pass.
+    """
+    if n <= window or threshold >= 1:
+        return 1
+    met = (1 - math.acos(threshold) / math.pi) ** math.ceil(math.log2(n / window))
+    return math.ceil(math.log(1 - recall) / math.log(1 - met)) if met < 1 else 1
 
 
 def _dense(column: pa.Array, kind: str) -> list[bytes | None]:
@@ -82,6 +94,11 @@ def _projected(kind: str, passes: int):
     return run
 
 
+EDGES = ["a", "b", "p", "label", "dim", "key", "id", "v"]
+EDGE_TYPES = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+DEALT = "p int, label long, dim int, key long, id long, v binary"
+
+
 def _windows(kind: str, window: int, threshold: float, chunk: int = 8192):
     """Links among neighbours of sorted rows; pairs that are already connected within a chunk are left out."""
 
@@ -101,29 +118,44 @@ def _windows(kind: str, window: int, threshold: float, chunk: int = 8192):
         pairs = np.array(out, np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
+    def linked(held: tuple) -> pa.RecordBatch:
+        p, label, dim, _, ids, v = held
+        run = np.concatenate([[0], np.cumsum((p[1:] != p[:-1]) | (label[1:] != label[:-1]) | (dim[1:] != dim[:-1]))])
+        pairs = links(run, ids, v, dim)
+        return pa.RecordBatch.from_arrays([*pairs.columns, *(pa.nulls(pairs.num_rows, t) for t in EDGE_TYPES)], EDGES)
+
+    def edge(rows: list[tuple]) -> pa.RecordBatch:
+        none = pa.nulls(len(rows), pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, *(pa.array([r[k] for r in rows], t) for k, t in enumerate(EDGE_TYPES))], EDGES)
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(a, b) of links, then the first and last `window` rows of the range (a and b null)."""
         held: list[tuple] = []
         size = 0
+        first: list[tuple] | None = None
 
         def joined() -> tuple:
-            p, label, dim, ids = (np.concatenate([x[k] for x in held]) for k in range(4))
-            v = [y for x in held for y in x[4]]
-            run = np.concatenate([[0], np.cumsum((p[1:] != p[:-1]) | (label[1:] != label[:-1]) | (dim[1:] != dim[:-1]))])
-            return p, label, dim, ids, v, run
+            return *(np.concatenate([x[k] for x in held]) for k in range(5)), [y for x in held for y in x[5]]
 
         for b in batches:
             if not b.num_rows:
                 continue
-            p, label, dim, _, ids = (b.column(k).to_numpy(zero_copy_only=False) for k in range(5))
-            held.append((p, label, dim, ids, b.column(5).to_pylist()))
+            held.append((*(b.column(k).to_numpy(zero_copy_only=False) for k in range(5)), b.column(5).to_pylist()))
             size += b.num_rows
             if size >= chunk:
-                p, label, dim, ids, v, run = joined()
-                yield links(run, ids, v, dim)
-                held, size = [(p[-window:], label[-window:], dim[-window:], ids[-window:], v[-window:])], min(window, len(ids))
+                whole = joined()
+                yield linked(whole)
+                first = list(zip(*(x[:window] for x in whole), strict=True)) if first is None else first
+                held = [tuple(x[-window:] for x in whole)]
+                size = len(held[0][0])
         if held:
-            p, label, dim, ids, v, run = joined()
-            yield links(run, ids, v, dim)
+            whole = joined()
+            yield linked(whole)
+            if first is None:
+                n = len(whole[0])
+                yield edge([tuple(x[i] for x in whole) for i in sorted({*range(min(window, n)), *range(max(0, n - window), n)})])
+            else:
+                yield edge(first + list(zip(*(x[-window:] for x in whole), strict=True)))
 
     return scan
 
@@ -187,8 +219,18 @@ def link_counts(members: DataFrame, kind: str, threshold: float, block: int) ->
     return rows.mapInArrow(_counted(kind, threshold), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
+def window_links(dealt: DataFrame, kind: str, window: int, threshold: float) -> DataFrame:
+    """(a, b): links among neighbours in the order of the rows. The rows beside the edges of ranges, 2 * window a range, are compared once more in one task."""
+    order = ["p", "label", "dim", "key", "id"]
+    dealt = dealt.repartitionByRange(partitions(dealt.sparkSession), *order).sortWithinPartitions(*order)
+    found, _ = stored(dealt.mapInArrow(_windows(kind, window, threshold), f"a long, b long, {DEALT}"), "links")
+    edges = found.where("a is null").select(*order, "v").repartition(1).sortWithinPartitions(*order)
+    across = edges.mapInArrow(_windows(kind, window, threshold), f"a long, b long, {DEALT}")
+    return found.unionAll(across).where("a is not null").select("a", "b")
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, passes: int = PASSES, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of every row; vectors: (vec_id, embedding, label)."""
+    """(vec_id, n_links, component_id, kept) of every row; vectors: (vec_id, embedding, label). passes: at least so many."""
     spark = vectors.sparkSession
     tune(spark, rows=4000)
     element = vectors.schema["embedding"].dataType.elementType
@@ -200,10 +242,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, passes: in
     copies = rows.where("key is not null").distinct().groupBy("key").agg(F.count("*").alias("copies"))
     classes, _ = stored(found.join(copies, "key"), "classes")
 
-    dealt = classes.select("id", "label", "v").mapInArrow(_projected(kind, passes), "p int, label long, dim int, key long, id long, v binary")
-    order = ["p", "label", "dim", "key", "id"]
-    dealt = dealt.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
-    links, _ = stored(dealt.mapInArrow(_windows(kind, window, threshold), "a long, b long"), "links")
+    most = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    passes = max(passes, passes_for(most, threshold, window))
+    links = window_links(classes.select("id", "label", "v").mapInArrow(_projected(kind, passes), DEALT), kind, window, threshold)
     roots = components(links)
 
     named = classes.join(roots, classes["id"] == roots["node"], "left").select("key", "id", "v", "copies", F.coalesce("root", "id").alias("root"))

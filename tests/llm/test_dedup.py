@@ -227,3 +227,29 @@ def test_simhash_of_a_text_of_more_shingles_than_a_block():
     b = pa.RecordBatch.from_arrays([pa.array(range(4)), pa.array(texts)], ["doc_id", "text"])
     got = pa.Table.from_batches(simhash._fingerprints(iter([b])))["fp"].to_numpy().view(np.uint64).tolist()
     assert got == [_fingerprint(t) for t in texts]
+
+
+def test_neighbours_meet_over_the_edges_of_ranges(spark):
+    rows = [(0, 0, 2, i, i, bytearray(np.array([1, i * 1e-6], "<f8").tobytes())) for i in range(60)]
+    dealt = spark.createDataFrame(rows, embeddings.DEALT).repartition(3)
+    got = {r.node: r.root for r in components(embeddings.window_links(dealt, "<f8", 1, 0.93)).collect()}
+    assert got == dict.fromkeys(range(1, 60), 0)
+
+
+def test_lone_pairs_are_found_in_a_label_of_100_000(spark):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(41)
+    n, pairs, dim = 100_000, 600, 32
+    x = rng.standard_normal((n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    off = rng.standard_normal((pairs, dim))
+    off -= np.einsum("ij,ij->i", off, x[:pairs])[:, None] * x[:pairs]
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    cos = rng.uniform(0.931, 0.935, pairs)[:, None]
+    x[n - pairs :] = cos * x[:pairs] + np.sqrt(1 - cos**2) * off
+    table = pa.table({"vec_id": pa.array(np.arange(n)), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel().astype(np.float32)), dim).cast(pa.list_(pa.float32())), "label": pa.array(np.zeros(n, np.int32))})
+    got = {r.vec_id: r.component_id for r in embeddings.near_duplicates(spark.createDataFrame(table)).where("vec_id <> component_id").collect()}
+    found = sum(got.get(n - pairs + i) == i for i in range(pairs))
+    print(f"recall {found / pairs:.4f} of {pairs} pairs")
+    assert found >= 0.995 * pairs
