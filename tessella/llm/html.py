@@ -7,11 +7,11 @@ group, and differing strings become text slots. Pages whose folded expressions a
 salted parts of a host and then across them, so that a host with a third of all pages is not one task's work.
 
 Each slot of a wrapper is judged once for its host: slots under navigation, headers and footers, sidebars, notices, adverts,
-forms, scripts, styles and reader comments are not text; where the wrapper has an article or main region, what is left of it is; elsewhere
-it is the slots whose strings are long, differ between pages and aren't mostly links, and the headings beside them.
-Pages are then read through their host's wrapper.
+forms, scripts, styles and reader comments are not text; on pages that have slots in an article or main region, what is left of it is; elsewhere
+it is the slots whose strings are long, differ between pages and aren't mostly links, and the headings, short paragraphs, lists and tables beside them.
+Pages are then read through their host's wrapper, each in the highest region that it has itself.
 
-Defined results: null and empty html give an empty text; a null or strange url is a host of its own kind (''); rows with a null or repeated page_id
+Defined results: null and empty html give an empty text; each page with a null or strange url is judged by itself; rows with a null or repeated page_id
 are treated like others; truncated pages are read as far as they go; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -37,6 +37,7 @@ NOT_TEXT = frozenset("head nav footer aside form script style noscript template
 MARKS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs topbar masthead footer sidebar rail widget widgets related recommended recommendations share sharing social cookie cookies consent gdpr notice notices alert popup modal overlay subscribe subscription newsletter signup login search comment comments reply replies respond disqus discussion pagination pager contentinfo complementary".split())
 REGION = frozenset("article main".split())
 REGION_MARKS = frozenset("article main content post entry story articlebody".split())
+GROUPS = frozenset("ul ol dl table blockquote pre figure details".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _token = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.DOTALL)
@@ -219,25 +220,38 @@ def region(path: str) -> int:
     return int(any(p[0] not in ("html", "body") and REGION_MARKS & {*p[1:]} for p in parts))
 
 
-def text_slots(wrapper: list[list], stats: dict[str, tuple[int, int, float, bool]]) -> list[str]:
-    """The paths that are main text; stats: path -> (strings, characters, characters in links, all equal)."""
+def text_slots(wrapper: list[list], stats: dict[str, tuple[int, int, float, bool]]) -> list[list[str]]:
+    """The paths that are main text on pages without a region, with a marked one and with an article or main element; stats: path -> (strings, characters, characters in links, all equal)."""
     known = {}
     for path, again in slots(wrapper):
         known[path] = known.get(path, False) or again
     open_ = [p for p in known if p in stats and not excluded(p)]
-    most = max((region(p) for p in open_), default=0)
-    if most:
-        return [p for p in open_ if region(p) == most]
+    ranks = [[p for p in open_ if region(p) == k] for k in range(3)]
 
     def prose(p: str) -> bool:
         n, chars, linked, _ = stats[p]
         return chars >= 40 * n and linked < 0.5 * chars
 
-    good = [p for p in open_ if prose(p) and p.rpartition("/")[2].split(".")[0] not in HEADINGS]
-    if any(not stats[p][3] for p in good):
-        good = [p for p in good if not (stats[p][3] and stats[p][0] >= 3 and not known[p])]
+    good = [p for p in ranks[0] if prose(p) and p.rpartition("/")[2].split(".")[0] not in HEADINGS]
+    vary = any(not stats[p][3] for p in good)
+
+    def fixed(p: str) -> bool:
+        return vary and stats[p][3] and stats[p][0] >= 3 and not known[p]
+
+    good = [p for p in good if not fixed(p)]
     homes = {p.rpartition("/")[0] for p in good}
-    return good + [p for p in open_ if p not in good and p.rpartition("/")[2].split(".")[0] in HEADINGS and p.rpartition("/")[0] in homes]
+
+    def beside(p: str) -> bool:
+        """Whether a short slot stands among prose: as a sibling, or in a list, table or quotation that is one."""
+        labels = p.split("/")
+        if labels[-1].split(".")[0] in HEADINGS:
+            return p.rpartition("/")[0] in homes
+        if stats[p][2] >= 0.5 * stats[p][1] or fixed(p):
+            return False
+        return any("/".join(labels[:k]) in homes and (k == len(labels) - 1 or labels[k].split(".")[0] in GROUPS) for k in range(1, len(labels)))
+
+    ranks[0] = good + [p for p in ranks[0] if p not in good and beside(p)]
+    return ranks
 
 
 def short(text: str) -> int:
@@ -280,41 +294,59 @@ def _judge(wrappers: pd.DataFrame, stats: pd.DataFrame) -> pd.DataFrame:
     if not len(wrappers):
         return pd.DataFrame({"host": [], "expr": [], "keep": []})
     known = {r.path: (r.strings, r.chars, r.linked, r.least == r.most) for r in stats.itertuples()}
-    keep = [short(p) for p in text_slots(json.loads(wrappers["expr"].iloc[0]), known)]
+    keep = [[short(p) for p in ps] for ps in text_slots(json.loads(wrappers["expr"].iloc[0]), known)]
     return pd.DataFrame({"host": [wrappers["host"].iloc[0]], "expr": [wrappers["expr"].iloc[0]], "keep": [keep]})
 
 
 def wrappers(pages: DataFrame, salts: int = 16) -> DataFrame:
-    """(host, expr, keep): each host's wrapper and the hashes of the paths of its text slots. pages: (host, html)."""
+    """(host, expr, keep): each host's wrapper and the hashes of the paths of its text slots by region rank. pages: (host, html)."""
     found, _ = stored(pages.select("host", "html").mapInArrow(_streams, STREAMS), "streams")
     exprs = found.where("expr is not null").select("host", "expr").distinct()
     parts = exprs.withColumn("salt", F.pmod(F.xxhash64("expr"), F.lit(salts))).groupBy("host", "salt").applyInPandas(_merge, "host string, expr string")
     whole = parts.groupBy("host").applyInPandas(_merge, "host string, expr string")
     stats = found.where("path is not null").groupBy("host", "path").agg(F.sum("strings").alias("strings"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.min("least").alias("least"), F.max("most").alias("most"))
-    return whole.groupBy("host").cogroup(stats.groupBy("host")).applyInPandas(_judge, "host string, expr string, keep array<long>")
+    return whole.groupBy("host").cogroup(stats.groupBy("host")).applyInPandas(_judge, "host string, expr string, keep array<array<long>>")
+
 
+def alone(page: Page) -> list[list[int]]:
+    """The verdict on a page without a host, from the page itself."""
+    stats: dict[str, list] = {}
+    for path, text, linked in page.blocks:
+        x = stats.setdefault(path, [0, 0, 0.0, set()])
+        x[0], x[1], x[2] = x[0] + 1, x[1] + len(text), x[2] + linked * len(text)
+        x[3].add(text)
+    return [[short(p) for p in ps] for ps in text_slots(expression(page.tree), {p: (n, c, k, len(t) == 1) for p, (n, c, k, t) in stats.items()})]
 
-def main_text(html: str, keep: set[int], known: dict[str, bool] | None = None) -> str:
-    """The blocks of a page that lie in kept slots, in page order."""
+
+def main_text(page: Page, keep: dict[int, int], known: dict[str, int] | None = None) -> str:
+    """The blocks of a page that lie in kept slots of the highest region rank that the page has, in page order. keep: hash of a path -> rank."""
     known = {} if known is None else known
-    out = []
-    for path, text, _ in Page(html).blocks:
+    for path, _, _ in page.blocks:
         if path not in known:
-            known[path] = short(path) in keep
-        if known[path]:
-            out.append(text)
-    return "\n".join(out)
+            known[path] = keep.get(short(path), -1)
+    most = max((known[path] for path, _, _ in page.blocks), default=-1)
+    return "\n".join(text for path, text, _ in page.blocks if known[path] == most >= 0)
+
+
+def _ranked(keep) -> dict[int, int]:
+    return {h: rank for rank, hs in enumerate(keep) for h in hs}
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[tuple[int, ...], tuple[set[int], dict[str, bool]]] = {}
+    known: dict[tuple[tuple[int, ...], ...], tuple[dict[int, int], dict[str, int]]] = {}
     for b in batches:
         out = []
         for html, keep in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-            k = tuple(keep or ())
+            page = Page(html)
+            if keep is None:
+                out.append(main_text(page, _ranked(alone(page))))
+                continue
+            k = tuple(map(tuple, keep))
             if len(known) > 2000:
                 known.clear()
-            out.append(main_text(html, *known.setdefault(k, (set(k), {}))))
+            if k not in known:
+                known[k] = (_ranked(k), {})
+            out.append(main_text(page, *known[k]))
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
@@ -323,7 +355,7 @@ def extract(pages: DataFrame, broadcast_hosts: int = 20_000, salts: int = 16) ->
     tune(pages.sparkSession, rows=200)
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), _host, 1))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    verdicts, _ = stored(wrappers(rows, salts), "wrappers")
+    verdicts, _ = stored(wrappers(rows.where("host <> ''"), salts), "wrappers")
     verdicts = verdicts.select("host", "keep")
     if verdicts.count() <= broadcast_hosts:
         joined = rows.join(F.broadcast(verdicts), "host", "left")

@@ -251,3 +251,19 @@ def test_short_and_long_texts_measure_alike(spark):
     by_column = packing.pack(docs(spark, rows).selectExpr("*", "doc_id as mine"), cluster="mine")
     assert {r.doc_id: r.length for r in by_column.collect()} == out
     assert pa.__version__
+
+
+def test_main_text_on_hosts_of_two_templates(spark):
+    long = lambda i: f"Sentence number {i} of an article that goes on for quite a while, as they do."
+    article = lambda i: f"<body><article><p>{long(i)}</p></article><p>{long(i + 50)}</p></body>"
+    content = lambda i: f"<body><div class=content><p>{long(i)}</p></div></body>"
+    plain = lambda i: f"<body><div class=y><p>{long(i)}</p><ul><li>item {i}</li><li>item {i + 1}</li></ul><h2>Head</h2><table><tr><td>{i}</td></tr></table></div><div class=z><a href=/>more</a></div></body>"
+    rows, want = [], {}
+    for k, url in enumerate(["http://two.org/x", None, "odd"]):
+        for i in range(4):
+            for j, (page, text) in enumerate([(article, long(i)), (content, long(i)), (plain, f"{long(i)}\nitem {i}\nitem {i + 1}\nHead\n{i}")]):
+                rows.append((100 * k + 10 * i + j, url, page(i)))
+                want[100 * k + 10 * i + j] = text
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    for hosts in (0, 20_000):
+        assert {r.page_id: r.text for r in html.extract(pages, broadcast_hosts=hosts).collect()} == want
