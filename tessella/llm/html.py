@@ -7,7 +7,8 @@ group, and differing strings become text slots. Pages whose folded expressions a
 salted parts of a host and then across them, so that a host with a third of all pages is not one task's work.
 
 Each slot of a wrapper is judged once for its host: slots under navigation, headers and footers, sidebars, notices, adverts,
-forms, scripts, styles and reader comments are not text; on pages that have slots in an article or main region, what is left of it is; elsewhere
+forms, scripts, styles and reader comments are not text; on pages that have slots in an article or main region, what is left of it is, but for slots that
+the wrapper has on every page with one string, where others vary and three different pages at least show it; elsewhere
 it is the slots whose strings are long, differ between pages and aren't mostly links, and the headings, short paragraphs, lists and tables beside them.
 Pages are then read through their host's wrapper, each in the highest region that it has itself.
 
@@ -37,6 +38,7 @@ NOT_TEXT = frozenset("head nav footer aside form script style noscript template
 MARKS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs topbar masthead footer sidebar rail widget widgets related recommended recommendations share sharing social cookie cookies consent gdpr notice notices alert popup modal overlay subscribe subscription newsletter signup login search comment comments reply replies respond disqus discussion pagination pager contentinfo complementary".split())
 REGION = frozenset("article main".split())
 REGION_MARKS = frozenset("article main content post entry story articlebody".split())
+FEW = 3  # different pages that make an unvarying slot a fixed one
 GROUPS = frozenset("ul ol dl table blockquote pre figure details".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
@@ -185,14 +187,15 @@ def merged(a: list[list], b: list[list]) -> list[list]:
     return folded(out + [maybe(x) for x in a[i:]] + [maybe(x) for x in b[j:]])
 
 
-def slots(expr: list[list], path: str = "", repeated: bool = False) -> Iterator[tuple[str, bool]]:
-    """(path, whether in a repeated group) of every text slot of a wrapper."""
+def slots(expr: list[list], path: str = "", repeated: bool = False, always: bool = True) -> Iterator[tuple[str, bool, bool]]:
+    """(path, whether in a repeated group, whether on every page that has its region) of every text slot of a wrapper."""
     for times, item in expr:
-        again = repeated or times in "+*"
+        again, there = repeated or times in "+*", always and times in "1+"
         if isinstance(item, str):
-            yield path, again
+            yield path, again, there
         else:
-            yield from slots(item[1], f"{path}/{item[0]}", again)
+            below = f"{path}/{item[0]}"
+            yield from slots(item[1], below, again, there or region(below) > region(path))
 
 
 def excluded(path: str) -> bool:
@@ -220,16 +223,18 @@ def region(path: str) -> int:
     return int(any(p[0] not in ("html", "body") and REGION_MARKS & {*p[1:]} for p in parts))
 
 
-def text_slots(wrapper: list[list], stats: dict[str, tuple[int, int, float, bool]]) -> list[list[str]]:
-    """The paths that are main text on pages without a region, with a marked one and with an article or main element; stats: path -> (strings, characters, characters in links, all equal)."""
-    known = {}
-    for path, again in slots(wrapper):
+def text_slots(wrapper: list[list], stats: dict[str, tuple[int, int, float, bool, int]]) -> list[list[str]]:
+    """The paths that are main text on pages without a region, with a marked one and with an article or main element; stats: path -> (strings, characters, characters in links, all equal, different pages, FEW at most)."""
+    known, always = {}, set()
+    for path, again, there in slots(wrapper):
         known[path] = known.get(path, False) or again
+        if there:
+            always.add(path)
     open_ = [p for p in known if p in stats and not excluded(p)]
     ranks = [[p for p in open_ if region(p) == k] for k in range(3)]
 
     def prose(p: str) -> bool:
-        n, chars, linked, _ = stats[p]
+        n, chars, linked, *_ = stats[p]
         return chars >= 40 * n and linked < 0.5 * chars
 
     good = [p for p in ranks[0] if prose(p) and p.rpartition("/")[2].split(".")[0] not in HEADINGS]
@@ -250,6 +255,10 @@ def text_slots(wrapper: list[list], stats: dict[str, tuple[int, int, float, bool
             return False
         return any("/".join(labels[:k]) in homes and (k == len(labels) - 1 or labels[k].split(".")[0] in GROUPS) for k in range(1, len(labels)))
 
+    for k in (1, 2):
+        # what never varies and is never missing or repeated belongs to the template, where enough pages differ elsewhere in the region
+        if any(not stats[p][3] for p in ranks[k]):
+            ranks[k] = [p for p in ranks[k] if not (stats[p][3] and stats[p][4] >= FEW and p in always and not known[p])]
     ranks[0] = good + [p for p in ranks[0] if p not in good and beside(p)]
     return ranks
 
@@ -260,26 +269,28 @@ def short(text: str) -> int:
 
 
 def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, expression, path, strings, chars, linked, least, most): expressions and slot statistics of a batch, each host's folded together."""
+    """(host, expression, path, strings, chars, linked, least, most, seen): expressions and slot statistics of a batch, each host's folded together."""
     for b in batches:
         exprs: set[tuple[str, str]] = set()
         stats: dict[tuple[str, str], list] = {}
         for host, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            page = Page(html)
+            page, digest = Page(html), short(html)
             exprs.add((host, json.dumps(expression(page.tree), separators=(",", ":"))))
             for path, text, linked in page.blocks:
                 h = short(text)
-                s = stats.setdefault((host, path), [0, 0, 0.0, h, h])
+                s = stats.setdefault((host, path), [0, 0, 0.0, h, h, []])
                 s[0] += 1
                 s[1] += len(text)
                 s[2] += linked * len(text)
                 s[3], s[4] = min(s[3], h), max(s[4], h)
-        rows = [(h, e, None, None, None, None, None, None) for h, e in exprs] + [(h, None, p, *s) for (h, p), s in stats.items()]
-        types = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["host", "expr", "path", "strings", "chars", "linked", "least", "most"])
+                if len(s[5]) < FEW and digest not in s[5]:
+                    s[5].append(digest)
+        rows = [(h, e, None, None, None, None, None, None, None) for h, e in exprs] + [(h, None, p, *s) for (h, p), s in stats.items()]
+        types = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["host", "expr", "path", "strings", "chars", "linked", "least", "most", "seen"])
 
 
-STREAMS = "host string, expr string, path string, strings long, chars long, linked double, least long, most long"
+STREAMS = "host string, expr string, path string, strings long, chars long, linked double, least long, most long, seen array<long>"
 
 
 def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -293,7 +304,7 @@ def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
 def _judge(wrappers: pd.DataFrame, stats: pd.DataFrame) -> pd.DataFrame:
     if not len(wrappers):
         return pd.DataFrame({"host": [], "expr": [], "keep": []})
-    known = {r.path: (r.strings, r.chars, r.linked, r.least == r.most) for r in stats.itertuples()}
+    known = {r.path: (r.strings, r.chars, r.linked, r.least == r.most, r.seen) for r in stats.itertuples()}
     keep = [[short(p) for p in ps] for ps in text_slots(json.loads(wrappers["expr"].iloc[0]), known)]
     return pd.DataFrame({"host": [wrappers["host"].iloc[0]], "expr": [wrappers["expr"].iloc[0]], "keep": [keep]})
 
@@ -304,7 +315,7 @@ def wrappers(pages: DataFrame, salts: int = 16) -> DataFrame:
     exprs = found.where("expr is not null").select("host", "expr").distinct()
     parts = exprs.withColumn("salt", F.pmod(F.xxhash64("expr"), F.lit(salts))).groupBy("host", "salt").applyInPandas(_merge, "host string, expr string")
     whole = parts.groupBy("host").applyInPandas(_merge, "host string, expr string")
-    stats = found.where("path is not null").groupBy("host", "path").agg(F.sum("strings").alias("strings"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.min("least").alias("least"), F.max("most").alias("most"))
+    stats = found.where("path is not null").groupBy("host", "path").agg(F.sum("strings").alias("strings"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.min("least").alias("least"), F.max("most").alias("most"), F.size(F.array_distinct(F.flatten(F.collect_list("seen")))).alias("seen"))
     return whole.groupBy("host").cogroup(stats.groupBy("host")).applyInPandas(_judge, "host string, expr string, keep array<array<long>>")
 
 
@@ -315,7 +326,7 @@ def alone(page: Page) -> list[list[int]]:
         x = stats.setdefault(path, [0, 0, 0.0, set()])
         x[0], x[1], x[2] = x[0] + 1, x[1] + len(text), x[2] + linked * len(text)
         x[3].add(text)
-    return [[short(p) for p in ps] for ps in text_slots(expression(page.tree), {p: (n, c, k, len(t) == 1) for p, (n, c, k, t) in stats.items()})]
+    return [[short(p) for p in ps] for ps in text_slots(expression(page.tree), {p: (n, c, k, len(t) == 1, 1) for p, (n, c, k, t) in stats.items()})]
 
 
 def main_text(page: Page, keep: dict[int, int], known: dict[str, int] | None = None) -> str:

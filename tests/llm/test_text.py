@@ -267,3 +267,14 @@ def test_main_text_on_hosts_of_two_templates(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
     for hosts in (0, 20_000):
         assert {r.page_id: r.text for r in html.extract(pages, broadcast_hosts=hosts).collect()} == want
+
+
+def test_fixed_slots_of_a_region_go_by_the_wrapper(spark):
+    page = lambda i, note="Tell your friends about this": f"<body><article><h1>T{i}</h1><div class=x9><p>{note}</p></div><p>prose {i}</p><h4>Same</h4>{'<blockquote>rare</blockquote>' if i % 3 == 0 else ''}</article></body>"
+    rows = [(i, "http://many.org/x", page(i)) for i in range(12)] + [(20 + i, "http://few.org/x", page(i)) for i in range(2)] + [(30 + i, "http://copies.org/x", page(1)) for i in range(5)]
+    rows += [(40 + i, "http://vary.org/x", page(i, f"note {i}")) for i in range(1, 6)]
+    text = lambda i, *notes: "\n".join([f"T{i}", *notes[:1], f"prose {i}", *notes[1:], *(["rare"] if i % 3 == 0 else [])])
+    want = {i: text(i) for i in range(12)} | {20 + i: text(i, "Tell your friends about this", "Same") for i in range(2)}
+    want |= {30 + i: text(1, "Tell your friends about this", "Same") for i in range(5)} | {40 + i: text(i, f"note {i}") for i in range(1, 6)}
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    assert {r.page_id: r.text for r in html.extract(pages).collect()} == want
