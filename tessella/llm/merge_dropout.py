@@ -2,23 +2,24 @@
 
 The vocabulary is a BPE model with byte fallback; its own normaliser is not applied, so that decoding gives the text back byte by
 byte. Encoding keeps an agenda of candidate merges, best score first, leftmost first. A candidate that is taken from it
-is skipped for good if a hash keyed by (seed, variant, stretch, its place in the stretch) falls under `dropout`; later merges may bring its
-characters together in another way. Each document has one of `variants` variants by a hash of seed and doc_id, so one word is cut in
-several ways across a corpus and always in the same way in a rerun, whatever the partitions. With dropout 0 the ids are those
+is skipped for good if a hash keyed by (seed, doc_id, number of the stretch in the text, the candidate's place in the stretch) falls under `dropout`; later
+merges may bring its characters together in another way. So each occurrence of a word is cut by its own draws, and always in the same way in a
+rerun, whatever the partitions. With dropout 0 the ids are those
 of the sentencepiece library under an identity normaliser.
 
 No piece but runs of spaces has a space after its first character, and none has a line break beside another one, so stretches
-between them are encoded by themselves; frequent ones are remembered in each worker.
+between them are encoded by themselves. What each worker remembers of a stretch is work and not choices: the merges that come up
+after the skips so far, and the ids if none of them is skipped.
 
 Defined results: null and empty texts have no ids and decode to an empty text; the character that stands for the space is written as bytes, so it
-survives too; a null doc_id has a variant like any other; repeated rows give equal rows; an empty table gives an empty result; extra columns are ignored.
+survives too; a null doc_id is a key like any other; repeated rows give equal rows; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -28,14 +29,39 @@ from xxhash import xxh64_intdigest
 
 from tessella.llm.common import tune
 
-DROPOUT, VARIANTS, SEED = 0.1, 4, 7
+DROPOUT, SEED = 0.1, 7
 SPACE = "▁"
 _stretch = re.compile(" +[^ \n]*|\n|[^ \n]+")
 WORD = (1 << 64) - 1
+MIX = 0xD6E8FEB86659FD93
+
+
+def drawn(key: int, place: int) -> int:
+    """A 64-bit draw for one candidate of one occurrence."""
+    x = (key ^ place) * MIX & WORD
+    x = (x ^ x >> 32) * MIX & WORD
+    return x ^ x >> 32
+
+
+def drawn_all(keys: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """drawn() of arrays."""
+    with np.errstate(over="ignore"):
+        x = (keys ^ places) * np.uint64(MIX)
+        x = (x ^ x >> np.uint64(32)) * np.uint64(MIX)
+        return x ^ x >> np.uint64(32)
+
+
+class Node:
+    """What comes of a stretch after certain skips: the places of the further candidates, the ids if none is skipped, and the nodes after one more skip."""
+
+    __slots__ = ("ids", "next", "places")
+
+    def __init__(self, places: list[int], ids: bytes):
+        self.places, self.ids, self.next = np.array(places, "<u8").tobytes(), ids, {}
 
 
 class MergeDropout:
-    def __init__(self, path: str, dropout: float = DROPOUT, variants: int = VARIANTS, seed: int = SEED, most: int = 300_000):
+    def __init__(self, path: str, dropout: float = DROPOUT, seed: int = SEED, most: int = 300_000):
         from sentencepiece import SentencePieceProcessor
 
         lib = SentencePieceProcessor(model_file=path)
@@ -49,18 +75,15 @@ class MergeDropout:
             self.raw[i] = bytes([b])
         if any(SPACE in p[1:] and p.strip(SPACE) or "\n" in p and len(p) > 1 for p in self.ids):
             raise ValueError("a piece of this model crosses a space or a line break; stretches can't be encoded by themselves")
-        self.limit, self.variants, self.seed, self.most = int(dropout * 2**64), variants, seed, most
-        self.known: list[dict[str, bytes]] = [{} for _ in range(variants)]
-
-    def variant(self, doc_id: int | None) -> int:
-        return xxh64_intdigest(f"{self.seed}:{doc_id}") % self.variants
+        self.limit, self.seed, self.most = min(int(dropout * 2**64), WORD), seed, most
+        self.known: dict[str, Node] = {}
+        self.nodes = 0
 
-    def pieces(self, stretch: str, variant: int) -> list[int]:
-        """The ids of one stretch."""
+    def pieces(self, stretch: str, skip: Callable[[int], bool]) -> list[int]:
+        """The ids of one stretch; skip is asked for the place of each candidate whose turn comes."""
         text = [SPACE if c == " " else "" if c == SPACE else c for c in stretch]  # the mark itself never merges
         n = len(text)
         symbol, before, after = list(text), list(range(-1, n - 1)), list(range(1, n + 1))
-        key = xxh64_intdigest(stretch, self.seed * 0x9E3779B1 + variant)
         score, agenda = self.score, []
         for i in range(n - 1):
             if (s := score.get(text[i] + text[i + 1])) is not None and text[i] and text[i + 1]:
@@ -70,7 +93,7 @@ class MergeDropout:
             _, i, j, size = heappop(agenda)
             if not symbol[i] or not symbol[j] or after[i] != j or len(symbol[i]) + len(symbol[j]) != size:
                 continue  # one of the two has gone into another merge
-            if self.limit and ((key ^ (i * 0x9E3779B97F4A7C15 + j * 0xC2B2AE3D27D4EB4F + size * 0x165667B19E3779F9)) * 0xD6E8FEB86659FD93 & WORD) * 0xD6E8FEB86659FD93 >> 32 & WORD < self.limit:
+            if skip((i * 0x9E3779B97F4A7C15 + j * 0xC2B2AE3D27D4EB4F + size * 0x165667B19E3779F9) & WORD):
                 continue
             symbol[i] += symbol[j]
             symbol[j] = ""
@@ -91,21 +114,62 @@ class MergeDropout:
             i = after[i]
         return out
 
-    def encode(self, text: str, doc_id: int | None) -> bytes:
+    def node(self, stretch: str, skips: tuple[int, ...]) -> Node:
+        """The node after skipping the candidates of these numbers, in the order of their turns."""
+        seen: list[int] = []
+
+        def skip(place: int) -> bool:
+            seen.append(place)
+            return len(seen) - 1 in skips
+
+        ids = np.array(self.pieces(stretch, skip), "<u4").tobytes()
+        self.nodes += 1
+        return Node(seen[skips[-1] + 1 :] if skips else seen, ids)
+
+    def keyed(self, stretch: str, key: int) -> bytes:
+        """The ids of one occurrence, without the memory."""
+        return np.array(self.pieces(stretch, lambda place: drawn(key, place) < self.limit), "<u4").tobytes()
+
+    def after(self, stretch: str, node: Node, key: int, first: int) -> bytes:
+        """The ids of an occurrence whose first skip is the candidate of that number."""
+        skips = (first,)
+        while True:
+            if (then := node.next.get(skips[-1])) is None:
+                then = node.next[skips[-1]] = self.node(stretch, skips)
+            node = then
+            for k, place in enumerate(memoryview(node.places).cast("Q")):
+                if drawn(key, place) < self.limit:
+                    skips = (*skips, skips[-1] + 1 + k)
+                    break
+            else:
+                return node.ids
+
+    def encode(self, text: str, doc_id: int | None, chunk: int = 20_000) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        v = self.variant(doc_id)
-        known, out = self.known[v], []
-        for s in _stretch.findall(" " + text):
-            ids = known.get(s)
-            if ids is None:
-                ids = np.array(self.pieces(s, v), "<u4").tobytes()
-                if len(s) <= 32:  # longer ones hardly come again
-                    if len(known) * self.variants >= self.most:
-                        known.clear()
-                    known[s] = ids
-            out.append(ids)
+        doc, out = xxh64_intdigest(f"{self.seed}:{doc_id}"), []
+        stretches = _stretch.findall(" " + text)
+        for at in range(0, len(stretches), chunk):
+            part = stretches[at : at + chunk]
+            keys = drawn_all(np.full(len(part), doc, np.uint64), np.arange(at, at + len(part), dtype=np.uint64))
+            if self.nodes >= self.most:
+                self.known, self.nodes = {}, 0
+            known, nodes = self.known, []
+            for s in part:
+                if (n := known.get(s)) is None and len(s) <= 32:  # longer ones hardly come again
+                    n = known[s] = self.node(s, ())
+                nodes.append(n)
+            ids = [n.ids if n is not None else self.keyed(s, int(keys[i])) for i, (s, n) in enumerate(zip(part, nodes, strict=True))]
+            if self.limit:
+                counts = np.array([len(n.places) >> 3 if n is not None else 0 for n in nodes])
+                places = np.frombuffer(b"".join([n.places for n in nodes if n is not None]), "<u8")
+                hit = np.flatnonzero(drawn_all(np.repeat(keys, counts), places) < np.uint64(self.limit))
+                owner, first = np.unique(np.repeat(np.arange(len(part)), counts)[hit], return_index=True)
+                number = hit[first] - (np.cumsum(counts) - counts)[owner]
+                for i, q in zip(owner.tolist(), number.tolist(), strict=True):
+                    ids[i] = self.after(part[i], nodes[i], int(keys[i]), q)
+            out += ids
         return b"".join(out)
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -113,9 +177,9 @@ class MergeDropout:
         return b"".join(map(self.raw.__getitem__, ids.tolist()))[1:]
 
 
-def _encoded(path: str, dropout: float, variants: int, seed: int):
+def _encoded(path: str, dropout: float, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = MergeDropout(path, dropout, variants, seed)
+        coder = MergeDropout(path, dropout, seed)
         for b in batches:
             ids = [np.frombuffer(coder.encode(t or "", d), "<u4").astype(np.int32) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
             at = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
@@ -125,11 +189,11 @@ def _encoded(path: str, dropout: float, variants: int, seed: int):
     return run
 
 
-def encode(docs: DataFrame, model: str, dropout: float = DROPOUT, variants: int = VARIANTS, seed: int = SEED) -> DataFrame:
+def encode(docs: DataFrame, model: str, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
     """(doc_id, ids) of every row; model: the file of a sentencepiece BPE model."""
     tune(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(_encoded(model, dropout, variants, seed), "doc_id long, ids array<int>")
+    return rows.mapInArrow(_encoded(model, dropout, seed), "doc_id long, ids array<int>")
 
 
 def _decoded(path: str):
@@ -147,23 +211,23 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(_decoded(model), "doc_id long, text string")
 
 
-def _digested(path: str, dropout: float, variants: int, seed: int):
+def _digested(path: str, dropout: float, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = MergeDropout(path, dropout, variants, seed)
+        coder = MergeDropout(path, dropout, seed)
         for b in batches:
             out = []
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 raw = coder.encode(t or "", d)
                 back = coder.decode(np.frombuffer(raw, "<u4"))
-                out.append((d, coder.variant(d), len(raw) // 4, zlib.crc32(raw), back == (t or "").encode()))
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], ["doc_id", "variant", "n_tokens", "ids_crc32", "lossless"])
+                out.append((d, len(raw) // 4, zlib.crc32(raw), back == (t or "").encode()))
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], ["doc_id", "n_tokens", "ids_crc32", "lossless"])
 
     return run
 
 
-def digests(docs: DataFrame, model: str, dropout: float = DROPOUT, variants: int = VARIANTS, seed: int = SEED) -> DataFrame:
-    """(doc_id, variant, n_tokens, ids_crc32, lossless): every row encoded, its ids decoded again and compared with the text."""
+def digests(docs: DataFrame, model: str, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
+    """(doc_id, n_tokens, ids_crc32, lossless): every row encoded, its ids decoded again and compared with the text."""
     tune(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(_digested(model, dropout, variants, seed), "doc_id long, variant int, n_tokens long, ids_crc32 long, lossless boolean")
+    return rows.mapInArrow(_digested(model, dropout, seed), "doc_id long, n_tokens long, ids_crc32 long, lossless boolean")

@@ -278,3 +278,15 @@ def test_fixed_slots_of_a_region_go_by_the_wrapper(spark):
     want |= {30 + i: text(1, "Tell your friends about this", "Same") for i in range(5)} | {40 + i: text(i, f"note {i}") for i in range(1, 6)}
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
     assert {r.page_id: r.text for r in html.extract(pages).collect()} == want
+
+
+def test_each_occurrence_has_draws_of_its_own():
+    coder = merge_dropout.MergeDropout(public_tokenizers.path("piece_bpe_32k.model"), 0.1)
+    text = " ".join(["internationalization of everything"] * 300 + ["x" * 40 + "information"])
+    stretches = merge_dropout._stretch.findall(" " + text)
+    for d in (1, None, 2):
+        key = merge_dropout.xxh64_intdigest(f"{coder.seed}:{d}")
+        want = [coder.keyed(s, merge_dropout.drawn(key, k)) for k, s in enumerate(stretches)]
+        assert coder.encode(text, d, chunk=100) == coder.encode(text, d) == b"".join(want)
+        assert len(set(want[0::3])) > 8
+    assert len({coder.encode("internationalization of everything", d) for d in range(200)}) > 8
