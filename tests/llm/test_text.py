@@ -290,3 +290,9 @@ def test_each_occurrence_has_draws_of_its_own():
         assert coder.encode(text, d, chunk=100) == coder.encode(text, d) == b"".join(want)
         assert len(set(want[0::3])) > 8
     assert len({coder.encode("internationalization of everything", d) for d in range(200)}) > 8
+
+
+def test_ids_beyond_16_bits_are_refused():
+    for bad in ([65_536], [-1, 5]):
+        with pytest.raises(ValueError):
+            mixcoder.encode([np.array([1, 2]), np.array(bad)])
