@@ -14,18 +14,22 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def tune(spark: SparkSession, rows: int = 400) -> None:
-    """Bounds the Arrow batches that Python workers get: so many rows and 8 MB at most."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def tune(spark: SparkSession) -> None:
+    """Bounds the Arrow batches that Python workers get, to 2,000 rows and 8 MB.
+
+    Frames are lazy and read this when they run, so every operator sets the same bounds and whichever was called last makes no difference.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where none is set."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else one in the warehouse; a temporary one only for a session within one machine."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="tessella-")
+        one_machine = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
+        found = tempfile.mkdtemp(prefix="tessella-") if one_machine else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tessella"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(found)
     return found.rstrip("/")
@@ -46,9 +50,19 @@ def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    _tables.append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+_tables: list[str] = []  # written by stored() and not removed yet
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes every table that stored() wrote in this process; for callers that have written what they wanted from them."""
+    while _tables:
+        remove(spark, _tables.pop())
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """name, or a longer one that df has no column of."""
     while name.lower() in {c.lower() for c in df.columns}:

@@ -232,7 +232,7 @@ def window_links(dealt: DataFrame, kind: str, window: int, threshold: float) ->
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, passes: int = PASSES, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row; vectors: (vec_id, embedding, label). passes: at least so many."""
     spark = vectors.sparkSession
-    tune(spark, rows=4000)
+    tune(spark)
     element = vectors.schema["embedding"].dataType.elementType
     kind = "<f4" if isinstance(element, T.FloatType) else "<f8"
     source = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast(f"array<{'float' if kind == '<f4' else 'double'}>").alias("embedding"))

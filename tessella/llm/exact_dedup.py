@@ -7,8 +7,8 @@ then screened by the filter of their bucket. What the filter lets through is joi
 bucket by digest and its bytes are compared with those of the stored text.
 
 Defined results: a null text counts as empty; a null doc_id is a document like any other and never wins against an id
-(a group of null ids only has a null keep_id, and one of its rows stays); rows repeated with the same id are copies of each other and all
-of them with the winning id are kept; an empty table gives an empty result; extra columns are ignored.
+(a group of null ids only has a null keep_id); one row of each group stays, so of several rows with the winning id (or of null ids only) just one is
+kept, whichever; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tessella.llm.common import fresh, stored, tune, utf8
+from tessella.llm.common import fresh, lower_az, partitions, stored, tune, utf8
 
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -116,9 +116,10 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def grouped(rows: DataFrame, buckets: int) -> DataFrame:
-    """One row for each digest of a batch: its largest id and its size; partial sums before the shuffle."""
+    """One row for each digest of a batch: its largest id, the row that has it, and its size; partial sums before the shuffle."""
     key = F.xxhash64("text_sha256")
-    groups = rows.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    groups = rows.groupBy("text_sha256").agg(F.max(F.struct("doc_id", "row")).alias("top"), F.count("*").alias("group_size"))
+    groups = groups.select("text_sha256", F.col("top.doc_id").alias("keep_id"), F.col("top.row").alias("keep_row"), "group_size")
     return groups.withColumns({"key": key, "bucket": F.pmod(key, F.lit(buckets)).cast("int")})
 
 
@@ -154,7 +155,7 @@ def screen(batch: DataFrame, filt: DataFrame) -> DataFrame:
 def same_bytes(docs: DataFrame, positives: DataFrame, snapshot: DataFrame, broadcast_rows: int = 250_000) -> DataFrame:
     """Digests that are both in the batch's positives and in the snapshot's exact bucket and whose two texts are equal byte by byte.
 
-    Texts are fetched for the two representatives only. Their ids (about 80 bytes each) are broadcast up to
+    Texts are fetched for the two representatives only, by id and digest. Those (about 80 bytes each) are broadcast up to
     broadcast_rows, else joined by a shuffle.
     """
     hit = positives.join(snapshot.select("text_sha256", F.col("keep_id").alias("old_id")), "text_sha256")
@@ -162,26 +163,21 @@ def same_bytes(docs: DataFrame, positives: DataFrame, snapshot: DataFrame, broad
     ids = hit.select("text_sha256", F.explode(F.array("keep_id", "old_id")).alias("doc_id")).distinct().withColumnRenamed("text_sha256", "digest")
     if hit.count() <= broadcast_rows:
         ids = F.broadcast(ids)
-    raw = docs.select(F.col("doc_id").cast("long"), F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8").alias("raw"))
-    seen = raw.join(ids, raw["doc_id"].eqNullSafe(ids["doc_id"])).select("digest", "raw").mapInArrow(_lowered, "digest string, sha string, raw binary")
-    seen = seen.where("sha = digest").groupBy("digest").agg(F.min("raw").alias("a"), F.max("raw").alias("b"))
+    low = lower_az(F.col("text").cast("string"))
+    raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), low.alias("low")).withColumn("sha", F.sha2("low", 256))
+    seen = raw.join(ids, raw["doc_id"].eqNullSafe(ids["doc_id"]) & (raw["sha"] == ids["digest"]))
+    seen = seen.groupBy("digest").agg(F.min("low").alias("a"), F.max("low").alias("b"))
     return seen.where("a = b").select(F.col("digest").alias("text_sha256"))
 
 
-def _lowered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        raw = [x.lower() for x in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([hashlib.sha256(x).hexdigest() for x in raw], pa.string()), pa.array(raw, pa.binary())], ["digest", "sha", "raw"])
-
-
 def exact_dedup(docs: DataFrame, keys_a_bucket: int = 100_000) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) for every row of docs.
 
-    Half of the rows, by a hash of their id, are the first batch: they become the snapshot. The others are the
+    There are as many buckets as shuffle partitions, and more where a bucket would have over keys_a_bucket keys. Half of the rows, by a hash of their id, are the first batch: they become the snapshot. The others are the
     incoming batch that is screened against it. The result doesn't depend on that cut.
     """
-    rows, _ = stored(digests(docs), "digests")
-    buckets = max(4, math.ceil(rows.count() / keys_a_bucket))
+    rows, _ = stored(digests(docs).withColumn("row", F.monotonically_increasing_id()), "digests")  # numbers are fixed once written
+    buckets = max(partitions(docs.sparkSession), math.ceil(rows.count() / keys_a_bucket))
     early = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
     snapshot, _ = stored(grouped(rows.where(early), buckets), "snapshot")
     batch = grouped(rows.where(~early), buckets)
@@ -191,15 +187,15 @@ def exact_dedup(docs: DataFrame, keys_a_bucket: int = 100_000) -> DataFrame:
     sides = sides.join(both.withColumn("same", F.lit(True)), "text_sha256", "left")
     # Groups met in both batches are one; equal digests of different bytes stay apart.
     side = F.when(F.col("same"), F.lit(None).cast("boolean")).otherwise(F.col("early"))
-    groups = sides.groupBy("text_sha256", side.alias("side")).agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
-    groups = groups.where("group_size > 1")
+    groups = sides.groupBy("text_sha256", side.alias("side")).agg(F.max(F.struct("keep_id", "keep_row")).alias("top"), F.sum("group_size").alias("group_size"))
+    groups = groups.where("group_size > 1").select("text_sha256", "side", "top.keep_id", "top.keep_row", "group_size")
     rows = rows.withColumn("early", early)
     on = (rows["text_sha256"] == groups["text_sha256"]) & (groups["side"].isNull() | (groups["side"] == rows["early"]))
     out = rows.join(groups, on, "left").select(
         rows["doc_id"], F.when(groups["group_size"].isNull(), rows["doc_id"]).otherwise(groups["keep_id"]).alias("keep_id"),
-        F.coalesce(groups["group_size"], F.lit(1)).cast("long").alias("group_size"), rows["text_sha256"],
+        F.coalesce(groups["group_size"], F.lit(1)).cast("long").alias("group_size"), F.coalesce(groups["keep_row"] == rows["row"], F.lit(True)).alias("kept"), rows["text_sha256"],
     )
-    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def _with_digest(name: str):
@@ -214,13 +210,13 @@ def _with_digest(name: str):
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, one for each distinct text; repeated rows with one id count once."""
-    groups, _ = stored(exact_dedup(docs).select("doc_id", "text_sha256", "kept"), "kept")
+    """The rows of docs that stay, one for each distinct text."""
+    groups, _ = stored(exact_dedup(docs).where("not kept").select("doc_id", "text_sha256", "keep_id"), "copies")
     id_, sha, own = fresh(docs, "id"), fresh(docs, "sha"), fresh(docs, "digest")
-    gone = groups.where("not kept").select(F.col("doc_id").alias(id_), F.col("text_sha256").alias(sha)).distinct()
+    winner = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    gone = groups.where(~winner).select(F.col("doc_id").alias(id_), F.col("text_sha256").alias(sha)).distinct()
     schema = T.StructType([*docs.schema.fields, T.StructField(own, T.StringType())])
     rows = docs.mapInArrow(_with_digest(own), schema)
     out = rows.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(sha)), "left_anti")
-    again = groups.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1")
-    out = out if again.isEmpty() else out.dropDuplicates(["doc_id", own])
+    out = out if groups.where(winner).isEmpty() else out.dropDuplicates(["doc_id", own])
     return out.drop(own)

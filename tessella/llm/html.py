@@ -363,7 +363,7 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extract(pages: DataFrame, broadcast_hosts: int = 20_000, salts: int = 16) -> DataFrame:
     """(page_id, url, text, n_chars) of every row. Wrappers' verdicts are broadcast up to broadcast_hosts hosts, else joined with salted hosts."""
-    tune(pages.sparkSession, rows=200)
+    tune(pages.sparkSession)
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), _host, 1))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     verdicts, _ = stored(wrappers(rows.where("host <> ''"), salts), "wrappers")

@@ -1,7 +1,7 @@
 """Conflict-constrained best-fit packing of documents into training sequences of a fixed number of words.
 
 Every document costs its words plus one for its end mark. A document of more than a sequence is cut into whole sequences and a rest.
-Documents are dealt into shards of about `shard_rows` by a hash of their id, so a shard's work is bounded whatever the
+Rows are dealt into shards of about `shard_rows` by a hash of their id and number, so that copies spread too and a shard's work is bounded whatever the
 input; inside a shard, pieces go by falling length into the tightest bin that takes them: bins are
 ordered by what they have left, and the successor search goes on from the first one large enough until one is
 compatible. Each bin carries a bitmap of its sources and one of its duplicate clusters; a piece fits
@@ -106,7 +106,7 @@ def pack(docs: DataFrame, cluster: str | None = None, capacity: int = CAPACITY,
     last = F.greatest(F.lit(0), F.floor((F.col("cost") - 1) / capacity)).cast("int")
     pieces = rows.select("*", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
     start = F.col("piece").cast("long") * capacity
-    pieces = pieces.select("doc_id", "piece", start.alias("start"), F.least(F.lit(capacity).cast("long"), F.col("cost") - start).alias("length"), "source", "cluster", "row", "turn", F.pmod("turn", F.lit(shards)).alias("shard"))
+    pieces = pieces.select("doc_id", "piece", start.alias("start"), F.least(F.lit(capacity).cast("long"), F.col("cost") - start).alias("length"), "source", "cluster", "row", "turn", F.pmod(F.xxhash64("turn", "row"), F.lit(shards)).alias("shard"))
     whole = F.col("length") == capacity  # a piece that fills its bin has nothing to share
     alone = pieces.where(whole).withColumns({"bin": F.lit(-1).cast("long"), "bin_offset": F.lit(0).cast("long")})
 

@@ -3,10 +3,11 @@
 Writing. Each row becomes one WARC/1.1 record with an HTTP response block. Of payloads that are equal and have at
 least `revisit_bytes` bytes, the one with the largest page_id is stored as a response; the others become revisit records that name it and
 keep its headers. The records are strings that end in a blank line, so Spark's own text writer, with that blank line as the line
-separator, puts them on any file system it knows; no payload is shuffled.
+separator, puts them on any file system it knows; no payload is shuffled. Each task gathers its records into files of about `file_bytes`
+bytes (a larger record has a file of its own).
 
-Reading. Files are read whole (their size is bounded when they are written; Spark's limit is 2 GB) and cut into ranges. Tasks emit
-every offset where a record may begin, with the offset where its successor would: the magic, a parsable header and
+Reading. Files are read whole (Spark's limit is 2 GB). Tasks emit
+every offset where a record may begin, with the offset where its successor would: the magic, a parsable header of any length and
 a Content-Length. Magic inside a payload makes such a candidate too, so candidates prove nothing by themselves. Within each file, pointer
 jumping from offset zero, doubling the stride each step, retains those on the chain; an archive whose chain
 doesn't end at its last byte is reported as damaged. Only the retained records are parsed.
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tessella.llm.common import new_path, stored, tune
 
 MAGIC = b"WARC/1.1\r\n"
-REVISIT_BYTES, RANGE = 1000, 1 << 20
+REVISIT_BYTES, FILE_BYTES = 1000, 32 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 EPOCH = "2024-01-01T00:00:00Z"
 
@@ -72,15 +73,35 @@ def records(rows: DataFrame) -> DataFrame:
     return rows.select(head.alias("value"))
 
 
-def write(pages: DataFrame, path: str, revisit_bytes: int = REVISIT_BYTES, records_a_file: int = 4096) -> None:
-    """Archives of at most so many records under path."""
-    out = records(with_types(pages, revisit_bytes))
-    out.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_a_file).option("compression", "none").text(path)
+BREAK = "\r\n\r\n"
+
+
+def _gathered(file_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Records joined by blank lines, to about file_bytes bytes a row."""
+        held, size = [], 0
+        for b in batches:
+            for record in b.column(0).to_pylist():
+                held.append(record)
+                size += len(record.encode())
+                if size >= file_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array([BREAK.join(held)], pa.string())], ["value"])
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([BREAK.join(held)], pa.string())], ["value"])
+
+    return run
+
+
+def write(pages: DataFrame, path: str, revisit_bytes: int = REVISIT_BYTES, file_bytes: int = FILE_BYTES) -> None:
+    """Archives of about so many bytes under path."""
+    tune(pages.sparkSession)
+    out = records(with_types(pages, revisit_bytes)).mapInArrow(_gathered(file_bytes), "value string")
+    out.write.option("lineSep", BREAK).option("maxRecordsPerFile", 1).option("compression", "none").text(path)
 
 
 _head = re.compile(rb"WARC/1\.[01]\r\n((?:[^\r\n]+\r\n)*)\r\n")
 _length = re.compile(rb"(?:^|\n)content-length:[ \t]*(\d+)[ \t]*\r", re.IGNORECASE)
-HEAD_BYTES = 1 << 16  # a header may run so far beyond its range
 
 
 def candidate(buffer: bytes, at: int) -> tuple[int, int] | None:
@@ -91,16 +112,16 @@ def candidate(buffer: bytes, at: int) -> tuple[int, int] | None:
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(path, size, at, next) of every candidate that begins in a range."""
+    """(path, size, at, next) of every candidate of a file."""
     for b in batches:
-        out = []
-        for path, size, start, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for path, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            out = []
             at = raw.find(b"WARC/1.")
-            while 0 <= at < RANGE:
+            while at >= 0:
                 if found := candidate(raw, at):
-                    out.append((path, size, start + at, start + at + sum(found) + 4))
+                    out.append((path, len(raw), at, at + sum(found) + 4))
                 at = raw.find(b"WARC/1.", at + 1)
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["path", "size", "at", "next"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["path", "size", "at", "next"])
 
 
 def chain(at: np.ndarray, succ: np.ndarray, size: int) -> tuple[np.ndarray, bool]:
@@ -129,10 +150,7 @@ def _retained(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def boundaries(files: DataFrame) -> DataFrame:
     """(path, at, next, whole) of the true records of binary files; a file's candidates are bounded by its size."""
-    cut = F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.col("length") - 1), F.lit(RANGE).cast("long"))
-    ranges = files.select("path", "length", F.explode(cut).alias("start"), "content")
-    ranges = ranges.select("path", "length", "start", F.expr(f"substring(content, cast(start + 1 as int), {RANGE + HEAD_BYTES})").alias("raw"))
-    found = ranges.mapInArrow(_candidates, "path string, size long, at long, next long")
+    found = files.select("path", "content").mapInArrow(_candidates, "path string, size long, at long, next long")
     return found.groupBy("path").applyInPandas(_retained, "path string, at long, next long, whole boolean")
 
 
@@ -190,7 +208,7 @@ def read(spark: SparkSession, path: str, broadcast_records: int = 2_000_000, mos
     else:
         lists = lists.withColumn("group", F.pmod(F.xxhash64("path"), F.lit(groups)))
         names: dict[int, list[str]] = {}
-        for r in lists.select("group", "path").collect():  # one row a file
+        for r in lists.select("group", "path").collect():  # one row a file, of at most most_groups * broadcast_records records in all
             names.setdefault(r["group"], []).append(r["path"])
         parts = [joined(opened(*names[g]), F.broadcast(lists.where(F.col("group") == g))) for g in sorted(names)]
         content = parts[0] if parts else joined(files, lists)

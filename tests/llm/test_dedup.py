@@ -27,12 +27,16 @@ def test_exact_groups(spark):
     assert sum(map(len, out.values())) == len(ODD)
     assert (out[1][0].keep_id, out[2][0].keep_id, out[1][0].group_size) == (2, 2, 2)
     assert {r.keep_id for i in (3, 4) for r in out[i]} == {4} and out[3][0].group_size == 4
-    assert [r.kept for r in out[4]] == [True, True] and not out[3][0].kept
+    assert sorted(r.kept for r in out[4]) == [False, True] and not out[3][0].kept
     assert out[5][0].kept and out[6][0].kept and out[9][0].kept
     assert out[7][0].keep_id == 8
     assert {(r.keep_id, r.kept) for r in out[None]} == {(4, False), (None, True)}
     assert exact_dedup.exact_dedup(docs(spark, [])).count() == 0
     assert exact_dedup.drop_copies(docs(spark, ODD)).count() == 7
+    nulls = docs(spark, [(None, t) for t in ("a", "A", None)] * 400 + [(7, f"t{i}") for i in range(300)] * 2)
+    got = exact_dedup.exact_dedup(nulls)
+    assert Counter((r.group_size, r.keep_id, r.kept) for r in got.collect()) == {(800, None, True): 1, (800, None, False): 799, (400, None, True): 1, (400, None, False): 399, (2, 7, True): 300, (2, 7, False): 300}
+    assert Counter((r.text or "").lower() for r in exact_dedup.drop_copies(nulls).collect()) == Counter({"a": 1, "": 1} | {f"t{i}": 1 for i in range(300)})
 
 
 def test_exact_groups_against_brute_force(spark):

@@ -84,6 +84,12 @@ def test_archives(spark):
         want[(i, len(raw), hashlib.sha1(raw).hexdigest(), "revisit" if again else "response", 3 if again else None)] += 1
     assert got == want
     assert warc.archive(spark, pages.limit(0)).count() == 0
+    long = spark.createDataFrame([(i, "u" * 200_000 if i % 2 else "http://h/" + NASTY * 900, "p" * 1_100_000 if i == 4 else f"text {i} {NASTY}" * 40) for i in range(12)], "page_id long, url string, html string").repartition(2)
+    warc.write(long, path := new_path(spark, "long"), file_bytes=1_000_000)
+    back = {r.page_id: r for r in warc.read(spark, path).collect()}
+    assert all(back[r.page_id].payload.decode() == r.html and back[r.page_id].url == r.url.replace("\r\n", "").replace(" ", "") for r in long.collect()) and len(back) == 12
+    files = spark.read.format("binaryFile").load(path).select("length").collect()
+    assert len(files) > 2 and max(r.length for r in files) < 2_500_000
     warc.write(pages, path := new_path(spark, "test"))
     whole = Counter(map(tuple, warc.read(spark, path).collect()))
     assert len(whole) == 9 and {r[2]: r[6] for r in whole if r[6]}[len(NASTY)].decode() == NASTY
@@ -187,8 +193,7 @@ def test_token_files(spark):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     lib = Tokenizer.from_file(path)
-    lib.encode_special_tokens = True
-    rows = [(5, "Hello  world \n x"), (1, None), (2, ""), (3, "a b\nc d <|endoftext|> don't"), (3, "a b"), (None, "null id"), (9, "word " * 5000), (7, "  x \t y\n"), (8, "日本 é ")]
+    rows = [(5, "Hello  world \n x"), (1, None), (2, ""), (3, "a b\nc d <|endoftext|> don't"), (4, "x<|endoftext|>y <|endoftext|>\n<|endoftext|>"), (3, "a b"), (None, "null id"), (9, "word " * 5000), (7, "  x \t y\n"), (8, "日本 é ")]
     got = [tuple(r) for r in token_files.token_files(strange(docs(spark, rows)), path).orderBy("start").collect()]
     want, start = [], 0
     for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
