@@ -8,15 +8,16 @@ that are still in different components are compared too, so no colliding pair is
 larger ones by an exact prefix-filtered join inside the task that holds the bucket, which never makes rows of its pairs. Links need an exact Jaccard similarity
 of the shingle sets of `threshold` or more. In each component the occurrence with the smallest (doc_id, position) stays; the others are removed.
 
-What the lines leave is then searched for passages of PASSAGE words or more that stand verbatim (A-Z lowered, any white space) in longer lines or across lines.
-Every run of PASSAGE words holds a GRAM-word shingle that is the least of its neighbours, whatever surrounds the run; such anchors are
-counted over the corpus, and around those that occur twice every window of PASSAGE words is grouped by its words. Of each window the
-occurrence with the smallest (doc_id, text digest, position) stays; the words of the others go, except those that the staying one has itself.
-Embedded passages with edits fewer than PASSAGE words apart are not found.
+A passage need not be a line: what the lines leave is dealt again as paragraphs that begin at every word and have PASSAGE words (A-Z lowered, any white space,
+line breaks ignored). Their MinHash is the least of their GRAM-word shingles, one band of one row: equal paragraphs are bound to share it whatever stands around them
+(recall 1), and neighbouring ones mostly have the same, so a text has few such anchors. Around anchors that
+occur twice in the corpus every paragraph is verified by its words. Of each the
+occurrence with the smallest (doc_id, text hash, position) stays; the words of the others go, except those that the staying one has itself.
+Passages within other text whose edits are fewer than PASSAGE words apart are not found; lines are found up to the Jaccard threshold.
 
 Defined results: null and empty texts have no paragraphs and stay as they are; rows with a null doc_id are left
-alone and compared with nothing; rows repeated under one doc_id count as one document; a document may lose all its text and then stays with an empty
-one; an empty table gives an empty result; extra columns are carried by `drop_passages` and ignored by `passages`.
+alone and compared with nothing; rows with one doc_id and one text count once, those with other texts are documents of their own; a document may lose all its text and then stays with an empty
+one; a text is read in pieces cut at line breaks, so what must fit into a worker's memory is a line, at about 40 bytes a byte of it; an empty table gives an empty result; extra columns are carried by `drop_passages` and ignored by `passages`.
 """
 
 from __future__ import annotations
@@ -28,10 +29,10 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from xxhash import xxh3_128_digest
 
-from tessella.llm.common import components, find, fresh, partitions, stored, tune, unite, utf8
+from tessella.llm.common import components, find, fresh, partitions, remove, stored, tune, unite, utf8
 from tessella.llm.toxicity import powers
 
 SHINGLE, MIN_WORDS, THRESHOLD = 5, 20, 0.8
@@ -149,26 +150,31 @@ class Lines:
 def _paragraphs(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            for block in line_blocks(b.column(1)):
+            ids, tags = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for block in line_blocks(b.column(2)):
                 lines = Lines(*block, min_words)
                 if not len(lines.row):
                     continue
                 bands = lines.bands().astype("<i8").tobytes()
                 step = 8 * BANDS
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[lines.row], pa.int64()), pa.array(lines.pos, pa.int32()), pa.array(lines.keys(), pa.binary()), pa.array([bands[i * step : (i + 1) * step] for i in range(len(lines.row))], pa.binary()), pa.array(lines.distinct(), pa.int32())],
-                    ["doc_id", "pos", "key", "bands", "size"],
+                    [pa.array(ids[lines.row], pa.int64()), pa.array(tags[lines.row], pa.int64()), pa.array(lines.pos, pa.int32()), pa.array(lines.keys(), pa.binary()), pa.array([bands[i * step : (i + 1) * step] for i in range(len(lines.row))], pa.binary()), pa.array(lines.distinct(), pa.int32())],
+                    ["doc_id", "tag", "pos", "key", "bands", "size"],
                 )
 
     return run
 
 
 def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, pos, key, bands, size) of every long line of every row with an id."""
+    """(doc_id, tag, pos, key, bands, size) of every long line of every row with an id; tag is a hash of the row's text."""
     tune(docs.sparkSession)
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(_paragraphs(min_words), "doc_id long, pos int, key binary, bands binary, size int")
+    return tagged(docs).mapInArrow(_paragraphs(min_words), "doc_id long, tag long, pos int, key binary, bands binary, size int")
+
+
+def tagged(docs: DataFrame) -> DataFrame:
+    """(doc_id, tag, text) of the rows with an id."""
+    text = F.col("text").cast("string")
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text"))
 
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,18 +335,20 @@ def _verified(threshold: float):
     return run
 
 
-def shingle_sets(ids: DataFrame, homes: DataFrame, docs: DataFrame, min_words: int, broadcast_rows: int = 300_000) -> DataFrame:
-    """(id, shingles) of the wanted ids. homes: (id, doc_id, pos).
+def shingle_sets(ids: DataFrame, homes: DataFrame, docs: DataFrame, min_words: int, broadcast_rows: int = 300_000) -> tuple[DataFrame, str]:
+    """(id, shingles) of the wanted ids, as a table and its path. homes: (id, doc_id, tag, pos).
 
     The wanted lines are fetched from their documents. Their places (about 30 bytes each) are broadcast up to
     broadcast_rows, else joined by a shuffle.
     """
-    want = homes.join(ids, "id").groupBy("doc_id").agg(F.collect_list(F.struct("pos", "id")).alias("l")).select("doc_id", "l.pos", "l.id")
-    want, _ = stored(want, "wanted")
+    want = homes.join(ids, "id").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("pos", "id")).alias("l")).select("doc_id", "tag", "l.pos", "l.id")
+    want, path = stored(want, "wanted")
     if want.select(F.coalesce(F.sum(F.size("id")), F.lit(0))).first()[0] <= broadcast_rows:
         want = F.broadcast(want)
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(want, "doc_id")
-    return stored(rows.select("text", "pos", "id").mapInArrow(_sets(min_words), "id long, shingles binary").dropDuplicates(["id"]), "sets")[0]
+    rows = tagged(docs).join(want, ["doc_id", "tag"])
+    out = stored(rows.select("text", "pos", "id").mapInArrow(_sets(min_words), "id long, shingles binary").dropDuplicates(["id"]), "sets")
+    remove(docs.sparkSession, path)
+    return out
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -350,39 +358,47 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def passages(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, pos, stays, home_doc, home_pos) of every long line that occurs more than once, near copies included."""
+    """(doc_id, tag, pos, stays, home_doc, home_pos) of every long line that occurs more than once, near copies included."""
     spark = docs.sparkSession
     rows, _ = stored(paragraphs(docs, min_words), "paragraphs")
-    reps = rows.groupBy("key").agg(F.min(F.struct("doc_id", "pos")).alias("home"), F.first("bands").alias("bands"), F.first("size").alias("size"), F.count("*").alias("copies"))
-    reps, _ = stored(reps.select(F.monotonically_increasing_id().alias("id"), "key", "home.doc_id", "home.pos", "bands", "copies", "size"), "distinct")
-    homes = reps.select("id", "doc_id", "pos")
+    here = ["doc_id", "tag", "pos"]
+    reps = rows.groupBy("key").agg(F.min(F.struct(*here)).alias("home"), F.first("bands").alias("bands"), F.first("size").alias("size"), F.count("*").alias("copies"))
+    reps, _ = stored(reps.select(F.monotonically_increasing_id().alias("id"), "key", "home.*", "bands", "copies", "size"), "distinct")
+    homes = reps.select("id", *here)
     dealt = reps.select("id", "bands", "copies", "size").mapInArrow(_spread, "band int, hash long, id long, copies long, size int")
 
     def buckets(rows: DataFrame, *more: str) -> DataFrame:
         return rows.repartition(partitions(spark), "band", "hash").sortWithinPartitions("band", "hash").select("band", "hash", "id", *more)
 
-    def pairs(step) -> DataFrame:
-        return stored(buckets(named, "copies", "size", "root").mapInArrow(_scan(step, threshold), "a long, b long").distinct(), "pairs")[0]
+    def pairs(step) -> tuple[DataFrame, str]:
+        return stored(buckets(named, "copies", "size", "root").mapInArrow(_scan(step, threshold), "a long, b long").distinct(), "pairs")
 
     ends = F.explode(F.array("a", "b")).alias("id")
-    dealt, _ = stored(buckets(dealt, "copies", "size").mapInArrow(_shared, dealt.schema), "shared")
+    dealt, shared = stored(buckets(dealt, "copies", "size").mapInArrow(_shared, dealt.schema), "shared")
     named = dealt.withColumn("root", F.col("id"))
-    stars = pairs(_star)
-    links, _ = stored(verified(stars, shingle_sets(stars.select(ends).distinct(), homes, docs, min_words), threshold), "links")
+    stars, done = pairs(_star)
+    sets, more = shingle_sets(stars.select(ends).distinct(), homes, docs, min_words)
+    links, starred = stored(verified(stars, sets, threshold), "links")
+    for path in (done, more):
+        remove(spark, path)
 
     named = dealt.join(components(links).withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    few = pairs(_across)
-    mixed, _ = stored(buckets(named, "copies", "size", "root").mapInArrow(_mixed, "band int, hash long, id long, root long"), "mixed")
-    sets = shingle_sets(few.select(ends).unionAll(mixed.select("id")).distinct(), homes, docs, min_words)
+    few, done = pairs(_across)
+    mixed, larger = stored(buckets(named, "copies", "size", "root").mapInArrow(_mixed, "band int, hash long, id long, root long"), "mixed")
+    remove(spark, shared)
+    sets, more = shingle_sets(few.select(ends).unionAll(mixed.select("id")).distinct(), homes, docs, min_words)
     many = buckets(mixed.join(sets, "id"), "root", "shingles").mapInArrow(_joined(threshold), "a long, b long")
-    roots = components(stored(links.unionAll(verified(few, sets, threshold)).unionAll(many), "links")[0])
-    named = reps.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "doc_id", "pos", F.coalesce("root", "id").alias("root"))
-    first = named.groupBy("root").agg(F.min(F.struct("doc_id", "pos")).alias("home"), F.count("*").alias("n"))
+    links, all_ = stored(links.unionAll(verified(few, sets, threshold)).unionAll(many), "links")
+    roots = components(links)
+    for path in (done, larger, more, starred, all_):
+        remove(spark, path)
+    named = reps.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", *here, F.coalesce("root", "id").alias("root"))
+    first = named.groupBy("root").agg(F.min(F.struct(*here)).alias("home"), F.count("*").alias("n"))
     named = named.select("key", "root").join(first, "root").select("key", "home", "n")
-    counts = rows.select("key", "doc_id", "pos").distinct().groupBy("key").agg(F.count("*").alias("copies"))
+    counts = rows.select("key", *here).distinct().groupBy("key").agg(F.count("*").alias("copies"))
     named = named.join(counts, "key").where("n > 1 or copies > 1").select("key", "home")
-    here = F.struct("doc_id", "pos")
-    return rows.select("key", "doc_id", "pos").distinct().join(named, "key").select("doc_id", "pos", (here == F.col("home")).alias("stays"), F.col("home.doc_id").alias("home_doc"), F.col("home.pos").alias("home_pos"))
+    stays = F.struct(*here) == F.col("home")
+    return rows.select("key", *here).distinct().join(named, "key").select(*here, stays.alias("stays"), F.col("home.doc_id").alias("home_doc"), F.col("home.pos").alias("home_pos"))
 
 
 def _without(text, gone):
@@ -391,10 +407,10 @@ def _without(text, gone):
 
 
 def removals(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, n_repeated, removed, home_docs): positions of the lines that go and the documents where they stay."""
+    """(doc_id, tag, n_repeated, removed, home_docs): positions of the lines that go and the documents where they stay."""
     found = passages(docs, min_words, threshold)
     gone = F.when(~F.col("stays"), F.col("pos"))
-    return found.groupBy("doc_id").agg(F.count("*").alias("n_repeated"), F.array_sort(F.collect_list(gone)).alias("removed"), F.array_sort(F.collect_set(F.when(~F.col("stays"), F.col("home_doc")))).alias("home_docs"))
+    return found.groupBy("doc_id", "tag").agg(F.count("*").alias("n_repeated"), F.array_sort(F.collect_list(gone)).alias("removed"), F.array_sort(F.collect_set(F.when(~F.col("stays"), F.col("home_doc")))).alias("home_docs"))
 
 
 def _sliding(x: np.ndarray, width: int, least: bool) -> np.ndarray:
@@ -520,10 +536,12 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def embedded(rows: DataFrame, broadcast_rows: int = 300_000) -> DataFrame:
-    """(doc_id, tag, at, len, n_cut, cut_homes) of the texts that lose embedded passages. rows: (doc_id, tag, text), a stored table; equal (doc_id, tag) are one text.
+    """(doc_id, tag, n_shared, at, len, n_cut, cut_homes) of the texts that hold embedded passages which occur elsewhere too; at is null where nothing is cut.
 
+    rows: (doc_id, tag, text), a stored table; equal (doc_id, tag) are one text. n_shared counts the passages, those that stay included.
     Places (20 to 30 bytes each) are broadcast up to broadcast_rows, else joined by a shuffle.
     """
+    spark = rows.sparkSession
     who = ["doc_id", "tag"]
 
     def sided(df: DataFrame, name: str, size: str) -> DataFrame:
@@ -531,20 +549,24 @@ def embedded(rows: DataFrame, broadcast_rows: int = 300_000) -> DataFrame:
         return F.broadcast(df) if df.select(F.coalesce(F.sum(F.size(size)), F.lit(0))).first()[0] <= broadcast_rows else df
 
     rows = rows.where("doc_id is not null and text is not null")
-    found, _ = stored(rows.select(*who, "text").mapInArrow(_anchored, "doc_id long, tag long, pos int, hash long"), "anchors")
+    found, anchored = stored(rows.select(*who, "text").mapInArrow(_anchored, "doc_id long, tag long, pos int, hash long"), "anchors")
     place = F.xxhash64("doc_id", "tag", "pos")
     twice = found.groupBy("hash").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a < b").select("hash")
     want = sided(found.join(twice, "hash").groupBy(*who).agg(F.collect_set("pos").alias("found")), "wanted", "found")
+    remove(spark, anchored)
     windows = rows.join(want, who).select(*who, "text", "found").mapInArrow(_windowed, "key binary, doc_id long, tag long, pos int")
-    windows, _ = stored(windows.distinct(), "windows")
+    windows, opened = stored(windows.distinct(), "windows")
     here = F.struct("doc_id", "tag", "pos")
     homes = windows.groupBy("key").agg(F.min(here).alias("home"), F.count("*").alias("n")).where("n > 1").select("key", "home")
-    again = windows.join(homes, "key").where(here != F.col("home"))
+    before = F.lag("pos").over(Window.partitionBy(*who).orderBy("pos"))
+    again = windows.join(homes, "key").select(*who, "pos", "home", (F.coalesce(F.col("pos") - before, F.lit(2)) > 1).cast("long").alias("first"))
     own = F.when((F.col("home.doc_id") == F.col("doc_id")) & (F.col("home.tag") == F.col("tag")), F.col("home.pos"))
-    gone = again.groupBy(*who).agg(F.collect_list(F.struct("pos", own.alias("own"))).alias("w"), F.array_sort(F.collect_set("home.doc_id")).alias("cut_homes"))
-    gone = sided(gone.select(*who, "w.pos", "w.own", "cut_homes"), "gone", "pos")
-    pieces = rows.join(gone, who).select(*who, "text", "pos", "own", "cut_homes").mapInArrow(_pieces, "doc_id long, tag long, at array<int>, len array<int>, n_cut long, cut_homes array<long>")
-    return sided(pieces.dropDuplicates(who), "pieces", "at")
+    goes = here != F.col("home")
+    gone = again.groupBy(*who).agg(F.sum("first").alias("n_shared"), F.collect_list(F.when(goes, F.struct("pos", own.alias("own")))).alias("w"), F.array_sort(F.collect_set(F.when(goes, F.col("home.doc_id")))).alias("cut_homes"))
+    gone = sided(gone.select(*who, "n_shared", "w.pos", "w.own", "cut_homes"), "gone", "pos")
+    remove(spark, opened)
+    pieces = rows.join(gone.where(F.size("pos") > 0), who).select(*who, "text", "pos", "own", "cut_homes").mapInArrow(_pieces, "doc_id long, tag long, at array<int>, len array<int>, n_cut long, cut_homes array<long>")
+    return gone.select(*who, "n_shared").join(sided(pieces.dropDuplicates(who), "pieces", "at"), who, "left")
 
 
 def _kept(text, at, len_):
@@ -553,29 +575,35 @@ def _kept(text, at, len_):
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_repeated, n_removed, removed, home_docs, text, n_cut): every row of docs with its text after removal; n_cut: words of embedded passages."""
-    cut = removals(docs).withColumnRenamed("doc_id", "_id")
+    """(doc_id, n_repeated, n_removed, removed, home_docs, text, n_cut): every row of docs with its text after removal.
+
+    n_repeated: paragraphs of the row, lines and embedded ones, that occur elsewhere as well, whether they stay here or not; n_removed, removed: lines that go, by
+    number; n_cut: words of embedded passages that go; home_docs: where the removed ones stay.
+    """
+    who = ["doc_id", "tag"]
     text = F.col("text").cast("string")
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).join(cut, F.col("doc_id") == F.col("_id"), "left")
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text")).join(removals(docs), who, "left")
     none = F.array().cast("array<int>")
     out = out.select(
         "doc_id", F.coalesce("n_repeated", F.lit(0)).cast("long").alias("n_repeated"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("removed", none).alias("removed"), F.coalesce("home_docs", F.array().cast("array<bigint>")).alias("home_docs"), _without(F.col("text"), F.col("removed")).alias("text"),
     )
     out, _ = stored(out.withColumn("tag", F.xxhash64("text")), "lines-left")
-    out = out.join(embedded(out), ["doc_id", "tag"], "left")
+    out = out.join(embedded(out), who, "left")
     homes = F.when(F.col("cut_homes").isNull(), F.col("home_docs")).otherwise(F.array_sort(F.array_union("home_docs", "cut_homes")))
-    return out.select("doc_id", "n_repeated", "n_removed", "removed", homes.alias("home_docs"), _kept(F.col("text"), F.col("at"), F.col("len")).alias("text"), F.coalesce("n_cut", F.lit(0)).cast("long").alias("n_cut"))
+    n_repeated = F.col("n_repeated") + F.coalesce("n_shared", F.lit(0))
+    return out.select("doc_id", n_repeated.alias("n_repeated"), "n_removed", "removed", homes.alias("home_docs"), _kept(F.col("text"), F.col("at"), F.col("len")).alias("text"), F.coalesce("n_cut", F.lit(0)).cast("long").alias("n_cut"))
 
 
 def drop_passages(docs: DataFrame) -> DataFrame:
     """docs with the repeated passages taken out of text, and n_chars (where it exists) following it."""
     id_, gone, cut_, tag, at, len_ = (fresh(docs, c) for c in ("cut_id", "cut", "was_cut", "cut_tag", "cut_at", "cut_len"))
-    cut = removals(docs).where(F.size("removed") > 0).select(F.col("doc_id").alias(id_), F.col("removed").alias(gone))
-    out = docs.join(cut, F.col("doc_id").cast("long") == F.col(id_), "left")
-    text = _without(F.col("text").cast("string"), F.col(gone))
+    text = F.col("text").cast("string")
+    cut = removals(docs).where(F.size("removed") > 0).select(F.col("doc_id").alias(id_), F.col("tag").alias(tag), F.col("removed").alias(gone))
+    out = docs.join(cut, (F.col("doc_id").cast("long") == F.col(id_)) & (F.xxhash64(text) == F.col(tag)), "left").drop(tag)
+    text = _without(text, F.col(gone))
     out, _ = stored(out.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns], F.col(id_).isNotNull().alias(cut_), F.xxhash64(text).alias(tag)), "lines-left")
-    more = embedded(out.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(tag).alias("tag"), "text"))
+    more = embedded(out.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(tag).alias("tag"), "text")).where("at is not null")
     more = more.select(F.col("doc_id").alias(id_), F.col("tag").alias(f"{tag}_"), F.col("at").alias(at), F.col("len").alias(len_))
     out = out.join(more, (F.col("doc_id").cast("long") == F.col(id_)) & (F.col(tag) == F.col(f"{tag}_")), "left")
     left = fresh(docs, "text_left")

@@ -201,6 +201,7 @@ def test_passages_inside_longer_lines(spark):
     want = dict(rows) | {2: f"top\n{c} É {a[:90]}\nend", 3: "head\n\ntail", 6: "x " * 51}
     assert {i: r.text for i, r in got.items()} == want
     assert {i: r.n_cut for i, r in got.items() if r.n_cut} == {2: 53, 3: 53, 6: 349} and got[2].home_docs == [1]
+    assert {i: r.n_repeated for i, r in got.items() if r.n_repeated} == {1: 1, 2: 1, 3: 1, 6: 1}
     kept = substring.drop_passages(strange(docs(spark, rows))).collect()
     assert {r.doc_id: r.text for r in kept} == want and all(r.n_chars == len(r.text or "") for r in kept)
 
@@ -257,3 +258,12 @@ def test_lone_pairs_are_found_in_a_label_of_100_000(spark):
     found = sum(got.get(n - pairs + i) == i for i in range(pairs))
     print(f"recall {found / pairs:.4f} of {pairs} pairs")
     assert found >= 0.995 * pairs
+
+
+def test_rows_of_one_id_and_other_texts_lose_only_their_own(spark):
+    rng = random.Random(43)
+    a, b, c = (_lines(rng, 30) for _ in range(3))
+    rows = [(1, a), (5, f"{a}\n{b}"), (5, f"{c}\nkept"), (5, f"{c}\nkept")]
+    got = Counter((r.doc_id, r.text) for r in substring.substring_dedup(docs(spark, rows)).collect())
+    assert got == {(1, a): 1, (5, b): 1, (5, f"{c}\nkept"): 2}
+    assert Counter((r.doc_id, r.text) for r in substring.drop_passages(docs(spark, rows)).collect()) == got
