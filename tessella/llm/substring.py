@@ -29,7 +29,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 from xxhash import xxh3_128_digest
 
 from tessella.llm.common import components, find, fresh, partitions, remove, stored, tune, unite, utf8
@@ -147,7 +147,10 @@ class Lines:
         return out.view(np.int64)
 
 
-def _paragraphs(min_words: int):
+PARAGRAPH = "doc_id long, tag long, pos int, key binary"
+
+
+def _paragraphs(min_words: int, banded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, tags = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
@@ -155,20 +158,21 @@ def _paragraphs(min_words: int):
                 lines = Lines(*block, min_words)
                 if not len(lines.row):
                     continue
-                bands = lines.bands().astype("<i8").tobytes()
-                step = 8 * BANDS
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[lines.row], pa.int64()), pa.array(tags[lines.row], pa.int64()), pa.array(lines.pos, pa.int32()), pa.array(lines.keys(), pa.binary()), pa.array([bands[i * step : (i + 1) * step] for i in range(len(lines.row))], pa.binary()), pa.array(lines.distinct(), pa.int32())],
-                    ["doc_id", "tag", "pos", "key", "bands", "size"],
-                )
+                columns = [pa.array(ids[lines.row], pa.int64()), pa.array(tags[lines.row], pa.int64()), pa.array(lines.pos, pa.int32()), pa.array(lines.keys(), pa.binary())]
+                names = ["doc_id", "tag", "pos", "key"]
+                if banded:
+                    bands, step = lines.bands().astype("<i8").tobytes(), 8 * BANDS
+                    columns += [pa.array([bands[i * step : (i + 1) * step] for i in range(len(lines.row))], pa.binary()), pa.array(lines.distinct(), pa.int32())]
+                    names += ["bands", "size"]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
 
-def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, tag, pos, key, bands, size) of every long line of every row with an id; tag is a hash of the row's text."""
+def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, banded: bool = False) -> DataFrame:
+    """(doc_id, tag, pos, key) of every long line of every row with an id, and its band hashes and number of shingles if banded; tag is a hash of the row's text."""
     tune(docs.sparkSession)
-    return tagged(docs).mapInArrow(_paragraphs(min_words), "doc_id long, tag long, pos int, key binary, bands binary, size int")
+    return tagged(docs).mapInArrow(_paragraphs(min_words, banded), PARAGRAPH + ", bands binary, size int" * banded)
 
 
 def tagged(docs: DataFrame) -> DataFrame:
@@ -178,29 +182,28 @@ def tagged(docs: DataFrame) -> DataFrame:
 
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(band, hash, id, copies, size) of each band of each paragraph."""
+    """(hash, id) of each band of each paragraph; the hash takes in the band's number."""
     for b in batches:
-        bands = np.frombuffer(b"".join(b.column(1).to_pylist()), "<i8").reshape(-1, BANDS)
-        n = b.num_rows
-        rest = [pa.array(np.repeat(b.column(k).to_numpy(), BANDS)) for k in (0, 2, 3)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(BANDS, dtype=np.int32), n)), pa.array(bands.ravel()), *rest], ["band", "hash", "id", "copies", "size"])
+        bands = np.frombuffer(b"".join(b.column(1).to_pylist()), "<u8").reshape(-1, BANDS)
+        with np.errstate(over="ignore"):
+            bands = (bands ^ np.arange(BANDS, dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        yield pa.RecordBatch.from_arrays([pa.array(bands.ravel().view(np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), BANDS))], ["hash", "id"])
 
 
-def _runs(batches: Iterator[pa.RecordBatch], first: int = 2) -> Iterator[list[np.ndarray]]:
-    """The columns of each run of equal (band, hash), over sorted input; lone rows are passed over."""
+def _runs(batches: Iterator[pa.RecordBatch], first: int = 1) -> Iterator[list[np.ndarray]]:
+    """The columns of each run of an equal first one, over sorted input; lone rows are passed over."""
     held: list[list[np.ndarray]] = []
     last = None
     for b in batches:
         if not b.num_rows:
             continue
         cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
-        new = np.concatenate([[True], (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])])
-        starts = np.flatnonzero(new)
+        starts = np.flatnonzero(np.concatenate([[True], cols[0][1:] != cols[0][:-1]]))
         stops = np.append(starts[1:], b.num_rows)
         worth = stops - starts > 1
         worth[[0, -1]] = True
         for lo, hi in zip(starts[worth].tolist(), stops[worth].tolist(), strict=True):
-            if (it := (cols[0][lo], cols[1][lo])) != last:
+            if (it := cols[0][lo]) != last:
                 if sum(len(x[0]) for x in held) > 1:
                     yield [np.concatenate(x) for x in zip(*held, strict=True)]
                 held, last = [], it
@@ -216,9 +219,15 @@ def _pairs(parts: list[np.ndarray]) -> pa.RecordBatch:
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows of buckets with two members or more."""
-    for band, hash_, ids, copies, sizes in _runs(batches, first=0):
-        if (ids != ids[0]).any():
-            yield pa.RecordBatch.from_arrays([pa.array(band, pa.int32()), pa.array(hash_), pa.array(ids), pa.array(copies), pa.array(sizes, pa.int32())], ["band", "hash", "id", "copies", "size"])
+    held, size = [], 0
+    for hash_, ids in _runs(batches, first=0):
+        held.append((hash_, ids))
+        size += len(ids)
+        if size >= 50_000:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], ["hash", "id"])
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], ["hash", "id"])
 
 
 def _scan(pairs_of, threshold: float):
@@ -255,11 +264,11 @@ def _across(ids: np.ndarray, copies: np.ndarray, sizes: np.ndarray, roots: np.nd
 
 
 def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bucket, id, root) of the members of larger buckets that hold more than one component; a bucket is named by its band and smallest id."""
-    for band, _, ids, _, _, roots in _runs(batches, first=0):
+    """(hash, id, root) of the members of larger buckets that hold more than one component."""
+    for hash_, ids, _, _, roots in _runs(batches, first=0):
         ids, at = np.unique(ids, return_index=True)
         if len(ids) > SMALL and (roots[at] != roots[at][0]).any():
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), band[0], np.int32)), pa.array(np.full(len(ids), ids[0])), pa.array(ids), pa.array(roots[at])], ["band", "hash", "id", "root"])
+            yield pa.RecordBatch.from_arrays([pa.array(hash_[at]), pa.array(ids), pa.array(roots[at])], ["hash", "id", "root"])
 
 
 def similar(sets: list[np.ndarray], roots: list[int], threshold: float) -> list[tuple[int, int]]:
@@ -296,7 +305,7 @@ def similar(sets: list[np.ndarray], roots: list[int], threshold: float) -> list[
 
 def _joined(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Links inside larger buckets, over rows (band, hash, id, root, shingles)."""
+        """Links inside larger buckets, over rows (hash, id, root, shingles)."""
         for ids, roots, raw in _runs(batches):
             found = similar([np.frombuffer(x, "<u8") for x in raw], roots.tolist(), threshold)
             yield pa.RecordBatch.from_arrays([pa.array([int(ids[i]) for i, _ in found], pa.int64()), pa.array([int(ids[j]) for _, j in found], pa.int64())], ["a", "b"])
@@ -362,19 +371,22 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float = THR
     spark = docs.sparkSession
     rows, _ = stored(paragraphs(docs, min_words), "paragraphs")
     here = ["doc_id", "tag", "pos"]
-    reps = rows.groupBy("key").agg(F.min(F.struct(*here)).alias("home"), F.first("bands").alias("bands"), F.first("size").alias("size"), F.count("*").alias("copies"))
-    reps, _ = stored(reps.select(F.monotonically_increasing_id().alias("id"), "key", "home.*", "bands", "copies", "size"), "distinct")
-    homes = reps.select("id", *here)
-    dealt = reps.select("id", "bands", "copies", "size").mapInArrow(_spread, "band int, hash long, id long, copies long, size int")
+    reps = paragraphs(docs, min_words, banded=True).groupBy("key").agg(F.min(F.struct(*here)).alias("home"), F.first("bands").alias("bands"), F.first("size").alias("size"), F.count("*").alias("copies"))
+    reps, banded = stored(reps.select(F.monotonically_increasing_id().alias("id"), "key", "home.*", "bands", "copies", "size"), "distinct")
+    dealt = reps.select("id", "bands").mapInArrow(_spread, "hash long, id long")
 
     def buckets(rows: DataFrame, *more: str) -> DataFrame:
-        return rows.repartition(partitions(spark), "band", "hash").sortWithinPartitions("band", "hash").select("band", "hash", "id", *more)
+        return rows.repartition(partitions(spark), "hash").sortWithinPartitions("hash").select("hash", "id", *more)
 
     def pairs(step) -> tuple[DataFrame, str]:
         return stored(buckets(named, "copies", "size", "root").mapInArrow(_scan(step, threshold), "a long, b long").distinct(), "pairs")
 
     ends = F.explode(F.array("a", "b")).alias("id")
-    dealt, shared = stored(buckets(dealt, "copies", "size").mapInArrow(_shared, dealt.schema), "shared")
+    met, shared = stored(buckets(dealt).mapInArrow(_shared, "hash long, id long"), "shared")
+    reps, _ = stored(reps.drop("bands"), "places")  # what is used of them from here on
+    remove(spark, banded)
+    homes = reps.select("id", *here)
+    dealt = met.join(reps.select("id", "copies", "size"), "id")
     named = dealt.withColumn("root", F.col("id"))
     stars, done = pairs(_star)
     sets, more = shingle_sets(stars.select(ends).distinct(), homes, docs, min_words)
@@ -384,7 +396,7 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float = THR
 
     named = dealt.join(components(links).withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     few, done = pairs(_across)
-    mixed, larger = stored(buckets(named, "copies", "size", "root").mapInArrow(_mixed, "band int, hash long, id long, root long"), "mixed")
+    mixed, larger = stored(buckets(named, "copies", "size", "root").mapInArrow(_mixed, "hash long, id long, root long"), "mixed")
     remove(spark, shared)
     sets, more = shingle_sets(few.select(ends).unionAll(mixed.select("id")).distinct(), homes, docs, min_words)
     many = buckets(mixed.join(sets, "id"), "root", "shingles").mapInArrow(_joined(threshold), "a long, b long")
@@ -535,38 +547,39 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.select([0, 1]).columns, pa.array([k[0] for k in kept], pa.list_(pa.int32())), pa.array([k[1] for k in kept], pa.list_(pa.int32())), pa.array([k[2] for k in kept], pa.int64()), b.column(5)], ["doc_id", "tag", "at", "len", "n_cut", "cut_homes"])
 
 
-def embedded(rows: DataFrame, broadcast_rows: int = 300_000) -> DataFrame:
+def embedded(rows: DataFrame, broadcast_rows: int = 300_000, broadcast_hashes: int = 1_000_000) -> DataFrame:
     """(doc_id, tag, n_shared, at, len, n_cut, cut_homes) of the texts that hold embedded passages which occur elsewhere too; at is null where nothing is cut.
 
     rows: (doc_id, tag, text), a stored table; equal (doc_id, tag) are one text. n_shared counts the passages, those that stay included.
-    Places (20 to 30 bytes each) are broadcast up to broadcast_rows, else joined by a shuffle.
+    Places (20 to 40 bytes each) are broadcast up to broadcast_rows, anchors (8 bytes) up to broadcast_hashes, else joined by a shuffle.
     """
-    spark = rows.sparkSession
     who = ["doc_id", "tag"]
 
     def sided(df: DataFrame, name: str, size: str) -> DataFrame:
         df, _ = stored(df, name)
-        return F.broadcast(df) if df.select(F.coalesce(F.sum(F.size(size)), F.lit(0))).first()[0] <= broadcast_rows else df
+        return F.broadcast(df) if df.select(F.coalesce(F.sum(F.expr(size)), F.lit(0))).first()[0] <= broadcast_rows else df
 
     rows = rows.where("doc_id is not null and text is not null")
-    found, anchored = stored(rows.select(*who, "text").mapInArrow(_anchored, "doc_id long, tag long, pos int, hash long"), "anchors")
-    place = F.xxhash64("doc_id", "tag", "pos")
-    twice = found.groupBy("hash").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a < b").select("hash")
-    want = sided(found.join(twice, "hash").groupBy(*who).agg(F.collect_set("pos").alias("found")), "wanted", "found")
-    remove(spark, anchored)
+    if not rows.groupBy(*who).count().where("count > 1").isEmpty():
+        rows, _ = stored(rows.dropDuplicates(who), "texts")
+    # Anchors and windows are made twice, for counting and for what is found twice; that costs less than keeping them all.
+    found = rows.select(*who, "text").mapInArrow(_anchored, "doc_id long, tag long, pos int, hash long")
+    twice, _ = stored(found.groupBy("hash").count().where("count > 1").select("hash"), "twice")
+    if twice.count() <= broadcast_hashes:
+        twice = F.broadcast(twice)
+    want = sided(found.join(twice, "hash").groupBy(*who).agg(F.collect_set("pos").alias("found")), "wanted", "size(found)")
     windows = rows.join(want, who).select(*who, "text", "found").mapInArrow(_windowed, "key binary, doc_id long, tag long, pos int")
-    windows, opened = stored(windows.distinct(), "windows")
     here = F.struct("doc_id", "tag", "pos")
     homes = windows.groupBy("key").agg(F.min(here).alias("home"), F.count("*").alias("n")).where("n > 1").select("key", "home")
-    before = F.lag("pos").over(Window.partitionBy(*who).orderBy("pos"))
-    again = windows.join(homes, "key").select(*who, "pos", "home", (F.coalesce(F.col("pos") - before, F.lit(2)) > 1).cast("long").alias("first"))
+    homes = sided(homes, "homes", "1")
     own = F.when((F.col("home.doc_id") == F.col("doc_id")) & (F.col("home.tag") == F.col("tag")), F.col("home.pos"))
     goes = here != F.col("home")
-    gone = again.groupBy(*who).agg(F.sum("first").alias("n_shared"), F.collect_list(F.when(goes, F.struct("pos", own.alias("own")))).alias("w"), F.array_sort(F.collect_set(F.when(goes, F.col("home.doc_id")))).alias("cut_homes"))
-    gone = sided(gone.select(*who, "n_shared", "w.pos", "w.own", "cut_homes"), "gone", "pos")
-    remove(spark, opened)
+    again = windows.join(homes, "key").select(*who, "pos", F.when(goes, F.struct("pos", own.alias("own"))).alias("cut"), F.when(goes, F.col("home.doc_id")).alias("home_doc"))
+    gone = again.groupBy(*who).agg(F.sort_array(F.collect_list("pos")).alias("all"), F.collect_list("cut").alias("w"), F.array_sort(F.collect_set("home_doc")).alias("cut_homes"))
+    breaks = F.filter("all", lambda p, i: (i == 0) | (p - F.get("all", i - 1) > 1))  # where a run of shared windows begins
+    gone = sided(gone.select(*who, F.size(breaks).cast("long").alias("n_shared"), "w.pos", "w.own", "cut_homes"), "gone", "size(pos)")
     pieces = rows.join(gone.where(F.size("pos") > 0), who).select(*who, "text", "pos", "own", "cut_homes").mapInArrow(_pieces, "doc_id long, tag long, at array<int>, len array<int>, n_cut long, cut_homes array<long>")
-    return gone.select(*who, "n_shared").join(sided(pieces.dropDuplicates(who), "pieces", "at"), who, "left")
+    return gone.select(*who, "n_shared").join(sided(pieces, "pieces", "size(at)"), who, "left")
 
 
 def _kept(text, at, len_):
