@@ -8,18 +8,18 @@ rerun, whatever the partitions. With dropout 0 the ids are those
 of the sentencepiece library under an identity normaliser.
 
 No piece but runs of spaces has a space after its first character, and none has a line break beside another one, so stretches
-between them are encoded by themselves. What each worker remembers of a stretch is work and not choices: the merges that come up
-after the skips so far, and the ids if none of them is skipped.
+between them are encoded by themselves, many at a time: as draws depend on the candidate alone, each is drawn when it comes up, and what is not skipped waits for its
+turn. A step takes the best candidate of every stretch that still has one, over arrays of a million characters; stretches of more than LONG characters have agendas of their own.
 
 Defined results: null and empty texts have no ids and decode to an empty text; the character that stands for the space is written as bytes, so it
-survives too; a null doc_id is a key like any other; repeated rows give equal rows; an empty table gives an empty result; extra columns are ignored.
+survives too; texts of any length are taken in parts cut between stretches; a null doc_id is a key like any other; repeated rows give equal rows; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -31,9 +31,10 @@ from tessella.llm.common import tune
 
 DROPOUT, SEED = 0.1, 7
 SPACE = "▁"
-_stretch = re.compile(" +[^ \n]*|\n|[^ \n]+")
 WORD = (1 << 64) - 1
 MIX = 0xD6E8FEB86659FD93
+PLACE = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+LONG, NONE, NEVER = 48, 1 << 25, (1 << 31) - 1  # NONE: above all ranks, so that ranks * LONG fit into 31 bits
 
 
 def drawn(key: int, place: int) -> int:
@@ -51,17 +52,42 @@ def drawn_all(keys: np.ndarray, places: np.ndarray) -> np.ndarray:
         return x ^ x >> np.uint64(32)
 
 
-class Node:
-    """What comes of a stretch after certain skips: the places of the further candidates, the ids if none is skipped, and the nodes after one more skip."""
-
-    __slots__ = ("ids", "next", "places")
-
-    def __init__(self, places: list[int], ids: bytes):
-        self.places, self.ids, self.next = np.array(places, "<u8").tobytes(), ids, {}
+class Pairs:
+    """Two symbols to the rank of their merge and the piece that it makes: open addressing in arrays, looked up for many pairs at once."""
+
+    def __init__(self, pairs: dict[tuple[int, int], tuple[int, int]]):
+        self.bits = max(8, (8 * len(pairs)).bit_length())
+        self.keys, self.ranks, self.pieces = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, NONE, np.int32), np.zeros(1 << self.bits, np.int32)
+        keys = np.array([a << 32 | b for a, b in pairs], np.int64)
+        left, at = np.arange(len(keys)), self.place(keys)
+        ranks, pieces = np.array([*pairs.values()], np.int32).reshape(-1, 2).T
+        while len(left):
+            free, first = np.unique(at[left], return_index=True)  # of those that want one slot, the first gets it if it is free
+            taken = self.keys[free] >= 0
+            put = left[first[~taken]]
+            self.keys[at[put]], self.ranks[at[put]], self.pieces[at[put]] = keys[put], ranks[put], pieces[put]
+            left = np.setdiff1d(left, put, assume_unique=True)
+            at[left] = (at[left] + 1) & (1 << self.bits) - 1
+
+    def place(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (keys.view(np.uint64) * np.uint64(MIX) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ranks of the merges, NONE where there is none; slots of the table)."""
+        keys = a.astype(np.int64) << 32 | b
+        at = self.place(keys)
+        found = self.keys[at]
+        off = np.flatnonzero((found != keys) & (found >= 0))
+        while len(off):
+            at[off] = (at[off] + 1) & (1 << self.bits) - 1
+            found[off] = now = self.keys[at[off]]
+            off = off[(now != keys[off]) & (now >= 0)]
+        return np.where(found == keys, self.ranks[at], NONE), at
 
 
 class MergeDropout:
-    def __init__(self, path: str, dropout: float = DROPOUT, seed: int = SEED, most: int = 300_000):
+    def __init__(self, path: str, dropout: float = DROPOUT, seed: int = SEED):
         from sentencepiece import SentencePieceProcessor
 
         lib = SentencePieceProcessor(model_file=path)
@@ -75,9 +101,27 @@ class MergeDropout:
             self.raw[i] = bytes([b])
         if any(SPACE in p[1:] and p.strip(SPACE) or "\n" in p and len(p) > 1 for p in self.ids):
             raise ValueError("a piece of this model crosses a space or a line break; stretches can't be encoded by themselves")
-        self.limit, self.seed, self.most = min(int(dropout * 2**64), WORD), seed, most
-        self.known: dict[str, Node] = {}
-        self.nodes = 0
+        self.limit, self.seed = min(int(dropout * 2**64), WORD), seed
+        longer = [p for p in self.ids if len(p) > 1]
+        ranks = {s: r for r, s in enumerate(sorted({-self.score[p] for p in longer}))}
+        # Symbols: pieces by their ids, then characters that only stand in pieces; character 0 of the table is one that never merges.
+        symbols = self.ids | {c: n + k for k, c in enumerate(sorted({c for p in longer for c in p} - self.ids.keys()))}
+        self.none, self.pieces_end = n + len(symbols), n
+        self.symbol = np.full(0x110000, self.none, np.int32)
+        for c, i in symbols.items():
+            if len(c) == 1 and c != SPACE:
+                self.symbol[ord(c)] = i
+        self.symbol[ord(" ")] = symbols.get(SPACE, self.none)
+        self.piece = np.zeros(len(ranks), np.int32)
+        pairs, seen = {}, set()
+        for p in longer:
+            rank = ranks[-self.score[p]]
+            self.piece[rank] = -1 if rank in seen else self.ids[p]  # -1: several pieces have this score
+            seen.add(rank)
+            for k in range(1, len(p)):
+                if (u := symbols.get(p[:k])) is not None and (v := symbols.get(p[k:])) is not None:
+                    pairs[u, v] = rank, self.ids[p]
+        self.pairs, self.bytes_of = Pairs(pairs), np.array(self.byte, np.uint32)
 
     def pieces(self, stretch: str, skip: Callable[[int], bool]) -> list[int]:
         """The ids of one stretch; skip is asked for the place of each candidate whose turn comes."""
@@ -93,7 +137,7 @@ class MergeDropout:
             _, i, j, size = heappop(agenda)
             if not symbol[i] or not symbol[j] or after[i] != j or len(symbol[i]) + len(symbol[j]) != size:
                 continue  # one of the two has gone into another merge
-            if skip((i * 0x9E3779B97F4A7C15 + j * 0xC2B2AE3D27D4EB4F + size * 0x165667B19E3779F9) & WORD):
+            if skip((i * PLACE[0] + j * PLACE[1] + size * PLACE[2]) & WORD):
                 continue
             symbol[i] += symbol[j]
             symbol[j] = ""
@@ -114,74 +158,139 @@ class MergeDropout:
             i = after[i]
         return out
 
-    def node(self, stretch: str, skips: tuple[int, ...]) -> Node:
-        """The node after skipping the candidates of these numbers, in the order of their turns."""
-        seen: list[int] = []
-
-        def skip(place: int) -> bool:
-            seen.append(place)
-            return len(seen) - 1 in skips
-
-        ids = np.array(self.pieces(stretch, skip), "<u4").tobytes()
-        self.nodes += 1
-        return Node(seen[skips[-1] + 1 :] if skips else seen, ids)
-
-    def keyed(self, stretch: str, key: int) -> bytes:
-        """The ids of one occurrence, without the memory."""
-        return np.array(self.pieces(stretch, lambda place: drawn(key, place) < self.limit), "<u4").tobytes()
-
-    def after(self, stretch: str, node: Node, key: int, first: int) -> bytes:
-        """The ids of an occurrence whose first skip is the candidate of that number."""
-        skips = (first,)
-        while True:
-            if (then := node.next.get(skips[-1])) is None:
-                then = node.next[skips[-1]] = self.node(stretch, skips)
-            node = then
-            for k, place in enumerate(memoryview(node.places).cast("Q")):
-                if drawn(key, place) < self.limit:
-                    skips = (*skips, skips[-1] + 1 + k)
-                    break
-            else:
-                return node.ids
-
-    def encode(self, text: str, doc_id: int | None, chunk: int = 20_000) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        doc, out = xxh64_intdigest(f"{self.seed}:{doc_id}"), []
-        stretches = _stretch.findall(" " + text)
-        for at in range(0, len(stretches), chunk):
-            part = stretches[at : at + chunk]
-            keys = drawn_all(np.full(len(part), doc, np.uint64), np.arange(at, at + len(part), dtype=np.uint64))
-            if self.nodes >= self.most:
-                self.known, self.nodes = {}, 0
-            known, nodes = self.known, []
-            for s in part:
-                if (n := known.get(s)) is None and len(s) <= 32:  # longer ones hardly come again
-                    n = known[s] = self.node(s, ())
-                nodes.append(n)
-            ids = [n.ids if n is not None else self.keyed(s, int(keys[i])) for i, (s, n) in enumerate(zip(part, nodes, strict=True))]
-            if self.limit:
-                counts = np.array([len(n.places) >> 3 if n is not None else 0 for n in nodes])
-                places = np.frombuffer(b"".join([n.places for n in nodes if n is not None]), "<u8")
-                hit = np.flatnonzero(drawn_all(np.repeat(keys, counts), places) < np.uint64(self.limit))
-                owner, first = np.unique(np.repeat(np.arange(len(part)), counts)[hit], return_index=True)
-                number = hit[first] - (np.cumsum(counts) - counts)[owner]
-                for i, q in zip(owner.tolist(), number.tolist(), strict=True):
-                    ids[i] = self.after(part[i], nodes[i], int(keys[i]), q)
-            out += ids
-        return b"".join(out)
+    def keyed(self, stretch: str, key: int) -> list[int]:
+        """The ids of one occurrence by an agenda of its own."""
+        return self.pieces(stretch, lambda place: drawn(key, place) < self.limit)
+
+    def values(self, left: np.ndarray, right: np.ndarray, place: tuple[np.ndarray, np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
+        """rank * LONG + i of the candidates of these symbols, NEVER where there is none or it is skipped; place: (i, j, size) in the stretch."""
+        rank, _ = self.pairs.find(left, right)
+        out = np.where(rank < NONE, rank * LONG + place[0], NEVER).astype(np.int32)
+        if self.limit and len(live := np.flatnonzero(out < NEVER)):
+            with np.errstate(over="ignore"):
+                where = sum(x[live].astype(np.uint64) * np.uint64(m) for x, m in zip(place, PLACE, strict=True))
+            out[live[drawn_all(keys[live], where) < np.uint64(self.limit)]] = NEVER
+        return out
+
+    def merged(self, symbol: np.ndarray, start: np.ndarray, size: np.ndarray, keys: np.ndarray) -> None:
+        """Merges the symbols of stretches of LONG characters at most, in place; -1 where a symbol has gone into the one before it."""
+        after = np.arange(1, len(symbol) + 1, dtype=np.int32)
+        before = np.arange(-1, len(symbol) - 1, dtype=np.int32)
+        widths = [2, 3, 4, 5, 6, 7, 8, 10, 12, 16, 24, LONG]
+        for low, high in zip([1, *widths], widths, strict=False):
+            some = np.flatnonzero((size > low) & (size <= high))
+            s, key = start[some].astype(np.int32), keys[some]
+            end = s + size[some].astype(np.int32)
+            value = np.full((high - 1, len(s)), NEVER, np.int32)
+            for i in range(high - 1):
+                has = np.flatnonzero(s + i + 1 < end)
+                at, one = s[has] + i, np.full(len(has), i)
+                value[i, has] = self.values(symbol[at], symbol[at + 1], (one, one + 1, np.full(len(has), 2)), key[has])
+            while len(s):
+                best = value.min(axis=0)
+                live = best < NEVER
+                if not live.all():
+                    s, end, key, best, value = s[live], end[live], key[live], best[live], value[:, live]
+                    if not len(s):
+                        break
+                column = np.arange(len(s))
+                i = best % LONG
+                at = s + i
+                right = after[at]
+                next_ = after[right]
+                piece = self.piece[best // LONG]
+                if len(tied := np.flatnonzero(piece < 0)):
+                    piece[tied] = self.pairs.pieces[self.pairs.find(symbol[at[tied]], symbol[right[tied]])[1]]
+                symbol[at], symbol[right] = piece, -1
+                after[at] = next_
+                value[np.minimum(right - s, high - 2), column] = NEVER
+                value[i, column] = NEVER
+                inner = np.flatnonzero(next_ < end)
+                a, n = at[inner], next_[inner]
+                before[n] = a
+                value[i[inner], inner] = self.values(symbol[a], symbol[n], (i[inner], n - s[inner], after[n] - a), key[inner])
+                inner = np.flatnonzero(at > s)
+                a = at[inner]
+                h = before[a]
+                value[h - s[inner], inner] = self.values(symbol[h], symbol[a], (h - s[inner], i[inner], after[a] - h), key[inner])
+
+    def part(self, code: np.ndarray, start: np.ndarray, size: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids that begin at each character) of characters that are whole stretches."""
+        symbol = self.symbol[code]
+        self.merged(symbol, start, size, key)
+        long = np.flatnonzero(size > LONG)
+        own = {}
+        for k in long.tolist():
+            own[int(start[k])] = np.array(self.keyed(code[start[k] : start[k] + size[k]].astype("<u4").tobytes().decode("utf-32-le"), int(key[k])), np.uint32)
+            symbol[start[k] : start[k] + size[k]] = -1
+        other = symbol >= self.pieces_end
+        count = (symbol >= 0).astype(np.int64)
+        chars = code[other]
+        count[other] = 1 + (chars > 0x7F).astype(np.int64) + (chars > 0x7FF) + (chars > 0xFFFF)
+        for at, ids in own.items():
+            count[at] = len(ids)
+        out = np.repeat(symbol.astype(np.uint32), count)
+        if len(chars):
+            raw = np.frombuffer(chars.astype("<u4").tobytes().decode("utf-32-le").encode(), np.uint8)
+            out[np.repeat(other, count)] = self.bytes_of[raw]
+        if own:
+            ends = np.cumsum(count)
+            for at, ids in own.items():
+                out[ends[at] - len(ids) : ends[at]] = ids
+        return out, count
+
+    def encode_many(self, texts: list[str], doc_ids: list[int | None], part: int = 1 << 20) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        code = np.frombuffer("".join(f" {t}" for t in texts if t).encode("utf-32-le"), "<u4")
+        size = np.array([len(t) + 1 if t else 0 for t in texts], np.int64)
+        ends = np.cumsum(size)
+        first = ends - size
+        docs = np.array([xxh64_intdigest(f"{self.seed}:{d}") for d in doc_ids], np.uint64)
+        # A stretch begins at a text's start, at a line break and behind it, and where spaces begin.
+        cut = np.zeros(len(code), bool)
+        blank, line = code == 32, code == 10
+        cut[first[size > 0]] = True
+        cut |= line
+        cut[1:] |= line[:-1] | blank[1:] & ~blank[:-1]
+        starts = np.flatnonzero(cut)
+        of = np.searchsorted(ends, starts, "right")
+        number = np.arange(len(starts)) - np.searchsorted(starts, first)[of]
+        keys = drawn_all(docs[of], number.astype(np.uint64))
+        length = np.diff(np.append(starts, len(code)))
+        ids, counts, at = [], [], 0
+        while at < len(starts):
+            to = max(at + 1, int(np.searchsorted(starts, starts[at] + part)))
+            a, b = int(starts[at]), int(starts[to]) if to < len(starts) else len(code)
+            got, count = self.part(code[a:b], starts[at:to] - a, length[at:to], keys[at:to])
+            ids.append(got)
+            counts.append(np.add.reduceat(count, starts[at:to] - a))
+            at = to
+        if not ids:
+            return [b""] * len(texts)
+        total = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+        flat = np.concatenate(ids).astype("<u4")
+        lo, hi = total[np.searchsorted(starts, first)], total[np.searchsorted(starts, ends)]
+        return [flat[x:y].tobytes() for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]
+
+    def encode(self, text: str, doc_id: int | None) -> bytes:
+        return self.encode_many([text], [doc_id])[0]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The text in UTF-8."""
         return b"".join(map(self.raw.__getitem__, ids.tolist()))[1:]
 
 
+@lru_cache(maxsize=2)
+def shared(path: str, dropout: float = DROPOUT, seed: int = SEED) -> MergeDropout:
+    """One coder for all tasks of a worker."""
+    return MergeDropout(path, dropout, seed)
+
+
 def _encoded(path: str, dropout: float, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = MergeDropout(path, dropout, seed)
+        coder = shared(path, dropout, seed)
         for b in batches:
-            ids = [np.frombuffer(coder.encode(t or "", d), "<u4").astype(np.int32) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in coder.encode_many([t or "" for t in b.column(1).to_pylist()], b.column(0).to_pylist())]
             at = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
             flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["doc_id", "ids"])
@@ -198,7 +307,7 @@ def encode(docs: DataFrame, model: str, dropout: float = DROPOUT, seed: int = SE
 
 def _decoded(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = MergeDropout(path)
+        coder = shared(path)
         for b in batches:
             texts = [coder.decode(np.array(x.values if x.is_valid else [], np.int64)) for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t.decode() for t in texts], pa.string())], ["doc_id", "text"])
@@ -213,11 +322,11 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
 
 def _digested(path: str, dropout: float, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = MergeDropout(path, dropout, seed)
+        coder = shared(path, dropout, seed)
         for b in batches:
             out = []
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                raw = coder.encode(t or "", d)
+            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for d, t, raw in zip(ids, texts, coder.encode_many([t or "" for t in texts], ids), strict=True):
                 back = coder.decode(np.frombuffer(raw, "<u4"))
                 out.append((d, len(raw) // 4, zlib.crc32(raw), back == (t or "").encode()))
             types = (pa.int64(), pa.int64(), pa.int64(), pa.bool_())

@@ -285,16 +285,51 @@ def test_fixed_slots_of_a_region_go_by_the_wrapper(spark):
     assert {r.page_id: r.text for r in html.extract(pages).collect()} == want
 
 
+def _plain_dropout(coder, text, doc):
+    """The ids by a loop that looks for the best candidate again and again."""
+    import re
+
+    out = []
+    for number, stretch in enumerate(re.findall(" +[^ \n]*|\n|[^ \n]+", " " + text) if text else []):
+        key = merge_dropout.drawn(merge_dropout.xxh64_intdigest(f"{coder.seed}:{doc}"), number)
+        parts = [(k, "▁" if c == " " else c) for k, c in enumerate(stretch)]
+        while True:
+            best = None
+            for (i, x), (j, y) in zip(parts, parts[1:], strict=False):
+                if stretch[i : j + len(y)].count("▁") or (s := coder.score.get(x + y)) is None:
+                    continue
+                place = sum(a * b for a, b in zip((i, j, len(x + y)), merge_dropout.PLACE, strict=True)) & merge_dropout.WORD
+                if merge_dropout.drawn(key, place) >= coder.limit and (best is None or s > best[0]):
+                    best = (s, i, j)
+            if best is None:
+                break
+            k = next(k for k, (i, _) in enumerate(parts) if i == best[1])
+            parts[k : k + 2] = [(parts[k][0], parts[k][1] + parts[k + 1][1])]
+        for i, x in parts:
+            out += [coder.ids[x]] if x in coder.ids and stretch[i] != "▁" else [coder.byte[b] for b in (stretch[i] if stretch[i] == "▁" else x).encode()]
+    return out
+
+
+def test_dropout_against_a_plain_loop():
+    rng = random.Random(47)
+    texts = ["", " ", "\n", "a▁b ▁ c", "internationalization of everything", "two  spaces\n\n and   \n lines", "日本語 𝔘 é ü naïve", "x" * 45 + "information " + "y" * 130 + "ation", "<s> </s> <unk> ▁"]
+    texts += ["".join(rng.choice("etaoin shrdlu\n ▁éß") for _ in range(rng.randrange(1, 200))) for _ in range(60)]
+    for dropout in (0.0, 0.1, 0.5, 1.0):
+        coder = merge_dropout.MergeDropout(public_tokenizers.path("piece_bpe_32k.model"), dropout)
+        ids = [None, *range(len(texts) - 1)]
+        got = coder.encode_many(texts, ids)
+        assert got == coder.encode_many(texts, ids, part=64) == [coder.encode(t, d) for t, d in zip(texts, ids, strict=True)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [_plain_dropout(coder, t, d) for t, d in zip(texts, ids, strict=True)]
+        assert [coder.decode(np.frombuffer(x, "<u4")) for x in got] == [t.encode() for t in texts]
+
+
 def test_each_occurrence_has_draws_of_its_own():
     coder = merge_dropout.MergeDropout(public_tokenizers.path("piece_bpe_32k.model"), 0.1)
-    text = " ".join(["internationalization of everything"] * 300 + ["x" * 40 + "information"])
-    stretches = merge_dropout._stretch.findall(" " + text)
-    for d in (1, None, 2):
-        key = merge_dropout.xxh64_intdigest(f"{coder.seed}:{d}")
-        want = [coder.keyed(s, merge_dropout.drawn(key, k)) for k, s in enumerate(stretches)]
-        assert coder.encode(text, d, chunk=100) == coder.encode(text, d) == b"".join(want)
-        assert len(set(want[0::3])) > 8
+    once = len(coder.encode("internationalization", 1))
     assert len({coder.encode("internationalization of everything", d) for d in range(200)}) > 8
+    assert len(coder.encode(" ".join(["internationalization"] * 300), 1)) != 300 * once
+    long = " ".join(f"word{i}" for i in range(300_000))
+    assert coder.decode(np.frombuffer(coder.encode(long, 3), "<u4")) == long.encode()
 
 
 def test_ids_beyond_16_bits_are_refused():
