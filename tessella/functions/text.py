@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 DASH = "—"
+# The words that switch a setting on, and the time suffix of names.
+TRUE = ("1", "true", "yes", "on")
+TIME = "_[0-9]{4}-[0-9]{2}-[0-9]{2}_[0-9]+$"
 
 
 def truthy(x: Column) -> Column:
     """Whether a setting is switched on; NULL is off."""
-    return F.coalesce(F.lower(F.trim(x)).isin("1", "true", "yes", "on"), F.lit(False))
+    return F.coalesce(F.lower(F.trim(x)).isin(*TRUE), F.lit(False))
 
 
 def none_or(x: Column) -> Column:
@@ -24,7 +27,7 @@ def fixed4(x: Column) -> Column:
 
 def without_time(name: Column) -> Column:
     """A name without a trailing _YYYY-MM-DD_n."""
-    return F.regexp_replace(name, r"_[0-9]{4}-[0-9]{2}-[0-9]{2}_[0-9]+$", "")
+    return F.regexp_replace(name, TIME, "")
 
 
 def label_of(x: Column) -> Column:
@@ -35,3 +38,13 @@ def label_of(x: Column) -> Column:
 def path_of(x: Column) -> Column:
     """The path of label=path."""
     return F.when(x.contains("="), F.regexp_replace(x, "^[^=]*=", "")).otherwise(x)
+
+
+def without_suffix(name: Column, suffix: str) -> Column:
+    """A name without its suffix, where it has it."""
+    return F.when(name.endswith(suffix), F.left(name, F.length(name) - len(suffix))).otherwise(name)
+
+
+def asset_name(stem: Column, kind: Column, extension: str) -> Column:
+    """stem_kind.extension; no kind, no mark of it."""
+    return F.concat(F.concat_ws("_", stem, F.nullif(kind, F.lit(""))), F.lit(f".{extension}"))

@@ -77,3 +77,13 @@ def tile_starts(dim: Column, tile: int) -> Column:
 def scale_width(base: Column, mult: Column) -> Column:
     """Channel count scaled and rounded (half to even) to a multiple of eight, eight at least."""
     return F.greatest(F.lit(8), (F.bround(base * mult / 8) * 8).cast("int"))
+
+
+def repeated(px: Column, batch: int) -> Column:
+    """A batch of one tile, so many times."""
+    return F.flatten(F.array_repeat(px, batch))
+
+
+def zeros(height: int, width: int, channels: int) -> Column:
+    """A tile of zeros."""
+    return F.array_repeat(F.lit(0.0).cast("float"), height * width * channels)

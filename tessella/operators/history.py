@@ -18,6 +18,12 @@ def best_epoch(df: DataFrame, keys: Sequence[str], metric: str) -> DataFrame:
     return df.where(F.col(metric).isNotNull()).groupBy(*keys).agg(best.alias("b")).select(*keys, "b.*")
 
 
+def best_of_last_stage(df: DataFrame, keys: Sequence[str], metric: str) -> DataFrame:
+    """Of each run's last stage that has the metric, the first epoch with the largest one."""
+    best = F.max_by(F.struct("stage", "epoch", metric), F.struct(F.col("stage"), F.col(metric), -F.col("epoch")))
+    return df.where(F.col(metric).isNotNull()).groupBy(*keys).agg(best.alias("b")).select(*keys, "b.*")
+
+
 def improvements(df: DataFrame, keys: Sequence[str], loss: str) -> DataFrame:
     """Adds best (so far, this epoch included), improved (strictly below all before) and since (epochs since then)."""
     run = Window.partitionBy(*keys).orderBy("epoch")
@@ -34,25 +40,31 @@ def early_stop(df: DataFrame, keys: Sequence[str], loss: str, patience: int) ->
     return df.withColumn("stop", stop).where(F.col("stop").isNull() | (F.col("epoch") <= F.col("stop")))
 
 
-def plateau(df: DataFrame, keys: Sequence[str], loss: str, lr: float = 1e-3, factor: float = 0.1, patience: int = 2, threshold: float = 1e-4, least_change: float = 1e-8) -> DataFrame:
-    """(keys, epoch, lr): the rate after each epoch; it falls once more than `patience` epochs haven't been below the best by the relative threshold.
+def plateau(df: DataFrame, keys: Sequence[str], loss: str, lr: float = 1e-3, factor: float = 0.1, patience: int = 2, threshold: float = 1e-4, least_change: float = 1e-8, stage: str | None = None, carry: bool = False) -> DataFrame:
+    """(keys, [stage,] epoch, lr): the rate after each epoch; it falls once more than `patience` epochs haven't been below the best by the relative threshold.
 
+    Where stages are named, each begins with a new best and count, and with the first rate again or, if `carry`, with the last one of the stage before.
     A fold over one run's ordered losses; a run is as long as a training, so its array is small.
     """
-    runs = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("epoch", loss))).alias("l"))
-    zero = F.struct(F.lit(float("inf")).alias("best"), F.lit(0).alias("bad"), F.lit(lr).alias("lr"), F.array().cast("array<double>").alias("out"))
+    names = [stage, "epoch"] if stage else ["epoch"]
+    runs = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*names, loss))).alias("l"))
+    at = (lambda x: x[stage].cast("bigint")) if stage else (lambda x: F.lit(0).cast("bigint"))
+    zero = F.struct(F.lit(None).cast("bigint").alias("stage"), F.lit(float("inf")).alias("best"), F.lit(0).alias("bad"), F.lit(lr).alias("lr"), F.array().cast("array<double>").alias("out"))
 
     def step(s: Column, x: Column) -> Column:
-        better = x[loss] < s["best"] * (1 - threshold)
-        bad = F.when(better, 0).otherwise(s["bad"] + 1)
+        new = ~s["stage"].eqNullSafe(at(x))
+        best, count = F.when(new, F.lit(float("inf"))).otherwise(s["best"]), F.when(new, 0).otherwise(s["bad"])
+        before = s["lr"] if carry else F.when(new, F.lit(lr)).otherwise(s["lr"])
+        better = x[loss] < best * (1 - threshold)
+        bad = F.when(better, 0).otherwise(count + 1)
         reduce_ = bad > patience
-        lower = s["lr"] * factor
-        rate = F.when(reduce_ & (s["lr"] - lower > least_change), lower).otherwise(s["lr"])
-        return F.struct(F.when(better, x[loss]).otherwise(s["best"]).alias("best"), F.when(reduce_, 0).otherwise(bad).alias("bad"), rate.alias("lr"), F.concat(s["out"], F.array(rate)).alias("out"))
+        lower = before * factor
+        rate = F.when(reduce_ & (before - lower > least_change), lower).otherwise(before)
+        return F.struct(at(x).alias("stage"), F.when(better, x[loss]).otherwise(best).alias("best"), F.when(reduce_, 0).otherwise(bad).alias("bad"), rate.alias("lr"), F.concat(s["out"], F.array(rate)).alias("out"))
 
     rates = F.aggregate("l", zero, step)["out"]
-    pairs = F.arrays_zip(F.col("l.epoch").alias("epoch"), rates.alias("lr"))
-    return runs.select(*keys, F.explode(pairs).alias("p")).select(*keys, F.col("p.epoch").alias("epoch"), F.col("p.lr").alias("lr"))
+    pairs = F.arrays_zip(*[F.col(f"l.{n}").alias(n) for n in names], rates.alias("lr"))
+    return runs.select(*keys, F.explode(pairs).alias("p")).select(*keys, "p.*")
 
 
 def pivot_scalars(df: DataFrame, keys: Sequence[str], tags: Sequence[str], order: Sequence[str], digits: int = 5) -> DataFrame:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from tessella.operators.pairing import numbered
 
 EPS = 1e-6  # fixed value of the soft F1 loss
 
@@ -62,19 +64,22 @@ def weighted_mean(value: str, weight: str) -> Column:
 def percentiles(df: DataFrame, keys: Sequence[str], value: str, at: dict[str, float]) -> DataFrame:
     """Exact percentiles with linear interpolation for each group.
 
-    Equal values are counted before anything is sorted, and the sort can spill, so a group may be larger than memory.
+    Values are numbered over all groups by a range-partitioned sort, equal ones too, and the two neighbours of each percentile are then picked by
+    their numbers; no group or value is one task's.
     """
-    hist = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    group = Window.partitionBy(*keys)
-    hist = hist.withColumns({"_cum": F.sum("_c").over(group.orderBy("_v")), "_n": F.sum("_c").over(group)})
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v")).withColumn("_t", F.monotonically_increasing_id())
+    rows = numbered(rows, [*map(F.col, keys), F.col("_v"), F.col("_t")], "_k")
+    groups = rows.groupBy(*keys).agg(F.min("_k").alias("_first"), F.count("*").alias("_n"))
+    places = F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(q) * (F.col("_n") - 1)).alias("place")) for i, q in enumerate(at.values())])
+    want = groups.select(*keys, "_first", F.explode(places).alias("p")).select(*keys, "_first", "p.*")
+    sides = F.array(*[F.struct(F.lit(side).alias("side"), (F.col("_first") + f(F.col("place"))).cast("bigint").alias("_k")) for side, f in enumerate((F.floor, F.ceil))])
+    want = want.select(*keys, "i", (F.col("place") - F.floor("place")).alias("frac"), F.explode(sides).alias("s")).select(*keys, "i", "frac", "s.*")
+    picked = want.join(rows.select("_k", "_v"), "_k")
     out = []
-    for name, q in at.items():
-        place = F.lit(q) * (F.col("_n") - 1)
-        low, frac = F.floor(place), place - F.floor(place)
-        a = F.min(F.when(F.col("_cum") > low, F.col("_v")))
-        b = F.min(F.when(F.col("_cum") > F.ceil(place), F.col("_v")))
-        out.append((a + (b - a) * F.max(frac)).alias(name))
-    return hist.groupBy(*keys).agg(*out)
+    for i, name in enumerate(at):
+        a, b = (F.max(F.when((F.col("i") == i) & (F.col("side") == side), F.col("_v"))) for side in (0, 1))
+        out.append((a + (b - a) * F.max(F.when(F.col("i") == i, F.col("frac")))).alias(name))
+    return picked.groupBy(*keys).agg(*out)
 
 
 def latency_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -31,15 +32,32 @@ def last_by_key(df: DataFrame, key: str, order: str) -> DataFrame:
 def split_by_hash(df: DataFrame, key: str, fraction: float, seed: int) -> DataFrame:
     """Adds split: the rows whose seeded digest ranks first are val, max(1, round half even) of them.
 
-    The boundary digest is found by a top-k, so no row is numbered; digests are distinct for distinct keys.
+    The boundary digest is found by counts of digests' beginnings, 4,096 a step, until few rows share one; no row is numbered or moved.
     """
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
-    n = df.count()
-    n_val = min(n, max(1, round(n * fraction)))
-    if n == 0:
-        return df.withColumn("split", F.lit(None).cast("string"))
-    edge = numbered(df.select(digest.alias("d")), [F.col("d")], "rank").where(F.col("rank") == n_val).select("d")
-    return df.withColumn("_d", digest).join(F.broadcast(edge)).withColumn("split", F.when(F.col("_d") <= F.col("d"), "val").otherwise("train")).drop("_d", "d")
+    rows = df.select(digest.alias("d"))
+    prefix, left = "", None
+    while True:
+        counts = rows.where(F.col("d").startswith(prefix)).groupBy(F.substring("d", 1, len(prefix) + 3).alias("p")).count().collect()
+        if left is None:
+            n = sum(r["count"] for r in counts)
+            left = min(n, max(1, round(n * fraction)))
+            if n == 0:
+                return df.withColumn("split", F.lit(None).cast("string"))
+        for r in sorted(counts):
+            prefix, size = r["p"], r["count"]
+            if left <= size:
+                break
+            left -= size
+        if size <= 10_000 or len(prefix) >= 32:
+            break
+    edge = rows.where(F.col("d").startswith(prefix)).orderBy("d").limit(left).agg(F.max("d")).first()[0]
+    return df.withColumn("split", F.when(digest <= edge, "val").otherwise("train"))
+
+
+def fixed_validation(rows: DataFrame, val: DataFrame) -> DataFrame:
+    """All of rows as train and a given validation set as val, in place of a split."""
+    return rows.withColumn("split", F.lit("train")).unionByName(val.withColumn("split", F.lit("val")))
 
 
 def split_exact(ids: list[int], fraction: float, seed: int) -> tuple[list[int], list[int]]:
@@ -54,7 +72,8 @@ def numbered(df: DataFrame, order: Sequence[Column], name: str, start: int = 1)
     """Adds consecutive numbers in the given total order without gathering rows in one task.
 
     Rows are range-partitioned and sorted; each gets its place in its partition plus the sizes of the partitions before, which
-    is one number for each partition.
+    is one number for each partition. The sorted rows are kept (on disk where memory is short) as both steps need the same ranges; a partition that is lost
+    is made again by the same partitioner, so its numbers are the same. The caller ends the keeping with spark.catalog.clearCache() or with the session.
     """
     rows = df.sort(*order).withColumn("_m", F.monotonically_increasing_id()).persist(StorageLevel.MEMORY_AND_DISK)
     part = F.shiftright("_m", 33)
@@ -66,9 +85,14 @@ def numbered(df: DataFrame, order: Sequence[Column], name: str, start: int = 1)
 
 
 def batches(df: DataFrame, keys: Sequence[str], order: Sequence[Column], size: int) -> DataFrame:
-    """Adds batch: consecutive blocks of `size` rows in each group."""
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
-    return df.withColumn("batch", F.floor(place / size).cast("bigint"))
+    """Adds batch: consecutive blocks of `size` rows in each group.
+
+    Rows are numbered over all groups and each group's first number is taken off, so a group may be larger than a task.
+    """
+    rows = numbered(df, [*map(F.col, keys), *order], "_k")
+    first = rows.groupBy(*[F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)]).agg(F.min("_k").alias("_first"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_g{i}")) for i, k in enumerate(keys)])
+    return rows.join(first, same).withColumn("batch", F.floor((F.col("_k") - F.col("_first")) / size).cast("bigint")).select(*df.columns, "batch")
 
 
 def guarded(df: DataFrame, least: int, message: str) -> DataFrame:

@@ -7,7 +7,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, functions as F
+
+from tessella.functions.text import TRUE, truthy
 
 OOM = ("out of memory", "oom", "cudaerror")  # fixed values: what runtimes say when memory runs out
 
@@ -20,13 +22,21 @@ def providers(explicit: str | None = None, force_cpu: str | None = None, availab
     """An explicit comma list as it is; else CPU only where that is forced; else the best available with CPU behind it."""
     if explicit and explicit.strip():
         return [p.strip() for p in explicit.split(",") if p.strip()]
-    if (force_cpu or "").strip().lower() not in ("1", "true", "yes", "on"):
+    if (force_cpu or "").strip().lower() not in TRUE:
         for p in ("CUDAExecutionProvider", "CoreMLExecutionProvider"):
             if p in available:
                 return [p, "CPUExecutionProvider"]
     return ["CPUExecutionProvider"]
 
 
+def provider_list(explicit: Column, force_cpu: Column, cuda: Column, coreml: Column) -> Column:
+    """The same precedence as a column: array of providers."""
+    cpu = F.lit("CPUExecutionProvider")
+    asked = F.filter(F.transform(F.split(explicit, ","), lambda p: F.trim(p)), lambda p: p != "")
+    best = F.when(truthy(force_cpu), F.array(cpu)).when(cuda, F.array(F.lit("CUDAExecutionProvider"), cpu)).when(coreml, F.array(F.lit("CoreMLExecutionProvider"), cpu)).otherwise(F.array(cpu))
+    return F.when(F.size(asked) > 0, asked).otherwise(best)
+
+
 def predict(session, batch: np.ndarray) -> np.ndarray:
     """NHWC in, NHWC out, float32; the graph itself is NCHW."""
     name = session.get_inputs()[0].name

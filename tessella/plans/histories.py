@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessella.operators import history as H
+from tessella.operators.pairing import numbered
 from tessella.plans.registry import register
 from tessella.session import table
 
@@ -55,6 +56,40 @@ def plateau_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.plateau(runs(spark, sf_dir), ["user_id"], "loss").withColumn("lr", F.round("lr", 12))
 
 
+STAGED = f"r AS (SELECT *, CASE WHEN epoch <= 20 THEN 1 ELSE 2 END AS stage FROM ({RUN}))"
+
+
+def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs whose first twenty epochs are a stage of their own; epochs go on counting."""
+    return runs(spark, sf_dir).withColumn("stage", F.when(F.col("epoch") <= 20, 1).otherwise(2).cast("bigint"))
+
+
+def _stage_lr(start: str) -> str:
+    """SQL of the plateau rule with a new best and count in each stage; start: the rate a later stage begins with."""
+    return f"""WITH RECURSIVE {STAGED}, f AS (
+      SELECT user_id, epoch, CAST(1 AS BIGINT) AS stage, loss AS best, 0 AS bad, 1e-3::DOUBLE AS lr FROM r WHERE epoch = 1
+      UNION ALL
+      SELECT user_id, epoch, stage, best, CASE WHEN bad > 2 THEN 0 ELSE bad END, CASE WHEN bad > 2 AND lr - lr * 0.1::DOUBLE > 1e-8 THEN lr * 0.1::DOUBLE ELSE lr END FROM (
+        SELECT r.user_id, r.epoch, CAST(r.stage AS BIGINT) AS stage, CASE WHEN r.stage <> f.stage OR r.loss < f.best * (1 - 1e-4) THEN r.loss ELSE f.best END AS best,
+               CASE WHEN r.stage <> f.stage OR r.loss < f.best * (1 - 1e-4) THEN 0 ELSE f.bad + 1 END AS bad, CASE WHEN r.stage <> f.stage THEN {start} ELSE f.lr END AS lr FROM f JOIN r ON r.user_id = f.user_id AND r.epoch = f.epoch + 1))
+    SELECT user_id, stage, epoch, round(lr, 12) AS lr FROM f"""
+
+
+@register("stage_lr_reset", _stage_lr("1e-3::DOUBLE"))
+def stage_lr_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.plateau(staged(spark, sf_dir), ["user_id"], "loss", stage="stage").withColumn("lr", F.round("lr", 12))
+
+
+@register("stage_lr_carried", _stage_lr("f.lr"))
+def stage_lr_carried(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.plateau(staged(spark, sf_dir), ["user_id"], "loss", stage="stage", carry=True).withColumn("lr", F.round("lr", 12))
+
+
+@register("best_of_last_stage", f"WITH {STAGED} SELECT user_id, CAST(stage AS BIGINT) AS stage, epoch, loss FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY stage DESC, loss DESC, epoch) AS k FROM r) WHERE k = 1")
+def best_of_last_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.best_of_last_stage(staged(spark, sf_dir), ["user_id"], "loss")
+
+
 @register(
     "scalar_pivot",
     """WITH p AS (SELECT user_id AS step, round(arg_max(value, (ts, event_id)) FILTER (WHERE event_type = 'view'), 5) AS "view", round(arg_max(value, (ts, event_id)) FILTER (WHERE event_type = 'click'), 5) AS click,
@@ -65,7 +100,7 @@ def scalar_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wide scalars by step; epochs are numbered after the pivot, over one row a step."""
     ev = table(spark, sf_dir, "events").select(F.col("user_id").alias("step"), F.col("event_type").alias("tag"), "value", "ts", "event_id")
     wide = H.pivot_scalars(ev, ["step"], ["view", "click", "purchase"], ["ts", "event_id"])
-    return wide.select(F.row_number().over(Window.orderBy("step")).cast("bigint").alias("epoch"), "*")
+    return numbered(wide, [F.col("step")], "epoch").select("epoch", *wide.columns)
 
 
 MARKED = "SELECT conv_id, turn, role, length(text) AS n, CASE WHEN role = 'user' THEN turn + 1 END AS mark FROM conversations"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessella.functions import text as X
+from tessella.operators.scoring import provider_list
 from tessella.plans.registry import register
 from tessella.session import table
 from tessella.sources import logs
@@ -142,12 +143,10 @@ def name_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "provider_order",
-    """SELECT event_id, CASE WHEN user_id % 3 = 0 THEN 'TensorRT' WHEN event_type = 'error' THEN 'CPU' WHEN user_id % 3 = 1 THEN 'CUDA,CPU' WHEN event_type = 'view' THEN 'CoreML,CPU' ELSE 'CPU' END AS providers FROM events""",
+    """SELECT event_id, CASE WHEN user_id % 3 = 0 THEN 'A,B' WHEN event_type = 'error' THEN 'CPUExecutionProvider' WHEN user_id % 3 = 1 THEN 'CUDAExecutionProvider,CPUExecutionProvider' WHEN event_type = 'view' THEN 'CoreMLExecutionProvider,CPUExecutionProvider' ELSE 'CPUExecutionProvider' END AS providers FROM events""",
 )
 def provider_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An explicit list wins, then the CPU switch, then what is there."""
-    explicit = F.when(F.col("user_id") % 3 == 0, "TensorRT")
-    force = F.when(F.col("event_type") == "error", "CPU")
-    cuda = F.when(F.col("user_id") % 3 == 1, "CUDA,CPU")
-    coreml = F.when(F.col("event_type") == "view", "CoreML,CPU")
-    return table(spark, sf_dir, "events").select("event_id", F.coalesce(explicit, force, cuda, coreml, F.lit("CPU")).alias("providers"))
+    user, kind = F.col("user_id") % 3, F.col("event_type")
+    order = provider_list(F.when(user == 0, " A, ,B"), F.when(kind == "error", " Yes"), user == 1, kind == "view")
+    return table(spark, sf_dir, "events").select("event_id", F.concat_ws(",", order).alias("providers"))

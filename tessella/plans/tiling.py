@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tessella.functions import tiles as T
-from tessella.operators import metrics as M
+from tessella.operators import augment as A, metrics as M, rasterize, tiling
+from tessella.plans.evaluation import PRF
 from tessella.plans.registry import register
 from tessella.session import table
 
 SIDE = 8
 
 
-def _digest(px, digits: int = 6):
+def digest(px, digits: int = 6):
     """Checks of an array that depend on order: its length, first and last values and a weighted sum."""
     weighted = F.aggregate(F.transform(px, lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x)
     return [F.size(px).cast("bigint").alias("n"), F.round(F.get(px, F.lit(0)).cast("double"), digits).alias("head"), F.round(F.element_at(px, -1).cast("double"), digits).alias("tail"), F.round(weighted, 4).alias("weighted")]
@@ -35,56 +36,56 @@ def _picked(source: str, n: int = SIDE * SIDE) -> str:
 @register("px_normalize", _oracle("list_transform(list_transform(embedding, lambda x: CAST(floor(abs(x) * 255) AS INTEGER) % 256), lambda v: CAST(v / 255.0 AS FLOAT))"))
 def px_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.transform("embedding", lambda x: F.floor(F.abs(x) * 255).cast("int") % 256)
-    return _tiles(spark, sf_dir).select("vec_id", *_digest(T.to_unit(raw)))
+    return _tiles(spark, sf_dir).select("vec_id", *digest(T.to_unit(raw)))
 
 
 @register("px_threshold", _oracle("list_transform(embedding, lambda x: CASE WHEN 1 / (1 + exp(-x::DOUBLE)) >= 0.5 THEN 1.0 ELSE 0.0 END)"))
 def px_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     prob = F.transform("embedding", lambda x: M.sigmoid(x.cast("double")))
-    return _tiles(spark, sf_dir).select("vec_id", *_digest(T.binarize(prob)))
+    return _tiles(spark, sf_dir).select("vec_id", *digest(T.binarize(prob)))
 
 
 @register("px_any_positive", _oracle("list_transform(generate_series(0, 15), lambda i: CASE WHEN embedding[i * 4 + 1] > 0 OR embedding[i * 4 + 2] > 0 OR embedding[i * 4 + 3] > 0 OR embedding[i * 4 + 4] > 0 THEN 255 ELSE 0 END)"))
 def px_any_positive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tiles(spark, sf_dir).select("vec_id", *_digest(T.any_positive(F.col("embedding"), 4)))
+    return _tiles(spark, sf_dir).select("vec_id", *digest(T.any_positive(F.col("embedding"), 4)))
 
 
 @register("px_flip_horizontal", _oracle(_picked("(i // 8) * 8 + 7 - i % 8")))
 def px_flip_horizontal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tiles(spark, sf_dir).select("vec_id", *_digest(T.flip_horizontal(F.col("embedding"), SIDE, SIDE)))
+    return _tiles(spark, sf_dir).select("vec_id", *digest(T.flip_horizontal(F.col("embedding"), SIDE, SIDE)))
 
 
 @register("px_flip_vertical", _oracle(_picked("(7 - i // 8) * 8 + i % 8")))
 def px_flip_vertical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tiles(spark, sf_dir).select("vec_id", *_digest(T.flip_vertical(F.col("embedding"), SIDE, SIDE)))
+    return _tiles(spark, sf_dir).select("vec_id", *digest(T.flip_vertical(F.col("embedding"), SIDE, SIDE)))
 
 
 @register("px_transpose", _oracle(_picked("(i % 8) * 8 + i // 8")))
 def px_transpose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tiles(spark, sf_dir).select("vec_id", *_digest(T.transpose(F.col("embedding"), SIDE, SIDE)))
+    return _tiles(spark, sf_dir).select("vec_id", *digest(T.transpose(F.col("embedding"), SIDE, SIDE)))
 
 
 @register("px_channels_first", _oracle(_picked("(i % 16) * 4 + i // 16")))
 def px_channels_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tiles(spark, sf_dir).select("vec_id", *_digest(T.channels_first(F.col("embedding"), 4, 4, 4)))
+    return _tiles(spark, sf_dir).select("vec_id", *digest(T.channels_first(F.col("embedding"), 4, 4, 4)))
 
 
 @register("px_resize_nearest", _oracle(_picked("least(7, floor((i // 5 + 0.5) * 8 / 5)) * 8 + least(7, floor((i % 5 + 0.5) * 8 / 5))", 25)))
 def px_resize_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tiles(spark, sf_dir).select("vec_id", *_digest(T.resize_nearest(F.col("embedding"), SIDE, SIDE, 5, 5)))
+    return _tiles(spark, sf_dir).select("vec_id", *digest(T.resize_nearest(F.col("embedding"), SIDE, SIDE, 5, 5)))
 
 
 @register("px_crop", _oracle("list_transform(generate_series(0, CAST(4 * least(4, 8 - vec_id % 6) - 1 AS BIGINT)), lambda i: embedding[CAST(((vec_id % 5) + i // least(4, 8 - vec_id % 6)) * 8 + vec_id % 6 + i % least(4, 8 - vec_id % 6) AS INTEGER) + 1])"))
 def px_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of four by four, cut off at the right border."""
     top, left = (F.col("vec_id") % 5).cast("int"), (F.col("vec_id") % 6).cast("int")
-    return _tiles(spark, sf_dir).select("vec_id", *_digest(T.crop(F.col("embedding"), SIDE, SIDE, top, left, 4)))
+    return _tiles(spark, sf_dir).select("vec_id", *digest(T.crop(F.col("embedding"), SIDE, SIDE, top, left, 4)))
 
 
 @register("px_brightness_contrast", _oracle("list_transform(embedding, lambda x: greatest(0.0::DOUBLE, least(1.0::DOUBLE, x::DOUBLE * 1.5::DOUBLE + 0.1::DOUBLE)))"))
 def px_brightness_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = F.transform("embedding", lambda x: x.cast("double"))
-    return _tiles(spark, sf_dir).select("vec_id", *_digest(T.brightness_contrast(px, 1.5, 0.1)))
+    return _tiles(spark, sf_dir).select("vec_id", *digest(T.brightness_contrast(px, 1.5, 0.1)))
 
 
 @register(
@@ -144,29 +145,8 @@ def polygon_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     w, h = (F.col("p_size") % 10 + 3).cast("double"), (F.col("p_size") % 7 + 3).cast("double")
     z = F.lit(0.0)
     polygons = F.array(F.array(z, z, w, z, z, h), F.array(F.lit(10.0), F.lit(2.0), F.lit(14.0), F.lit(2.0), F.lit(14.0), h + 2, F.lit(10.0), h + 2), F.array(z, z, w, h))
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.filter(polygons, lambda q: F.size(q) >= 6).alias("polygons"))
-    return covered(p, "id", "polygons", 16, 16)
-
-
-def covered(df: DataFrame, key: str, polygons: str, width: int, height: int) -> DataFrame:
-    """pixels, sx, sy of the union of each row's polygons; pixels are an array in the row, not rows."""
-    grid = F.sequence(F.lit(0), F.lit(width * height - 1))
-
-    def inside(i, poly):
-        x, y = i % width + 0.5, F.floor(i / width) + 0.5
-        n = (F.size(poly) / 2).cast("int")
-
-        def crosses(k):
-            x1, y1 = F.get(poly, 2 * k), F.get(poly, 2 * k + 1)
-            m = (k + 1) % n
-            x2, y2 = F.get(poly, 2 * m), F.get(poly, 2 * m + 1)
-            return ((y1 > y) != (y2 > y)) & (x < (x2 - x1) * (y - y1) / F.nullif(y2 - y1, F.lit(0.0)) + x1)
-
-        return F.size(F.filter(F.sequence(F.lit(0), n - 1), crosses)) % 2 == 1
-
-    lit = F.filter(grid, lambda i: F.exists(F.col(polygons), lambda p: inside(i, p)))
-    df = df.select(key, F.explode(lit).alias("i"))
-    return df.groupBy(key).agg(F.count("*").alias("pixels"), F.sum(F.col("i") % width).alias("sx"), F.sum(F.floor(F.col("i") / width)).alias("sy"))
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("n"), F.lit(16).alias("h"), F.lit(16).alias("w"), F.filter(polygons, lambda q: F.size(q) >= 6).alias("polygons"))
+    return rasterize.covered(p).where("pixels > 0").withColumnRenamed("n", "id")
 
 
 @register(
@@ -199,7 +179,13 @@ def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("vec_id").alias("n"), F.lit(SIDE).alias("h"), F.lit(SIDE).alias("w"), F.lit(1).alias("c"), F.col("embedding").alias("image"), mask.alias("mask"))
 
 
-@register("onnx_score")
+@register(
+    "onnx_score",
+    f"""WITH p AS (SELECT vec_id, embedding, unnest(generate_series(0, 63)) AS i FROM embeddings), d(dy, dx) AS (SELECT a, b FROM (VALUES (-1), (0), (1)) x(a), (VALUES (-1), (0), (1)) y(b)),
+    l AS (SELECT vec_id, i, any_value(embedding[i + 1]) > 0 AS lit, sum(2.0::DOUBLE * embedding[i + 1 + 8 * dy + dx]::DOUBLE) AS x FROM p, d WHERE i // 8 + dy BETWEEN 0 AND 7 AND i % 8 + dx BETWEEN 0 AND 7 GROUP BY vec_id, i),
+    c AS (SELECT vec_id AS n, count(*) FILTER (WHERE 1 / (1 + exp(-x)) >= 0.5 AND lit) AS tp, count(*) FILTER (WHERE 1 / (1 + exp(-x)) >= 0.5 AND NOT lit) AS fp, count(*) FILTER (WHERE NOT 1 / (1 + exp(-x)) >= 0.5 AND lit) AS fn FROM l GROUP BY vec_id)
+    SELECT n, tp, fp, fn, {PRF} FROM c""",
+)
 def onnx_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tiles scored by a convolution model and counted against their masks."""
     import numpy as np
@@ -214,17 +200,67 @@ def onnx_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.rounded(M.prf(df.select("n", count(3).alias("tp"), count(2).alias("fp"), count(1).alias("fn"))))
 
 
+def rgb_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as 4 x 4 images with three channels in [0, 1] and a mask."""
+    e = table(spark, sf_dir, "embeddings")
+    image = F.transform(F.slice("embedding", 1, 48), lambda x: M.sigmoid(x.cast("double") * 4).cast("float"))
+    mask = F.transform(F.slice("embedding", 49, 16), lambda x: F.when(x > 0, 1.0).otherwise(0.0).cast("float"))
+    return e.select(F.col("vec_id").alias("n"), F.lit(4).alias("h"), F.lit(4).alias("w"), image.alias("image"), mask.alias("mask"))
+
+
 @register("augment_tiles")
 def augment_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every tile after one epoch's seeded augmentation."""
-    from tessella.operators import augment as A
+    """Every tile after one epoch's seeded augmentation: rotated, cropped, flipped, with colours shifted."""
+    out = A.augment(rgb_images(spark, sf_dir), AUGMENTATION, epoch=1)
+    return out.select(F.col("n").alias("tile"), *digest(F.col("image")), F.aggregate("mask", F.lit(0.0), lambda a, x: a + x).alias("lit"))
+
+
+AUGMENTATION = A.Plan(crop=(2, 4), hsv_p=0.5, seed=7)
 
-    out = A.augment(_images(spark, sf_dir), A.Plan(crop=(5, 8), hsv_p=0.0, seed=7), epoch=1)
-    return out.select("n", *_digest(F.col("image")), F.aggregate("mask", F.lit(0.0), lambda a, x: a + x).alias("lit"))
 
+def _resized(taps: str, size: int) -> str:
+    """SQL of an interpolated resize of 8 x 8 to size x size; taps: the weights' cases by the tap's place k and the fraction t."""
+    return f"""WITH a AS (SELECT i, (i + 0.5::DOUBLE) * 8 / {size} - 0.5::DOUBLE AS place FROM generate_series(0, {size - 1}) s(i)),
+    f AS (SELECT i, CAST(floor(place) AS INTEGER) AS low, place - floor(place) AS t FROM a),
+    w AS (SELECT i, CAST(least(7, greatest(0, low + k)) AS INTEGER) AS src, {taps} AS weight FROM f, (VALUES (-1), (0), (1), (2)) v(k)),
+    p AS (SELECT vec_id, y.i * {size} + x.i AS i, CAST(sum(y.weight * x.weight * embedding[y.src * 8 + x.src + 1]::DOUBLE) AS FLOAT)::DOUBLE AS v FROM embeddings, w y, w x GROUP BY 1, 2)
+    SELECT vec_id AS tile, count(*) AS n, round(max(v) FILTER (WHERE i = 0), 4) AS head, round(max(v) FILTER (WHERE i = {size * size - 1}), 4) AS tail, round(sum(v * (i + 1)), 4) AS weighted FROM p GROUP BY vec_id"""
 
-@register("resize_bicubic")
+
+@register("resize_bicubic", _resized("CASE WHEN abs(t - k) <= 1 THEN 1.5::DOUBLE * abs(t - k) ** 3 - 2.5::DOUBLE * abs(t - k) ** 2 + 1 ELSE -0.5::DOUBLE * abs(t - k) ** 3 + 2.5::DOUBLE * abs(t - k) ** 2 - 4 * abs(t - k) + 2 END", 12))
 def resize_bicubic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tessella.operators import augment as A
+    return A.resize_tiles(_images(spark, sf_dir), 12, 12).select(F.col("n").alias("tile"), *digest(F.col("image"), 4))
+
+
+@register("resize_bilinear", _resized("CASE WHEN k = 0 THEN 1 - t WHEN k = 1 THEN t ELSE 0 END", 5))
+def resize_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.resize_tiles(_images(spark, sf_dir), 5, 5, "bilinear").select(F.col("n").alias("tile"), *digest(F.col("image"), 4))
+
+
+@register(
+    "cut_tiles",
+    """WITH t AS (SELECT vec_id AS tile, r, c0, embedding FROM embeddings, (VALUES (0), (3)) a(r), (VALUES (0), (3)) b(c0)),
+    p AS (SELECT tile, r, c0, i, embedding[(r + i // 5) * 8 + c0 + i % 5 + 1]::DOUBLE AS v FROM t, generate_series(0, 24) s(i))
+    SELECT tile, r, c0, 5 AS tile_h, 5 AS tile_w, count(*) AS n, round(max(v) FILTER (WHERE i = 0), 6) AS head, round(max(v) FILTER (WHERE i = 24), 6) AS tail, round(sum(v * (i + 1)), 4) AS weighted, sum(CASE WHEN v > 0 THEN 1.0::DOUBLE ELSE 0 END) AS lit FROM p GROUP BY tile, r, c0""",
+)
+def cut_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images and masks of 8 x 8 cut into tiles of 5 x 5, the last ones moved back to the border."""
+    t = tiling.cut_tiles(_images(spark, sf_dir), 5)
+    return t.select(F.col("n").alias("tile"), "r", "c0", "tile_h", "tile_w", *digest(F.col("image")), F.aggregate("mask", F.lit(0.0), lambda a, x: a + x).alias("lit"))
+
+
+@register(
+    "tile_order",
+    """WITH d AS (SELECT p_partkey AS n, p_size * 40 AS h FROM part), s AS (SELECT n, unnest(CASE WHEN h <= 512 THEN [0] ELSE list_distinct(list_append(generate_series(0, h - 512, 512), CAST(h - 512 AS BIGINT))) END) AS r FROM d)
+    SELECT n, CAST(r AS BIGINT) AS r, row_number() OVER (ORDER BY n, r) - 1 AS tile_idx FROM s""",
+)
+def tile_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles numbered over the whole set, image by image, without gathering them in one task."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("n"), F.explode(T.tile_starts(F.col("p_size") * 40, 512)).alias("r"), F.lit(0).alias("c0"))
+    return tiling.tile_index(p).select("n", F.col("r").cast("bigint").alias("r"), "tile_idx")
+
 
-    return A.resize_tiles(_images(spark, sf_dir), 12, 12).select("n", *_digest(F.col("image"), 4))
+@register("tile_batch", "SELECT vec_id AS tile, 64 * 3 AS n, round(embedding[1]::DOUBLE, 6) AS head, round(embedding[64]::DOUBLE, 6) AS tail, round(list_sum(list_transform(generate_series(1, 192), lambda i: embedding[CAST((i - 1) % 64 + 1 AS INTEGER)]::DOUBLE * i)), 4) AS weighted FROM embeddings")
+def tile_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One tile as a batch of three."""
+    return _tiles(spark, sf_dir).select(F.col("vec_id").alias("tile"), *digest(T.repeated(F.col("embedding"), 3)))

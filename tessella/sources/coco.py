@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tessella.operators.pairing import guarded, numbered
+from tessella.operators.rasterize import masks
+
 SCHEMA = "images array<struct<id: bigint, file_name: string, width: int, height: int>>, annotations array<struct<id: bigint, image_id: bigint, segmentation: string>>"
 
 
@@ -21,3 +24,15 @@ def read_coco(spark: SparkSession, path: str, allow_empty: bool = True) -> DataF
     grouped = ann.select("image_id", "id", polygons.alias("p")).groupBy("image_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("id", "p"))), lambda s: s["p"])).alias("polygons"))
     out = images.join(grouped.withColumnRenamed("image_id", "id"), "id", "left" if allow_empty else "inner")
     return out.withColumn("polygons", F.coalesce("polygons", F.array().cast("array<array<double>>")))
+
+
+def pairs(annotated: DataFrame, files: DataFrame, limit: int | None = None, seed: int = 0) -> DataFrame:
+    """(n, file_name, h, w, image, mask): numbered pairs of images and the masks of their polygons. files: (file_name, image); only images that are there count.
+
+    With a limit, so many are taken by a seeded digest of their ids; fewer than that is an error.
+    """
+    there = annotated.join(files.select("file_name"), "file_name", "left_semi")
+    if limit is not None:
+        there = guarded(there.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string")))).limit(limit), limit, "images on disk")
+    there = numbered(there, [F.col("id")], "n").select("n", "file_name", F.col("height").alias("h"), F.col("width").alias("w"), "polygons")
+    return there.select("n", "file_name").join(masks(there), "n").join(files.select("file_name", "image"), "file_name").select("n", "file_name", "h", "w", "image", "mask")

@@ -3,28 +3,68 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tessella.operators.augment import resize
 from tessella.operators.pairing import numeric_key
 
 
-def read_tiles(spark: SparkSession, path: str, prefix: str, extension: str) -> DataFrame:
+def _rgb(size: int | None, mode: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            data, shapes = [], []
+            for r in pdf.itertuples():
+                px = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.nChannels)
+                px = px[..., 2::-1] if r.nChannels >= 3 else px
+                if size is not None:
+                    px = np.clip(np.rint(resize(px, size, size, mode)), 0, 255)
+                data.append(px.ravel().astype(np.int32))
+                shapes.append(px.shape)
+            yield pd.DataFrame({"n": pdf["n"], "path": pdf["path"], **{k: [s[i] for s in shapes] for i, k in enumerate("hwc")}, "data": data})
+
+    return run
+
+
+def read_tiles(spark: SparkSession, path: str, prefix: str, extension: str, size: int | None = None, mode: str = "nearest") -> DataFrame:
     """(n, path, h, w, c, data): files named prefix, digits, extension; data is flat RGB from 0 to 255, alpha dropped.
 
-    The image source keeps pixels as BGR(A) bytes; they become unsigned RGB here, inside the JVM.
+    Tiles keep their own resolution unless a size is given. The image source keeps pixels as BGR(A) bytes; they are turned around in Arrow batches.
     """
     raw = spark.read.format("image").option("dropInvalid", True).option("pathGlobFilter", f"{prefix}*.{extension}").load(path).select("image.*")
     n = numeric_key(F.substring_index("origin", "/", -1), prefix, extension)
-    c, pixels = F.col("nChannels"), F.col("height") * F.col("width")
-    kept = F.when(c == 1, 1).otherwise(3)
-    at = lambda i: F.floor(i / kept).cast("int") * c + F.when(c == 1, 0).otherwise(2 - i % kept)
-    hexes = F.hex("data")
-    byte = lambda i: F.conv(F.substr(hexes, at(i) * 2 + 1, F.lit(2)), 16, 10).cast("int")
-    data = F.transform(F.sequence(F.lit(0), pixels * kept - 1), byte)
-    return raw.select(n.alias("n"), F.col("origin").alias("path"), F.col("height").alias("h"), F.col("width").alias("w"), kept.alias("c"), data.alias("data")).where("n is not null")
+    raw = raw.select(n.alias("n"), F.col("origin").alias("path"), "height", "width", "nChannels", "data").where("n is not null")
+    return raw.mapInPandas(_rgb(size, mode), "n long, path string, h int, w int, c int, data array<int>")
+
+
+def calibration(spark: SparkSession, folder: str, samples: int, size: int, extensions: Sequence[str] = ("jpeg", "jpg", "png", "tif", "tiff")) -> DataFrame:
+    """(n, path, h, w, data): the first `samples` images by path of folder/train, or of folder where that isn't there, scaled bicubically, in [0, 1], channels first.
+
+    The names are listed and cut off before anything is decoded. No image is an error.
+    """
+    base = spark._jvm.org.apache.hadoop.fs.Path(folder, "train")
+    if not base.getFileSystem(spark._jsc.hadoopConfiguration()).exists(base):
+        base = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{{{','.join(extensions)}}}").load(base.toString()).select("path")
+    names = [r.path for r in files.orderBy("path").limit(samples).collect()]
+    if not names:
+        raise FileNotFoundError(f"no calibration images under {base.toString()}")
+    order = F.array_position(F.array(*map(F.lit, names)), F.col("path"))
+    raw = spark.read.format("image").option("dropInvalid", True).load(names).select(F.col("image.origin").alias("path"), "image.height", "image.width", "image.nChannels", "image.data")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples():
+                px = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.nChannels)
+                px = px[..., 2::-1] if r.nChannels >= 3 else np.repeat(px[..., :1], 3, axis=2)
+                out.append(resize(px.astype(np.float32) / 255, size, size, "bicubic").transpose(2, 0, 1).ravel())
+            yield pd.DataFrame({"n": pdf["n"], "path": pdf["path"], "h": size, "w": size, "data": out})
+
+    return raw.withColumn("n", order).mapInPandas(run, "n long, path string, h int, w int, data array<float>")
 
 
 def luma(data: Column, channels: Column) -> Column:
@@ -40,13 +80,15 @@ def masks(tiles: DataFrame) -> DataFrame:
 
 
 def image_size(head: bytes) -> tuple[int, int] | None:
-    """(height, width) from the first bytes of a PNG, GIF or JPEG file."""
+    """(height, width) from the first bytes of a PNG, GIF, JPEG or TIFF file."""
     if head[:8] == b"\x89PNG\r\n\x1a\n" and len(head) >= 24:
         w, h = struct.unpack(">II", head[16:24])
         return h, w
     if head[:6] in (b"GIF87a", b"GIF89a") and len(head) >= 10:
         w, h = struct.unpack("<HH", head[6:10])
         return h, w
+    if head[:4] in (b"II*\0", b"MM\0*") and len(head) >= 8:
+        return _tiff_size(head, "<" if head[:1] == b"I" else ">")
     at = 2
     while head[:2] == b"\xff\xd8" and at + 9 <= len(head):
         if head[at] != 0xFF:
@@ -62,6 +104,20 @@ def image_size(head: bytes) -> tuple[int, int] | None:
     return None
 
 
+def _tiff_size(head: bytes, order: str) -> tuple[int, int] | None:
+    """From the first directory, where that lies in the bytes given; tags 256 and 257 are width and height, of 2 or 4 bytes."""
+    (at,) = struct.unpack_from(order + "I", head, 4)
+    if at + 2 > len(head):
+        return None
+    found = {}
+    for k in range(struct.unpack_from(order + "H", head, at)[0]):
+        if at + 14 + 12 * k > len(head):
+            break
+        tag, kind = struct.unpack_from(order + "HH", head, at + 2 + 12 * k)
+        found[tag] = struct.unpack_from(order + ("H" if kind == 3 else "I"), head, at + 10 + 12 * k)[0]
+    return (found[257], found[256]) if {256, 257} <= found.keys() else None
+
+
 def _sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         found = [image_size(h) or (None, None) for h in pdf["head"]]

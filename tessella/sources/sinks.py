@@ -6,8 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessella.operators.pairing import numbered
+from tessella.functions.tiles import any_positive
+from tessella.operators.pairing import guarded, numbered
 
+# The columns of the metrics file, in their order.
 METRIC_COLUMNS = ("stage", "epoch", "loss", "precision", "recall", "f1", "val_loss", "val_precision", "val_recall", "val_f1", "lr")
 
 
@@ -26,6 +28,18 @@ def write_splits(pairs: DataFrame, path: str, splits: Sequence[str] = ("train",
     out.write.mode("overwrite").partitionBy("split").parquet(path)
 
 
+def numbered_pairs(images: DataFrame, masks: DataFrame, channels: int = 1) -> DataFrame:
+    """(n, key, image, mask): pairs by key, numbered 1..N in key order; the mask is 255 where any of its channels is positive."""
+    found = guarded(images.select("key", "image").join(masks.select("key", "mask"), "key"), 1, "pairs")
+    found = numbered(found, [F.col("key")], "n")
+    return found.select("n", "key", "image", any_positive(F.col("mask"), channels).alias("mask"))
+
+
+def write_pairs(images: DataFrame, masks: DataFrame, path: str, channels: int = 1) -> None:
+    """The numbered pairs as a table; what they were made from stays as it is."""
+    numbered_pairs(images, masks, channels).write.mode("overwrite").parquet(path)
+
+
 def append_scalars(scalars: DataFrame, path: str) -> None:
     """Adds (run, stage, step, tag, value) rows to a log; readers see whole appends."""
     scalars.select("run", "stage", "step", "tag", "value").write.mode("append").partitionBy("run").parquet(path)

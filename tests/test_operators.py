@@ -7,9 +7,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessella import config
 from tessella.functions import text, tiles
-from tessella.operators import augment, history, metrics, pairing, scoring
-from tessella.sources import coco, images, logs, sinks
+from tessella.operators import augment, contract, harness, history, metrics, pairing, rasterize, reports, scoring, tiling
+from tessella.sources import coco, images, logs, scalars, sinks
 
 
 def test_metric_toy(spark):
@@ -267,3 +268,238 @@ def test_stream_monitor(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r.epoch, r.since, r.stop) for r in spark.sql("select * from monitor order by epoch").collect()] == [(1, 0, False), (2, 0, False), (3, 1, False), (4, 2, False), (5, 3, True)]
+
+
+def test_percentiles_and_batches_against_numpy(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([1.0, 2.0, round(rng.random(), 3)]), i) for i in range(500)]
+    df = spark.createDataFrame(rows, "k string, v double, i long").repartition(5)
+    got = {r.k: (r.p, r.q) for r in metrics.percentiles(df, ["k"], "v", {"p": 0.5, "q": 0.9}).collect()}
+    for k in ("a", "b", None):
+        want = np.quantile([v for x, v, _ in rows if x == k], [0.5, 0.9])
+        assert np.allclose(got[k], want)
+    cut = {r.i: (r.k, r.batch) for r in pairing.batches(df, ["k"], [F.col("i")], 4).collect()}
+    for k in ("a", "b", None):
+        ids = [i for x, _, i in rows if x == k]
+        assert all(cut[i] == (k, n // 4) for n, i in enumerate(ids))
+
+
+def test_split_by_hash_takes_the_lowest_digests(spark):
+    import hashlib
+
+    df = spark.range(30_000).withColumnRenamed("id", "n")
+    val = {r.n for r in pairing.split_by_hash(df, "n", 0.37, 9).where("split = 'val'").collect()}
+    assert val == set(sorted(range(30_000), key=lambda n: hashlib.md5(f"9:{n}".encode()).hexdigest())[:11_100])
+    assert pairing.split_by_hash(df.limit(0), "n", 0.2, 3).count() == 0
+
+
+def test_tiles_put_the_image_together_again(spark):
+    rng = np.random.default_rng(6)
+    shapes = {1: (64, 64), 2: (40, 64), 3: (20, 33)}
+    px = {n: rng.random((h, w, 3)).astype(np.float32) for n, (h, w) in shapes.items()}
+    masks = {n: (x[..., 0] > 0.5).astype(np.float32) for n, x in px.items()}
+    df = spark.createDataFrame([(n, h, w, 3, px[n].ravel().tolist(), masks[n].ravel().tolist()) for n, (h, w) in shapes.items()], "n long, h int, w int, c int, image array<float>, mask array<float>")
+    out = tiling.tile_index(tiling.cut_tiles(df, 32)).orderBy("tile_idx").collect()
+    assert [(r.n, r.r, r.c0) for r in out] == [(1, 0, 0), (1, 0, 32), (1, 32, 0), (1, 32, 32), (2, 0, 0), (2, 0, 32), (2, 8, 0), (2, 8, 32), (3, 0, 0), (3, 0, 1)]
+    back = {n: np.zeros_like(x) for n, x in px.items()}
+    for r in out:
+        at = (slice(r.r, r.r + r.tile_h), slice(r.c0, r.c0 + r.tile_w))
+        back[r.n][at] = np.array(r.image, np.float32).reshape(r.tile_h, r.tile_w, 3)
+        assert (np.array(r.mask).reshape(r.tile_h, r.tile_w) == masks[r.n][at]).all()
+    assert all((back[n] == px[n]).all() for n in px) and {(r.tile_h, r.tile_w) for r in out if r.n == 3} == {(20, 32)}
+
+
+def test_polygons():
+    assert rasterize.filled([[0, 0, 4, 0, 4, 3, 0, 3], [1, 1, 2, 2]], 5, 6).sum() == 12
+    assert rasterize.filled([[-5, -5, 20, -5, 20, 20, -5, 20]], 5, 6).all() and not rasterize.filled([], 2, 2).any()
+    triangle = rasterize.filled([[0, 0, 8, 0, 0, 8]], 8, 8)
+    assert all(triangle[y, x] == ((x + 0.5) + (y + 0.5) < 8) for y in range(8) for x in range(8))
+
+
+def _jpeg(spark, path, pixels, kind="jpg"):
+    jvm = spark._jvm
+    image = jvm.java.awt.image.BufferedImage(pixels.shape[1], pixels.shape[0], 1)
+    for y, row in enumerate(pixels.tolist()):
+        for x, (r, g, b) in enumerate(row):
+            image.setRGB(x, y, r << 16 | g << 8 | b)
+    assert jvm.javax.imageio.ImageIO.write(image, kind, jvm.java.io.File(str(path)))
+
+
+def test_jpeg_and_gif_tiles(spark, tmp_path):
+    flat = np.zeros((16, 24, 3), np.uint8)
+    flat[..., 0], flat[:, 12:, 1] = 200, 180
+    _jpeg(spark, tmp_path / "train7.jpeg", flat)
+    _jpeg(spark, tmp_path / "mask7.gif", np.where(flat[..., 1:2] > 0, 255, 0).repeat(3, 2).astype(np.uint8), "gif")
+    r = images.read_tiles(spark, str(tmp_path), "train", "jpeg").first()
+    assert (r.n, r.h, r.w, r.c) == (7, 16, 24, 3) and np.abs(np.array(r.data).reshape(16, 24, 3)[2:-2, [3, 20]].astype(int) - flat[2:-2, [3, 20]]).max() < 12
+    small = images.read_tiles(spark, str(tmp_path), "train", "jpeg", size=8).first()
+    assert (small.h, small.w, len(small.data)) == (8, 8, 192)
+    mask = images.masks(images.read_tiles(spark, str(tmp_path), "mask", "gif")).first()
+    assert (np.array(mask.data).reshape(16, 24) == (flat[..., 1] > 0)).all()
+    big = np.zeros((512, 512, 3), np.uint8)
+    big[..., 2] = np.arange(512)[:, None] // 2
+    (tmp_path / "big").mkdir()
+    (tmp_path / "big" / "train1.png").write_bytes(_png(big))
+    assert images.read_tiles(spark, f"{tmp_path}/big", "train", "png").first().data == big.ravel().tolist()
+
+
+def test_sizes_of_tiff_headers():
+    tags = [(256, 3, 20), (257, 4, 30)]
+    head = b"II*\0" + struct.pack("<IH", 8, 2) + b"".join(struct.pack("<HHII", t, k, 1, v) for t, k, v in tags)
+    assert images.image_size(head) == (30, 20) and images.image_size(head[:20]) is None
+    big = b"MM\0*" + struct.pack(">IH", 8, 2) + struct.pack(">HHIHH", 256, 3, 1, 20, 0) + struct.pack(">HHII", 257, 4, 1, 30)
+    assert images.image_size(big) == (30, 20)
+
+
+def test_calibration(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    with pytest.raises(FileNotFoundError):
+        images.calibration(spark, str(tmp_path), 2, 4)
+    px = {f"{k}.png": rng.integers(0, 256, (6, 5, 3), dtype=np.uint8) for k in "cab"}
+    for name, x in px.items():
+        (tmp_path / name).write_bytes(_png(x))
+    got = images.calibration(spark, str(tmp_path), 2, 4).orderBy("n").collect()
+    assert [r.path.rpartition("/")[2] for r in got] == ["a.png", "b.png"]
+    want = augment.resize(px["a.png"].astype(np.float32) / 255, 4, 4, "bicubic").transpose(2, 0, 1)
+    assert np.allclose(got[0].data, want.ravel(), atol=1e-6)
+    (tmp_path / "train").mkdir()
+    (tmp_path / "train" / "z.png").write_bytes(_png(px["c.png"]))
+    assert images.calibration(spark, str(tmp_path), 9, 4).count() == 1
+
+
+def test_logs_with_several_evaluation_heads(spark):
+    line = LOG.splitlines()[2]
+    text = ["Evaluation on A", " loss Precision", "Evaluation on B", line, " Recall F1Score 1 2", " 3 4", line, "Evaluation on C", line, line, "Evaluation on D"]
+    lines = spark.createDataFrame([("r", k, x) for k, x in enumerate(text)] + [("s", 0, "Evaluation on"), ("s", 1, line)], "run string, pos long, line string")
+
+    def plain(lines):
+        rows, done, inside, tokens = 0, None, False, []
+        for x in lines:
+            if "Evaluation on" in x:
+                inside = True
+            elif inside:
+                tokens += x.split()
+                numbers = [float(t) for t in tokens if t.replace(".", "", 1).isdigit()]
+                if len(numbers) >= 4 and sum(t in logs.FIELDS[:4] for t in tokens) >= 4:
+                    done, inside = numbers[:4], False
+            elif "val_F1Score:" in x:
+                rows += 1
+        return rows, done
+
+    assert logs.epochs(lines.where("run = 'r'"), ["run"], "pos").count() == plain(text)[0] == 2
+    assert [list(r)[1:] for r in logs.evaluation(lines, ["run"], "pos").collect()] == [plain(text)[1]]
+    assert logs.epochs(lines.where("run = 's'"), ["run"], "pos").count() == 0
+
+
+def _record(data):
+    return struct.pack("<Q", len(data)) + b"----" + data + b"----"
+
+
+def test_event_files(spark, tmp_path):
+    f = scoring._field
+    value = lambda tag, x: f(1, f(1, tag) + b"\x15" + struct.pack("<f", x))
+    tensor = lambda tag, x: f(1, f(1, tag) + f(8, f(1, 1) + f(5, struct.pack("<f", x))))
+    event = lambda step, summary: b"\x09" + struct.pack("<d", 1.5) + f(2, step) + f(5, summary)
+    old = _record(event(1, value("val/f1", 0.1)))
+    new = _record(b"\x09" + struct.pack("<d", 0.0) + f(3, "brain.Event:2")) + _record(event(1, value("val/f1", 0.5) + value("loss", 2.0))) + _record(event(300, tensor("val/f1", 0.25)))
+    (tmp_path / "run1").mkdir()
+    (tmp_path / "run1" / "events.out.tfevents.1").write_bytes(old)
+    (tmp_path / "run1" / "events.out.tfevents.2").write_bytes(new + new[:20])
+    got = [(r.step, r.tag, r.value, r.seq) for r in scalars.read_events(spark, str(tmp_path)).orderBy("seq").collect()]
+    assert got == [(1, "val/f1", 0.5, 0), (1, "loss", 2.0, 1), (300, "val/f1", 0.25, 2)]
+
+
+def test_curves_and_results(spark, tmp_path):
+    (tmp_path / "m.csv").write_text("stage,epoch,loss,precision,recall,f1,val_loss,val_precision,val_recall,val_f1,lr\n2,2,1,1,1,1,1,1,1,0.61237,\n2,1,1,1,1,1,1,1,1,0.5,\n2,3,1,1,1,1,1,1,1,,\n1,1,1,1,1,1,1,1,1,0.1,0.01\n")
+    assert scalars.read_curve(spark, f"{tmp_path}/m.csv", 2).first().curve == [0.5, 0.6124]
+    assert scalars.read_curve(spark, f"{tmp_path}/none.csv", 2).first().curve == []
+    (tmp_path / "r.json").write_text(json.dumps({"unet": {"params": 5, "minutes": 1.5, "metrics": {"f1": 0.5}, "stage2_f1": [0.1, 0.7]}, "hrnet": {"params": 7}}))
+    got = {r.arch: (r.params, r.metrics and r.metrics.f1, r.stage2_f1) for r in scalars.read_results(spark, f"{tmp_path}/r.json").collect()}
+    assert got == {"unet": (5, 0.5, [0.1, 0.7]), "hrnet": (7, None, None)}
+    assert scalars.read_results(spark, f"{tmp_path}/none.json").count() == 0
+
+
+def test_pairs_and_coco_pairs(spark, tmp_path):
+    images_ = spark.createDataFrame([("b", [1]), ("a", [2]), ("c", [3])], "key string, image array<int>")
+    masks = spark.createDataFrame([("a", [0, 0, 5, 0]), ("b", [0, 9, 0, 0]), ("d", [1, 1, 1, 1])], "key string, mask array<int>")
+    sinks.write_pairs(images_, masks, f"{tmp_path}/p", channels=2)
+    assert {(r.n, r.key, tuple(r.mask)) for r in spark.read.parquet(f"{tmp_path}/p").collect()} == {(1, "a", (0, 255)), (2, "b", (255, 0))}
+    with pytest.raises(ValueError, match="pairs: 0 of 1"):
+        sinks.numbered_pairs(images_, masks.where("key = 'd'"))
+    doc = {"images": [{"id": k, "file_name": f"{k}.tiff", "width": 6, "height": 5} for k in (3, 1, 2)], "annotations": [{"id": 1, "image_id": 3, "segmentation": [[0, 0, 2, 0, 2, 2, 0, 2], [4, 4, 6, 4, 6, 5, 4, 5]]}]}
+    (tmp_path / "d.json").write_text(json.dumps(doc))
+    files = spark.createDataFrame([("3.tiff", [7]), ("1.tiff", [8])], "file_name string, image array<int>")
+    all_ = coco.read_coco(spark, f"{tmp_path}/d.json")
+    got = {r.n: (r.file_name, sum(r.mask), len(r.mask)) for r in coco.pairs(all_, files).collect()}
+    assert got == {1: ("1.tiff", 0.0, 30), 2: ("3.tiff", 6.0, 30)}
+    assert coco.pairs(coco.read_coco(spark, f"{tmp_path}/d.json", allow_empty=False), files).count() == 1
+    assert coco.pairs(all_, files, limit=1).count() == 1
+    with pytest.raises(ValueError, match="images on disk: 2 of 3"):
+        coco.pairs(all_, files, limit=3)
+
+
+def test_contract(spark):
+    good = (["n", "3", "512", "512"], ["n", "1", "h", "w"])
+    rows = [("good", [good[0]], [good[1]]), ("fixed", [["1", "3", "512", "512"]], [good[1]]), ("two", [good[0], good[0]], [good[1]]), ("small", [["n", "3", "256", "512"]], [["n", "2", "512", "512"]]), ("flat", [["n", "3"]], [good[1]])]
+    df = spark.createDataFrame(rows, "name string, inputs array<array<string>>, outputs array<array<string>>")
+    got = {r[0]: r[1] for r in df.select("name", contract.broken_rules(F.col("inputs"), F.col("outputs"))).collect()}
+    assert got == {"good": [], "fixed": ["input batch"], "two": ["one input and one output"], "small": ["input side", "output channels"], "flat": ["input rank"]}
+    assert contract.validated(df.where("name = 'good'")).count() == 1
+    with pytest.raises(Exception, match="fixed breaks the contract: input batch"):
+        contract.validated(df.where("name = 'fixed'")).collect()
+
+
+def test_harness(spark):
+    df = spark.createDataFrame([(1, 4.0), (2, 0.0)], "id long, x double")
+    ticks = iter(range(1000))
+    one = {r.id: (r.result, r.error) for r in harness.attempted(df, "id", lambda r: 8 / r.x).collect()}
+    assert one == {1: (2.0, None), 2: (None, "ZeroDivisionError: float division by zero")}
+    out = harness.timed(df.coalesce(1), "id", lambda r: r.x, warmup=3, runs=5)
+    assert metrics.latency_stats(out, ["id"], "ms").select("id", "runs").orderBy("id").collect() == [(1, 5), (2, 5)] and next(ticks) == 0
+
+
+def test_reports(spark):
+    df = spark.createDataFrame([(2, "b", None), (1, "a", 0.5)], "pos int, m string, x double")
+    text_ = reports.markdown(df, {"m": F.col("m"), "x": reports.number(F.col("x"), 2)}, ["pos"], ["# T"]).first().report
+    assert text_ == "# T\n| m | x |\n|---|---|\n| a | 0.50 |\n| b | — |"
+
+
+def test_settings():
+    c = config.from_args(["--data-dir", "d", "--arch", "hrnet", "--multiscale", "--batch-size", "8"])
+    assert (c.arch, c.multiscale, c.batch_size, c.two_stage) == ("hrnet", True, 8, False)
+    assert config.from_args(["--stage1-dir", "a", "--stage2-dir", "b"]).two_stage
+    for bad, said in ((["--arch", "x", "--data-dir", "d"], "unknown arch"), (["--arch", "hrnet", "--width-mult", "0.5", "--data-dir", "d"], "width_mult"), (["--arch", "hrnet", "--export-second", "--data-dir", "d"], "export"), ([], "data_dir"), (["--stage1-dir", "a"], "data_dir")):
+        with pytest.raises(ValueError, match=said):
+            config.from_args(bad)
+    assert config.with_env(c, {"TESSELLA_MULTISCALE": " no", "TESSELLA_SEED": "7", "TESSELLA_ARCH": "unet"}) == config.replace(c, multiscale=False, seed=7, arch="unet")
+    assert [config.resolve_device(*a) for a in (("auto", ["cuda", "mps"]), ("auto", []), ("cuda", []))] == ["mps", "cpu", "cuda"]
+
+
+def test_stage_rates_and_last_stage(spark):
+    losses = [0.5, 0.5, 0.5, 0.5, 0.9, 0.9, 0.9, 0.9, 0.9]
+    df = spark.createDataFrame([("r", 1 + (e > 4), e, x) for e, x in enumerate(losses, 1)], "run string, stage long, epoch long, loss double")
+    rate = lambda carry: [r.lr for r in history.plateau(df, ["run"], "loss", stage="stage", carry=carry).orderBy("epoch").collect()]
+    assert np.allclose(rate(False), [1e-3] * 3 + [1e-4] + [1e-3] * 3 + [1e-4] * 2)
+    assert np.allclose(rate(True), [1e-3] * 3 + [1e-4] + [1e-4] * 3 + [1e-5] * 2)
+    assert tuple(history.best_of_last_stage(df, ["run"], "loss").first()) == ("r", 2, 5, 0.9)
+
+
+def test_augmented_frame_is_that_of_numpy(spark, sf):
+    from tessella.plans import tiling as plans
+
+    before = {r.n: r for r in plans.rgb_images(spark, sf).collect()}
+    after = {r.tile: r for r in plans.augment_tiles(spark, sf).collect()}
+    assert before.keys() == after.keys()
+    changed = 0
+    for n, r in before.items():
+        image, mask = np.array(r.image, np.float32).reshape(4, 4, 3), np.array(r.mask, np.float32).reshape(4, 4)
+        want, lit = augment.augmented(image, mask, plans.AUGMENTATION, n, 1)
+        flat = want.ravel().astype(float)
+        assert after[n].n == 48 and abs(after[n].head - flat[0]) < 1e-5 and abs(after[n].weighted - (flat * np.arange(1, 49)).sum()) < 1e-3 and after[n].lit == lit.sum()
+        changed += not np.allclose(want, image)
+    assert changed > 0.9 * len(before)
+
+
+def test_repeated_tiles_and_names(spark):
+    row = spark.range(1).select(tiles.repeated(F.array(F.lit(1), F.lit(2)), 2), F.size(tiles.zeros(2, 3, 4)), text.without_suffix(F.lit("a.hdf5"), ".hdf5"), text.asset_name(F.lit("a"), F.lit(""), "onnx"), text.asset_name(F.lit("a"), F.lit("fp16"), "onnx")).first()
+    assert tuple(row) == ([1, 2, 1, 2], 24, "a", "a.onnx", "a_fp16.onnx")

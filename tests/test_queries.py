@@ -32,6 +32,8 @@ def rows(columns, values):
 @pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query(name, spark, sf, db):
     df = catalog.queries()[name](spark, sf)
+    assert len({c.lower() for c in df.columns}) == len(df.columns)
+    df.write.format("noop").mode("overwrite").save()
     got = rows(df.columns, df.collect())
     if name not in catalog.oracle_sql():
         assert got
