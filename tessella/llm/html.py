@@ -2,9 +2,10 @@
 
 A page becomes a tree of block elements (inline markup is transparent, unclosed elements are closed where HTML closes them) whose
 leaves are text slots; its children, read in order, are the token stream. The wrapper of a host is a union-free regular expression over such streams: it starts
-as one page's and is aligned with the next, again and again; what only one of them has becomes optional, neighbours of one shape become a repeated
-group, and differing strings become text slots. Pages whose folded expressions are equal count once, and expressions are merged first within
-salted parts of a host and then across them, so that a host with a third of all pages is not one task's work.
+as one page's and is aligned with the next, again and again; what only one of them has becomes optional, neighbours of one shape, or sequences of shapes such as
+heading and paragraph, become a repeated group, and differing strings become text slots. Pages whose folded expressions are equal count once, and the different ones of a
+host are merged in a tree of groups of about FAN, so that a host with a third of all pages is not one task's work. Long streams are aligned between names that
+occur once in both, so aligning takes little more than linear time.
 
 Each slot of a wrapper is judged once for its host: slots under navigation, headers and footers, sidebars, notices, adverts,
 forms, scripts, styles and reader comments are not text; on pages that have slots in an article or main region, what is left of it is, but for slots that
@@ -13,13 +14,16 @@ it is the slots whose strings are long, differ between pages and aren't mostly l
 Pages are then read through their host's wrapper, each in the highest region that it has itself.
 
 Defined results: null and empty html give an empty text; each page with a null or strange url is judged by itself; rows with a null or repeated page_id
-are treated like others; truncated pages are read as far as they go; an empty table gives an empty result; extra columns are ignored.
+are treated like others; truncated pages are read as far as they go; an element more than DEPTH deep becomes a sibling of the one before it, as in browsers;
+pages of any length are read whole; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -39,6 +43,8 @@ MARKS = frozenset("ad ads adv advert adverts advertisement advertising sponsor s
 REGION = frozenset("article main".split())
 REGION_MARKS = frozenset("article main content post entry story articlebody".split())
 FEW = 3  # different pages that make an unvarying slot a fixed one
+DEPTH, GROUP, FAN = 200, 16, 256  # deepest nesting of blocks; longest sequence that is found to repeat; expressions merged at once
+EXACT = 40_000  # pairs of items up to which streams are aligned by the whole table
 GROUPS = frozenset("ul ol dl table blockquote pre figure details".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
@@ -106,6 +112,7 @@ class Page:
         marks = sorted({w for g in _attr.findall(attrs) for w in _words.findall("".join(g[1:]).lower())}) if attrs else []
         label = ".".join([name, *marks])
         node = [label, []]
+        del self.stack[DEPTH:]
         self.stack[-1][2][1].append(node)
         self.stack.append((name, f"{self.stack[-1][1]}/{label}", node))
 
@@ -130,8 +137,9 @@ class Page:
                 return
 
 
-# Expressions: [[times, item], ...]; times is one of 1 ? + *; item is "#" or [label, expression].
+# Expressions: [[times, item], ...]; times is one of 1 ? + *; item is "#" or [label, expression], or a sequence, whose label is its members' names behind a bracket.
 OR = {("1", "1"): "1", ("+", "1"): "+", ("+", "+"): "+", ("1", "?"): "?", ("?", "?"): "?"}
+OPEN, NEXT = "(", "\x1f"
 
 
 def both(a: str, b: str) -> str:
@@ -142,8 +150,12 @@ def name_of(item) -> str:
     return item if isinstance(item, str) else item[0]
 
 
+def names(items: list[list]) -> list[str]:
+    return [name_of(x[1]) for x in items]
+
+
 def folded(items: list[list]) -> list[list]:
-    """Neighbours with one name become one repeated item."""
+    """Neighbours with one name become one repeated item, sequences that follow one another one repeated sequence."""
     out: list[list] = []
     for times, item in items:
         if out and name_of(out[-1][1]) == name_of(item):
@@ -152,7 +164,49 @@ def folded(items: list[list]) -> list[list]:
             before[1] = merged_item(before[1], item)
         else:
             out.append([times, item])
-    return out
+    return grouped(out)
+
+
+def grouped(items: list[list]) -> list[list]:
+    """Shorter sequences are found before longer ones."""
+    for k in range(2, GROUP + 1):
+        if len(items) < 2 * k:
+            break
+        name, out, i = names(items), [], 0
+        while i < len(items):
+            n = 1
+            while name[i + n * k : i + n * k + 1] == name[i : i + 1] and name[i + n * k : i + (n + 1) * k] == name[i : i + k]:
+                n += 1
+            if n == 1:
+                out.append(items[i])
+                i += 1
+                continue
+            body = items[i : i + k]
+            for m in range(1, n):
+                body = [[both(x[0], y[0]), merged_item(x[1], y[1])] for x, y in zip(body, items[i + m * k : i + (m + 1) * k], strict=True)]
+            out.append(["+", [OPEN + NEXT.join(name[i : i + k]), body]])
+            i += n * k
+        items = out
+    return items
+
+
+def absorbed(items: list[list], groups: set[str]) -> list[list]:
+    """items with single runs of the members of these sequences as one of the sequence each."""
+    for label in sorted(groups):
+        want = label[1:].split(NEXT)
+        k, name = len(want), names(items)
+        if label.count(OPEN) > 1 or label in name:
+            continue
+        out, i = [], 0
+        while i < len(items):
+            if name[i] == want[0] and name[i : i + k] == want:
+                out.append(["1", [label, items[i : i + k]]])
+                i += k
+            else:
+                out.append(items[i])
+                i += 1
+        items = out
+    return items
 
 
 def expression(node: list) -> list[list]:
@@ -163,28 +217,93 @@ def merged_item(a, b):
     return a if isinstance(a, str) else [a[0], merged(a[1], b[1])]
 
 
-def merged(a: list[list], b: list[list]) -> list[list]:
-    """The expression that both a and b match: their longest common alignment, the rest optional."""
-    if a == b:
-        return a
+def aligned(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of equal names in both, rising: the longest such list where that is cheap, else what lies between names that occur once in both, else the first that fits."""
+    out, todo = [], [(0, len(a), 0, len(b))]
+    while todo:
+        i, n, j, m = todo.pop()
+        while i < n and j < m and a[i] == b[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        while i < n and j < m and a[n - 1] == b[m - 1]:
+            n, m = n - 1, m - 1
+            out.append((n, m))
+        if i == n or j == m:
+            continue
+        if (n - i) * (m - j) <= EXACT:
+            out += longest(a[i:n], b[j:m], i, j)
+            continue
+        once, other = Counter(a[i:n]), Counter(b[j:m])
+        place = {x: q for q, x in enumerate(b[j:m], j) if once[x] == other[x] == 1}
+        rising = increasing([(p, place[x]) for p, x in enumerate(a[i:n], i) if x in place])
+        if not rising:
+            where: dict[str, list[int]] = {}
+            for q in range(j, m):
+                where.setdefault(b[q], []).append(q)
+            for p in range(i, n):
+                found = where.get(a[p], [])
+                k = bisect_left(found, j)
+                if k < len(found):
+                    out.append((p, found[k]))
+                    j = found[k] + 1
+            continue
+        out += rising
+        for (p, q), (p2, q2) in zip([(i - 1, j - 1), *rising], [*rising, (n, m)], strict=True):
+            todo.append((p + 1, p2, q + 1, q2))
+    return sorted(out)
+
+
+def longest(a: list[str], b: list[str], i0: int, j0: int) -> list[tuple[int, int]]:
+    """The longest common subsequence by the whole table."""
     n, m = len(a), len(b)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
+        row, below = best[i], best[i + 1]
         for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if name_of(a[i][1]) == name_of(b[j][1]) else max(best[i + 1][j], best[i][j + 1])
+            row[j] = below[j + 1] + 1 if a[i] == b[j] else max(below[j], row[j + 1])
     out, i, j = [], 0, 0
-    maybe = lambda x: [both(x[0], "?"), x[1]]
     while i < n and j < m:
-        if name_of(a[i][1]) == name_of(b[j][1]):
-            out.append([both(a[i][0], b[j][0]), merged_item(a[i][1], b[j][1])])
+        if a[i] == b[j]:
+            out.append((i0 + i, j0 + j))
             i, j = i + 1, j + 1
         elif best[i + 1][j] >= best[i][j + 1]:
-            out.append(maybe(a[i]))
             i += 1
         else:
-            out.append(maybe(b[j]))
             j += 1
-    return folded(out + [maybe(x) for x in a[i:]] + [maybe(x) for x in b[j:]])
+    return out
+
+
+def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest part of pairs, rising in the first place, that rises in the second too."""
+    tails: list[int] = []
+    ends: list[int] = []
+    back = []
+    for k, (_, q) in enumerate(pairs):
+        at = bisect_left(tails, q)
+        back.append(ends[at - 1] if at else -1)
+        tails[at : at + 1], ends[at : at + 1] = [q], [k]
+    out, k = [], ends[-1] if ends else -1
+    while k >= 0:
+        out.append(pairs[k])
+        k = back[k]
+    return out[::-1]
+
+
+def merged(a: list[list], b: list[list]) -> list[list]:
+    """The expression that both a and b match: what is aligned in both, the rest optional."""
+    if a == b:
+        return a
+    groups = [{x for x in names(s) if x[0] == OPEN} for s in (a, b)]
+    if groups[0] or groups[1]:
+        a, b = absorbed(a, groups[1] - groups[0]), absorbed(b, groups[0] - groups[1])
+    out, i, j = [], 0, 0
+    maybe = lambda x: [both(x[0], "?"), x[1]]
+    for p, q in [*aligned(names(a), names(b)), (len(a), len(b))]:
+        out += [maybe(x) for x in a[i:p]] + [maybe(x) for x in b[j:q]]
+        if p < len(a):
+            out.append([both(a[p][0], b[q][0]), merged_item(a[p][1], b[q][1])])
+        i, j = p + 1, q + 1
+    return folded(out)
 
 
 def slots(expr: list[list], path: str = "", repeated: bool = False, always: bool = True) -> Iterator[tuple[str, bool, bool]]:
@@ -194,7 +313,7 @@ def slots(expr: list[list], path: str = "", repeated: bool = False, always: bool
         if isinstance(item, str):
             yield path, again, there
         else:
-            below = f"{path}/{item[0]}"
+            below = path if item[0][0] == OPEN else f"{path}/{item[0]}"
             yield from slots(item[1], below, again, there or region(below) > region(path))
 
 
@@ -309,12 +428,15 @@ def _judge(wrappers: pd.DataFrame, stats: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"host": [wrappers["host"].iloc[0]], "expr": [wrappers["expr"].iloc[0]], "keep": [keep]})
 
 
-def wrappers(pages: DataFrame, salts: int = 16) -> DataFrame:
+def wrappers(pages: DataFrame, fan: int = FAN) -> DataFrame:
     """(host, expr, keep): each host's wrapper and the hashes of the paths of its text slots by region rank. pages: (host, html)."""
     found, _ = stored(pages.select("host", "html").mapInArrow(_streams, STREAMS), "streams")
     exprs = found.where("expr is not null").select("host", "expr").distinct()
-    parts = exprs.withColumn("salt", F.pmod(F.xxhash64("expr"), F.lit(salts))).groupBy("host", "salt").applyInPandas(_merge, "host string, expr string")
-    whole = parts.groupBy("host").applyInPandas(_merge, "host string, expr string")
+    most = exprs.groupBy("host").count().agg(F.max("count")).first()[0] or 0
+    while most > fan:
+        most = -(-most // fan)
+        exprs = exprs.groupBy("host", F.pmod(F.xxhash64("expr"), F.lit(most)).alias("part")).applyInPandas(_merge, "host string, expr string").distinct()
+    whole = exprs.groupBy("host").applyInPandas(_merge, "host string, expr string")
     stats = found.where("path is not null").groupBy("host", "path").agg(F.sum("strings").alias("strings"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.min("least").alias("least"), F.max("most").alias("most"), F.size(F.array_distinct(F.flatten(F.collect_list("seen")))).alias("seen"))
     return whole.groupBy("host").cogroup(stats.groupBy("host")).applyInPandas(_judge, "host string, expr string, keep array<array<long>>")
 
@@ -366,7 +488,7 @@ def extract(pages: DataFrame, broadcast_hosts: int = 20_000, salts: int = 16) ->
     tune(pages.sparkSession)
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), _host, 1))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    verdicts, _ = stored(wrappers(rows.where("host <> ''"), salts), "wrappers")
+    verdicts, _ = stored(wrappers(rows.where("host <> ''")), "wrappers")
     verdicts = verdicts.select("host", "keep")
     if verdicts.count() <= broadcast_hosts:
         joined = rows.join(F.broadcast(verdicts), "host", "left")

@@ -336,3 +336,95 @@ def test_ids_beyond_16_bits_are_refused():
     for bad in ([65_536], [-1, 5]):
         with pytest.raises(ValueError):
             mixcoder.encode([np.array([1, 2]), np.array(bad)])
+
+
+def _language(expr):
+    """A regular expression over a stream's names, each in brackets."""
+    import re
+
+    out = ""
+    for times, item in expr:
+        if isinstance(item, str):
+            one = re.escape("<#>")
+        elif item[0][0] == html.OPEN:
+            one = _language(item[1])
+        else:
+            one = re.escape(f"<{item[0]}>") + _language(item[1]) + re.escape("</>")
+        out += f"(?:{one}){'' if times == '1' else times}"
+    return out
+
+
+def _stream(node):
+    return "".join("<#>" if isinstance(c, str) else f"<{c[0]}>{_stream(c)}</>" for c in node[1])
+
+
+def test_a_wrapper_matches_every_page_that_it_comes_from():
+    import re
+
+    rng = random.Random(53)
+    for _ in range(60):
+        blocks = ["h2", "p", "ul", "div class=a", "div class=b", "blockquote"]
+        unit = rng.sample(blocks, rng.randrange(2, 4))
+        pages = []
+        for _ in range(5):
+            body = [b for b in rng.sample(blocks, 3) if rng.random() < 0.6] + unit * rng.randrange(1, 5) + rng.choices(blocks, k=rng.randrange(3))
+            pages.append("<body>" + "".join(f"<{b}>{'<li>x</li>' * rng.randrange(1, 3) if b == 'ul' else 'text'}</{b.split()[0]}>" for b in body) + "</body>")
+        trees = [html.Page(p).tree for p in pages]
+        wrapper = html.expression(trees[0])
+        for t in trees[1:]:
+            wrapper = html.merged(wrapper, html.expression(t))
+        assert all(re.fullmatch(_language(wrapper), _stream(t)) for t in trees)
+
+
+def test_sequences_that_repeat():
+    a = html.expression(html.Page("<h2>a</h2><p>b</p><h2>c</h2><p>d</p><p>e</p><h2>f</h2><p>g</p>").tree)
+    label = html.OPEN + html.NEXT.join(["h2", "p"])
+    assert a == [["+", [label, [["1", ["h2", [["1", "#"]]]], ["+", ["p", [["1", "#"]]]]]]]]
+    b = html.expression(html.Page("<ul><li>n</ul><h2>a</h2><p>b</p>").tree)
+    for x, y in ((a, b), (b, a)):
+        assert [(t, html.name_of(i)) for t, i in html.merged(x, y)] == [("?", "ul"), ("+", label)]
+
+
+def test_alignment_is_the_longest_or_fits():
+    rng = random.Random(59)
+    for n in (5, 40, 400):
+        a, b = ([f"n{rng.randrange(n // 2 + 2)}" for _ in range(n)] for _ in range(2))
+        got = html.aligned(a, b)
+        assert all(a[i] == b[j] for i, j in got) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(got, got[1:], strict=False))
+        if n * n <= html.EXACT:
+            assert len(got) >= len(html.longest(a, b, 0, 0))
+
+
+def test_deep_and_wide_pages(spark):
+    deep = "<article>" + "<div>" * 5000 + "<p>bottom</p>" + "</div>" * 5000 + "<p>after</p></article>"
+    wide = "<article>" + "".join(f"<div class=c{i % 977}>t{i}</div>" for i in range(50_000)) + "</article>"
+    other = "<article>" + "".join(f"<div class=c{i * 7 % 991}>u{i}</div>" for i in range(50_000)) + "</article>"
+    rows = [(1, "http://a.b/", deep), (1, "http://a.b/", deep), (2, "http://w.b/", wide), (3, "http://w.b/", other), (4, None, deep)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == got[4] == "bottom\nafter"
+    assert got[2] == "\n".join(f"t{i}" for i in range(50_000)) and got[3] == "\n".join(f"u{i}" for i in range(50_000))
+
+
+def test_extraction_against_known_templates(spark):
+    """Hosts of random templates: what a template repeats on every page is not text, what varies is."""
+    rng = random.Random(61)
+    rows, want = [], {}
+    for h in range(6):
+        region = rng.choice(["article", "main", "div class=content"])
+        fixed = [f"<div class=x{k}><p>Fixed line {h} {k} of this host, told to every reader of it.</p></div>" for k in range(3)]
+        for i in range(20):
+            parts, text = [fixed[0]], []
+            for k in range(rng.randrange(1, 5)):
+                t, p = f"Head {h} {i} {k}", f"Prose {h} {i} {k} that nobody else has written."
+                parts += [f"<h2>{t}</h2><p>{p}</p>"]
+                text += [t, p]
+            if rng.random() < 0.5:
+                parts.append(f"<blockquote>quote {i}</blockquote>")
+                text.append(f"quote {i}")
+            page = f"<body><nav>n</nav><{region}>{''.join(parts)}{fixed[1]}</{region.split()[0]}>{fixed[2]}<footer>f</footer></body>"
+            rows.append((100 * h + i, f"https://host{h}.org/{i}", page))
+            want[100 * h + i] = "\n".join(text)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    assert {r.page_id: r.text for r in html.extract(pages).collect()} == want
+    groups = html.wrappers(pages.selectExpr("'one' as host", "html"), fan=3).collect()
+    assert len(groups) == 1
