@@ -21,9 +21,13 @@ def filled(polygons: Sequence[Sequence[float]], height: int, width: int) -> np.n
         x1, y1 = (int(v) for v in np.clip(high, 0, (width, height)))
         x, y = np.arange(x0, x1) + 0.5, (np.arange(y0, y1) + 0.5)[:, None]
         inside = np.zeros((y1 - y0, x1 - x0), bool)
-        for (ax, ay), (bx, by) in zip(points, np.roll(points, -1, axis=0), strict=True):
-            if ay != by:
-                inside ^= ((ay > y) != (by > y)) & (x < (bx - ax) * (y - ay) / (by - ay) + ax)
+        ends = np.concatenate([points[1:], points[:1]])
+        sloped = points[:, 1] != ends[:, 1]
+        a, b = points[sloped], ends[sloped]
+        step = max(1, (1 << 16) // max(1, inside.size))  # so many edges at once
+        for k in range(0, len(a), step):
+            (ax, ay), (bx, by) = (e[k : k + step].T[..., None, None] for e in (a, b))
+            inside ^= np.logical_xor.reduce(((ay > y) != (by > y)) & (x < (bx - ax) * (y - ay) / (by - ay) + ax), axis=0)
         out[y0:y1, x0:x1] |= inside
     return out
 
