@@ -8,7 +8,7 @@ passes. Within each component, pairs are then compared in blocks of at most `blo
 the links of a group of copies that is larger than any window as well.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and those with a null label, link with nothing and
-are their own component; vectors of different lengths don't link; a null vec_id is returned with no links and a null component; rows repeated with
+are their own component; vectors of different lengths don't link; labels of any type count as equal where their values are; a null vec_id is returned with no links and a null component; rows repeated with
 one vec_id and vector count once; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -235,7 +235,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, passes: in
     tune(spark)
     element = vectors.schema["embedding"].dataType.elementType
     kind = "<f4" if isinstance(element, T.FloatType) else "<f8"
-    source = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast(f"array<{'float' if kind == '<f4' else 'double'}>").alias("embedding"))
+    label = F.col("label")
+    if not isinstance(vectors.schema["label"].dataType, T.IntegralType):  # other labels are known by a hash of theirs
+        label = F.when(label.isNotNull(), F.xxhash64(label))
+    source = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), label.cast("long").alias("label"), F.col("embedding").cast(f"array<{'float' if kind == '<f4' else 'double'}>").alias("embedding"))
     rows, _ = stored(source.mapInArrow(_keyed(kind, False), "vec_id long, key binary"), "vectors")
     whole = source.mapInArrow(_keyed(kind, True), "vec_id long, key binary, label long, v binary").where("key is not null")
     found = whole.groupBy("key").agg(F.min("vec_id").alias("id"), F.first("label").alias("label"), F.first("v").alias("v"))

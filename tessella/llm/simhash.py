@@ -1,9 +1,10 @@
 """SimHash near-duplicates: 64-bit fingerprints of three-word shingles, linked at three or fewer differing bits.
 
-Candidates come from agreeing blocks of bits: of five blocks, two are equal in any linked pair, so every
-fingerprint is dealt out under ten masked copies of itself. Inside such a bucket each fingerprint has a row in a
-pivot table, its Hamming distances to sixteen reference fingerprints; by the triangle inequality a pair whose rows
-differ by more than three in any column can't be linked. The survivors are verified bit by bit. Buckets of more
+Each fingerprint has a row in a pivot table, its Hamming distances to sixteen reference fingerprints; by the triangle inequality a pair whose rows
+differ by more than three in any column can't be linked. Candidates come from pivot distances and agreeing blocks of bits together: of five blocks, two are equal
+in any linked pair, so every fingerprint is dealt out under ten masked copies of itself, each of them with its distance to one of the pivots in
+cells of CELL; a fingerprint so near the end of its cell that a linked one may be in the next goes to that too. Inside a bucket rows are ordered by the first column of the
+table, pairs are discarded by the largest difference of any column, and the survivors are verified bit by bit. Buckets of more
 than `most` fingerprints go on to eight blocks of which five agree, then to sixteen of which thirteen agree, which
 leaves 12 free bits and so at most 4096 different fingerprints: no bucket is ever compared beyond that size and no pair is lost.
 
@@ -24,7 +25,7 @@ from xxhash import xxh64_intdigest
 
 from tessella.llm.common import components, find, fresh, partitions, stored, tune, unite, utf8
 
-BITS, PIVOTS, RADIUS = 64, 16, 3
+BITS, PIVOTS, RADIUS, CELL = 64, 16, 3, 8
 LEVELS = ((5, 2), (8, 5), (16, 13))
 
 
@@ -113,6 +114,14 @@ def pivots(n: int = PIVOTS) -> np.ndarray:
     return np.random.default_rng(0x51A4A5).integers(0, 1 << 64, n, dtype=np.uint64)
 
 
+def pivot_cells(fp: Column, pivot: int) -> list[Column]:
+    """The cell of a fingerprint's distance to a pivot, and the next one where a linked fingerprint may lie there (else null)."""
+    word = int(pivots()[pivot % PIVOTS].view(np.int64))
+    distance = F.bit_count(fp.bitwiseXOR(F.lit(word)))
+    cell = F.floor(distance / CELL).cast("int")
+    return [cell, F.when(distance % CELL >= CELL - RADIUS, cell + 1)]
+
+
 def pivot_table(fps: np.ndarray) -> np.ndarray:
     """Hamming distances of every fingerprint to every pivot."""
     return np.bitwise_count(fps[:, None] ^ pivots()[None, :]).astype(np.int16)
@@ -206,8 +215,9 @@ def candidate_links(reps: DataFrame, most: int = 4096) -> DataFrame:
     left, found = reps, None
     for blocks, agree in LEVELS:
         last = (blocks, agree) == LEVELS[-1]
-        keys = F.array(*[F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks(blocks, agree))])
-        rows = left.select("id", "fp", F.explode(keys).alias("k")).select("k.mask", "k.key", "id", "fp")
+        # mask: which blocks and which cell of the pivot that goes with them
+        keys = [F.when(cell.isNotNull(), F.struct((cell + 16 * i).alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("key"))) for i, m in enumerate(masks(blocks, agree)) for cell in pivot_cells(F.col("fp"), i)]
+        rows = left.select("id", "fp", F.explode(F.array_compact(F.array(*keys))).alias("k")).select("k.mask", "k.key", "id", "fp")
         rows = rows.repartition(partitions(spark), "mask", "key").sortWithinPartitions("mask", "key")
         links, _ = stored(rows.mapInArrow(_buckets(1 << 13 if last else most), LINK), "links")
         hot = links.where("b is null")

@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from helpers import docs, roots, strange
 from tessella.llm import embeddings, exact_dedup, simhash, substring
 from tessella.llm.common import components
@@ -267,3 +268,22 @@ def test_rows_of_one_id_and_other_texts_lose_only_their_own(spark):
     got = Counter((r.doc_id, r.text) for r in substring.substring_dedup(docs(spark, rows)).collect())
     assert got == {(1, a): 1, (5, b): 1, (5, f"{c}\nkept"): 2}
     assert Counter((r.doc_id, r.text) for r in substring.drop_passages(docs(spark, rows)).collect()) == got
+
+
+def test_pivot_cells_lose_no_pair(spark):
+    rng = np.random.default_rng(67)
+    a = rng.integers(0, 1 << 64, 3000, dtype=np.uint64)
+    b = a.copy()
+    for _ in range(3):
+        b ^= np.uint64(1) << rng.integers(0, 64, 3000, dtype=np.uint64)
+    df = spark.createDataFrame([(int(x.view(np.int64)), int(y.view(np.int64))) for x, y in zip(a, b, strict=True)], "x long, y long")
+    for p in (0, 7, 20):
+        one, two = (F.array_compact(F.array(*simhash.pivot_cells(F.col(c), p))) for c in "xy")
+        assert df.where(~F.arrays_overlap(one, two)).count() == 0
+
+
+def test_labels_of_other_types(spark):
+    rows = [(1, [1.0, 0.0], 1.2), (2, [1.0, 0.0], 1.7), (3, [1.0, 0.0], 1.7), (4, [1.0, 0.0], None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label double")
+    for d in (df, df.withColumn("label", F.concat(F.lit("label "), F.col("label").cast("string")))):
+        assert {r.vec_id: r.component_id for r in embeddings.near_duplicates(d).collect()} == {1: 1, 2: 2, 3: 2, 4: 4}

@@ -54,3 +54,25 @@ def test_stages_against_brute_force(spark, sf, tmp_path):
 
 def test_run_reads_what_it_wrote(spark, sf):
     assert pipeline.run(spark, sf).columns == ["doc_id", "piece", "start", "length", "source", "cluster", "bin_id", "bin_offset"]
+
+
+def test_stages_on_strange_rows(spark, tmp_path):
+    """Nulls in any column, empty and long texts, repeated rows, clashing columns and no rows at all."""
+    from helpers import docs, strange
+
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(None, None), (None, "lost and found"), (1, None), (2, ""), (3, "Some text here"), (3, "Some text here"), (4, "some TEXT here"), (5, long), (6, long + " end"), (7, "one\ntwo", None)]
+    spark.createDataFrame([(3, 1, None), (None, 0, 1), (5, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for n, df in enumerate((strange(docs(spark, rows)), docs(spark, []))):
+        at = df
+        for name, stage in pipeline.STAGES:
+            out = stage(spark, at, str(tmp_path))
+            if name != "best_fit_packing":
+                assert out.columns == df.columns
+            out.write.parquet(path := f"{tmp_path}/{n}-{name}")
+            at = spark.read.parquet(path)
+            if name == "exact_dedup" and not n:
+                assert sorted(((r.doc_id, r.text) for r in at.collect()), key=repr) == sorted([(None, "lost and found"), (2, ""), (4, "some TEXT here"), (5, long), (6, long + " end"), (7, "one\ntwo")], key=repr)
+            if name == "simhash_near_dedup" and not n:
+                assert {r.doc_id for r in at.collect()} == {None, 2, 4, 5, 7}
+        assert (at.count() > 0) == (not n)

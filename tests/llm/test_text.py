@@ -428,3 +428,39 @@ def test_extraction_against_known_templates(spark):
     assert {r.page_id: r.text for r in html.extract(pages).collect()} == want
     groups = html.wrappers(pages.selectExpr("'one' as host", "html"), fan=3).collect()
     assert len(groups) == 1
+
+
+def test_ftrl_against_a_plain_version():
+    """The same updates with a dictionary for each coordinate, one at a time."""
+    rng = random.Random(71)
+    rows = [(rng.sample(range(40), rng.randrange(0, 12)), rng.randrange(2)) for _ in range(400)]
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.4, 0.01
+    z, n, bz, bn = Counter(), Counter(), 0.0, 0.0
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    model = toxicity.Ftrl(alpha, beta, l1, l2, size=64)
+    for features, label in rows:
+        w, b = {i: weight(i) for i in features}, -bz / ((beta + math.sqrt(bn)) / alpha + l2)
+        g = 1 / (1 + math.exp(-(sum(w.values()) + b))) - label
+        for i in features:
+            step = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha
+            z[i] += g - step * w[i]
+            n[i] += g * g
+        bz += g - (math.sqrt(bn + g * g) - math.sqrt(bn)) / alpha * b
+        bn += g * g
+        model.learn(np.array(features, np.int64), label)
+    idx, w = model.model()
+    assert idx.tolist() == [i for i in range(64) if weight(i)] and 0 < len(idx) <= 40
+    assert np.allclose(w, [weight(i) for i in idx.tolist()]) and abs(model.bias - (-bz / ((beta + math.sqrt(bn)) / alpha + l2))) < 1e-12
+
+
+def test_repeated_rows_score_alike(spark):
+    df, labels = _toxic(spark)
+    twice = df.unionByName(df.where("doc_id % 7 = 0"))
+    got = {}
+    for r in toxicity.score(twice, labels.unionByName(labels)).collect():
+        got.setdefault(r.doc_id, set()).add((r.score, r.predicted))
+    assert all(len(v) == 1 for v in got.values()) and len(got) == 903
+    assert len({s for i in (-1, -2) for s in got[i]}) == 1  # null and empty texts tie
