@@ -1,10 +1,14 @@
-"""The corpus pipeline: five stages over documents, each written as Parquet and read again by the next."""
+"""The corpus pipeline: five stages over documents, each written as Parquet and read again by the next.
+
+Nulls, empty and long texts, ties, repeated rows and extra columns come out as the operators' docstrings say; rows without an id are scored, deduplicated exactly, and
+from then on carried along; an empty table goes through all stages and gives an empty result. Tables that a stage wrote on the way are deleted once its result is written.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm.common import new_path
+from tessella.llm.common import new_path, remove, sweep
 from tessella.llm.exact_dedup import drop_copies
 from tessella.llm.packing import pack
 from tessella.llm.simhash import drop_near_copies
@@ -51,9 +55,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = new_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        sweep(spark)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
