@@ -161,10 +161,14 @@ def same_bytes(docs: DataFrame, positives: DataFrame, snapshot: DataFrame, broad
     hit = positives.join(snapshot.select("text_sha256", F.col("keep_id").alias("old_id")), "text_sha256")
     hit, _ = stored(hit, "positives")
     ids = hit.select("text_sha256", F.explode(F.array("keep_id", "old_id")).alias("doc_id")).distinct().withColumnRenamed("text_sha256", "digest")
-    if hit.count() <= broadcast_rows:
+    few = hit.count() <= broadcast_rows
+    if few:
         ids = F.broadcast(ids)
-    low = lower_az(F.col("text").cast("string"))
-    raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), low.alias("low")).withColumn("sha", F.sha2("low", 256))
+    # Rows of other ids go before anything is hashed; an id that has many texts meets each of them once.
+    raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    who = hit.select(F.explode(F.array("keep_id", "old_id")).alias("who")).distinct()
+    raw = raw.join(F.broadcast(who) if few else who, raw["doc_id"].eqNullSafe(who["who"]), "left_semi")
+    raw = raw.select("doc_id", lower_az(F.col("text")).alias("low")).withColumn("sha", F.coalesce(F.sha2("low", 256), F.lit("")))  # never null, so no filter on it is put before the join
     seen = raw.join(ids, raw["doc_id"].eqNullSafe(ids["doc_id"]) & (raw["sha"] == ids["digest"]))
     seen = seen.groupBy("digest").agg(F.min("low").alias("a"), F.max("low").alias("b"))
     return seen.where("a = b").select(F.col("digest").alias("text_sha256"))
@@ -209,12 +213,14 @@ def _with_digest(name: str):
     return run
 
 
-def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, one for each distinct text."""
+def drop_copies(docs: DataFrame, broadcast_rows: int = 250_000) -> DataFrame:
+    """The rows of docs that stay, one for each distinct text. Those that go (about 80 bytes each) are broadcast up to broadcast_rows, else joined by a shuffle."""
     groups, _ = stored(exact_dedup(docs).where("not kept").select("doc_id", "text_sha256", "keep_id"), "copies")
     id_, sha, own = fresh(docs, "id"), fresh(docs, "sha"), fresh(docs, "digest")
     winner = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     gone = groups.where(~winner).select(F.col("doc_id").alias(id_), F.col("text_sha256").alias(sha)).distinct()
+    if groups.count() <= broadcast_rows:
+        gone = F.broadcast(gone)
     schema = T.StructType([*docs.schema.fields, T.StructField(own, T.StringType())])
     rows = docs.mapInArrow(_with_digest(own), schema)
     out = rows.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(sha)), "left_anti")

@@ -243,8 +243,10 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", hex16(F.col("fp")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The documents that are the smallest id of their group, and those without an id."""
+def drop_near_copies(docs: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """The documents that are the smallest id of their group, and those without an id. The ids that go (8 bytes) are broadcast up to broadcast_rows, else joined by a shuffle."""
     gone = fresh(docs, "gone")
-    copies = simhash_groups(docs).where("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
+    copies, _ = stored(simhash_groups(docs).where("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct(), "near-copies")
+    if copies.count() <= broadcast_rows:
+        copies = F.broadcast(copies)
     return docs.join(copies, F.col("doc_id").cast("long") == F.col(gone), "left_anti")

@@ -418,11 +418,15 @@ def _without(text, gone):
     return F.when(gone.isNull() | text.isNull(), text).otherwise(F.array_join(kept, "\n"))
 
 
-def removals(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, tag, n_repeated, removed, home_docs): positions of the lines that go and the documents where they stay."""
+def removals(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float = THRESHOLD, broadcast_rows: int = 500_000) -> DataFrame:
+    """(doc_id, tag, n_repeated, removed, home_docs): positions of the lines that go and the documents where they stay.
+
+    Repeated lines (12 bytes each) are broadcast to the texts up to broadcast_rows, else joined by a shuffle.
+    """
     found = passages(docs, min_words, threshold)
     gone = F.when(~F.col("stays"), F.col("pos"))
-    return found.groupBy("doc_id", "tag").agg(F.count("*").alias("n_repeated"), F.array_sort(F.collect_list(gone)).alias("removed"), F.array_sort(F.collect_set(F.when(~F.col("stays"), F.col("home_doc")))).alias("home_docs"))
+    out = found.groupBy("doc_id", "tag").agg(F.count("*").alias("n_repeated"), F.array_sort(F.collect_list(gone)).alias("removed"), F.array_sort(F.collect_set(F.when(~F.col("stays"), F.col("home_doc")))).alias("home_docs"))
+    return sided(out, "removals", "n_repeated", broadcast_rows)
 
 
 def _sliding(x: np.ndarray, width: int, least: bool) -> np.ndarray:
@@ -547,6 +551,12 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.select([0, 1]).columns, pa.array([k[0] for k in kept], pa.list_(pa.int32())), pa.array([k[1] for k in kept], pa.list_(pa.int32())), pa.array([k[2] for k in kept], pa.int64()), b.column(5)], ["doc_id", "tag", "at", "len", "n_cut", "cut_homes"])
 
 
+def sided(df: DataFrame, name: str, size: str, most: int) -> DataFrame:
+    """df as a table that is broadcast where the sum of size over its rows is at most `most`."""
+    df, _ = stored(df, name)
+    return F.broadcast(df) if df.select(F.coalesce(F.sum(F.expr(size)), F.lit(0))).first()[0] <= most else df
+
+
 def embedded(rows: DataFrame, broadcast_rows: int = 300_000, broadcast_hashes: int = 1_000_000) -> DataFrame:
     """(doc_id, tag, n_shared, at, len, n_cut, cut_homes) of the texts that hold embedded passages which occur elsewhere too; at is null where nothing is cut.
 
@@ -555,10 +565,6 @@ def embedded(rows: DataFrame, broadcast_rows: int = 300_000, broadcast_hashes: i
     """
     who = ["doc_id", "tag"]
 
-    def sided(df: DataFrame, name: str, size: str) -> DataFrame:
-        df, _ = stored(df, name)
-        return F.broadcast(df) if df.select(F.coalesce(F.sum(F.expr(size)), F.lit(0))).first()[0] <= broadcast_rows else df
-
     rows = rows.where("doc_id is not null and text is not null")
     if not rows.groupBy(*who).count().where("count > 1").isEmpty():
         rows, _ = stored(rows.dropDuplicates(who), "texts")
@@ -567,19 +573,20 @@ def embedded(rows: DataFrame, broadcast_rows: int = 300_000, broadcast_hashes: i
     twice, _ = stored(found.groupBy("hash").count().where("count > 1").select("hash"), "twice")
     if twice.count() <= broadcast_hashes:
         twice = F.broadcast(twice)
-    want = sided(found.join(twice, "hash").groupBy(*who).agg(F.collect_set("pos").alias("found")), "wanted", "size(found)")
+    want = sided(found.join(twice, "hash").groupBy(*who).agg(F.collect_set("pos").alias("found")), "wanted", "size(found)", broadcast_rows)
     windows = rows.join(want, who).select(*who, "text", "found").mapInArrow(_windowed, "key binary, doc_id long, tag long, pos int")
     here = F.struct("doc_id", "tag", "pos")
     homes = windows.groupBy("key").agg(F.min(here).alias("home"), F.count("*").alias("n")).where("n > 1").select("key", "home")
-    homes = sided(homes, "homes", "1")
+    homes = sided(homes, "homes", "1", broadcast_rows)
     own = F.when((F.col("home.doc_id") == F.col("doc_id")) & (F.col("home.tag") == F.col("tag")), F.col("home.pos"))
     goes = here != F.col("home")
     again = windows.join(homes, "key").select(*who, "pos", F.when(goes, F.struct("pos", own.alias("own"))).alias("cut"), F.when(goes, F.col("home.doc_id")).alias("home_doc"))
     gone = again.groupBy(*who).agg(F.sort_array(F.collect_list("pos")).alias("all"), F.collect_list("cut").alias("w"), F.array_sort(F.collect_set("home_doc")).alias("cut_homes"))
     breaks = F.filter("all", lambda p, i: (i == 0) | (p - F.get("all", i - 1) > 1))  # where a run of shared windows begins
-    gone = sided(gone.select(*who, F.size(breaks).cast("long").alias("n_shared"), "w.pos", "w.own", "cut_homes"), "gone", "size(pos)")
+    gone = sided(gone.select(*who, F.size(breaks).cast("long").alias("n_shared"), "w.pos", "w.own", "cut_homes"), "gone", "size(pos)", broadcast_rows)
     pieces = rows.join(gone.where(F.size("pos") > 0), who).select(*who, "text", "pos", "own", "cut_homes").mapInArrow(_pieces, "doc_id long, tag long, at array<int>, len array<int>, n_cut long, cut_homes array<long>")
-    return gone.select(*who, "n_shared").join(sided(pieces, "pieces", "size(at)"), who, "left")
+    pieces = sided(pieces, "pieces", "1 + size(at)", broadcast_rows)
+    return sided(gone.select(*who, "n_shared").join(pieces, who, "left"), "embedded", "1 + coalesce(size(at), 0)", broadcast_rows)
 
 
 def _kept(text, at, len_):
