@@ -312,6 +312,9 @@ def test_tiles_put_the_image_together_again(spark):
 def test_polygons():
     assert rasterize.filled([[0, 0, 4, 0, 4, 3, 0, 3], [1, 1, 2, 2]], 5, 6).sum() == 12
     assert rasterize.filled([[-5, -5, 20, -5, 20, 20, -5, 20]], 5, 6).all() and not rasterize.filled([], 2, 2).any()
+    rng = np.random.default_rng(9)
+    rows = [([rng.uniform(-2, 12, 2 * int(rng.integers(1, 7))).round(1).tolist() for _ in range(int(rng.integers(0, 4)))], 9, 10) for _ in range(80)]
+    assert all((a == rasterize.filled(*r)).all() for a, r in zip(rasterize.filled_all(rows, most=5000), rows, strict=True))
     triangle = rasterize.filled([[0, 0, 8, 0, 0, 8]], 8, 8)
     assert all(triangle[y, x] == ((x + 0.5) + (y + 0.5) < 8) for y in range(8) for x in range(8))
 
