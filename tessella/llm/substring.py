@@ -561,7 +561,8 @@ def embedded(rows: DataFrame, broadcast_rows: int = 300_000, broadcast_hashes: i
     """(doc_id, tag, n_shared, at, len, n_cut, cut_homes) of the texts that hold embedded passages which occur elsewhere too; at is null where nothing is cut.
 
     rows: (doc_id, tag, text), a stored table; equal (doc_id, tag) are one text. n_shared counts the passages, those that stay included.
-    Places (20 to 40 bytes each) are broadcast up to broadcast_rows, anchors (8 bytes) up to broadcast_hashes, else joined by a shuffle.
+    Places (20 to 40 bytes each) are broadcast up to broadcast_rows, anchors (8 bytes) up to broadcast_hashes, else joined by a shuffle;
+    the texts that hold wanted anchors are then a table of their own.
     """
     who = ["doc_id", "tag"]
 
@@ -573,8 +574,13 @@ def embedded(rows: DataFrame, broadcast_rows: int = 300_000, broadcast_hashes: i
     twice, _ = stored(found.groupBy("hash").count().where("count > 1").select("hash"), "twice")
     if twice.count() <= broadcast_hashes:
         twice = F.broadcast(twice)
-    want = sided(found.join(twice, "hash").groupBy(*who).agg(F.collect_set("pos").alias("found")), "wanted", "size(found)", broadcast_rows)
-    windows = rows.join(want, who).select(*who, "text", "found").mapInArrow(_windowed, "key binary, doc_id long, tag long, pos int")
+    want, _ = stored(found.join(twice, "hash").groupBy(*who).agg(F.collect_set("pos").alias("found")), "wanted")
+    if want.select(F.coalesce(F.sum(F.size("found")), F.lit(0))).first()[0] <= broadcast_rows:
+        held = rows.join(F.broadcast(want), who).select(*who, "text", "found")
+    else:  # the texts are shuffled once here; from there on only those that hold an anchor are read
+        held, _ = stored(rows.join(want, who).select(*who, "text", "found"), "held")
+        rows = held
+    windows = held.mapInArrow(_windowed, "key binary, doc_id long, tag long, pos int")
     here = F.struct("doc_id", "tag", "pos")
     homes = windows.groupBy("key").agg(F.min(here).alias("home"), F.count("*").alias("n")).where("n > 1").select("key", "home")
     homes = sided(homes, "homes", "1", broadcast_rows)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from helpers import docs, roots, strange
 from tessella.llm import embeddings, exact_dedup, simhash, substring
-from tessella.llm.common import components
+from tessella.llm.common import components, stored
 
 ODD = [(1, None), (2, ""), (3, "A b"), (4, "a B"), (4, "a B"), (5, "É"), (6, "é"), (7, "x " * 50_000), (8, "X " * 50_000), (9, "a b "), (None, "a b"), (None, "lonely")]
 
@@ -207,6 +207,18 @@ def test_passages_inside_longer_lines(spark):
     assert {r.doc_id: r.text for r in kept} == want and all(r.n_chars == len(r.text or "") for r in kept)
 
 
+def test_passages_by_shuffles_come_out_as_by_broadcasts(spark):
+    rng = random.Random(47)
+    p, q = _lines(rng, 60), _lines(rng, 55)
+    texts = [f"{_lines(rng, 30)} {x} {_lines(rng, 20)}" for x in (p, q, p, "", q, p, f"{p} {q}", "")]
+    df = docs(spark, [*enumerate(texts), (8, p), (9, None), (None, p)])
+    rows, _ = stored(substring.tagged(df), "texts")
+    by = {}
+    for most in (0, 1_000):
+        by[most] = [{(r.doc_id, *map(str, r)) for r in x.collect()} for x in (substring.embedded(rows, most, most), substring.removals(df, broadcast_rows=most))]
+    assert by[0] == by[1_000] and {r[0] for r in by[0][0]} == {0, 1, 2, 4, 5, 6, 8}
+
+
 def test_anchors_are_the_same_in_pieces_and_in_any_surroundings():
     import pyarrow as pa
 
