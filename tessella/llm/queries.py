@@ -10,6 +10,7 @@ from tessella.llm import merge_dropout, warc
 from tessella.llm.embeddings import near_duplicates
 from tessella.llm.exact_dedup import exact_dedup
 from tessella.llm.html import extract
+from tessella.llm.online_packing import online_pack
 from tessella.llm.packing import pack
 from tessella.llm.simhash import simhash_groups
 from tessella.llm.substring import substring_dedup
@@ -62,8 +63,14 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op12_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return online_pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_embedding_near_dedup, op4_substring_dedup, op5_simhash_near_dedup, op6_warc, op7_merge_dropout, op8_html_extraction, op9_token_files, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_embedding_near_dedup, op4_substring_dedup, op5_simhash_near_dedup, op6_warc, op7_merge_dropout, op8_html_extraction, op9_token_files, op10_best_fit_packing, op12_online_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
