@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm.common import new_path, remove, sweep
+from tessella.llm.common import new_path, remove, scope
 from tessella.llm.exact_dedup import drop_copies
 from tessella.llm.packing import pack
 from tessella.llm.simhash import drop_near_copies
@@ -58,8 +58,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = new_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        sweep(spark)
+        with scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         if before:
             remove(spark, before)
         docs, before = spark.read.parquet(path), path

@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -50,17 +52,28 @@ def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    _tables.append(path)
+    if (own := _scope.get()) is not None:
+        own.append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
-_tables: list[str] = []  # written by stored() and not removed yet
+_scope: ContextVar[list[str] | None] = ContextVar("tables of the innermost scope of this thread", default=None)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Deletes every table that stored() wrote in this process; for callers that have written what they wanted from them."""
-    while _tables:
-        remove(spark, _tables.pop())
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what stored() wrote inside it, in this thread: for callers that have written what they wanted from an operator by then.
+
+    Tables of results made outside, or in other threads, stay.
+    """
+    own: list[str] = []
+    before = _scope.set(own)
+    try:
+        yield
+    finally:
+        _scope.reset(before)
+        for path in own:
+            remove(spark, path)
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -56,6 +56,33 @@ def test_run_reads_what_it_wrote(spark, sf):
     assert pipeline.run(spark, sf).columns == ["doc_id", "piece", "start", "length", "source", "cluster", "bin_id", "bin_offset"]
 
 
+def test_runs_delete_their_own_tables_only(spark, sf, tmp_path, monkeypatch):
+    """Results that wait to be read, of this thread and of another one, survive a run; the run's own tables are gone."""
+    import os
+    from threading import Thread
+
+    from helpers import docs
+    from tessella.llm import common, exact_dedup, packing, simhash, substring, toxicity
+    from tessella.session import table
+
+    monkeypatch.setattr(common, "shared_dir", lambda _: str(tmp_path))
+    d = docs(spark, [(i, f"text number {i % 5} " * 30) for i in range(20)])
+    made = [exact_dedup.exact_dedup, simhash.simhash_groups, substring.substring_dedup, packing.pack]
+    lazy = [(f(d), n) for f, n in zip(made, (20, 20, 20, 20), strict=True)] + [(toxicity.score(d, table(spark, sf, "labels")), 20)]
+    other = []
+    thread = Thread(target=lambda: other.append(exact_dedup.exact_dedup(d)))
+    before = set(os.listdir(tmp_path))
+    thread.start()
+    pipeline.run(spark, sf)
+    thread.join()
+    kept = {x for x in os.listdir(tmp_path) if "pipeline" in x}
+    assert len(kept) == 1  # the last stage's result
+    assert all(df.count() >= n for df, n in lazy) and other[0].count() == 20
+    left = len(set(os.listdir(tmp_path)) - before - kept)
+    exact_dedup.exact_dedup(d)
+    assert len(set(os.listdir(tmp_path)) - before - kept) == 2 * left  # nothing of the run but what the thread's operator wrote
+
+
 def test_stages_on_strange_rows(spark, tmp_path):
     """Nulls in any column, empty and long texts, repeated rows, clashing columns and no rows at all."""
     from helpers import docs, strange
