@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -23,3 +25,9 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "20
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables; the path is only ever opened by Spark."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path for files of one result, in the folder that driver and executors share: spark.checkpoint.dir, else the warehouse."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{shared.rstrip('/')}/tessella-{name}-{uuid.uuid4().hex}"

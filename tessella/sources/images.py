@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tessella.operators.augment import resize
 from tessella.operators.pairing import numeric_key
+from tessella.sources import ranges
 
 
 def _rgb(size: int | None, mode: str):
@@ -125,7 +126,12 @@ def _sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def read_sizes(spark: SparkSession, path: str, glob: str = "*", head: int = 1 << 16) -> DataFrame:
-    """(path, h, w) of image files; pixels aren't decoded, and only the first bytes go to Python."""
+    """(path, h, w) of image files, from their headers alone.
+
+    Where pyarrow has no file system for the path, Spark's whole-file source reads them, of which the first `head` bytes go to Python.
+    """
+    if ranges.reachable(path):
+        return ranges.image_sizes(spark, path, glob).select("path", "h", "w")
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
     return files.select("path", F.expr(f"substring(content, 1, {head})").alias("head")).mapInPandas(_sizes, "path string, h int, w int")
 

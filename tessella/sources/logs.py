@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tessella.operators import history as H
+from tessella.sources import ranges
 
 # The fields of an epoch line, in their order.
 FIELDS = ("loss", "Precision", "Recall", "F1Score", "val_loss", "val_Precision", "val_Recall", "val_F1Score")
@@ -17,12 +18,14 @@ LR = "val_F1Score: [0-9.]+ - lr: ([0-9.eE+-]+)"
 NUMBER = r"^[0-9.]+([eE][+-]?[0-9]+)?$"
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(run, pos, line): each file is a run, and lines keep their order.
+def read_lines(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """(run, pos, line): each file is a run, and lines keep their order. A file is read by ranges, so that a long one isn't one task's.
 
-    Files are read whole, since the text reader doesn't say where in its file a line was; a training log is small.
+    Where pyarrow has no file system for the path, files are read whole.
     """
-    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("run"), F.posexplode(F.split("value", "\n")))
+    if ranges.reachable(path):
+        return ranges.numbered_lines(spark, path, glob).select(F.col("path").alias("run"), "pos", "line")
+    raw = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True).select(F.input_file_name().alias("run"), F.posexplode(F.split("value", "\n")))
     return raw.select("run", F.col("pos").cast("bigint").alias("pos"), F.col("col").alias("line"))
 
 
