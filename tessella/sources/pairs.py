@@ -8,16 +8,19 @@ as GIF of one grey value a pixel (255 where the value is above zero, any channel
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
+from tessella.operators.pairing import guarded, numbered, string_key
+from tessella.sources.coco import pairs as coco_pairs, read_coco
+from tessella.sources.images import gif_indices
 from tessella.sources.ranges import opened
 
 # Fixed values of the GIF format.
@@ -150,3 +153,43 @@ def write_pair_files(pairs: DataFrame, path: str, mode: str = "append") -> None:
     """pairs: (n, extension, image binary, h, w, mask); other columns are ignored."""
     pairs.sparkSession.dataSource.register(ImagePairs)
     pairs.select("n", "extension", "image", "h", "w", "mask").write.format("image_pairs").mode(mode).option("path", path).save()
+
+
+def _contents(spark: SparkSession, path: str, prefix: str, extensions: Sequence[str]) -> DataFrame:
+    """(key, name, extension, content) of the files prefix, key, one of the extensions (any case); of equal keys, the last name."""
+    files = spark.read.format("binaryFile").load(path)
+    name = F.substring_index("path", "/", -1)
+    keys = files.select(string_key(name, prefix, extensions).alias("key"), name.alias("name"), "path").where("key is not null")
+    last = keys.groupBy("key").agg(F.max_by("path", "name").alias("path"), F.max("name").alias("name"))
+    return files.select("path", "content").join(last, "path").select("key", "name", F.lower(F.substring_index("name", ".", -1)).alias("extension"), "content")
+
+
+def _first_frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        found = [gif_indices(raw) for raw in b.column(1).to_pylist()]
+        masks = pa.array([np.frombuffer(f[2], np.uint8).astype(np.int32) for f in found], pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.int32()), masks], ["key", "h", "w", "mask"])
+
+
+def build_dataset(spark: SparkSession, source: str, target: str, mode: str = "append") -> int:
+    """Files source/train/train{key}.jpeg and source/mask/mask{key}.gif to numbered pairs under target; gives their number. Images go byte for byte; a mask's pixels are set where its colour index isn't zero."""
+    images = _contents(spark, f"{source}/train", "train", ["jpeg", "jpg"])
+    masks = _contents(spark, f"{source}/mask", "mask", ["gif"])
+    keys = guarded(images.select("key").join(masks.select("key"), "key"), 1, "pairs")
+    keys = numbered(keys, [F.col("key")], "n").select("n", "key")
+    frames = masks.select("key", "content").mapInArrow(_first_frames, "key string, h int, w int, mask array<int>")
+    rows = keys.join(images.select("key", F.col("content").alias("image")), "key").join(frames, "key").withColumn("extension", F.lit("jpeg"))
+    write_pair_files(rows, target, mode)
+    return keys.count()
+
+
+def coco_dataset(spark: SparkSession, document: str, folder: str, target: str, limit: int | None = None, seed: int = 0, allow_empty: bool = False, mode: str = "append") -> int:
+    """The images of an annotation document that are in the folder, `limit` of them by a seeded digest, and the masks of their polygons, as numbered pairs under target; gives their number.
+
+    Images keep their bytes and their extension.
+    """
+    files = spark.read.format("binaryFile").load(folder).select(F.substring_index("path", "/", -1).alias("file_name"), F.col("content").alias("image"))
+    rows = coco_pairs(read_coco(spark, document, allow_empty), files, limit, seed)
+    rows = rows.withColumn("extension", F.lower(F.substring_index("file_name", ".", -1)))
+    write_pair_files(rows, target, mode)
+    return rows.count()

@@ -157,3 +157,49 @@ def test_failed_attempts_leave_nothing(spark, tmp_path):
     with pytest.raises(Exception, match="reshape"):
         pairs.write_pair_files(bad, str(tmp_path))
     assert sorted(os.listdir(tmp_path)) == ["mask", "train"] and len(os.listdir(tmp_path / "mask")) == 6
+
+
+def test_datasets_are_built(spark, tmp_path):
+    """Keys that are no numbers, masks of colour indices, an image without a mask."""
+    for folder in ("train", "mask"):
+        os.makedirs(tmp_path / "src" / folder)
+    left = np.zeros((20, 20), np.uint8)
+    want = {}
+    for n, (key, index, extension) in enumerate([("_1000_19644_SKY162.15", 5, "jpeg"), ("_42_7_SKY99.7", 9, "JPG")], 1):
+        left[:, :10] = index
+        want[n] = os.urandom(100)
+        (tmp_path / "src" / "train" / f"train{key}.{extension}").write_bytes(want[n])
+        (tmp_path / "src" / "mask" / f"mask{key}.gif").write_bytes(pairs.grey_gif(left))
+    (tmp_path / "src" / "train" / "train_alone.jpeg").write_bytes(b"x")
+    assert pairs.build_dataset(spark, str(tmp_path / "src"), str(tmp_path / "dst")) == 2
+    assert {n: (tmp_path / "dst" / "train" / f"train{n}.jpeg").read_bytes() for n in (1, 2)} == want
+    for r in images.read_palette_masks(spark, str(tmp_path / "dst" / "mask")).collect():
+        assert np.array_equal(np.array(r.data).reshape(20, 20) > 0, left > 0)
+    os.remove(tmp_path / "src" / "mask" / "mask_42_7_SKY99.7.gif")
+    os.remove(tmp_path / "src" / "mask" / "mask_1000_19644_SKY162.15.gif")
+    (tmp_path / "src" / "mask" / "mask_other.gif").write_bytes(pairs.grey_gif(left))
+    with pytest.raises(ValueError, match="pairs"):
+        pairs.build_dataset(spark, str(tmp_path / "src"), str(tmp_path / "none"))
+
+
+def test_annotated_datasets_are_built(spark, tmp_path):
+    import json
+
+    os.makedirs(tmp_path / "images")
+    names = {k: f"im{k}.tif" for k in range(1, 7)}
+    doc = {
+        "images": [{"id": k, "file_name": f, "width": 20, "height": 20} for k, f in names.items()],
+        "annotations": [{"id": k, "image_id": k, "segmentation": [[2, 2, 15, 2, 2, 15]]} for k in range(1, 6)],
+    }
+    (tmp_path / "doc.json").write_text(json.dumps(doc))
+    for k in (1, 3, 5, 6):  # two that are annotated were never shipped
+        (tmp_path / "images" / names[k]).write_bytes(bytes([k]) * 50)
+    args = (spark, str(tmp_path / "doc.json"), str(tmp_path / "images"))
+    for target in ("a", "b"):
+        assert pairs.coco_dataset(*args, str(tmp_path / target), limit=3, seed=1) == 3
+    assert {(tmp_path / "a" / "train" / f"train{n}.tif").read_bytes()[0] for n in (1, 2, 3)} == {1, 3, 5}
+    for n in (1, 2, 3):
+        mask = (tmp_path / "a" / "mask" / f"mask{n}.gif").read_bytes()
+        assert mask == (tmp_path / "b" / "mask" / f"mask{n}.gif").read_bytes() and any(images.gif_indices(mask)[2])
+    with pytest.raises(ValueError, match="images on disk"):
+        pairs.coco_dataset(*args, str(tmp_path / "c"), limit=4, seed=1)
