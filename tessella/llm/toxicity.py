@@ -174,6 +174,7 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column, most_positive:
     some = [known.where(F.col("toxic") == y).orderBy(turn, "doc_id").limit(n) for y, n in ((1, most_positive), (0, most_negative))]
     sample, _ = stored(some[0].unionAll(some[1]), "sample")  # ids and labels only, of a stated size
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.max("toxic").alias("toxic"))  # one row an id, however often it occurs
     rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs))))
     rows = rows.repartition(1).sortWithinPartitions("epoch", F.xxhash64("epoch", "doc_id"), "doc_id", "text").select("text", "toxic")
     return rows.mapInArrow(_trained(alpha, beta, l1, l2), "idx long, weight double").toPandas()

@@ -102,3 +102,33 @@ def test_repeated_rows_and_no_rows(spark):
     rows = online_packing.online_pack(twice, vocabulary).collect()
     assert sum(r.length for r in rows) == 3 * (len(plain("one text")) + 1)
     assert online_packing.online_pack(docs(spark, []), vocabulary).count() == 0
+
+
+def test_many_rows_of_one_id_go_over_several_files(spark):
+    from pyspark.sql import functions as F
+
+    from tessella.llm import common, token_files
+
+    rows = spark.range(0, 20_000, 1, 4).select(F.when(F.col("id") % 2 == 0, 7).cast("long").alias("doc_id"), F.concat(F.lit("w"), F.col("id") % 3).alias("text"))
+    path = common.new_path(spark, "tokens")
+    token_files.write(rows, path, vocabulary)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("length").collect()
+    sizes = sorted(r.length for r in files if r.length)
+    assert len(sizes) == 4 and sizes[-1] < 2 * sizes[0]
+    read = token_files.read(spark, path).orderBy("start").collect()
+    assert [r.doc_id for r in read] == [None] * 10_000 + [7] * 10_000
+    assert all(b.start == a.start + a.n_tokens for a, b in zip(read, read[1:]))
+
+
+def test_one_row_of_a_labelled_id_is_learnt_from(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tessella.llm import toxicity
+
+    d = docs(spark, [(0, f"text {k % 4}") for k in range(3000)] + [(k, f"other {k}") for k in range(1, 9)])
+    labels = spark.createDataFrame([(k, 0, k % 2) for k in range(9)], "doc_id long, quality int, toxic int")
+    seen, kind = [], type(d)
+    run = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, *a, **b: seen.append(self.count()) or run(self, *a, **b))
+    toxicity.train(d, labels, F.lit(True), epochs=4)
+    assert seen == [4 * 9]
