@@ -12,33 +12,65 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-ORDERS = {"nearest": 0, "bilinear": 1, "bicubic": 3}
-
-
-def _weights(at: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Source places and weights of an interpolation of this order at fractional places."""
-    if order == 0:
+MODES = ("nearest", "bilinear", "bicubic", "catmull-rom")
+POLE = 3**0.5 - 2  # of the cubic B-spline's inverse filter
+MARGIN = 12  # repeated edge samples on each side before that filter; its response has died down by then
+
+
+def spline_coefficients(x: np.ndarray) -> np.ndarray:
+    """The B-spline coefficients that interpolate x along its first axis, mirrored at the ends: one recursion forwards, one backwards."""
+    n = len(x)
+    if n == 1:
+        return x.astype(np.float64)
+    c = 6.0 * x
+    power = POLE ** np.arange(n).reshape(-1, *[1] * (x.ndim - 1))
+    inner = (power[1:-1] + power[1:-1][::-1] * power[n - 1]) * c[1:-1]
+    c[0] = (c[0] + power[n - 1] * c[n - 1] + inner.sum(axis=0)) / (1 - power[n - 1] ** 2)
+    for k in range(1, n):
+        c[k] += POLE * c[k - 1]
+    c[n - 1] = POLE / (POLE * POLE - 1) * (c[n - 1] + POLE * c[n - 2])
+    for k in range(n - 2, -1, -1):
+        c[k] = POLE * (c[k + 1] - c[k])
+    return c
+
+
+def _weights(at: np.ndarray, mode: str) -> tuple[np.ndarray, np.ndarray]:
+    """Source places and weights of an interpolation at fractional places."""
+    if mode == "nearest":
         return np.floor(at + 0.5).astype(int)[:, None], np.ones((len(at), 1))
     low = np.floor(at).astype(int)
     t = at - low
-    if order == 1:
+    if mode == "bilinear":
         return low[:, None] + np.arange(2), np.stack([1 - t, t], axis=1)
     d = np.abs(t[:, None] - np.arange(-1, 3))
-    near = 1.5 * d**3 - 2.5 * d**2 + 1  # Catmull-Rom
-    far = -0.5 * d**3 + 2.5 * d**2 - 4 * d + 2
+    if mode == "bicubic":
+        near, far = 2 / 3 - d**2 + d**3 / 2, (2 - d) ** 3 / 6
+    else:
+        near, far = 1.5 * d**3 - 2.5 * d**2 + 1, -0.5 * d**3 + 2.5 * d**2 - 4 * d + 2
     return low[:, None] + np.arange(-1, 3), np.where(d <= 1, near, np.where(d < 2, far, 0.0))
 
 
 def resize(image: np.ndarray, height: int, width: int, mode: str = "bicubic") -> np.ndarray:
-    """H x W x C to another size: pixel centres map to pixel centres, edges repeat, no smoothing."""
+    """H x W x C to another size: pixel centres map to pixel centres, edges repeat, no smoothing.
+
+    bicubic is the cubic spline through all samples, cut off at the image's smallest and largest value; catmull-rom looks at four samples only.
+    """
+    if mode not in MODES:
+        raise ValueError(f"unknown mode {mode}")
     out = image.astype(np.float64)
     for axis, size in ((0, height), (1, width)):
         n = out.shape[axis]
-        place, weight = _weights((np.arange(size) + 0.5) * n / size - 0.5, ORDERS[mode])
+        place, weight = _weights((np.arange(size) + 0.5) * n / size - 0.5, mode)
+        if mode == "bicubic":
+            widths = [(MARGIN, MARGIN) if k == axis else (0, 0) for k in range(out.ndim)]
+            out = np.moveaxis(spline_coefficients(np.moveaxis(np.pad(out, widths, mode="edge"), axis, 0)), 0, axis)
+            place, n = place + MARGIN, n + 2 * MARGIN
         picked = np.take(out, np.clip(place, 0, n - 1), axis=axis)
         shape = [1] * picked.ndim
         shape[axis], shape[axis + 1] = weight.shape
         out = (picked * weight.reshape(shape)).sum(axis=axis + 1)
+    if mode == "bicubic" and image.size:
+        out = np.clip(out, image.min(), image.max())
     return out.astype(np.float32)
 
 

@@ -42,6 +42,27 @@ def coco_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rasterize.covered(grouped.select("n", F.lit(16).alias("h"), F.lit(16).alias("w"), "polygons"))
 
 
+@register(
+    "outline_masks",
+    """WITH t AS (SELECT l_orderkey AS n, row_number() OVER () AS k, l_linenumber - 2 AS x0, CAST(l_quantity AS INTEGER) % 12 AS y0, l_partkey % 9 AS w, l_suppkey % 7 AS h FROM lineitem),
+    e AS (SELECT n, k, [x0, y0, x0 + w, y0 + h] AS e FROM t UNION ALL SELECT n, k, [x0 + w, y0 + h, x0 - 3, y0 + 5] FROM t UNION ALL SELECT n, k, [x0 - 3, y0 + 5, x0, y0] FROM t),
+    d AS (SELECT n, k, e[1] AS ax, e[2] AS ay, e[3] AS bx, e[4] AS b_y FROM e),
+    c AS (SELECT n, k, y, ax + (y - ay) * (bx - ax)::DOUBLE / (b_y - ay) AS x FROM d, generate_series(0, 15) s(y) WHERE ay <> b_y AND y >= least(ay, b_y) AND y < greatest(ay, b_y)),
+    o AS (SELECT n, k, y, x, lead(x) OVER w AS x2, row_number() OVER w AS r FROM c WINDOW w AS (PARTITION BY n, k, y ORDER BY x)),
+    p AS (SELECT n, y, unnest(generate_series(CAST(floor(x + 0.5) AS BIGINT), CAST(greatest(floor(x + 0.5), ceil(x2 - 0.5)) AS BIGINT))) AS x FROM o WHERE r % 2 = 1
+          UNION SELECT n, ay, ax FROM d UNION SELECT n, ay, unnest(generate_series(least(ax, bx), greatest(ax, bx))) FROM d WHERE ay = b_y),
+    i AS (SELECT DISTINCT n FROM t)
+    SELECT i.n, count(p.x) AS pixels, coalesce(sum(p.x), 0)::BIGINT AS sx, coalesce(sum(p.y), 0)::BIGINT AS sy FROM i LEFT JOIN p ON p.n = i.n AND p.x BETWEEN 0 AND 15 AND p.y BETWEEN 0 AND 15 GROUP BY i.n""",
+)
+def outline_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triangles, thin and degenerate ones too, partly outside a canvas of 16 x 16, filled with their outlines."""
+    x, y = F.col("l_linenumber") - 2, F.col("l_quantity").cast("int") % 12
+    w, h = F.col("l_partkey") % 9, F.col("l_suppkey") % 7
+    polygon = F.array(*[c.cast("double") for c in (x, y, x + w, y + h, x - 3, y + 5)])
+    grouped = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("n"), polygon.alias("p")).groupBy("n").agg(F.collect_list("p").alias("polygons"))
+    return rasterize.covered(grouped.select("n", F.lit(16).alias("h"), F.lit(16).alias("w"), "polygons"), "outline")
+
+
 @register("fixed_validation", "SELECT o_orderkey AS n, 'train' AS split FROM orders WHERE o_orderstatus <> 'F' UNION ALL SELECT o_orderkey, 'val' FROM orders WHERE o_orderstatus = 'F'")
 def fixed_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A given validation set in place of a random split."""

@@ -227,11 +227,28 @@ def _resized(taps: str, size: int) -> str:
     SELECT vec_id AS tile, count(*) AS n, round(max(v) FILTER (WHERE i = 0), 4) AS head, round(max(v) FILTER (WHERE i = {size * size - 1}), 4) AS tail, round(sum(v * (i + 1)), 4) AS weighted FROM p GROUP BY vec_id"""
 
 
-@register("resize_bicubic", _resized("CASE WHEN abs(t - k) <= 1 THEN 1.5::DOUBLE * abs(t - k) ** 3 - 2.5::DOUBLE * abs(t - k) ** 2 + 1 ELSE -0.5::DOUBLE * abs(t - k) ** 3 + 2.5::DOUBLE * abs(t - k) ** 2 - 4 * abs(t - k) + 2 END", 12))
+def _splined(size: int) -> str:
+    """SQL of a cubic spline resize of 8 x 8: B-spline weights on coefficients, each of which is a sum of all samples (edges repeated) with the inverse filter's falling weights."""
+    return f"""WITH a AS (SELECT i, (i + 0.5::DOUBLE) * 8 / {size} - 0.5::DOUBLE AS place FROM generate_series(0, {size - 1}) s(i)),
+    f AS (SELECT i, CAST(floor(place) AS INTEGER) + k AS m, abs(place - floor(place) - k) AS d FROM a, (VALUES (-1), (0), (1), (2)) v(k)),
+    t AS (SELECT i, CAST(least(7, greatest(0, m + j)) AS INTEGER) AS src, CASE WHEN d <= 1 THEN 2::DOUBLE / 3 - d ** 2 + d ** 3 / 2 WHEN d < 2 THEN (2 - d) ** 3 / 6 ELSE 0 END * sqrt(3::DOUBLE) * (sqrt(3::DOUBLE) - 2) ** abs(j) AS weight
+          FROM f, generate_series(-40, 40) u(j)),
+    w AS (SELECT i, src, sum(weight) AS weight FROM t GROUP BY i, src),
+    p AS (SELECT vec_id, y.i * {size} + x.i AS i, sum(y.weight * x.weight * embedding[y.src * 8 + x.src + 1]::DOUBLE) AS v, list_min(any_value(embedding))::DOUBLE AS least, list_max(any_value(embedding))::DOUBLE AS most FROM embeddings, w y, w x GROUP BY 1, 2),
+    q AS (SELECT vec_id, i, CAST(greatest(least, least(most, v)) AS FLOAT)::DOUBLE AS v FROM p)
+    SELECT vec_id AS tile, count(*) AS n, round(max(v) FILTER (WHERE i = 0), 4) AS head, round(max(v) FILTER (WHERE i = {size * size - 1}), 4) AS tail, round(sum(v * (i + 1)), 4) AS weighted FROM q GROUP BY vec_id"""
+
+
+@register("resize_bicubic", _splined(12))
 def resize_bicubic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.resize_tiles(_images(spark, sf_dir), 12, 12).select(F.col("n").alias("tile"), *digest(F.col("image"), 4))
 
 
+@register("resize_catmull_rom", _resized("CASE WHEN abs(t - k) <= 1 THEN 1.5::DOUBLE * abs(t - k) ** 3 - 2.5::DOUBLE * abs(t - k) ** 2 + 1 ELSE -0.5::DOUBLE * abs(t - k) ** 3 + 2.5::DOUBLE * abs(t - k) ** 2 - 4 * abs(t - k) + 2 END", 12))
+def resize_catmull_rom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.resize_tiles(_images(spark, sf_dir), 12, 12, "catmull-rom").select(F.col("n").alias("tile"), *digest(F.col("image"), 4))
+
+
 @register("resize_bilinear", _resized("CASE WHEN k = 0 THEN 1 - t WHEN k = 1 THEN t ELSE 0 END", 5))
 def resize_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.resize_tiles(_images(spark, sf_dir), 5, 5, "bilinear").select(F.col("n").alias("tile"), *digest(F.col("image"), 4))

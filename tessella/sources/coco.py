@@ -26,8 +26,8 @@ def read_coco(spark: SparkSession, path: str, allow_empty: bool = True) -> DataF
     return out.withColumn("polygons", F.coalesce("polygons", F.array().cast("array<array<double>>")))
 
 
-def pairs(annotated: DataFrame, files: DataFrame, limit: int | None = None, seed: int = 0) -> DataFrame:
-    """(n, file_name, h, w, image, mask): numbered pairs of images and the masks of their polygons. files: (file_name, image); only images that are there count.
+def pairs(annotated: DataFrame, files: DataFrame, limit: int | None = None, seed: int = 0, rule: str = "centres") -> DataFrame:
+    """(n, file_name, h, w, image, mask): numbered pairs of images and the masks of their polygons. files: (file_name, image); only images that are there count; rule: how polygons are filled (see rasterize).
 
     With a limit, so many are taken by a seeded digest of their ids; fewer than that is an error.
     """
@@ -35,4 +35,4 @@ def pairs(annotated: DataFrame, files: DataFrame, limit: int | None = None, seed
     if limit is not None:
         there = guarded(there.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string")))).limit(limit), limit, "images on disk")
     there = numbered(there, [F.col("id")], "n").select("n", "file_name", F.col("height").alias("h"), F.col("width").alias("w"), "polygons")
-    return there.select("n", "file_name").join(masks(there), "n").join(files.select("file_name", "image"), "file_name").select("n", "file_name", "h", "w", "image", "mask")
+    return there.select("n", "file_name").join(masks(there, rule), "n").join(files.select("file_name", "image"), "file_name").select("n", "file_name", "h", "w", "image", "mask")

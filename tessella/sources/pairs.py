@@ -189,7 +189,7 @@ def coco_dataset(spark: SparkSession, document: str, folder: str, target: str, l
     Images keep their bytes and their extension.
     """
     files = spark.read.format("binaryFile").load(folder).select(F.substring_index("path", "/", -1).alias("file_name"), F.col("content").alias("image"))
-    rows = coco_pairs(read_coco(spark, document, allow_empty), files, limit, seed)
+    rows = coco_pairs(read_coco(spark, document, allow_empty), files, limit, seed, "outline")
     rows = rows.withColumn("extension", F.lower(F.substring_index("file_name", ".", -1)))
     write_pair_files(rows, target, mode)
     return rows.count()

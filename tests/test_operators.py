@@ -216,7 +216,7 @@ def test_augmentation():
     assert np.allclose(augment.rotate(image, 0), image, atol=1e-6) and np.allclose(augment.shift_hsv(image, 0, 0, 0), image, atol=1e-5)
     assert np.allclose(augment.rotate(image, 90, 0), np.rot90(image, -1), atol=1e-6) or np.allclose(augment.rotate(image, 90, 0), np.rot90(image), atol=1e-6)
     flat = np.full((4, 5, 1), 0.3)
-    assert all(np.allclose(augment.resize(flat, 7, 9, m), 0.3) for m in augment.ORDERS)
+    assert all(np.allclose(augment.resize(flat, 7, 9, m), 0.3) for m in augment.MODES)
     assert np.allclose(augment.resize(image, 16, 16, "bicubic"), image, atol=1e-6)
 
 
