@@ -32,3 +32,10 @@ def validated(models: DataFrame) -> DataFrame:
     found = broken_rules(F.col("inputs"), F.col("outputs"))
     checked = F.when(F.size(found) == 0, F.col("name")).otherwise(F.raise_error(F.concat(F.col("name"), F.lit(" breaks the contract: "), F.array_join(found, ", "))).cast("string"))
     return models.withColumn("name", checked)
+
+
+def broken_graphs(signed: DataFrame) -> DataFrame:
+    """signed: what sources.graphs.signatures or read_graphs give; adds broken, the rules that each model breaks, where bytes that can't be read break one of their own."""
+    dims = lambda c: F.transform(c, lambda v: v["dims"])
+    broken = broken_rules(dims(F.col("inputs")), dims(F.col("outputs")))
+    return signed.withColumn("broken", F.when(F.col("error").isNotNull(), F.array(F.lit("readable"))).otherwise(broken))

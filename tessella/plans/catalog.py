@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.plans import datasets, evaluation, files, histories, pairing, releases, reporting, tiling  # noqa: F401
+from tessella.plans import datasets, evaluation, files, histories, models, pairing, releases, reporting, tiling  # noqa: F401
 from tessella.plans.registry import QUERIES, SQL, Query
 
 
