@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tessella.operators.pairing import numbered
+from tessella.operators.pairing import few
+from tessella.session import stored
 
 EPS = 1e-6  # fixed value of the soft F1 loss
 
@@ -61,25 +63,61 @@ def weighted_mean(value: str, weight: str) -> Column:
     return F.coalesce(F.try_divide(F.sum(F.col(value) * F.col(weight)), F.sum(weight)), F.lit(0.0))
 
 
+WITHIN = 100_000  # rows of a bucket that one task may sort
+STEPS = 1024  # buckets for each power of two
+
+
+def magnitude(v: Column) -> Column:
+    """A number that rises with v and is the same for values within about a thousandth of one another."""
+    size = F.floor(F.log2(F.abs(v)) * STEPS).cast("long") + 1100 * STEPS
+    return F.when(F.isnan(v), F.lit(1 << 40)).when(v == F.lit(float("inf")), F.lit(1 << 39)).when(v == F.lit(float("-inf")), F.lit(-(1 << 39))).when(v > 0, size).when(v < 0, -size).otherwise(0)
+
+
 def percentiles(df: DataFrame, keys: Sequence[str], value: str, at: dict[str, float]) -> DataFrame:
     """Exact percentiles with linear interpolation for each group.
 
-    Values are numbered over all groups by a range-partitioned sort, equal ones too, and the two neighbours of each percentile are then picked by
-    their numbers; no group or value is one task's.
+    Values are counted by group and bucket, buckets being magnitudes; running counts say which bucket holds a wanted place, and where in it. Of buckets that aren't all one value, only those are read again: once more in finer buckets
+    while one holds more than WITHIN rows, then in order. No value is sorted with those of other buckets, so no group or value is one task's.
     """
-    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v")).withColumn("_t", F.monotonically_increasing_id())
-    rows = numbered(rows, [*map(F.col, keys), F.col("_v"), F.col("_t")], "_k")
-    groups = rows.groupBy(*keys).agg(F.min("_k").alias("_first"), F.count("*").alias("_n"))
-    places = F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(q) * (F.col("_n") - 1)).alias("place")) for i, q in enumerate(at.values())])
-    want = groups.select(*keys, "_first", F.explode(places).alias("p")).select(*keys, "_first", "p.*")
-    sides = F.array(*[F.struct(F.lit(side).alias("side"), (F.col("_first") + f(F.col("place"))).cast("bigint").alias("_k")) for side, f in enumerate((F.floor, F.ceil))])
-    want = want.select(*keys, "i", (F.col("place") - F.floor("place")).alias("frac"), F.explode(sides).alias("s")).select(*keys, "i", "frac", "s.*")
-    picked = want.join(rows.select("_k", "_v"), "_k")
+    v = F.col("_v").cast("double")
+    rows = df.where(F.col(value).isNotNull()).select(F.struct(*keys).alias("_g"), F.col(value).alias("_v")).withColumn("_b", F.array(magnitude(v)))
+
+    def counted(some: DataFrame) -> DataFrame:
+        return stored(some.groupBy("_g", "_b").agg(F.count("*").alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high")), "buckets")[0]
+
+    buckets = counted(rows)
+    group = Window.partitionBy("_g")
+    before = F.coalesce(F.sum("_n").over(group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = buckets.withColumns({"_before": before, "_all": F.sum("_n").over(group)})
+    place = lambda q: F.lit(q) * (F.col("_all") - 1)
+    sides = [F.struct(F.lit(i).alias("i"), F.lit(s).alias("side"), f(place(q)).cast("long").alias("k"), (place(q) - F.floor(place(q))).alias("frac")) for i, q in enumerate(at.values()) for s, f in enumerate((F.floor, F.ceil))]
+    inside = F.filter(F.array(*sides), lambda x: (x["k"] >= F.col("_before")) & (x["k"] < F.col("_before") + F.col("_n")))
+    wanted = places.withColumn("x", F.explode(inside)).select("_g", "_b", "_n", "_low", "_high", "x.i", "x.side", "x.frac", (F.col("x.k") - F.col("_before")).alias("_k"))
+    known = lambda d: (F.col("_k") == 0) | (F.col("_k") == F.col("_n") - 1) | F.col("_low").eqNullSafe(F.col("_high"))
+    ends = lambda d: d.where(known(d)).select("_g", "i", "side", "frac", F.when(F.col("_k") == 0, F.col("_low")).otherwise(F.col("_high")).alias("_v"))
+    found, wanted = [ends(wanted)], stored(wanted.where(~known(wanted)), "wanted")[0]
+    while (top := wanted.agg(F.max("_n")).first()[0] or 0) > WITHIN:
+        # finer: each bucket's own range in even steps
+        own = few(wanted.select("_g", "_b", "_low", "_high").distinct())
+        step = F.floor((v - F.col("_low")) / (F.col("_high") - F.col("_low")) * STEPS).cast("long")
+        rows = rows.join(own, ["_g", "_b"]).select("_g", "_v", F.concat("_b", F.array(F.coalesce(step, F.lit(0)))).alias("_b"))
+        finer = counted(rows)
+        parent = Window.partitionBy("_g", "_parent").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        finer = finer.withColumn("_parent", F.slice("_b", 1, F.size("_b") - 1)).withColumn("_before", F.coalesce(F.sum("_n").over(parent), F.lit(0)))
+        asked = wanted.select("_g", F.col("_b").alias("_parent"), "i", "side", "frac", "_k")
+        hit = finer.join(asked, ["_g", "_parent"]).where("_k >= _before and _k < _before + _n").withColumn("_k", F.col("_k") - F.col("_before"))
+        hit = hit.select("_g", "_b", "_n", "_low", "_high", "i", "side", "frac", "_k")
+        found.append(ends(hit))
+        wanted = stored(hit.where(~known(hit)), "wanted")[0]
+    if top:
+        own = rows.join(few(wanted.select("_g", "_b").distinct()), ["_g", "_b"])
+        ranked = own.withColumn("_k", F.row_number().over(Window.partitionBy("_g", "_b").orderBy("_v")).cast("long") - 1)
+        found.append(ranked.join(few(wanted.select("_g", "_b", "_k", "i", "side", "frac")), ["_g", "_b", "_k"]).select("_g", "i", "side", "frac", "_v"))
     out = []
     for i, name in enumerate(at):
         a, b = (F.max(F.when((F.col("i") == i) & (F.col("side") == side), F.col("_v"))) for side in (0, 1))
-        out.append((a + (b - a) * F.max(F.when(F.col("i") == i, F.col("frac")))).alias(name))
-    return picked.groupBy(*keys).agg(*out)
+        out.append(F.when(a == b, a).otherwise(a + (b - a) * F.max(F.when(F.col("i") == i, F.col("frac")))).alias(name))
+    return reduce(DataFrame.unionByName, found).groupBy("_g").agg(*out).select("_g.*", *at)
 
 
 def latency_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

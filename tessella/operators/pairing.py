@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import random
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tessella.session import stored
+
 
 def numeric_key(name: Column, prefix: str, extension: str) -> Column:
     """The digits of names such as train12.jpeg, NULL for any other name."""
@@ -71,11 +71,10 @@ def split_exact(ids: list[int], fraction: float, seed: int) -> tuple[list[int],
 def numbered(df: DataFrame, order: Sequence[Column], name: str, start: int = 1) -> DataFrame:
     """Adds consecutive numbers in the given total order without gathering rows in one task.
 
-    Rows are range-partitioned and sorted; each gets its place in its partition plus the sizes of the partitions before, which
-    is one number for each partition. The sorted rows are kept (on disk where memory is short) as both steps need the same ranges; a partition that is lost
-    is made again by the same partitioner, so its numbers are the same. The caller ends the keeping with spark.catalog.clearCache() or with the session.
+    Rows are range-partitioned, sorted and written; each gets its place in its partition plus the sizes of the partitions before, which
+    is one number for each partition. What is written stays the same whatever executors are lost; it goes with the scope (see session) that the call stands in.
     """
-    rows = df.sort(*order).withColumn("_m", F.monotonically_increasing_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    rows, _ = stored(df.sort(*order).withColumn("_m", F.monotonically_increasing_id()), "numbered")
     part = F.shiftright("_m", 33)
     sizes = rows.groupBy(part.alias("_p")).agg(F.count("*").alias("_n"))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
@@ -84,15 +83,24 @@ def numbered(df: DataFrame, order: Sequence[Column], name: str, start: int = 1)
     return out.withColumn(name, F.col("_b") + F.col("_m").bitwiseAND((1 << 33) - 1) + start).drop("_m", "_p", "_b")
 
 
-def batches(df: DataFrame, keys: Sequence[str], order: Sequence[Column], size: int) -> DataFrame:
-    """Adds batch: consecutive blocks of `size` rows in each group.
+BROADCAST_ROWS = 200_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint, where it has so few rows."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def batches(df: DataFrame, keys: Sequence[str], order: Sequence[Column], size: int, total: str | None = None) -> DataFrame:
+    """Adds batch: consecutive blocks of `size` rows in each group; with total, a column of that name with the group's rows.
 
     Rows are numbered over all groups and each group's first number is taken off, so a group may be larger than a task.
     """
-    rows = numbered(df, [*map(F.col, keys), *order], "_k")
-    first = rows.groupBy(*[F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)]).agg(F.min("_k").alias("_first"))
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_g{i}")) for i, k in enumerate(keys)])
-    return rows.join(first, same).withColumn("batch", F.floor((F.col("_k") - F.col("_first")) / size).cast("bigint")).select(*df.columns, "batch")
+    rows = numbered(df, [*map(F.col, keys), *order], "_k").withColumn("_g", F.struct(*keys))
+    first = rows.groupBy("_g").agg(F.min("_k").alias("_first"), F.count("*").alias("_size"))
+    out = rows.join(few(stored(first, "groups")[0]), "_g")
+    out = out.withColumn("batch", F.floor((F.col("_k") - F.col("_first")) / size).cast("bigint"))
+    return out.select(*df.columns, "batch", *([F.col("_size").alias(total)] if total else []))
 
 
 def guarded(df: DataFrame, least: int, message: str) -> DataFrame:

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tessella.functions.text import TRUE, truthy
+from tessella.operators.pairing import few
+from tessella.session import stored
 
 OOM = ("out of memory", "oom", "cudaerror")  # fixed values: what runtimes say when memory runs out
 
@@ -73,6 +77,87 @@ def score(tiles: DataFrame, model: bytes, batch: int = 8) -> DataFrame:
     return tiles.select("n", "h", "w", "c", "image").mapInPandas(run, "n long, prob array<float>")
 
 
+def newest(models: DataFrame, upto: int | None = None) -> DataFrame:
+    """(name, version, model): the newest version of each name, not above `upto` where that is given; models: (name, version, model binary), rows without bytes don't count."""
+    some = models.where(F.col("model").isNotNull() & F.col("name").isNotNull())
+    some = some if upto is None else some.where(F.col("version") <= upto)
+    return some.groupBy("name").agg(F.max("version").alias("version"), F.max_by("model", "version").alias("model"))
+
+
+@lru_cache(maxsize=4)
+def _session(model: bytes):
+    """A worker's sessions: the four used last."""
+    import onnxruntime as ort
+
+    options = ort.SessionOptions()
+    options.intra_op_num_threads = options.inter_op_num_threads = 1
+    return ort.InferenceSession(model, options, providers=providers())
+
+
+SCORED = "name string, n long, version int, prob array<float>, error string"
+
+
+def _many(batch: int):
+    """Over rows sorted by (name, salt, kind): a model's bytes, then tiles for it."""
+
+    def scored(name: str | None, version: int, model: bytes, rows: list[tuple]) -> list[tuple]:
+        """rows: (n, (h, w, c), image)."""
+        out, shapes = [], {}
+        for r in rows:
+            shapes.setdefault(r[1], []).append(r)
+        for shape, own in shapes.items():
+            for k in range(0, len(own), batch):
+                some = own[k : k + batch]
+                try:
+                    x = np.stack([r[2] for r in some]).reshape(len(some), *shape)
+                    out += [(name, r[0], version, y.ravel(), None) for r, y in zip(some, predict(_session(model), x), strict=True)]
+                except Exception as e:  # noqa: BLE001  a model that fails doesn't stop the others
+                    out += [(name, r[0], version, None, f"{type(e).__name__}: {e}") for r in some]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, model, version = None, None, None
+        for b in batches:
+            names, salts, kinds, ns, hs, ws, cs = (b.column(k).to_pylist() for k in range(7))
+            out: list[tuple] = []
+            held: list[tuple] = []
+            for k, key in enumerate(zip(names, salts, strict=True)):
+                if key != at:
+                    if held:
+                        out += scored(at[0], version, model, held)
+                    held, at, model, version = [], key, None, None
+                if kinds[k] == 0:
+                    model, version = b.column(9)[k].as_py(), b.column(8)[k].as_py()
+                elif model is None:
+                    out.append((names[k], ns[k], None, None, "no model"))
+                else:
+                    held.append((ns[k], (hs[k], ws[k], cs[k]), b.column(7)[k].values.to_numpy(zero_copy_only=False)))
+            if held:
+                out += scored(at[0], version, model, held)
+            kinds_ = (pa.string(), pa.int64(), pa.int32(), pa.list_(pa.float32()), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds_)], ["name", "n", "version", "prob", "error"])
+
+    return run
+
+
+def score_many(tiles: DataFrame, models: DataFrame, batch: int = 8, per_task: int = 20_000) -> DataFrame:
+    """(name, n, version, prob, error): tiles (name, n, h, w, c, image), each scored by the model of its name, all models in one pass.
+
+    models: (name, version, model binary), a name once, as from `newest`. Tiles are dealt by name, `per_task` of a name a task, with the model's bytes before them, so bytes travel once a task and a worker holds few sessions. Tiles whose name has no
+    model, or whose model fails on them, come out with an error.
+    """
+    spark = tiles.sparkSession
+    sizes, _ = stored(tiles.groupBy("name").agg(F.ceil(F.count("*") / per_task).cast("int").alias("salts")), "sizes")
+    salted = tiles.join(few(sizes), tiles["name"].eqNullSafe(sizes["name"])).drop(sizes["name"])
+    rows = salted.select("name", F.pmod(F.xxhash64("n"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), "n", "h", "w", "c", F.col("image").cast("array<float>").alias("image"), F.lit(None).cast("int").alias("version"), F.lit(None).cast("binary").alias("model"))
+    null = lambda t: F.lit(None).cast(t)
+    sent = models.join(sizes, "name").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    sent = sent.select("name", "salt", F.lit(0).alias("kind"), null("long").alias("n"), null("int").alias("h"), null("int").alias("w"), null("int").alias("c"), null("array<float>").alias("image"), F.col("version").cast("int").alias("version"), "model")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = sent.unionByName(rows).repartition(n, "name", "salt").sortWithinPartitions("name", "salt", "kind")
+    return dealt.mapInArrow(_many(batch), SCORED)
+
+
 def _varint(n: int) -> bytes:
     out = bytearray()
     while n > 127:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessella.operators import pairing as P
 from tessella.plans.registry import register
-from tessella.session import new_folder, table
+from tessella.session import new_path, table
 from tessella.sources import images, logs, pairs, ranges
 
 
@@ -22,7 +22,7 @@ def number(prefix: str, extension: str):
 )
 def pair_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbered files and masks written by the sink and read back: the files' digests by chunks, the masks' pixels from their GIFs."""
-    path = new_folder(spark, "pairs")
+    path = new_path(spark, "pairs")
     source = table(spark, sf_dir, "pages").join(table(spark, sf_dir, "embeddings"), F.col("page_id") == F.col("vec_id"))
     image = F.coalesce("html", F.lit("")).cast("binary")
     written = source.select(F.col("page_id").alias("n"), F.lit("html").alias("extension"), image.alias("image"), F.lit(8).alias("h"), F.lit(8).alias("w"), F.col("embedding").alias("mask"))
@@ -37,7 +37,7 @@ def pair_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("header_sizes", "SELECT vec_id AS n, CAST(2 ** (vec_id % 7) AS INTEGER) AS h, CAST(2 ** (6 - vec_id % 7) AS INTEGER) AS w FROM embeddings")
 def header_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Heights and widths from the headers of image files."""
-    path = new_folder(spark, "sizes")
+    path = new_path(spark, "sizes")
     h = F.pow(F.lit(2), F.col("vec_id") % 7).cast("int")
     tiles = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("n"), F.lit("bin").alias("extension"), F.lit("").cast("binary").alias("image"), h.alias("h"), (64 / h).cast("int").alias("w"), F.col("embedding").alias("mask"))
     pairs.write_pair_files(tiles, path)
@@ -50,7 +50,7 @@ def header_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def numbered_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A log file for each user, read by ranges with the number of each line in its file."""
-    path = new_folder(spark, "logs")
+    path = new_path(spark, "logs")
     line = F.concat_ws(" ", F.col("event_id").cast("string"), "event_type").alias("value")
     rows = table(spark, sf_dir, "events").repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id")
     rows.select("user_id", line).write.partitionBy("user_id").text(path)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tessella.functions import tiles as T
-from tessella.operators import contract
+from tessella.operators import contract, layers, metrics as M, quantize, scoring
 from tessella.plans.registry import register
 from tessella.plans.releases import SHAPES
+from tessella.plans.tiling import digest
 from tessella.session import table
 from tessella.sources import graphs
 
@@ -91,3 +92,67 @@ def width_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     widest = F.array_max(F.transform("tensors", lambda t: F.get(t["dims"], F.lit(0))))
     found = found.select("p_partkey", F.size("tensors").cast("long").alias("tensors"), graphs.parameters(F.col("tensors")).alias("params"), widest.alias("widest"))
     return found.withColumn("label", F.concat(F.round(F.col("params") / 1e6, 1).cast("string"), F.lit("M")))
+
+
+QUANTISED = """WITH v AS (SELECT label, unnest(embedding)::DOUBLE AS v FROM embeddings), r AS (SELECT label, least(min(v), 0) AS low, greatest(max(v), 0) AS high FROM v GROUP BY label),
+    s AS (SELECT label, {scale} AS scale, {zero} AS zero FROM (SELECT *, (high - low) / 255 AS width FROM r)),
+    q AS (SELECT label, scale, zero, v, greatest({least}, least({most}, round_even(v / scale, 0) + zero)) AS q FROM v JOIN s USING (label))
+    SELECT label, round(any_value(scale), 9) AS scale, CAST(any_value(zero) AS INTEGER) AS zero, count(*) AS n, round(max(abs(v - (q - zero) * scale)), 9) AS worst, round(avg((v - (q - zero) * scale) ** 2), 12) AS mean_square FROM q GROUP BY label"""
+
+
+def _quantised(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    df = quantize.errors(quantize.quantise(table(spark, sf_dir, "embeddings").select("label", "embedding"), ["label"], "embedding", kind), ["label"], "embedding")
+    return df.select("label", F.round("scale", 9).alias("scale"), "zero", F.col("n").cast("long").alias("n"), F.round("worst", 9).alias("worst"), F.round("mean_square", 12).alias("mean_square"))
+
+
+@register("quantised_activations", QUANTISED.format(scale="width", zero="greatest(0, least(255, round_even(-low / width, 0)))", least=0, most=255))
+def quantised_activations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unsigned eight bits with a zero point for each channel, and what is lost by them."""
+    return _quantised(spark, sf_dir, "uint8")
+
+
+@register("quantised_weights", QUANTISED.format(scale="greatest(-low, high) / 127", zero="0", least=-127, most=127))
+def quantised_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signed eight bits for each channel, and what is lost by them."""
+    return _quantised(spark, sf_dir, "int8")
+
+
+@register(
+    "layer_zip",
+    """WITH a AS (SELECT row_number() OVER (ORDER BY vec_id) AS n, vec_id, embedding FROM embeddings),
+    p AS (SELECT n, vec_id, j, embedding[CAST((j % 2) * 32 + (j // 2 % 8) * 4 + (j // 16 % 2) * 2 + j // 32 + 1 AS INTEGER)]::DOUBLE AS v FROM a, generate_series(0, 63) s(j))
+    SELECT n AS layer, vec_id AS other, count(*) AS n, round(max(v) FILTER (WHERE j = 0), 6) AS head, round(max(v) FILTER (WHERE j = 63), 6) AS tail, round(sum(v * (j + 1)), 4) AS weighted FROM p GROUP BY 1, 2""",
+)
+def layer_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Convolution weights, (out, in, height, width) of 2 x 8 x 2 x 2, in the other library's order of axes, beside its layers by their place."""
+    e, axes, kind = table(spark, sf_dir, "embeddings"), (3, 2, 1, 0), F.when(F.col("vec_id") % 3 == 0, "conv").otherwise("transposed")
+    shape = F.array(*map(F.lit, (2, 8, 2, 2)))
+    left = e.select("vec_id", kind.alias("kind"), layers.permuted_shape(shape, axes).alias("shape"), layers.permuted(F.col("embedding"), shape, axes).alias("data"))
+    right = e.select("vec_id", kind.alias("kind"), F.array(*map(F.lit, (2, 2, 8, 2))).alias("shape"), F.col("vec_id").alias("other"))
+    return layers.zipped(left, right, "vec_id").where("kind is not null").select(F.col("n").alias("layer"), "other", *digest(F.col("data")))
+
+
+@register(
+    "scored_by_models",
+    """WITH m AS (SELECT r_name AS name, max(n_nationkey) AS version FROM region JOIN nation ON r_regionkey = n_regionkey WHERE r_regionkey <> 3 GROUP BY r_name),
+    t AS (SELECT vec_id, embedding, r_name AS name FROM embeddings JOIN region ON vec_id % 5 = r_regionkey),
+    p AS (SELECT vec_id, name, embedding, unnest(generate_series(0, 63)) AS i FROM t), d(dy, dx) AS (SELECT a, b FROM (VALUES (-1), (0), (1)) x(a), (VALUES (-1), (0), (1)) y(b)),
+    l AS (SELECT vec_id, name, i, sum(embedding[i + 1 + 8 * dy + dx]::DOUBLE) AS x FROM p, d WHERE i // 8 + dy BETWEEN 0 AND 7 AND i % 8 + dx BETWEEN 0 AND 7 GROUP BY 1, 2, 3)
+    SELECT name, vec_id AS n, version, CASE WHEN version IS NULL THEN 'no model' END AS error, CASE WHEN version IS NOT NULL THEN round(sum(1 / (1 + exp(-x * version / 10.0))), 3) END AS total FROM l LEFT JOIN m USING (name) GROUP BY 1, 2, 3""",
+)
+def scored_by_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles of several models in one pass, each by the newest version of its own; one name has none."""
+    regions, nations = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
+
+    def build(version: int) -> bytes:
+        import numpy as np
+
+        return scoring.small_model(np.full((3, 3), version / 10))
+
+    known = nations.join(regions.where("r_regionkey <> 3"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("name"), F.col("n_nationkey").alias("version"))
+    models = known.withColumn("model", F.udf(build, "binary")("version"))
+    tiles = table(spark, sf_dir, "embeddings").join(regions, F.col("vec_id") % 5 == F.col("r_regionkey"))
+    tiles = tiles.select(F.col("r_name").alias("name"), F.col("vec_id").alias("n"), F.lit(8).alias("h"), F.lit(8).alias("w"), F.lit(1).alias("c"), F.col("embedding").alias("image"))
+    found = scoring.score_many(tiles, scoring.newest(models))
+    total = F.aggregate("prob", F.lit(0.0), lambda a, x: a + x)
+    return found.select("name", "n", "version", "error", F.round(total, 3).alias("total"))

@@ -127,8 +127,7 @@ def renumber(spark: SparkSession, sf_dir: str) -> DataFrame:
 def batch_loader(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shuffled batches of four; the last short one is dropped where there is more than one batch."""
     e = table(spark, sf_dir, "events").select("event_id", "event_type")
-    n = e.groupBy("event_type").agg(F.count("*").alias("n"))
-    rows = P.batches(e, ["event_type"], [F.md5(F.concat_ws(":", F.lit("5"), F.col("event_id").cast("string")))], 4).join(n, "event_type")
+    rows = P.batches(e, ["event_type"], [F.md5(F.concat_ws(":", F.lit("5"), F.col("event_id").cast("string")))], 4, total="n")
     return rows.where("n <= 4 or batch < floor(n / 4)").groupBy("event_type", "batch").agg(F.sum("event_id").alias("ids"))
 
 

@@ -506,3 +506,31 @@ def test_augmented_frame_is_that_of_numpy(spark, sf):
 def test_repeated_tiles_and_names(spark):
     row = spark.range(1).select(tiles.repeated(F.array(F.lit(1), F.lit(2)), 2), F.size(tiles.zeros(2, 3, 4)), text.without_suffix(F.lit("a.hdf5"), ".hdf5"), text.asset_name(F.lit("a"), F.lit(""), "onnx"), text.asset_name(F.lit("a"), F.lit("fp16"), "onnx")).first()
     assert tuple(row) == ([1, 2, 1, 2], 24, "a", "a.onnx", "a_fp16.onnx")
+
+
+def test_percentiles_of_crowded_and_odd_values(spark, monkeypatch):
+    monkeypatch.setattr(metrics, "WITHIN", 5)
+    rng = np.random.default_rng(8)
+    groups = {
+        "near": 1 + rng.random(300) * 1e-9,
+        "ties": rng.choice([0.0, -0.0, 1.5, -7.0], 200),
+        "wide": np.concatenate([10.0 ** rng.uniform(-300, 300, 80), -(10.0 ** rng.uniform(-300, 300, 80)), [5e-324, 1.7e308]]),
+        "one": np.array([3.0]),
+        None: np.arange(50.0) - 25,
+    }
+    df = spark.createDataFrame([(k, float(v)) for k, x in groups.items() for v in x] + [("none", None)], "k string, v double").repartition(5)
+    at = {"low": 0.0, "p": 0.37, "mid": 0.5, "high": 1.0}
+    got = {r.k: [r[n] for n in at] for r in metrics.percentiles(df, ["k"], "v", at).collect()}
+    assert got.keys() == groups.keys()
+    for k, x in groups.items():
+        assert np.allclose(got[k], np.quantile(x, list(at.values())), rtol=1e-12, atol=0)
+    odd = spark.createDataFrame([(float("inf"),), (float("-inf"),), (1.0,), (float("nan"),)], "v double")
+    assert [metrics.percentiles(odd.withColumn("k", F.lit(1)), ["k"], "v", {"p": q}).first().p for q in (0.0, 1 / 3, 2 / 3)] == [float("-inf"), 1.0, float("inf")]
+
+
+def test_nothing_stays_persisted(spark, sf):
+    from tessella.plans import catalog
+
+    for name in ("latency_stats", "speedup_vs_base", "weighted_batch_loss", "tile_order", "renumber"):
+        catalog.queries()[name](spark, sf).write.format("noop").mode("overwrite").save()
+    assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
