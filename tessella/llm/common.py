@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
-from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tessella.session import new_path, remove, scope, shared_dir, stored  # noqa: F401
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -25,57 +23,6 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else one in the warehouse; a temporary one only for a session within one machine."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not found:
-        one_machine = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
-        found = tempfile.mkdtemp(prefix="tessella-") if one_machine else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tessella"
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tessella-{name}-{uuid.uuid4().hex}"
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a written table by the file system that holds it."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Writes df as a table in the shared folder and reads it back: its lineage ends there."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    if (own := _scope.get()) is not None:
-        own.append(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-_scope: ContextVar[list[str] | None] = ContextVar("tables of the innermost scope of this thread", default=None)
-
-
-@contextmanager
-def scope(spark: SparkSession) -> Iterator[None]:
-    """Deletes at its end what stored() wrote inside it, in this thread: for callers that have written what they wanted from an operator by then.
-
-    Tables of results made outside, or in other threads, stay.
-    """
-    own: list[str] = []
-    before = _scope.set(own)
-    try:
-        yield
-    finally:
-        _scope.reset(before)
-        for path in own:
-            remove(spark, path)
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """name, or a longer one that df has no column of."""
     while name.lower() in {c.lower() for c in df.columns}:

@@ -62,10 +62,11 @@ def test_runs_delete_their_own_tables_only(spark, sf, tmp_path, monkeypatch):
     from threading import Thread
 
     from helpers import docs
-    from tessella.llm import common, exact_dedup, packing, simhash, substring, toxicity
+    from tessella import session
+    from tessella.llm import exact_dedup, packing, simhash, substring, toxicity
     from tessella.session import table
 
-    monkeypatch.setattr(common, "shared_dir", lambda _: str(tmp_path))
+    monkeypatch.setattr(session, "shared_dir", lambda _: str(tmp_path))
     d = docs(spark, [(i, f"text number {i % 5} " * 30) for i in range(20)])
     made = [exact_dedup.exact_dedup, simhash.simhash_groups, substring.substring_dedup, packing.pack]
     lazy = [(f(d), n) for f, n in zip(made, (20, 20, 20, 20), strict=True)] + [(toxicity.score(d, table(spark, sf, "labels")), 20)]
