@@ -1,9 +1,10 @@
 """Near-duplicate embeddings: sorted projection passes, exact cosines, components, exact link counts.
 
 Equal vectors of one label are one class from the first shuffle on. In each pass every class gets a key, the signs of its products
-with that pass's random directions one after another; classes are ordered by label and key, cut into even ranges, and each is compared with
+with that pass's random directions one after another, seen from the label's mean; classes are ordered by label and key, cut into even ranges, and each is compared with
 the `window` next ones, over the edges of ranges too. Near vectors agree in most signs, so they are neighbours in some pass with a probability that
-grows with the passes; their number follows from the largest label, for a recall of RECALL of lone pairs at the threshold. Pairs with a cosine (double precision) of `threshold` or more are united across all
+grows with the passes. Each label has as many as it needs for a recall of RECALL of lone pairs at the threshold; that follows from its size and from how crowded it is, measured on a sample of
+SAMPLE vectors a label (see `crowding`). Labels so crowded that they would need more than MOST passes are compared whole, in pairs of blocks, which finds every link. Pairs with a cosine (double precision) of `threshold` or more are united across all
 passes. Within each component, pairs are then compared in blocks of at most `block` classes a side, so that n_links counts
 the links of a group of copies that is larger than any window as well.
 
@@ -18,13 +19,15 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 from xxhash import xxh3_128_digest
 
 from tessella.llm.common import components, find, partitions, stored, tune, unite
 
 THRESHOLD, PASSES, DIRECTIONS, WINDOW, BLOCK, RECALL = 0.93, 16, 30, 16, 1024, 0.999
+SAMPLE, MOST, WHOLE_BLOCK, BROADCAST_ROWS = 256, 160, 8192, 200_000
 
 
 def passes_for(n: int, threshold: float = THRESHOLD, window: int = WINDOW, recall: float = RECALL) -> int:
@@ -76,24 +79,165 @@ def matrix(values: np.ndarray | list, kind: str) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
-def _projected(kind: str, passes: int):
+def needed_passes(n: float, near: float, other: float, window: int = WINDOW, recall: float = RECALL) -> float:
+    """Passes for the wanted recall of a pair that agrees in a sign with probability `near`, among n vectors that agree with it with probability `other`."""
+    if n <= window or near >= 1:
+        return 1
+    if other >= 1 or near <= 0:
+        return math.inf
+    met = near ** math.ceil(math.log(n / window) / -math.log(other))
+    return math.ceil(math.log(1 - recall) / math.log1p(-met)) if met > 1e-12 else math.inf
+
+
+def crowding(x: np.ndarray, mean: np.ndarray, n: int, threshold: float, window: int, fractions: tuple[float, ...] = (1.0, 0.3, 0.1, 0.03)) -> float:
+    """Passes that a label needs. x: a sample of its unit vectors; mean: the mean of all n.
+
+    Seen from the mean, a pair at the threshold lies closer together, and others further apart. The others that a vector has to be told from are all, or the nearest part of them where they lie in crowds
+    of their own; the most demanding part counts. Those that would link anyway don't.
+    """
+    from_mean = x - mean
+    size = np.sqrt(np.einsum("ij,ij->i", from_mean, from_mean))
+    spread = float(np.mean(size**2))
+    if len(x) < 3 or spread <= (1 - threshold) / 2:  # all of them link
+        return 1
+    near = 1 - math.acos(max(-1.0, 1 - (1 - threshold) / spread)) / math.pi
+    cos = (from_mean @ from_mean.T) / np.maximum(size[:, None] * size, 1e-300)
+    cos[(x @ x.T >= threshold) | np.eye(len(x), dtype=bool)] = np.nan
+    angle = np.sort(np.arccos(np.clip(cos, -1, 1)), axis=1)  # the nearest first, NaN last
+    found = 1.0
+    for f in fractions:
+        some = angle[:, : max(1, int(f * (len(x) - 1)))]
+        if np.isfinite(some).any():
+            found = max(found, needed_passes(f * n, near, 1 - float(np.nanmean(some)) / math.pi, window))
+    return found
+
+
+def _sums(kind: str, most: int = 5000):
+    """(label, dim, n, sum of the unit vectors): one row for each label that a task has seen."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(pass, label, dim, sort key, id, v) of each class in each pass."""
+        held: dict[tuple[int, int], tuple[int, np.ndarray]] = {}
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in held], pa.int64()), pa.array([k[1] for k in held], pa.int32()), pa.array([v[0] for v in held.values()], pa.int64()), pa.array([v[1].tobytes() for v in held.values()], pa.binary())], ["label", "dim", "n", "total"])
+            held.clear()
+            return out
+
         for b in batches:
-            v = b.column(2).to_pylist()
+            label, v = b.column(0).to_numpy(), b.column(1).to_pylist()
             size = np.array([len(x) for x in v], np.int64)
+            for key in {*zip(label.tolist(), size.tolist(), strict=True)}:
+                rows = np.flatnonzero((label == key[0]) & (size == key[1]))
+                n, total = held.get(key, (0, 0.0))
+                held[key] = n + len(rows), total + matrix([v[i] for i in rows], kind).sum(axis=0)
+            if len(held) > most:
+                yield flush()
+        yield flush()
+
+    return run
+
+
+def planned(classes: DataFrame, kind: str, threshold: float, window: int, least: int, most: int = MOST) -> DataFrame:
+    """(label, dim, passes, mean): what each label needs; passes is 0 where it is compared whole. classes: (id, label, v)."""
+
+    def plan(sums: pd.DataFrame, sample: pd.DataFrame) -> pd.DataFrame:
+        if not len(sums):
+            return pd.DataFrame({"label": [], "dim": [], "passes": [], "mean": []})
+        n = int(sums["n"].sum())
+        mean = np.sum([np.frombuffer(t) for t in sums["total"]], axis=0) / n
+        need = crowding(matrix(sample["v"].tolist(), kind), mean, n, threshold, window) if len(sample) and n > window else 1
+        return pd.DataFrame({"label": sums["label"].iloc[:1], "dim": sums["dim"].iloc[:1], "passes": [0 if need > most else max(least, int(need))], "mean": [mean.tobytes()]})
+
+    dim = F.octet_length("v").cast("int")
+    rows = classes.select("label", dim.alias("dim"), "v", F.row_number().over(Window.partitionBy("label", dim).orderBy(F.xxhash64("id"), "id")).alias("k")).where(F.col("k") <= SAMPLE).drop("k")
+    sums = classes.select("label", "v").mapInArrow(_sums(kind), "label long, dim int, n long, total binary")
+    return sums.groupBy("label", "dim").cogroup(rows.groupBy("label", "dim")).applyInPandas(plan, "label long, dim int, passes int, mean binary")
+
+
+def _projected(kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(pass, label, dim, sort key, id, v) of each class in each of its label's passes; batches: id, label, v, passes, mean."""
+        for b in batches:
+            v, mean = b.column(2).to_pylist(), b.column(4).to_pylist()
+            size, passes = np.array([len(x) for x in v], np.int64), b.column(3).to_numpy()
             for dim in np.unique(size):
                 rows = np.flatnonzero(size == dim)
-                part = b.take(pa.array(rows))
-                x = matrix([v[i] for i in rows], kind)
-                for p in range(passes):
-                    bits = (x @ directions(p, x.shape[1]) > 0).astype(np.int64)
+                x = matrix([v[i] for i in rows], kind) - np.frombuffer(b"".join(mean[i] for i in rows)).reshape(len(rows), -1)
+                for p in range(passes[rows].max()):
+                    own = passes[rows] > p
+                    part = b.take(pa.array(rows[own]))
+                    bits = (x[own] @ directions(p, x.shape[1]) > 0).astype(np.int64)
                     key = bits @ (1 << np.arange(DIRECTIONS - 1, -1, -1, dtype=np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), p, np.int32)), part.column(1), pa.array(np.full(len(rows), dim, np.int32)), pa.array(key), part.column(0), part.column(2)], ["p", "label", "dim", "key", "id", "v"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, p, np.int32)), part.column(1), pa.array(np.full(part.num_rows, dim, np.int32)), pa.array(key), part.column(0), part.column(2)], ["p", "label", "dim", "key", "id", "v"])
 
     return run
 
 
+def least_connected(near: np.ndarray, a: np.ndarray, b: np.ndarray, chunk: int = 256) -> np.ndarray:
+    """(node, smallest id that it is connected with) of the ids of rows, then of columns; near: which row links with which column."""
+    low, high = a.copy(), b.copy()
+    top = np.iinfo(np.int64).max
+    while True:
+        before = low.sum() + high.sum()
+        for lo in range(0, len(a), chunk):
+            part = near[lo : lo + chunk]
+            low[lo : lo + chunk] = np.minimum(low[lo : lo + chunk], np.where(part, high, top).min(axis=1))
+            high = np.minimum(high, np.where(part, low[lo : lo + chunk, None], top).min(axis=0))
+        if low.sum() + high.sum() == before:
+            return np.stack([np.concatenate([a, b]), np.concatenate([low, high])])
+
+
+def _whole(kind: str, threshold: float, chunk: int = 1024):
+    """Over rows sorted by (label, dim, i, j): each member of two facing blocks that has links, and the smallest id that links between the blocks connect it with."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done() -> pa.RecordBatch:
+            side, ids = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+            v = [y for x in held for y in x[2]]
+            a, b = np.flatnonzero(side == last[2]), np.flatnonzero(side == last[3])
+            out = np.zeros((2, 0), np.int64)
+            if len(a) and len(b):
+                x, y = matrix([v[k] for k in a], kind), matrix([v[k] for k in b], kind)
+                near = np.concatenate([x[lo : lo + chunk] @ y.T >= threshold for lo in range(0, len(a), chunk)])
+                near &= ids[a][:, None] != ids[b]
+                row, col = near.any(axis=1), near.any(axis=0)
+                if row.any():
+                    out = least_connected(near[row][:, col], ids[a][row], ids[b][col])
+                    out = out[:, out[0] != out[1]]
+            return pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1])], ["a", "b"])
+
+        held: list[tuple] = []
+        last = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = [b.column(k).to_numpy() for k in range(4)]
+            edge = np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)]))
+            v = b.column(6).to_pylist()
+            for lo, hi in zip(edge.tolist(), [*edge[1:].tolist(), b.num_rows], strict=True):
+                if (it := tuple(k[lo] for k in keys)) != last:
+                    if held:
+                        yield done()
+                    held, last = [], it
+                held.append((b.column(4).to_numpy()[lo:hi], b.column(5).to_numpy()[lo:hi], v[lo:hi]))
+        if held:
+            yield done()
+
+    return scan
+
+
+def whole_links(members: DataFrame, kind: str, threshold: float, block: int = WHOLE_BLOCK) -> DataFrame:
+    """(a, b): links that connect what the links of whole labels connect. members: (id, label, v)."""
+    dim = F.octet_length("v").cast("int")
+    rows, _ = stored(members.select("id", "label", dim.alias("dim"), "v"), "crowded")
+    sizes = rows.groupBy("label", "dim").agg(F.ceil(F.count("*") / block).cast("int").alias("cut"))
+    rows = rows.join(sizes, ["label", "dim"]).withColumn("side", F.pmod(F.xxhash64("id"), F.col("cut")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
+    rows = rows.select("label", "dim", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "id", "v")
+    order = ["label", "dim", "i", "j"]
+    return rows.repartition(partitions(members.sparkSession), *order).sortWithinPartitions(*order).mapInArrow(_whole(kind, threshold), "a long, b long")
+
+
 EDGES = ["a", "b", "p", "label", "dim", "key", "id", "v"]
 EDGE_TYPES = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
 DEALT = "p int, label long, dim int, key long, id long, v binary"
@@ -245,9 +389,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, passes: in
     copies = rows.where("key is not null").distinct().groupBy("key").agg(F.count("*").alias("copies"))
     classes, _ = stored(found.join(copies, "key"), "classes")
 
-    most = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    passes = max(passes, passes_for(most, threshold, window))
-    links = window_links(classes.select("id", "label", "v").mapInArrow(_projected(kind, passes), DEALT), kind, window, threshold)
+    plan, _ = stored(planned(classes.select("id", "label", "v"), kind, threshold, window, passes), "passes")
+    few = plan.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    side = plan.withColumnsRenamed({"label": "_label", "dim": "_dim"})
+    ready = classes.select("id", "label", "v").join(F.broadcast(side) if few else side, (F.col("label") == F.col("_label")) & (F.octet_length("v") == F.col("_dim"))).select("id", "label", "v", "passes", "mean")
+    links = window_links(ready.where("passes > 0").mapInArrow(_projected(kind), DEALT), kind, window, threshold)
+    if not plan.where("passes = 0").isEmpty():
+        links = links.unionAll(whole_links(ready.where("passes = 0").select("id", "label", "v"), kind, threshold))
     roots = components(links)
 
     named = classes.join(roots, classes["id"] == roots["node"], "left").select("key", "id", "v", "copies", F.coalesce("root", "id").alias("root"))

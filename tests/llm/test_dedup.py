@@ -299,3 +299,50 @@ def test_labels_of_other_types(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label double")
     for d in (df, df.withColumn("label", F.concat(F.lit("label "), F.col("label").cast("string")))):
         assert {r.vec_id: r.component_id for r in embeddings.near_duplicates(d).collect()} == {1: 1, 2: 2, 3: 2, 4: 4}
+
+
+def crowded(rng, n, pairs, c, dim=64):
+    """n unit vectors whose mean cosine is c, of which the last `pairs` have a cosine of about 0.935 with the first ones."""
+    base = rng.standard_normal(dim)
+    base /= np.linalg.norm(base)
+    z = rng.standard_normal((n, dim)).astype(np.float32)
+    z -= np.outer(z @ base, base)
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    off = rng.standard_normal((pairs, dim))
+    off -= np.outer(off @ base, base)
+    off -= np.einsum("ij,ij->i", off, z[:pairs])[:, None] * z[:pairs]
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    inner = (0.935 - c) / (1 - c)
+    z[n - pairs :] = inner * z[:pairs] + np.sqrt(1 - inner**2) * off
+    return (np.sqrt(c) * base + np.sqrt(1 - c) * z).astype(np.float32)
+
+
+def lone_recall(spark, x, pairs):
+    import pyarrow as pa
+
+    n, dim = x.shape
+    table = pa.table({"vec_id": pa.array(np.arange(n)), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), dim).cast(pa.list_(pa.float32())), "label": pa.array(np.zeros(n, np.int32))})
+    got = {r.vec_id: r.component_id for r in embeddings.near_duplicates(spark.createDataFrame(table)).where("vec_id <> component_id").collect()}
+    return sum(got.get(n - pairs + i) == i for i in range(pairs)) / pairs
+
+
+@pytest.mark.parametrize(("c", "most"), [(0.5, 160), (0.7, 160), (0.85, 160), (0.85, 10**6)])
+def test_lone_pairs_are_found_in_crowded_labels(spark, monkeypatch, c, most):
+    """By passes where these are affordable (0.85: 200 and more, for the last case), else whole."""
+    monkeypatch.setattr(embeddings.planned, "__defaults__", (most,))
+    x = crowded(np.random.default_rng(43), 4000, 150, c)
+    assert lone_recall(spark, x, 150) >= 0.98
+
+
+def test_whole_labels_in_blocks(spark):
+    """Every link, over several blocks, of lone pairs, chains and a large group; labels and lengths apart."""
+    rng = np.random.default_rng(44)
+    x = rng.standard_normal((300, 6))
+    x[200:260] = x[0] + 0.01 * rng.standard_normal((60, 6))
+    x[260:] = x[1:41] + 0.05 * rng.standard_normal((40, 6))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i, i % 2, bytearray(v.tobytes())) for i, v in enumerate(x)] + [(300, 0, bytearray(x[0, :5].tobytes()))]
+    df = spark.createDataFrame(rows, "id long, label long, v binary")
+    links = [(i, j) for i in range(300) for j in range(i) if i % 2 == j % 2 and x[i] @ x[j] >= 0.93]
+    got = {r.node: r.root for r in components(embeddings.whole_links(df, "<f8", 0.93, block=32)).collect()}
+    assert got == {i: r for i, r in enumerate(roots(300, links)) if i != r}
