@@ -9,7 +9,7 @@ occur once in both, so aligning takes little more than linear time.
 
 Each slot of a wrapper is judged once for its host: slots under navigation, headers and footers, sidebars, notices, adverts,
 forms, scripts, styles and reader comments are not text; on pages that have slots in an article or main region, what is left of it is, but for slots that
-the wrapper has on every page with one string, where others vary and three different pages at least show it; elsewhere
+the wrapper has on every page with one string, where others vary and three different pages at least show it (headings beside what varies stay); elsewhere
 it is the slots whose strings are long, differ between pages and aren't mostly links, and the headings, short paragraphs, lists and tables beside them.
 Pages are then read through their host's wrapper, each in the highest region that it has itself.
 
@@ -51,6 +51,7 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _token = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.DOTALL)
 _attr = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _words = re.compile(r"[a-z0-9]+")
+_own = {"id": re.compile(r"[0-9]"), "class": re.compile(r"[0-9]{3}"), "role": re.compile(r"[0-9]{3}")}  # what makes a word one page's own, so that it is no part of a label
 _host = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
 
@@ -109,7 +110,7 @@ class Page:
         if name in ("li", "dt", "dd", "tr", "td", "th", "option"):
             self.until(name, ("ul", "ol", "dl", "table", "select", "menu"))
         self.until("p", ("",))
-        marks = sorted({w for g in _attr.findall(attrs) for w in _words.findall("".join(g[1:]).lower())}) if attrs else []
+        marks = sorted({w for g in _attr.findall(attrs) for w in _words.findall("".join(g[1:]).lower()) if not _own[g[0].lower()].search(w)}) if attrs else []
         label = ".".join([name, *marks])
         node = [label, []]
         del self.stack[DEPTH:]
@@ -375,9 +376,11 @@ def text_slots(wrapper: list[list], stats: dict[str, tuple[int, int, float, bool
         return any("/".join(labels[:k]) in homes and (k == len(labels) - 1 or labels[k].split(".")[0] in GROUPS) for k in range(1, len(labels)))
 
     for k in (1, 2):
-        # what never varies and is never missing or repeated belongs to the template, where enough pages differ elsewhere in the region
-        if any(not stats[p][3] for p in ranks[k]):
-            ranks[k] = [p for p in ranks[k] if not (stats[p][3] and stats[p][4] >= FEW and p in always and not known[p])]
+        # what never varies and is never missing or repeated belongs to the template, where enough pages differ elsewhere in the region; a heading beside what varies is the text's own
+        vary = {p.rpartition("/")[0] for p in ranks[k] if not stats[p][3]}
+        if vary:
+            own = lambda p: p.rpartition("/")[2].split(".")[0] in HEADINGS and p.rpartition("/")[0] in vary  # noqa: B023, E731
+            ranks[k] = [p for p in ranks[k] if own(p) or not (stats[p][3] and stats[p][4] >= FEW and p in always and not known[p])]
     ranks[0] = good + [p for p in ranks[0] if p not in good and beside(p)]
     return ranks
 
@@ -483,14 +486,15 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
-def extract(pages: DataFrame, broadcast_hosts: int = 20_000, salts: int = 16) -> DataFrame:
-    """(page_id, url, text, n_chars) of every row. Wrappers' verdicts are broadcast up to broadcast_hosts hosts, else joined with salted hosts."""
+def extract(pages: DataFrame, broadcast_hosts: int = 20_000, broadcast_slots: int = 1_000_000, salts: int = 16) -> DataFrame:
+    """(page_id, url, text, n_chars) of every row. Wrappers' verdicts are broadcast up to broadcast_hosts hosts with broadcast_slots slots (8 bytes each) in all, else joined with salted hosts."""
     tune(pages.sparkSession)
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), _host, 1))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     verdicts, _ = stored(wrappers(rows.where("host <> ''")), "wrappers")
     verdicts = verdicts.select("host", "keep")
-    if verdicts.count() <= broadcast_hosts:
+    hosts, slots_ = verdicts.agg(F.count("*"), F.coalesce(F.sum(F.size(F.flatten("keep")).cast("long")), F.lit(0))).first()
+    if hosts <= broadcast_hosts and slots_ <= broadcast_slots:
         joined = rows.join(F.broadcast(verdicts), "host", "left")
     else:
         salted = verdicts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
