@@ -5,7 +5,7 @@ Randomness comes from (seed, epoch, row key) alone, so results don't depend on p
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -141,7 +141,7 @@ def augmented(image: np.ndarray, mask: np.ndarray, plan: Plan, key: int, epoch:
         h, w = i.shape[:2]
         n = int(rng.integers(min(plan.crop[0], h, w), min(plan.crop[1], h, w) + 1))
         y, x = int(rng.integers(0, h - n + 1)), int(rng.integers(0, w - n + 1))
-        return resize(i[y : y + n, x : x + n], h, w, "bilinear"), resize(m[y : y + n, x : x + n], h, w, "nearest")
+        return cropped(i, y, x, n), cropped(m, y, x, n, "nearest")
 
     for step in (turn, cut, flips) if plan.crop else (flips, turn):
         image, mask = step(image, mask)
@@ -171,3 +171,20 @@ def resize_tiles(tiles: DataFrame, height: int, width: int, mode: str = "bicubic
             yield pdf.assign(image=[resize(np.asarray(r.image, np.float32).reshape(r.h, r.w, -1), height, width, mode).ravel() for r in pdf.itertuples()], h=height, w=width)
 
     return tiles.select("n", "h", "w", "image").mapInPandas(run, "n long, h int, w int, image array<float>")
+
+
+def stepped(tiles: DataFrame, step: Callable[..., np.ndarray], *given: str) -> DataFrame:
+    """tiles: (n, h, w, image array<float> HWC, and the columns `given`); images after step(image, *values of the row's given columns), which keeps their size."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            images = [np.asarray(i, np.float64).reshape(h, w, -1) for i, h, w in zip(pdf["image"], pdf["h"], pdf["w"], strict=True)]
+            done = [step(i, *values) for i, *values in zip(images, *(pdf[c] for c in given), strict=True)] if given else [step(i) for i in images]
+            yield pdf[["n", "h", "w"]].assign(image=[np.asarray(i, np.float32).ravel() for i in done])
+
+    return tiles.select("n", "h", "w", "image", *given).mapInPandas(run, "n long, h int, w int, image array<float>")
+
+
+def cropped(image: np.ndarray, y: int, x: int, side: int, mode: str = "bilinear") -> np.ndarray:
+    """A square window scaled back to the image's size."""
+    return resize(image[y : y + side, x : x + side], *image.shape[:2], mode)

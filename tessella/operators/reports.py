@@ -25,3 +25,25 @@ def markdown(df: DataFrame, cells: dict[str, Column], order: Sequence[Column | s
     rows = df.select(F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)], line.alias("line")).alias("s"))
     lines = F.transform(F.array_sort(F.collect_list("s")), lambda s: s["line"])
     return rows.agg(F.concat_ws("\n", *map(F.lit, head), F.lit("| " + " | ".join(cells) + " |"), F.lit("|" + "---|" * len(cells)), lines).alias("report"))
+
+
+def metric_table(values: dict[str, Column], digits: int = 4) -> Column:
+    """A table of two columns in one text, its numbers to the right; NULL is a dash."""
+    lines = [F.concat(F.lit(f"| {name} | "), number(x, digits), F.lit(" |")) for name, x in values.items()]
+    return F.concat_ws("\n", F.lit("| metric | value |"), F.lit("|--------|------:|"), *lines)
+
+
+def facts(values: dict[str, Column]) -> Column:
+    """One line for each fact that isn't NULL."""
+    return F.concat_ws("\n", *[F.concat(F.lit(f"**{name}:** "), x.cast("string")) for name, x in values.items()])
+
+
+def curve(values: Column, digits: int = 4) -> Column:
+    """A curve's values in brackets."""
+    return F.concat(F.lit("["), F.array_join(F.transform(values, lambda v: F.format_string(f"%.{digits}f", v)), ", "), F.lit("]"))
+
+
+def sections(title: Column, parts: dict[str, Column]) -> Column:
+    """A document: its title, then each part under its heading, an empty heading for none; a part that is NULL is left out with its heading."""
+    some = [F.concat(F.lit(f"## {head}\n\n" if head else ""), body) for head, body in parts.items()]
+    return F.concat_ws("\n\n", F.concat(F.lit("# "), title), *some)

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessella.operators import pairing as P
 from tessella.plans.registry import register
+from tessella.plans.tiling import digest
 from tessella.session import new_path, table
-from tessella.sources import images, logs, pairs, ranges
+from tessella.sources import coco, images, logs, pairs, ranges
 
 
 def number(prefix: str, extension: str):
@@ -56,3 +57,65 @@ def numbered_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows.select("user_id", line).write.partitionBy("user_id").text(path)
     found = ranges.numbered_lines(spark, path, "*.txt", chunk=1 << 14, recursive=True)
     return found.select(F.regexp_extract("path", "user_id=([0-9]+)/", 1).cast("long").alias("user_id"), "pos", "line")
+
+
+@register(
+    "calibration_set",
+    """WITH c AS (SELECT vec_id, embedding, row_number() OVER (ORDER BY 'train' || vec_id || '.gif') AS k FROM embeddings),
+    p AS (SELECT k, vec_id, i, CAST((CAST(floor(abs(embedding[i + 1]) * 255) AS INTEGER) % 256) / 255.0 AS FLOAT)::DOUBLE AS v FROM c, generate_series(0, 63) s(i) WHERE k <= 50)
+    SELECT k, vec_id, 192::BIGINT AS n, round(max(v) FILTER (WHERE i = 0), 5) AS head, round(max(v) FILTER (WHERE i = 63), 5) AS tail, round(sum(v * (3 * (i + 1) + 192)), 4) AS weighted FROM p GROUP BY k, vec_id""",
+)
+def calibration_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first fifty image files by name, decoded, scaled and with channels first: the limit is the operator's, and comes before anything is decoded."""
+    path = new_path(spark, "calibration")
+    grey = F.transform("embedding", lambda x: F.floor(F.abs(x) * 255).cast("int") % 256)
+    tiles = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("n"), grey.alias("grey"), F.col("embedding").alias("mask"))
+
+    def drawn(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            made = [pairs.grey_gif(np.array(g, np.uint8).reshape(8, 8)) for g in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary()), b.column(2)], ["n", "image", "mask"])
+
+    made = tiles.mapInArrow(drawn, "n long, image binary, mask array<float>")
+    pairs.write_pair_files(made.withColumns({"extension": F.lit("gif"), "h": F.lit(8), "w": F.lit(8)}), path)
+    found = images.calibration(spark, path, 50, 8, ["gif"])
+    return found.select(F.col("n").alias("k"), number("train", "gif").alias("vec_id"), *digest(F.col("data"), 5))
+
+
+@register(
+    "evaluated_logs",
+    """SELECT user_id, CAST(printf('%.4f', avg(value)) AS DOUBLE) AS loss, CAST(printf('%.4f', max(value) / 900) AS DOUBLE) AS "precision", CAST(printf('%.4f', min(value) / 7) AS DOUBLE) AS recall, CAST(printf('%.4f', avg(value) / 900) AS DOUBLE) AS f1 FROM events GROUP BY user_id""",
+)
+def evaluated_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The final scores of each run, from log files with an evaluation block that goes over several lines."""
+    path, v = new_path(spark, "logs"), F.col("value")
+    runs = table(spark, sf_dir, "events").groupBy("user_id").agg(F.avg(v).alias("a"), (F.max(v) / 900).alias("b"), (F.min(v) / 7).alias("c"), (F.avg(v) / 900).alias("d"))
+    lines = [F.lit("Epoch 1 of 1"), F.lit("Evaluation on the test set"), F.lit("     loss Precision"), F.format_string("%.4f %.4f", "a", "b"), F.lit("   Recall   F1Score"), F.format_string("%.4f %.4f", "c", "d"), F.lit("done in 3.5")]
+    rows = runs.repartition("user_id").select("user_id", F.posexplode(F.array(*lines)).alias("pos", "value"))
+    rows.sortWithinPartitions("user_id", "pos").select("user_id", "value").write.partitionBy("user_id").text(path)
+    found = ranges.numbered_lines(spark, path, "*.txt", recursive=True)
+    found = found.select(F.regexp_extract("path", "user_id=([0-9]+)/", 1).cast("long").alias("user_id"), "pos", "line")
+    return logs.evaluation(found, ["user_id"], "pos")
+
+
+@register(
+    "annotation_documents",
+    """WITH a AS (SELECT l_orderkey AS id, CASE WHEN l_linenumber % 4 = 0 THEN [l_linenumber, l_suppkey, 3, 4] ELSE [l_linenumber, l_suppkey, 3, 4, l_partkey, 6] END AS p FROM lineitem),
+    g AS (SELECT id, count(*) AS polygons, sum(list_sum(p)) AS total FROM a WHERE len(p) >= 6 GROUP BY id)
+    SELECT o_orderkey AS id, 'im' || o_orderkey || '.tif' AS file_name, coalesce(polygons, 0) AS polygons, round(coalesce(total, 0)::DOUBLE, 6) AS total FROM orders LEFT JOIN g ON g.id = o_orderkey""",
+)
+def annotation_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annotation documents, one for each customer and line, written and read back: images with the polygons of their annotations that have three points at least."""
+    path = new_path(spark, "annotations")
+    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    c = lambda *x: F.array(*[v.cast("double") if not isinstance(v, int) else F.lit(float(v)) for v in x])
+    polygon = F.when(F.col("l_linenumber") % 4 == 0, c(F.col("l_linenumber"), F.col("l_suppkey"), 3, 4)).otherwise(c(F.col("l_linenumber"), F.col("l_suppkey"), 3, 4, F.col("l_partkey"), 6))
+    images_ = o.groupBy("o_custkey").agg(F.collect_list(F.struct(F.col("o_orderkey").alias("id"), F.concat(F.lit("im"), "o_orderkey", F.lit(".tif")).alias("file_name"), F.lit(20).alias("width"), F.lit(20).alias("height"))).alias("images"))
+    notes = li.join(o.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey").agg(F.collect_list(F.struct((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("id"), F.col("l_orderkey").alias("image_id"), F.array(polygon).alias("segmentation"))).alias("annotations"))
+    images_.join(notes, "o_custkey", "left").select(F.to_json(F.struct("images", F.coalesce("annotations", F.expr("cast(array() as array<struct<id: bigint, image_id: bigint, segmentation: array<array<double>>>>)")).alias("annotations"))).alias("value")).write.text(path)
+    found = coco.read_coco(spark, path, lines=True)
+    total = F.aggregate(F.flatten("polygons"), F.lit(0.0), lambda a, x: a + x)
+    return found.select("id", "file_name", F.size("polygons").cast("long").alias("polygons"), F.round(total, 6).alias("total"))

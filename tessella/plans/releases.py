@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessella.functions import text as X
 from tessella.operators import contract, metrics as M, reports as R
+from tessella.operators.releases import manifest_line, release_actions
 from tessella.plans.registry import register
 from tessella.session import table
 
@@ -148,16 +149,65 @@ def asset_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", X.asset_name(X.without_suffix(source, ".hdf5"), kind, "onnx").alias("asset"))
 
 
+LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
 @register(
     "release_plan",
-    """WITH s AS (SELECT doc_id, sha256(text) AS d, n_chars FROM documents), l AS (SELECT doc_id FROM labels)
-    SELECT s.doc_id, CASE WHEN l.doc_id IS NULL THEN 'create' WHEN s.n_chars % 2 = 0 THEN 'keep' ELSE 'edit' END AS action,
-           '| `' || s.doc_id || '` | ' || printf('%.6f', n_chars / 1e6) || ' | `' || substr(d, 1, 16) || '…` |' AS line FROM s LEFT JOIN l ON l.doc_id = s.doc_id""",
+    f"""WITH s AS (SELECT doc_id, sha256(text) AS d, n_chars FROM documents), l AS (SELECT doc_id, sha256({LOWERED}) AS d FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))
+    SELECT s.doc_id, CASE WHEN l.doc_id IS NULL THEN 'create' WHEN l.d = s.d THEN 'keep' ELSE 'edit' END AS action,
+           '| `' || s.doc_id || '` | ' || printf('%.6f', n_chars / 1e6) || ' | `' || substr(s.d, 1, 16) || '…` |' AS line FROM s LEFT JOIN l ON l.doc_id = s.doc_id""",
 )
 def release_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What publishing would do with each staged asset, and its manifest line; a dry run by nature, as nothing is sent."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest"), "n_chars")
-    there = table(spark, sf_dir, "labels").select("doc_id", F.lit(True).alias("there"))
-    action = F.when(F.col("there").isNull(), "create").when(F.col("n_chars") % 2 == 0, "keep").otherwise("edit")
-    line = F.format_string("| `%d` | %.6f | `%s…` |", "doc_id", F.col("n_chars") / 1e6, F.left("digest", F.lit(16)))
-    return d.join(there, "doc_id", "left").select("doc_id", action.alias("action"), line.alias("line"))
+    """What publishing would do with each staged asset beside an earlier release of some, in lower case, and its manifest line; a dry run by nature, as nothing is sent."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("asset"), "text", "n_chars")
+    staged = d.select("asset", F.sha2("text", 256).alias("sha256"), "n_chars")
+    released = d.join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("asset")).distinct(), "asset", "left_semi").select("asset", F.expr(f"sha2({LOWERED}, 256)").alias("sha256"))
+    found = release_actions(staged, released)
+    return found.select(F.col("asset").alias("doc_id"), "action", manifest_line(F.col("asset"), F.col("n_chars"), F.col("sha256")).alias("line"))
+
+
+SCORES = "SELECT event_type, count(*) AS n, avg(value) / 900 AS f1, max(value) / 900 AS p, min(value) / 7 AS r, CASE WHEN event_type <> 'view' THEN avg(value) / 3 END AS loss FROM events GROUP BY event_type"
+
+
+def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("value")
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(
+        F.count("*").alias("n"), (F.avg(v) / 900).alias("f1"), (F.max(v) / 900).alias("p"), (F.min(v) / 7).alias("r"), F.when(F.col("event_type") != "view", F.avg(v) / 3).alias("loss"),
+        F.sort_array(F.collect_list(F.when(F.col("user_id") == 1, F.struct("event_id", "value"))))["value"].alias("curve"),
+    )
+
+
+def _metrics(names: list[tuple[str, str]]) -> str:
+    """SQL of a table of metrics."""
+    return "'| metric | value |' || chr(10) || '|--------|------:|'" + "".join(f" || chr(10) || '| {n} | ' || {_or_dash(c, 4)} || ' |'" for n, c in names)
+
+
+TESTED = [("f1", "f1"), ("precision", "p"), ("recall", "r"), ("loss", "loss")]
+
+
+@register(
+    "report_test",
+    f"""WITH s AS ({SCORES}) SELECT event_type AS arch, '# Test results' || chr(10) || chr(10) || '**data:** held out' || chr(10) || '**tiles:** ' || n || chr(10) || '**arch:** ' || event_type || chr(10) || chr(10) || {_metrics(TESTED)} AS report FROM s""",
+)
+def report_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report on each model's held-out test."""
+    head = R.facts({"data": F.lit("held out"), "tiles": F.col("n"), "arch": F.col("event_type")})
+    body = R.metric_table({name: F.col(c) for name, c in TESTED})
+    return scores(spark, sf_dir).select(F.col("event_type").alias("arch"), R.sections(F.lit("Test results"), {"": F.concat_ws("\n\n", head, body)}).alias("report"))
+
+
+@register(
+    "report_model",
+    f"""WITH s AS ({SCORES}), c AS (SELECT event_type, string_agg(printf('%.4f', value), ', ' ORDER BY event_id) AS c FROM events WHERE user_id = 1 GROUP BY event_type)
+    SELECT s.event_type AS arch, '# ' || s.event_type || chr(10) || chr(10) || '**parameters:** ' || format('{{:,}}', n * 1000) || chr(10) || '**minutes:** ' || printf('%.1f', r) || chr(10) || chr(10)
+        || '## Final metrics' || chr(10) || chr(10) || {_metrics(TESTED)}
+        || CASE WHEN loss IS NULL THEN '' ELSE chr(10) || chr(10) || '## Held-out test' || chr(10) || chr(10) || {_metrics(TESTED[:3])} END
+        || chr(10) || chr(10) || '## F1 of each epoch' || chr(10) || chr(10) || '[' || coalesce(c.c, '') || ']' AS report FROM s LEFT JOIN c ON c.event_type = s.event_type""",
+)
+def report_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report on each model: its facts, final metrics, the held-out test where there was one, and its curve."""
+    head = R.facts({"parameters": F.format_string("%,d", F.col("n") * 1000), "minutes": R.number(F.col("r"), 1)})
+    test = F.when(F.col("loss").isNotNull(), R.metric_table({name: F.col(c) for name, c in TESTED[:3]}))
+    parts = {"": head, "Final metrics": R.metric_table({name: F.col(c) for name, c in TESTED}), "Held-out test": test, "F1 of each epoch": R.curve(F.col("curve"))}
+    return scores(spark, sf_dir).select(F.col("event_type").alias("arch"), R.sections(F.col("event_type"), parts).alias("report"))

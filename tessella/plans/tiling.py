@@ -195,6 +195,59 @@ def augment_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 AUGMENTATION = A.Plan(crop=(2, 4), hsv_p=0.5, seed=7)
 
 
+@register(
+    "rotated_tiles",
+    """WITH t AS (SELECT vec_id, embedding AS e, radians((vec_id % 25 - 12) * 7.5::DOUBLE) AS a FROM embeddings),
+    p AS (SELECT vec_id, e, i, cos(a) * (i // 8 - 3.5) - sin(a) * (i % 8 - 3.5) + 3.5 AS sy, sin(a) * (i // 8 - 3.5) + cos(a) * (i % 8 - 3.5) + 3.5 AS sx FROM t, generate_series(0, 63) s(i)),
+    c AS (SELECT vec_id, e, i, sy, sx, CAST(floor(sy) AS INTEGER) + dy AS y, CAST(floor(sx) AS INTEGER) + dx AS x FROM p, (VALUES (0), (1)) u(dy), (VALUES (0), (1)) v(dx)),
+    v AS (SELECT vec_id, i, CAST(coalesce(sum(CASE WHEN y BETWEEN 0 AND 7 AND x BETWEEN 0 AND 7 THEN (1 - abs(sy - y)) * (1 - abs(sx - x)) * e[y * 8 + x + 1]::DOUBLE END), 0) AS FLOAT)::DOUBLE AS v FROM c GROUP BY vec_id, i)
+    SELECT vec_id AS tile, count(*) AS n, round(max(v) FILTER (WHERE i = 0), 4) AS head, round(max(v) FILTER (WHERE i = 63), 4) AS tail, round(sum(v * (i + 1)), 4) AS weighted FROM v GROUP BY vec_id""",
+)
+def rotated_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tile turned by an angle that is given with it; what comes from outside is zero."""
+    tiles = _images(spark, sf_dir).withColumn("degrees", (F.col("n") % 25 - 12) * 7.5)
+    return _digest4(A.stepped(tiles, A.rotate, "degrees"))
+
+
+def _digest4(tiles: DataFrame) -> DataFrame:
+    return tiles.select(F.col("n").alias("tile"), *digest(F.col("image"), 4))
+
+
+@register(
+    "cropped_tiles",
+    """WITH t AS (SELECT vec_id, embedding AS e, vec_id % 7 + 2 AS n, vec_id % 3 * (6 - vec_id % 7) // 2 AS y0, vec_id % 2 * (6 - vec_id % 7) AS x0 FROM embeddings),
+    g AS (SELECT vec_id, e, i, n, y0, x0, (i // 8 + 0.5::DOUBLE) * n / 8 - 0.5 AS y, (i % 8 + 0.5::DOUBLE) * n / 8 - 0.5 AS x FROM t, generate_series(0, 63) s(i)),
+    c AS (SELECT vec_id, e, i, CASE WHEN dy = 0 THEN 1 - (y - floor(y)) ELSE y - floor(y) END * CASE WHEN dx = 0 THEN 1 - (x - floor(x)) ELSE x - floor(x) END AS weight,
+          CAST((y0 + least(n - 1, greatest(0, floor(y) + dy))) * 8 + x0 + least(n - 1, greatest(0, floor(x) + dx)) + 1 AS INTEGER) AS place FROM g, (VALUES (0), (1)) u(dy), (VALUES (0), (1)) v(dx)),
+    v AS (SELECT vec_id, i, CAST(sum(weight * e[place]::DOUBLE) AS FLOAT)::DOUBLE AS v FROM c GROUP BY vec_id, i)
+    SELECT vec_id AS tile, count(*) AS n, round(max(v) FILTER (WHERE i = 0), 4) AS head, round(max(v) FILTER (WHERE i = 63), 4) AS tail, round(sum(v * (i + 1)), 4) AS weighted FROM v GROUP BY vec_id""",
+)
+def cropped_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A given square window of every tile, scaled back to the tile's size."""
+    i = F.col("n")
+    left = 6 - i % 7
+    tiles = _images(spark, sf_dir).withColumns({"side": (i % 7 + 2).cast("int"), "y": F.floor(i % 3 * left / 2).cast("int"), "x": (i % 2 * left).cast("int")})
+    return _digest4(A.stepped(tiles, A.cropped, "y", "x", "side"))
+
+
+@register(
+    "coloured_tiles",
+    """WITH t AS (SELECT vec_id, list_transform(embedding[1:48], lambda x: CAST(1 / (1 + exp(-(x::DOUBLE * 4))) AS FLOAT)::DOUBLE) AS e FROM embeddings),
+    p AS (SELECT vec_id, i, e[i * 3 + 1] AS r, e[i * 3 + 2] AS g, e[i * 3 + 3] AS b FROM t, generate_series(0, 15) s(i)),
+    m AS (SELECT *, greatest(r, g, b) AS top, greatest(r, g, b) - least(r, g, b) AS d FROM p),
+    h AS (SELECT vec_id, i, CASE WHEN d = 0 THEN 0 WHEN top = r THEN (g - b) / d + CASE WHEN g < b THEN 6 ELSE 0 END WHEN top = g THEN (b - r) / d + 2 ELSE (r - g) / d + 4 END / 6 AS h, CASE WHEN top > 0 THEN d / top ELSE 0 END AS s, top AS v FROM m),
+    n AS (SELECT vec_id, i, h + (vec_id % 11 - 5) * 0.07::DOUBLE AS h, least(1, greatest(0, s + (vec_id % 5 - 2) * 0.1::DOUBLE)) AS s, least(1, greatest(0, v + (vec_id % 3 - 1) * 0.15::DOUBLE)) AS v FROM h),
+    f AS (SELECT vec_id, i, v, CAST(floor((h - floor(h)) * 6) AS INTEGER) % 6 AS k, v * (1 - s) AS p, v * (1 - s * ((h - floor(h)) * 6 - floor((h - floor(h)) * 6))) AS q, v * (1 - s * (1 - ((h - floor(h)) * 6 - floor((h - floor(h)) * 6)))) AS t FROM n),
+    c AS (SELECT vec_id, i, unnest([0, 1, 2]) AS c, unnest(CASE k WHEN 0 THEN [v, t, p] WHEN 1 THEN [q, v, p] WHEN 2 THEN [p, v, t] WHEN 3 THEN [p, q, v] WHEN 4 THEN [t, p, v] ELSE [v, p, q] END)::FLOAT::DOUBLE AS x FROM f)
+    SELECT vec_id AS tile, count(*) AS n, round(max(x) FILTER (WHERE i = 0 AND c = 0), 4) AS head, round(max(x) FILTER (WHERE i = 15 AND c = 2), 4) AS tail, round(sum(x * (i * 3 + c + 1)), 4) AS weighted FROM c GROUP BY vec_id""",
+)
+def coloured_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tile with its hue turned and its saturation and value moved by amounts that are given with it."""
+    i = F.col("n")
+    tiles = rgb_images(spark, sf_dir).withColumns({"hue": (i % 11 - 5) * 0.07, "saturation": (i % 5 - 2) * 0.1, "value": (i % 3 - 1) * 0.15})
+    return _digest4(A.stepped(tiles, A.shift_hsv, "hue", "saturation", "value"))
+
+
 def _resized(taps: str, size: int) -> str:
     """SQL of an interpolated resize of 8 x 8 to size x size; taps: the weights' cases by the tap's place k and the fraction t."""
     return f"""WITH a AS (SELECT i, (i + 0.5::DOUBLE) * 8 / {size} - 0.5::DOUBLE AS place FROM generate_series(0, {size - 1}) s(i)),

@@ -10,12 +10,12 @@ from tessella.operators.rasterize import masks
 SCHEMA = "images array<struct<id: bigint, file_name: string, width: int, height: int>>, annotations array<struct<id: bigint, image_id: bigint, segmentation: string>>"
 
 
-def read_coco(spark: SparkSession, path: str, allow_empty: bool = True) -> DataFrame:
+def read_coco(spark: SparkSession, path: str, allow_empty: bool = True, lines: bool = False) -> DataFrame:
     """(id, file_name, width, height, polygons): every image with the polygons of all its annotations, each of three points or more.
 
-    A segmentation that isn't a list (a run-length mask) is an error.
+    A segmentation that isn't a list (a run-length mask) is an error. A file is one document; with lines, each line is one, so that files can be split. Ids hold over all documents.
     """
-    doc = spark.read.schema(SCHEMA).option("multiLine", True).json(path)
+    doc = spark.read.schema(SCHEMA).option("multiLine", not lines).json(path)
     images = doc.select(F.explode("images").alias("i")).select("i.*")
     ann = doc.select(F.explode("annotations").alias("a")).select("a.*")
     is_list = F.substring(F.ltrim("segmentation"), 1, 1) == "["

@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessella.operators.augment import resize
 from tessella.operators.pairing import numeric_key
@@ -53,7 +53,8 @@ def calibration(spark: SparkSession, folder: str, samples: int, size: int, exten
     names = [r.path for r in files.orderBy("path").limit(samples).collect()]
     if not names:
         raise FileNotFoundError(f"no calibration images under {base.toString()}")
-    order = F.array_position(F.array(*map(F.lit, names)), F.col("path"))
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")  # noqa: E731  the two sources write the same path in two ways
+    order = F.array_position(F.array(*[plain(F.lit(n)) for n in names]), plain(F.col("path")))
     raw = spark.read.format("image").option("dropInvalid", True).load(names).select(F.col("image.origin").alias("path"), "image.height", "image.width", "image.nChannels", "image.data")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -68,16 +69,22 @@ def calibration(spark: SparkSession, folder: str, samples: int, size: int, exten
     return raw.withColumn("n", order).mapInPandas(run, "n long, path string, h int, w int, data array<float>")
 
 
-def luma(data: Column, channels: Column) -> Column:
-    """One grey value a pixel (ITU-R 601 weights)."""
-    grey = F.transform(F.sequence(F.lit(0), F.size(data) - 1, F.lit(3)), lambda i: F.round(F.get(data, i) * 0.299 + F.get(data, i + 1) * 0.587 + F.get(data, i + 2) * 0.114).cast("int"))
-    return F.when(channels == 1, data).otherwise(grey)
+def luma(pixels: np.ndarray) -> np.ndarray:
+    """One grey value from 0 to 255 a pixel (ITU-R 601 weights) of (pixels, channels)."""
+    if pixels.shape[1] == 1:
+        return pixels[:, 0]
+    return np.floor(pixels[:, :3] @ np.array([0.299, 0.587, 0.114]) + 0.5).astype(np.int32)
+
+
+def _masks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        grey = [luma(np.asarray(d).reshape(-1, c)) for d, c in zip(pdf["data"], pdf["c"], strict=True)]
+        yield pdf[["n", "path", "h", "w"]].assign(data=[np.where(g / 255.0 >= 0.5, 1.0, 0.0) for g in grey])
 
 
 def masks(tiles: DataFrame) -> DataFrame:
     """Tiles with one 0/1 value a pixel: grey / 255 >= 0.5."""
-    grey = luma(F.col("data"), F.col("c"))
-    return tiles.select("n", "path", "h", "w", F.transform(grey, lambda x: F.when(x / 255.0 >= 0.5, 1.0).otherwise(0.0)).alias("data"))
+    return tiles.select("n", "path", "h", "w", "c", "data").mapInPandas(_masks, "n long, path string, h int, w int, data array<double>")
 
 
 def image_size(head: bytes) -> tuple[int, int] | None:
