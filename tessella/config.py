@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, fields, replace
 
 from tessella.functions.text import TRUE
+from tessella.operators.augment import Plan
 
 #: name -> whether its width can be scaled and it can be exported to the second format
 ARCHITECTURES = {"unet": (True, True), "deeplabv3plus": (False, False), "hrnet": (False, False)}
@@ -32,6 +33,19 @@ class Config:
     multiscale: bool = False
     export_second: bool = False
     device: str = "auto"
+    out_dir: str = "output"
+    epochs: int = 100
+    eval_tiling: bool = False
+    crop_min_px: int = 400
+    crop_max_px: int = 1024
+    aug_hflip_p: float = 0.5
+    aug_vflip_p: float = 0.5
+    aug_rotate_p: float = 0.0
+    aug_rotate_limit: float = 15.0
+    aug_bc_p: float = 0.5
+    aug_brightness_limit: float = 0.2
+    aug_contrast_limit: float = 0.2
+    aug_hsv_p: float = 0.5
 
     def checked(self) -> Config:
         """The same, or a ValueError that says what can't be run."""
@@ -44,8 +58,24 @@ class Config:
             raise ValueError(f"the second export format is not for arch {self.arch!r}")
         if not self.data_dir and not (self.stage1_dir and self.stage2_dir):
             raise ValueError("a data_dir is needed, or a stage1_dir and a stage2_dir")
+        if not 0 < self.crop_min_px <= self.crop_max_px:
+            raise ValueError("crop_min_px must be above 0 and at most crop_max_px")
+        if bad := [f.name for f in fields(self) if f.name.endswith("_p") and not 0 <= getattr(self, f.name) <= 1]:
+            raise ValueError(f"not a probability: {', '.join(bad)}")
         return self
 
+    @property
+    def augmentation(self) -> Plan:
+        """What the training tiles of this run go through; crops only where several scales are asked for."""
+        return Plan(
+            flip_p=self.aug_hflip_p, vflip_p=self.aug_vflip_p, rotate_p=self.aug_rotate_p, rotate_limit=self.aug_rotate_limit, crop=(self.crop_min_px, self.crop_max_px) if self.multiscale else None,
+            brightness_p=self.aug_bc_p, brightness_limit=self.aug_brightness_limit, contrast_limit=self.aug_contrast_limit, hsv_p=self.aug_hsv_p, seed=self.seed,
+        )
+
+    def output(self, name: str) -> str:
+        """Where this run puts something: checkpoints, logs, model.onnx, test_results.md."""
+        return f"{self.out_dir.rstrip('/')}/{name}"
+
     @property
     def two_stage(self) -> bool:
         return not self.data_dir

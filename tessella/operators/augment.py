@@ -110,11 +110,13 @@ class Plan:
     """Which steps may happen; a probability of zero leaves a step out."""
 
     flip_p: float = 0.5
+    vflip_p: float | None = None  # None: as flip_p
     rotate_p: float = 0.5
     rotate_limit: float = 15.0
     crop: tuple[int, int] | None = None  # least and most side of a square crop that is scaled back to the tile's size
     brightness_p: float = 0.3
     brightness_limit: float = 0.2
+    contrast_limit: float | None = None  # None: as brightness_limit
     hsv_p: float = 0.0
     hue_limit: float = 0.05
     seed: int = 0
@@ -126,8 +128,8 @@ def augmented(image: np.ndarray, mask: np.ndarray, plan: Plan, key: int, epoch:
     mask = mask[..., None]
 
     def flips(i: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        for axis in (1, 0):
-            if rng.random() < plan.flip_p:
+        for axis, p in ((1, plan.flip_p), (0, plan.flip_p if plan.vflip_p is None else plan.vflip_p)):
+            if rng.random() < p:
                 i, m = np.flip(i, axis), np.flip(m, axis)
         return i, m
 
@@ -146,7 +148,8 @@ def augmented(image: np.ndarray, mask: np.ndarray, plan: Plan, key: int, epoch:
     for step in (turn, cut, flips) if plan.crop else (flips, turn):
         image, mask = step(image, mask)
     if rng.random() < plan.brightness_p:
-        image = np.clip(image * (1 + rng.uniform(-1, 1) * plan.brightness_limit) + rng.uniform(-1, 1) * plan.brightness_limit, 0, 1)
+        contrast = plan.brightness_limit if plan.contrast_limit is None else plan.contrast_limit
+        image = np.clip(image * (1 + rng.uniform(-1, 1) * contrast) + rng.uniform(-1, 1) * plan.brightness_limit, 0, 1)
     if rng.random() < plan.hsv_p:
         image = shift_hsv(image, *rng.uniform(-plan.hue_limit, plan.hue_limit, 3))
     return image.astype(np.float32), (mask[..., 0] >= 0.5).astype(np.float32)

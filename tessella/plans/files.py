@@ -8,7 +8,7 @@ from tessella.operators import pairing as P
 from tessella.plans.registry import register
 from tessella.plans.tiling import digest
 from tessella.session import new_path, table
-from tessella.sources import coco, images, logs, pairs, ranges
+from tessella.sources import coco, images, logs, pairs, ranges, scalars, sinks
 
 
 def number(prefix: str, extension: str):
@@ -59,15 +59,8 @@ def numbered_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.regexp_extract("path", "user_id=([0-9]+)/", 1).cast("long").alias("user_id"), "pos", "line")
 
 
-@register(
-    "calibration_set",
-    """WITH c AS (SELECT vec_id, embedding, row_number() OVER (ORDER BY 'train' || vec_id || '.gif') AS k FROM embeddings),
-    p AS (SELECT k, vec_id, i, CAST((CAST(floor(abs(embedding[i + 1]) * 255) AS INTEGER) % 256) / 255.0 AS FLOAT)::DOUBLE AS v FROM c, generate_series(0, 63) s(i) WHERE k <= 50)
-    SELECT k, vec_id, 192::BIGINT AS n, round(max(v) FILTER (WHERE i = 0), 5) AS head, round(max(v) FILTER (WHERE i = 63), 5) AS tail, round(sum(v * (3 * (i + 1) + 192)), 4) AS weighted FROM p GROUP BY k, vec_id""",
-)
-def calibration_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first fifty image files by name, decoded, scaled and with channels first: the limit is the operator's, and comes before anything is decoded."""
-    path = new_path(spark, "calibration")
+def _drawn_pairs(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """Embeddings as grey image files of 8 x 8 and masks of their positive values."""
     grey = F.transform("embedding", lambda x: F.floor(F.abs(x) * 255).cast("int") % 256)
     tiles = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("n"), grey.alias("grey"), F.col("embedding").alias("mask"))
 
@@ -81,6 +74,18 @@ def calibration_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     made = tiles.mapInArrow(drawn, "n long, image binary, mask array<float>")
     pairs.write_pair_files(made.withColumns({"extension": F.lit("gif"), "h": F.lit(8), "w": F.lit(8)}), path)
+
+
+@register(
+    "calibration_set",
+    """WITH c AS (SELECT vec_id, embedding, row_number() OVER (ORDER BY 'train' || vec_id || '.gif') AS k FROM embeddings),
+    p AS (SELECT k, vec_id, i, CAST((CAST(floor(abs(embedding[i + 1]) * 255) AS INTEGER) % 256) / 255.0 AS FLOAT)::DOUBLE AS v FROM c, generate_series(0, 63) s(i) WHERE k <= 50)
+    SELECT k, vec_id, 192::BIGINT AS n, round(max(v) FILTER (WHERE i = 0), 5) AS head, round(max(v) FILTER (WHERE i = 63), 5) AS tail, round(sum(v * (3 * (i + 1) + 192)), 4) AS weighted FROM p GROUP BY k, vec_id""",
+)
+def calibration_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first fifty image files by name, decoded, scaled and with channels first: the limit is the operator's, and comes before anything is decoded."""
+    path = new_path(spark, "calibration")
+    _drawn_pairs(spark, sf_dir, path)
     found = images.calibration(spark, path, 50, 8, ["gif"])
     return found.select(F.col("n").alias("k"), number("train", "gif").alias("vec_id"), *digest(F.col("data"), 5))
 
@@ -119,3 +124,76 @@ def annotation_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = coco.read_coco(spark, path, lines=True)
     total = F.aggregate(F.flatten("polygons"), F.lit(0.0), lambda a, x: a + x)
     return found.select("id", "file_name", F.size("polygons").cast("long").alias("polygons"), F.round(total, 6).alias("total"))
+
+
+@register(
+    "written_splits",
+    "SELECT CASE WHEN doc_id % 5 = 0 THEN 'val' ELSE 'train' END AS split, doc_id AS key, row_number() OVER (PARTITION BY doc_id % 5 = 0 ORDER BY doc_id) AS n, lang FROM documents",
+)
+def written_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Splits as partitions, each numbered in key order, written and read back."""
+    path = new_path(spark, "splits")
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("n"), "lang", F.when(F.col("doc_id") % 5 == 0, "val").otherwise("train").alias("split"))
+    sinks.write_splits(d, path)
+    return spark.read.parquet(path).select("split", "key", "n", "lang")
+
+
+def _history(spark: SparkSession, sf_dir: str) -> str:
+    path = new_path(spark, "history")
+    e, v = table(spark, sf_dir, "events"), F.col("value")
+    rows = e.select((F.col("event_id") % 2 + 1).cast("int").alias("stage"), F.col("event_id").cast("int").alias("epoch"), v.alias("loss"), F.when(F.col("event_id") % 3 > 0, v / 900).alias("val_f1"), F.when(F.col("event_id") % 5 > 0, v / 7).alias("lr"))
+    sinks.write_metrics_csv(rows, path)
+    return path
+
+
+@register(
+    "metrics_file",
+    "SELECT event_id % 2 + 1 AS stage, event_id AS epoch, round(value, 6) AS loss, CAST(NULL AS DOUBLE) AS f1, round(CASE WHEN event_id % 3 > 0 THEN value / 900 END, 9) AS val_f1, round(CASE WHEN event_id % 5 > 0 THEN value / 7 END, 9) AS lr FROM events",
+)
+def metrics_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metrics of all epochs as a CSV file with empty cells, read back."""
+    rows = spark.read.schema(scalars.CURVE).option("header", True).csv(_history(spark, sf_dir))
+    return rows.select("stage", "epoch", F.round("loss", 6).alias("loss"), "f1", F.round("val_f1", 9).alias("val_f1"), F.round("lr", 9).alias("lr"))
+
+
+@register("curve_file", "SELECT row_number() OVER (ORDER BY event_id) - 1 AS place, round(value / 900, 4) AS f1 FROM events WHERE event_id % 2 = 1 AND event_id % 3 > 0")
+def curve_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One stage's curve from the metrics file, in the order of its epochs, empty cells left out."""
+    return scalars.read_curve(spark, _history(spark, sf_dir), 2).select(F.posexplode("curve").alias("place", "f1")).withColumn("place", F.col("place").cast("long"))
+
+
+@register("results_file", "SELECT event_type AS arch, CASE WHEN event_type = 'view' THEN 2 ELSE 1 END * count(*) AS params, round(avg(value), 6) AS f1 FROM events GROUP BY event_type")
+def results_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results by model as JSON; the second run of one model takes its place and leaves the others."""
+    path = new_path(spark, "results")
+    r = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("arch")).agg(F.count("*").alias("params"), F.avg("value").alias("f1"))
+    sinks.write_results_json(r, path)
+    sinks.write_results_json(r.where("arch = 'view'").withColumn("params", F.col("params") * 2), path)
+    return spark.read.json(path).select("arch", "params", F.round("f1", 6).alias("f1"))
+
+
+@register("scalar_log", "SELECT 'run' || (user_id % 4) AS run, event_type AS tag, count(*) AS n, min(event_id) AS first_step, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def scalar_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of scalars that is added to twice, read back by run and tag."""
+    path = new_path(spark, "scalars")
+    e = table(spark, sf_dir, "events").select(F.concat(F.lit("run"), F.col("user_id") % 4).alias("run"), F.lit(1).alias("stage"), F.col("event_id").alias("step"), F.col("event_type").alias("tag"), "value")
+    sinks.append_scalars(e.where("step % 2 = 0"), path)
+    sinks.append_scalars(e.where("step % 2 = 1"), path)
+    return spark.read.parquet(path).groupBy("run", "tag").agg(F.count("*").alias("n"), F.min("step").alias("first_step"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@register(
+    "decoded_tiles",
+    """SELECT vec_id AS n, 8 AS h, 8 AS w, 3 AS c, CAST(list_sum(list_transform(generate_series(1, 64), lambda i: (CAST(floor(abs(embedding[i]) * 255) AS INTEGER) % 256) * i)) AS BIGINT) AS weighted,
+       len(list_filter(embedding, lambda x: x > 0)) AS lit FROM embeddings""",
+)
+def decoded_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Image files and their masks decoded at their own resolution."""
+    path = new_path(spark, "tiles")
+    _drawn_pairs(spark, sf_dir, path)
+    tiles = images.read_tiles(spark, f"{path}/train", "train", "gif")
+    masks = images.masks(images.read_tiles(spark, f"{path}/mask", "mask", "gif"))
+    first = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.get("data", i * F.col("c")) * (i + 1))
+    weighted = F.aggregate(first, F.lit(0).cast("long"), lambda a, x: a + x)
+    lit = masks.select("n", F.size(F.filter("data", lambda x: x > 0)).cast("long").alias("lit"))
+    return tiles.select("n", "h", "w", "c", weighted.alias("weighted")).join(lit, "n")

@@ -534,3 +534,16 @@ def test_nothing_stays_persisted(spark, sf):
     for name in ("latency_stats", "speedup_vs_base", "weighted_batch_loss", "tile_order", "renumber"):
         catalog.queries()[name](spark, sf).write.format("noop").mode("overwrite").save()
     assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
+
+
+def test_settings_of_augmentation():
+    c = config.from_args(["--data-dir", "d", "--aug-hflip-p", "1", "--aug-vflip-p", "0", "--aug-rotate-p", "0", "--aug-bc-p", "0", "--aug-hsv-p", "0", "--multiscale", "--crop-min-px", "3", "--crop-max-px", "3", "--seed", "9", "--out-dir", "x/"]).checked()
+    plan = c.augmentation
+    assert plan == augment.Plan(flip_p=1.0, vflip_p=0.0, rotate_p=0.0, crop=(3, 3), brightness_p=0.0, contrast_limit=0.2, seed=9) and c.output("model.onnx") == "x/model.onnx"
+    image, mask = np.arange(27.0).reshape(3, 3, 3) / 27, np.eye(3)
+    got = augment.augmented(image, mask, plan, 1, 1)
+    assert np.allclose(got[0], image[:, ::-1], atol=1e-6) and np.array_equal(got[1], mask[:, ::-1])
+    assert config.Config(data_dir="d").augmentation.crop is None
+    for bad in (["--crop-min-px", "9", "--crop-max-px", "3"], ["--aug-hsv-p", "1.5"]):
+        with pytest.raises(ValueError):
+            config.from_args(["--data-dir", "d", *bad]).checked()
