@@ -1,3 +1,5 @@
+import re
+
 import pytest
 
 pipeline = pytest.importorskip("corpus_pipeline")
@@ -46,6 +48,11 @@ def test_stages_against_brute_force(spark, sf, tmp_path):
             if len(words) >= substring.MIN_WORDS:
                 assert words not in seen
                 seen.add(words)
+    held = {}
+    for i, text in texts.items():
+        words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
+        for k in range(len(words) - substring.PASSAGE + 1):
+            assert held.setdefault(tuple(words[k : k + substring.PASSAGE]), i) == i  # no passage of so many words is left in two documents
     packed = at.groupBy("doc_id").sum("length").collect()
     assert {r[0]: r[1] for r in packed} == {i: len(t.split()) + 1 for i, t in texts.items()}
     total = at.groupBy("bin_id").sum("length").collect()
