@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tessella.operators.pairing import few
+from tessella.operators.pairing import BROADCAST_ROWS, few
 from tessella.session import stored
 
 EPS = 1e-6  # fixed value of the soft F1 loss
@@ -80,7 +80,7 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, at: dict[str, fl
     while one holds more than WITHIN rows, then in order. No value is sorted with those of other buckets, so no group or value is one task's.
     """
     v = F.col("_v").cast("double")
-    rows = df.where(F.col(value).isNotNull()).select(F.struct(*keys).alias("_g"), F.col(value).alias("_v")).withColumn("_b", F.array(magnitude(v)))
+    rows = df.where(F.col(value).isNotNull()).select(F.struct(*keys).alias("_g"), F.col(value).alias("_v")).withColumn("_b", magnitude(v))
 
     def counted(some: DataFrame) -> DataFrame:
         return stored(some.groupBy("_g", "_b").agg(F.count("*").alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high")), "buckets")[0]
@@ -95,24 +95,26 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, at: dict[str, fl
     wanted = places.withColumn("x", F.explode(inside)).select("_g", "_b", "_n", "_low", "_high", "x.i", "x.side", "x.frac", (F.col("x.k") - F.col("_before")).alias("_k"))
     known = lambda d: (F.col("_k") == 0) | (F.col("_k") == F.col("_n") - 1) | F.col("_low").eqNullSafe(F.col("_high"))
     ends = lambda d: d.where(known(d)).select("_g", "i", "side", "frac", F.when(F.col("_k") == 0, F.col("_low")).otherwise(F.col("_high")).alias("_v"))
-    found, wanted = [ends(wanted)], stored(wanted.where(~known(wanted)), "wanted")[0]
-    while (top := wanted.agg(F.max("_n")).first()[0] or 0) > WITHIN:
+    found, wanted = [ends(wanted)], wanted.where(~known(wanted))  # all of it from the table of buckets
+    while (size := wanted.agg(F.max("_n"), F.count("*")).first())[0] is not None and size[0] > WITHIN:
         # finer: each bucket's own range in even steps
         own = few(wanted.select("_g", "_b", "_low", "_high").distinct())
         step = F.floor((v - F.col("_low")) / (F.col("_high") - F.col("_low")) * STEPS).cast("long")
-        rows = rows.join(own, ["_g", "_b"]).select("_g", "_v", F.concat("_b", F.array(F.coalesce(step, F.lit(0)))).alias("_b"))
+        rows = rows.join(own, ["_g", "_b"]).select("_g", "_v", F.struct(F.col("_b").alias("parent"), F.coalesce(step, F.lit(0)).alias("step")).alias("_b"))
         finer = counted(rows)
         parent = Window.partitionBy("_g", "_parent").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-        finer = finer.withColumn("_parent", F.slice("_b", 1, F.size("_b") - 1)).withColumn("_before", F.coalesce(F.sum("_n").over(parent), F.lit(0)))
+        finer = finer.withColumn("_parent", F.col("_b.parent")).withColumn("_before", F.coalesce(F.sum("_n").over(parent), F.lit(0)))
         asked = wanted.select("_g", F.col("_b").alias("_parent"), "i", "side", "frac", "_k")
         hit = finer.join(asked, ["_g", "_parent"]).where("_k >= _before and _k < _before + _n").withColumn("_k", F.col("_k") - F.col("_before"))
         hit = hit.select("_g", "_b", "_n", "_low", "_high", "i", "side", "frac", "_k")
         found.append(ends(hit))
         wanted = stored(hit.where(~known(hit)), "wanted")[0]
-    if top:
-        own = rows.join(few(wanted.select("_g", "_b").distinct()), ["_g", "_b"])
-        ranked = own.withColumn("_k", F.row_number().over(Window.partitionBy("_g", "_b").orderBy("_v")).cast("long") - 1)
-        found.append(ranked.join(few(wanted.select("_g", "_b", "_k", "i", "side", "frac")), ["_g", "_b", "_k"]).select("_g", "i", "side", "frac", "_v"))
+    if size[0] is not None:
+        asked = wanted.groupBy("_g", "_b").agg(F.collect_list(F.struct("_k", "i", "side", "frac")).alias("x"))
+        own = rows.join(F.broadcast(asked) if size[1] <= BROADCAST_ROWS else asked, ["_g", "_b"])
+        ranked = own.withColumn("_at", F.row_number().over(Window.partitionBy("_g", "_b").orderBy("_v")) - 1)
+        hit = ranked.withColumn("x", F.explode(F.filter("x", lambda x: x["_k"] == F.col("_at"))))
+        found.append(hit.select("_g", "x.i", "x.side", "x.frac", "_v"))
     out = []
     for i, name in enumerate(at):
         a, b = (F.max(F.when((F.col("i") == i) & (F.col("side") == side), F.col("_v"))) for side in (0, 1))

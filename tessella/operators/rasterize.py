@@ -73,6 +73,38 @@ def outlined(polygons: Sequence[Sequence[float]], height: int, width: int, most:
     return out | (np.cumsum(steps, axis=1)[:, :width] > 0)
 
 
+def outlined_all(rows: Sequence[tuple[Sequence[Sequence[float]], int, int]], most: int = 1 << 20) -> list[np.ndarray]:
+    """outlined() of many rows (polygons, height, width); small polygons of one canvas and number of points are filled together, `most` tests at a time."""
+    out = [np.zeros((h, w), bool) for _, h, w in rows]
+    alike: dict[tuple[int, int, int], list[tuple[int, Sequence[float]]]] = {}
+    for i, (polygons, h, w) in enumerate(rows):
+        for flat in polygons:
+            alike.setdefault((h, w, len(flat) // 2), []).append((i, flat))
+    for (h, w, n), items in alike.items():
+        if n < 3 or h * w * n > 1 << 14:
+            for i, flat in items:
+                out[i] |= outlined([flat], h, w)
+            continue
+        y, xs = np.arange(h)[:, None], np.arange(w)
+        step = max(1, most // (h * w * n))
+        for k in range(0, len(items), step):
+            part = items[k : k + step]
+            a = np.trunc(np.array([flat[: 2 * n] for _, flat in part], float).reshape(len(part), 1, n, 2))
+            b = np.roll(a, -1, axis=2)
+            (ax, ay), (bx, by) = (np.moveaxis(e, -1, 0) for e in (a, b))
+            level = ay == by
+            crossed = ~level & (y >= np.minimum(ay, by)) & (y < np.maximum(ay, by))
+            x = np.sort(np.where(crossed, ax + (y - ay) * ((bx - ax) / np.where(level, 1, by - ay)), np.inf), axis=2)
+            begin = np.floor(x[..., 0 : n - n % 2 : 2] + 0.5)[..., None]
+            end = np.maximum(begin, np.ceil(x[..., 1::2] - 0.5)[..., None])
+            inside = ((xs >= begin) & (xs <= end)).any(axis=2)
+            low, high = np.where(level, np.minimum(ax, bx), ax)[..., None], np.where(level, np.maximum(ax, bx), ax)[..., None]  # level edges, and the points of others
+            inside |= ((y == ay)[..., None] & (xs >= low) & (xs <= high)).any(axis=2)
+            for (i, _), found in zip(part, inside, strict=True):
+                out[i] |= found
+    return out
+
+
 def filled_all(rows: Sequence[tuple[Sequence[Sequence[float]], int, int]], most: int = 1 << 20) -> list[np.ndarray]:
     """filled() of many rows (polygons, height, width); small polygons of one canvas and number of points are tested together, `most` tests at a time."""
     out = [np.zeros((h, w), bool) for _, h, w in rows]
@@ -101,7 +133,7 @@ def filled_all(rows: Sequence[tuple[Sequence[Sequence[float]], int, int]], most:
 
 def _of(pdf: pd.DataFrame, rule: str) -> list[np.ndarray]:
     rows = list(zip(pdf["polygons"], pdf["h"].tolist(), pdf["w"].tolist(), strict=True))
-    return filled_all(rows) if rule == "centres" else [outlined(*r) for r in rows]
+    return filled_all(rows) if rule == "centres" else outlined_all(rows)
 
 
 RULES = ("centres", "outline")

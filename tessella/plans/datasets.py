@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tessella.operators import harness, pairing as P, rasterize
 from tessella.plans.registry import register
 from tessella.plans.tiling import digest
-from tessella.session import table
+from tessella.session import spread, table
 from tessella.sources import scalars, sinks
 
 
@@ -60,7 +60,7 @@ def outline_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     w, h = F.col("l_partkey") % 9, F.col("l_suppkey") % 7
     polygon = F.array(*[c.cast("double") for c in (x, y, x + w, y + h, x - 3, y + 5)])
     grouped = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("n"), polygon.alias("p")).groupBy("n").agg(F.collect_list("p").alias("polygons"))
-    return rasterize.covered(grouped.select("n", F.lit(16).alias("h"), F.lit(16).alias("w"), "polygons"), "outline")
+    return rasterize.covered(spread(grouped.select("n", F.lit(16).alias("h"), F.lit(16).alias("w"), "polygons")), "outline")
 
 
 @register("fixed_validation", "SELECT o_orderkey AS n, 'train' AS split FROM orders WHERE o_orderstatus <> 'F' UNION ALL SELECT o_orderkey, 'val' FROM orders WHERE o_orderstatus = 'F'")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tessella.operators import pairing as P
 from tessella.plans.registry import register
 from tessella.plans.tiling import digest
-from tessella.session import new_path, table
+from tessella.session import new_path, spread, table
 from tessella.sources import coco, images, logs, pairs, ranges, scalars, sinks
 
 
@@ -27,7 +27,7 @@ def pair_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = table(spark, sf_dir, "pages").join(table(spark, sf_dir, "embeddings"), F.col("page_id") == F.col("vec_id"))
     image = F.coalesce("html", F.lit("")).cast("binary")
     written = source.select(F.col("page_id").alias("n"), F.lit("html").alias("extension"), image.alias("image"), F.lit(8).alias("h"), F.lit(8).alias("w"), F.col("embedding").alias("mask"))
-    pairs.write_pair_files(written, path)
+    pairs.write_pair_files(spread(written), path)
     files = ranges.digests(spark, f"{path}/train").select(number("train", "html"), "length", "sha256")
     masks = images.read_palette_masks(spark, f"{path}/mask").select(number("mask", "gif"), "data")
     weighted = F.aggregate(F.transform("data", lambda x, i: F.when(x > 0, i + 1).otherwise(0).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
@@ -41,7 +41,7 @@ def header_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "sizes")
     h = F.pow(F.lit(2), F.col("vec_id") % 7).cast("int")
     tiles = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("n"), F.lit("bin").alias("extension"), F.lit("").cast("binary").alias("image"), h.alias("h"), (64 / h).cast("int").alias("w"), F.col("embedding").alias("mask"))
-    pairs.write_pair_files(tiles, path)
+    pairs.write_pair_files(spread(tiles), path)
     return images.read_sizes(spark, f"{path}/mask").select(number("mask", "gif"), "h", "w")
 
 
@@ -53,7 +53,7 @@ def numbered_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A log file for each user, read by ranges with the number of each line in its file."""
     path = new_path(spark, "logs")
     line = F.concat_ws(" ", F.col("event_id").cast("string"), "event_type").alias("value")
-    rows = table(spark, sf_dir, "events").repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id")
+    rows = spread(table(spark, sf_dir, "events"), "user_id").sortWithinPartitions("user_id", "ts", "event_id")
     rows.select("user_id", line).write.partitionBy("user_id").text(path)
     found = ranges.numbered_lines(spark, path, "*.txt", chunk=1 << 14, recursive=True)
     return found.select(F.regexp_extract("path", "user_id=([0-9]+)/", 1).cast("long").alias("user_id"), "pos", "line")
@@ -72,7 +72,7 @@ def _drawn_pairs(spark: SparkSession, sf_dir: str, path: str) -> None:
             made = [pairs.grey_gif(np.array(g, np.uint8).reshape(8, 8)) for g in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary()), b.column(2)], ["n", "image", "mask"])
 
-    made = tiles.mapInArrow(drawn, "n long, image binary, mask array<float>")
+    made = spread(tiles).mapInArrow(drawn, "n long, image binary, mask array<float>")
     pairs.write_pair_files(made.withColumns({"extension": F.lit("gif"), "h": F.lit(8), "w": F.lit(8)}), path)
 
 
@@ -99,7 +99,7 @@ def evaluated_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, v = new_path(spark, "logs"), F.col("value")
     runs = table(spark, sf_dir, "events").groupBy("user_id").agg(F.avg(v).alias("a"), (F.max(v) / 900).alias("b"), (F.min(v) / 7).alias("c"), (F.avg(v) / 900).alias("d"))
     lines = [F.lit("Epoch 1 of 1"), F.lit("Evaluation on the test set"), F.lit("     loss Precision"), F.format_string("%.4f %.4f", "a", "b"), F.lit("   Recall   F1Score"), F.format_string("%.4f %.4f", "c", "d"), F.lit("done in 3.5")]
-    rows = runs.repartition("user_id").select("user_id", F.posexplode(F.array(*lines)).alias("pos", "value"))
+    rows = spread(runs, "user_id").select("user_id", F.posexplode(F.array(*lines)).alias("pos", "value"))
     rows.sortWithinPartitions("user_id", "pos").select("user_id", "value").write.partitionBy("user_id").text(path)
     found = ranges.numbered_lines(spark, path, "*.txt", recursive=True)
     found = found.select(F.regexp_extract("path", "user_id=([0-9]+)/", 1).cast("long").alias("user_id"), "pos", "line")

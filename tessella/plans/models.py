@@ -9,7 +9,7 @@ from tessella.operators import contract, layers, metrics as M, quantize, scoring
 from tessella.plans.registry import register
 from tessella.plans.releases import SHAPES
 from tessella.plans.tiling import digest
-from tessella.session import table
+from tessella.session import spread, table
 from tessella.sources import graphs
 
 
@@ -27,7 +27,7 @@ def declared_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.array().cast("array<struct<name: string, dims: array<string>>>")
     inputs = F.when(k % 13 == 0, none).otherwise(F.array(value(F.concat(s("x"), k), dims)))
     outputs = F.array(value(F.concat(s("y"), k), F.when(k % 7 == 0, F.array(s("batch"), s("1"), s("512"))).otherwise(F.array(s("batch"), s("1"), s("h"), s("w")))))
-    rows = table(spark, sf_dir, "orders").select(k.alias("id"), inputs.alias("inputs"), outputs.alias("outputs"), F.expr(NO_TENSORS).alias("tensors"))
+    rows = spread(table(spark, sf_dir, "orders").select("o_orderkey")).select(k.alias("id"), inputs.alias("inputs"), outputs.alias("outputs"), F.expr(NO_TENSORS).alias("tensors"))
     cut = F.expr("substring(model, 1, octet_length(model) - 20)")
     return graphs.write_models(rows, "id").withColumn("model", F.when(F.col("id") % 17 == 0, cut).otherwise(F.col("model")))
 
@@ -87,7 +87,7 @@ def network(mult: Column) -> Column:
 def width_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parameters of the networks that parts of different sizes stand for, counted from their models' tensors."""
     none = F.array().cast("array<struct<name: string, dims: array<string>>>")
-    rows = table(spark, sf_dir, "part").select("p_partkey", none.alias("inputs"), none.alias("outputs"), network(F.col("p_size") / 50.0).alias("tensors"))
+    rows = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size")).select("p_partkey", none.alias("inputs"), none.alias("outputs"), network(F.col("p_size") / 50.0).alias("tensors"))
     found = graphs.signatures(graphs.write_models(rows, "p_partkey"))
     widest = F.array_max(F.transform("tensors", lambda t: F.get(t["dims"], F.lit(0))))
     found = found.select("p_partkey", F.size("tensors").cast("long").alias("tensors"), graphs.parameters(F.col("tensors")).alias("params"), widest.alias("widest"))

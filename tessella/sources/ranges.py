@@ -20,7 +20,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-CHUNK, TASK_BYTES, TASK_FILES = 8 << 20, 128 << 20, 2000
+CHUNK, TASK_BYTES, TASK_FILES, BATCH_BYTES = 8 << 20, 128 << 20, 64, 8 << 20
 BROADCAST_ROWS = 200_000
 
 
@@ -108,12 +108,21 @@ class _Reader(DataSourceReader):
     def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         system, _, prefix = opened(self.path)
         last, handle = None, None
+        held: list[pa.RecordBatch] = []
+        size = 0
         for path, length, lo, hi in partition.ranges:
             if path != last:
                 if handle:
                     handle.close()
                 last, handle = path, system.open_input_file(path)
-            yield from self.rows(prefix + path, handle, length, lo, hi)
+            for b in self.rows(prefix + path, handle, length, lo, hi):
+                held.append(b)
+                size += b.nbytes
+                if size >= BATCH_BYTES or len(held) >= 500:
+                    yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                    held, size = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
         if handle:
             handle.close()
 

@@ -69,6 +69,7 @@ def art(*lines):
 def test_outlines(polygon, shape):
     got = rasterize.outlined([polygon], *shape.shape)
     assert np.array_equal(got, shape), got.astype(int)
+    assert np.array_equal(rasterize.outlined_all([([polygon], *shape.shape)])[0], shape)
 
 
 def test_outlines_against_a_plain_loop():
@@ -92,6 +93,7 @@ def test_outlines_against_a_plain_loop():
                 if 0 <= x < 14 and 0 <= y < 16:
                     want[y, x] = True
         assert np.array_equal(rasterize.outlined(polygons, 16, 14, most=50), want)
+        assert np.array_equal(rasterize.outlined_all([([], 16, 14), (polygons, 16, 14), ([[1, 2]], 16, 14)], most=5000)[1], want)
 
 
 def test_rules_are_known(spark):
