@@ -10,7 +10,9 @@ occur once in both, so aligning takes little more than linear time.
 Each slot of a wrapper is judged once for its host: slots under navigation, headers and footers, sidebars, notices, adverts,
 forms, scripts, styles and reader comments are not text; on pages that have slots in an article or main region, what is left of it is, but for slots that
 the wrapper has on every page with one string, where others vary and three different pages at least show it (headings beside what varies stay); elsewhere
-it is the slots whose strings are long, differ between pages and aren't mostly links, and the headings, short paragraphs, lists and tables beside them.
+it is the slots whose strings are long, differ between pages and aren't mostly links, and the headings, short paragraphs, lists and tables beside them. There the
+wrapper shows the region itself: it is the elements whose prose the alignment finds repeated (an article's paragraphs), and lone boxes outside them, such as adverts and
+closing lines that differ from page to page, are text only if their strings are as long as the repeated ones, or on pages that have nothing in such an element.
 Pages are then read through their host's wrapper, each in the highest region that it has itself.
 
 Defined results: null and empty html give an empty text; each page with a null or strange url is judged by itself; rows with a null or repeated page_id
@@ -344,7 +346,7 @@ def region(path: str) -> int:
 
 
 def text_slots(wrapper: list[list], stats: dict[str, tuple[int, int, float, bool, int]]) -> list[list[str]]:
-    """The paths that are main text on pages without a region, with a marked one and with an article or main element; stats: path -> (strings, characters, characters in links, all equal, different pages, FEW at most)."""
+    """The paths that are main text on pages without a region, with one that the wrapper shows, with a marked one and with an article or main element; stats: path -> (strings, characters, characters in links, all equal, different pages, FEW at most)."""
     known, always = {}, set()
     for path, again, there in slots(wrapper):
         known[path] = known.get(path, False) or again
@@ -364,25 +366,39 @@ def text_slots(wrapper: list[list], stats: dict[str, tuple[int, int, float, bool
         return vary and stats[p][3] and stats[p][0] >= 3 and not known[p]
 
     good = [p for p in good if not fixed(p)]
-    homes = {p.rpartition("/")[0] for p in good}
-
-    def beside(p: str) -> bool:
-        """Whether a short slot stands among prose: as a sibling, or in a list, table or quotation that is one."""
-        labels = p.split("/")
-        if labels[-1].split(".")[0] in HEADINGS:
-            return p.rpartition("/")[0] in homes
-        if stats[p][2] >= 0.5 * stats[p][1] or fixed(p):
-            return False
-        return any("/".join(labels[:k]) in homes and (k == len(labels) - 1 or labels[k].split(".")[0] in GROUPS) for k in range(1, len(labels)))
-
+    # the elements that hold repeated prose are a region that the alignment shows: a lone slot outside them joins it if its strings are as long as the repeated ones
+    groups = [p for p in good if known[p]]
+    around = {p.rpartition("/")[0] for p in groups}
+    length = sum(stats[p][1] for p in groups) / max(1, sum(stats[p][0] for p in groups))
+
+    def within(p: str) -> bool:
+        return known[p] or stats[p][1] >= length * stats[p][0] or any(p.startswith(h + "/") for h in around)
+
+    def with_beside(prose_: list[str]) -> list[str]:
+        """These slots and the short ones among them: siblings, or in a list, table or quotation that is one."""
+        homes = {p.rpartition("/")[0] for p in prose_}
+
+        def beside(p: str) -> bool:
+            labels = p.split("/")
+            if labels[-1].split(".")[0] in HEADINGS:
+                return p.rpartition("/")[0] in homes
+            if stats[p][2] >= 0.5 * stats[p][1] or fixed(p):
+                return False
+            return any("/".join(labels[:k]) in homes and (k == len(labels) - 1 or labels[k].split(".")[0] in GROUPS) for k in range(1, len(labels)))
+
+        return prose_ + [p for p in ranks[0] if p not in known_good and beside(p)]
+
+    known_good = {*good}
+    inner = with_beside([p for p in good if within(p)])
+    outer = with_beside([p for p in good if not within(p)])
     for k in (1, 2):
         # what never varies and is never missing or repeated belongs to the template, where enough pages differ elsewhere in the region; a heading beside what varies is the text's own
         vary = {p.rpartition("/")[0] for p in ranks[k] if not stats[p][3]}
         if vary:
             own = lambda p: p.rpartition("/")[2].split(".")[0] in HEADINGS and p.rpartition("/")[0] in vary  # noqa: B023, E731
             ranks[k] = [p for p in ranks[k] if own(p) or not (stats[p][3] and stats[p][4] >= FEW and p in always and not known[p])]
-    ranks[0] = good + [p for p in ranks[0] if p not in good and beside(p)]
-    return ranks
+    taken = {*inner}
+    return [[p for p in outer if p not in taken], inner, *ranks[1:]]
 
 
 def short(text: str) -> int:

@@ -286,6 +286,43 @@ def test_fixed_slots_of_a_region_go_by_the_wrapper(spark):
     assert {r.page_id: r.text for r in html.extract(pages).collect()} == want
 
 
+def test_the_wrapper_shows_a_region_that_no_name_does(spark):
+    """Pages like the given ones, without a word that the lists know: the plain set of their paths can't tell adverts and closing lines from text."""
+    rng = random.Random(67)
+    line = lambda n: " ".join(rng.choice(["slate", "river", "copper", "garden", "winter", "lantern"]) + str(rng.randrange(1000)) for _ in range(n))
+    rows, want = [], {}
+    for i in range(12):
+        parts = [line(6), *(line(rng.randrange(2, 60)) for _ in range(rng.randrange(1, 6)))] if i else [line(6), *(line(50) for _ in range(3))]
+        lead, advert, closing = line(60), line(7), f"&copy; plain.org &middot; {line(6)}"
+        text = f"<h1>{parts[0]}</h1>" + "".join(f"<p>{p}</p>" for p in parts[1:])
+        rows.append((i, "http://plain.org/x", f"<body><div class=q0>{lead}</div><div class=q1>{advert}</div><div class=q2>{text}</div><div class=q3>{closing}</div></body>"))
+        want[i] = "\n".join([lead, *parts])
+    rows.append((99, "http://plain.org/x", "<body><div class=q1>A page that has nothing but this lone box of some length.</div></body>"))
+    want[99] = "A page that has nothing but this lone box of some length."
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    assert {r.page_id: r.text for r in html.extract(pages).collect()} == want
+    trees = [html.Page(r[2]) for r in rows]
+    wrapper = html.expression(trees[0].tree)
+    for t in trees[1:]:
+        wrapper = html.merged(wrapper, html.expression(t.tree))
+    stats: dict = {}
+    for t in trees:
+        for path, text, _ in t.blocks:
+            n, chars, *_ = stats.get(path, (0, 0))
+            stats[path] = (n + 1, chars + len(text), 0.0, False, 3)
+    assert html.text_slots(wrapper, stats)[0]  # lone boxes rank below the region
+    nested: list = []  # the same paths, without what the alignment found to repeat
+    for p in stats:
+        level = nested
+        for label in p.split("/")[1:]:
+            item = next((x for x in level if x[1] != "#" and x[1][0] == label), None)
+            if item is None:
+                level.append(item := ["1", [label, []]])
+            level = item[1][1]
+        level.append(["1", "#"])
+    assert not html.text_slots(nested, stats)[0]
+
+
 def _plain_dropout(coder, text, doc):
     """The ids by a loop that looks for the best candidate again and again."""
     import re
