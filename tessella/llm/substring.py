@@ -17,7 +17,7 @@ Passages within other text whose edits are fewer than PASSAGE words apart are no
 
 Defined results: null and empty texts have no paragraphs and stay as they are; rows with a null doc_id are left
 alone and compared with nothing; rows with one doc_id and one text count once, those with other texts are documents of their own; a document may lose all its text and then stays with an empty
-one; a text is read in pieces cut at line breaks, so what must fit into a worker's memory is a line, at about 40 bytes a byte of it; an empty table gives an empty result; extra columns are carried by `drop_passages` and ignored by `passages`.
+one; a text is read in pieces cut at line breaks, a long line in pieces cut at blanks, of which the numbers of its words (40 bytes each) stay in memory; an empty table gives an empty result; extra columns are carried by `drop_passages` and ignored by `passages`.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from xxhash import xxh3_128_digest
+from xxhash import xxh3_128, xxh3_128_digest
 
 from tessella.llm.common import components, find, fresh, partitions, remove, stored, tune, unite, utf8
 from tessella.llm.toxicity import powers
@@ -81,8 +81,37 @@ def line_blocks(column: pa.Array, size: int = PIECE) -> Iterator[tuple[np.ndarra
         i = j
 
 
+def blank_cuts(data: np.ndarray, size: int) -> list[int]:
+    """Offsets 0, ..., len(data) about `size` apart, each but the last at white space."""
+    out = [0]
+    while len(data) - out[-1] > size:
+        at, step = out[-1] + size, 4096
+        while at < len(data):
+            blank = np.flatnonzero(_space[data[at : at + step]])
+            if len(blank):
+                at += int(blank[0])
+                break
+            at, step = at + step, 2 * step
+        out.append(min(at, len(data)))
+    return [*out, len(data)] if out[-1] < len(data) else out
+
+
 def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(lowered bytes, starts, stops, hashes) of the words of texts that begin and end at the offsets."""
+    """(lowered bytes, starts, stops, hashes) of the words of texts that begin and end at the offsets.
+
+    A word's hash has nothing to do with its place, so one long text is read in pieces.
+    """
+    if len(at) == 2 and len(data) > 2 * PIECE:
+        cuts = blank_cuts(data, PIECE)
+        parts = []
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            low, starts, stops, word = word_hashes_of(data[lo:hi], np.array([0, hi - lo]))
+            parts.append((low, starts + lo, stops + lo, word))
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+    return word_hashes_of(data, at)
+
+
+def word_hashes_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     low = _lower[data]
     inside = ~_space[low]
     head = np.zeros(len(low) + 1, bool)
@@ -96,21 +125,33 @@ def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
         return low, starts, stops, (sums[stops] - sums[starts]) * down[starts]
 
 
+def words_digest(low: np.ndarray) -> bytes:
+    """XXH3 of the words, a space between any two."""
+    if len(low) <= 2 * PIECE:
+        return xxh3_128_digest(b" ".join(low.tobytes().split()))
+    h, cuts, gap = xxh3_128(), blank_cuts(low, PIECE), b""
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        if words := b" ".join(low[lo:hi].tobytes().split()):
+            h.update(gap + words)
+            gap = b" "
+    return h.digest()
+
+
 class Lines:
     """The long lines of a block: row, position, byte span, and the hashes of their shingles."""
 
     def __init__(self, rows: np.ndarray, first: np.ndarray, data: np.ndarray, at: np.ndarray, min_words: int):
         self.low, starts, stops, word = word_hashes(data, at)
         low = self.low
-        breaks = np.concatenate([[0], np.cumsum(low == 10)])
+        breaks = np.flatnonzero(low == 10)
         doc = np.searchsorted(at, starts, "right") - 1
-        line = breaks[starts] + doc  # a new number after every break and every text
+        line = np.searchsorted(breaks, starts) + doc  # a new number after every break and every text
         edge = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])) if len(line) else np.zeros(0, np.int64)
         ends = np.append(edge[1:], len(line))
         long = ends - edge >= min_words
         self.w0, self.w1 = edge[long], ends[long]
         d = doc[self.w0]
-        self.row, self.pos = rows[d], first[d] + breaks[starts[self.w0]] - breaks[at[d]]
+        self.row, self.pos = rows[d], first[d] + np.searchsorted(breaks, starts[self.w0]) - np.searchsorted(breaks, at[d])
         self.span = np.stack([starts[self.w0], stops[self.w1 - 1]], axis=1) if len(self.w0) else np.zeros((0, 2), np.int64)
         with np.errstate(over="ignore"):
             n = max(0, len(word) - SHINGLE + 1)
@@ -121,8 +162,7 @@ class Lines:
         self.hashes = h
 
     def keys(self) -> list[bytes]:
-        raw = self.low.tobytes()
-        return [xxh3_128_digest(b" ".join(raw[a:b].split())) for a, b in self.span.tolist()]
+        return [words_digest(self.low[a:b]) for a, b in self.span.tolist()]
 
     def shingles(self, i: int) -> np.ndarray:
         return np.unique(self.hashes[self.w0[i] : self.w1[i] - SHINGLE + 1])
@@ -136,6 +176,8 @@ class Lines:
         if not len(self.w0):
             return np.zeros((0, BANDS), np.int64)
         sizes = self.w1 - self.w0 - SHINGLE + 1
+        if len(sizes) == 1 and sizes[0] > PIECE:
+            return self.long_bands()
         pick = np.repeat(self.w0 - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
         h, cut = self.hashes[pick], np.concatenate([[0], np.cumsum(sizes)[:-1]])
         out = np.zeros((len(sizes), BANDS), np.uint64)
@@ -146,6 +188,20 @@ class Lines:
                 out[:, k // ROWS] ^= out[:, k // ROWS] >> np.uint64(29)
         return out.view(np.int64)
 
+    def long_bands(self) -> np.ndarray:
+        """The same of one long line, a piece of its shingles at a time."""
+        least = np.full(BANDS * ROWS, ~np.uint64(0))
+        out = np.zeros((1, BANDS), np.uint64)
+        with np.errstate(over="ignore"):
+            for lo in range(self.w0[0], self.w1[0] - SHINGLE + 1, PIECE):
+                h = self.hashes[lo : min(lo + PIECE, self.w1[0] - SHINGLE + 1)]
+                for k in range(BANDS * ROWS):
+                    least[k] = min(least[k], ((h * _mul[k] + _add[k]) >> np.uint64(20)).min())
+            for k in range(BANDS * ROWS):
+                out[:, k // ROWS] = (out[:, k // ROWS] ^ least[k]) * np.uint64(0xC4CEB9FE1A85EC53)
+                out[:, k // ROWS] ^= out[:, k // ROWS] >> np.uint64(29)
+        return out.view(np.int64)
+
 
 PARAGRAPH = "doc_id long, tag long, pos int, key binary"
 
@@ -495,6 +551,21 @@ def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             i = j
 
 
+def stretches(raw: np.ndarray, found: list[int], most: int = 100_000) -> Iterator[tuple[int, list[bytes], list[int]]]:
+    """(first word, words, windows by word from there) around these anchors: a text whole, of a long one the parts that its windows touch."""
+    near = np.asarray(found, np.int64)[:, None] - np.arange(NEAR)
+    if len(raw) <= 2 * PIECE:
+        words = raw.tobytes().lower().split()
+        yield 0, words, np.unique(near[(near >= 0) & (near <= len(words) - PASSAGE)]).tolist()
+        return
+    _, starts, stops, _ = word_hashes(raw, np.array([0, len(raw)]))
+    near = np.unique(near[(near >= 0) & (near <= len(starts) - PASSAGE)])
+    cuts = np.flatnonzero((np.diff(near) > PASSAGE) | (near[1:] // most > near[:-1] // most)) + 1
+    for part in np.split(near, cuts) if len(near) else ():
+        first, last = int(part[0]), int(part[-1]) + PASSAGE - 1
+        yield first, raw[starts[first] : stops[last]].tobytes().lower().split(), (part - first).tolist()
+
+
 def _windowed(batches: Iterator[pa.RecordBatch], most: int = 50_000) -> Iterator[pa.RecordBatch]:
     """(key, doc_id, tag, pos) of every window of PASSAGE words around the given anchors of each text."""
 
@@ -506,13 +577,14 @@ def _windowed(batches: Iterator[pa.RecordBatch], most: int = 50_000) -> Iterator
     for b in batches:
         data, at = utf8(b.column(2))
         for i, (doc_id, tag, found) in enumerate(zip(*(b.column(k).to_pylist() for k in (0, 1, 3)), strict=True)):
-            words = data[at[i] : at[i + 1]].tobytes().lower().split()
-            text, starts = b" ".join(words), [0, *accumulate(len(w) + 1 for w in words)]
-            for w in sorted({w for p in found for w in range(max(0, p - NEAR + 1), min(p, len(words) - PASSAGE) + 1)}):
-                rows.append((xxh3_128_digest(text[starts[w] : starts[w + PASSAGE] - 1]), doc_id, tag, w))
-                if len(rows) >= most:
-                    yield batch(rows)
-                    rows = []
+            raw = data[at[i] : at[i + 1]]
+            for first, words, windows in stretches(raw, found):
+                text, starts = b" ".join(words), [0, *accumulate(len(w) + 1 for w in words)]
+                for w in windows:
+                    rows.append((xxh3_128_digest(text[starts[w] : starts[w + PASSAGE] - 1]), doc_id, tag, first + w))
+                    if len(rows) >= most:
+                        yield batch(rows)
+                        rows = []
     yield batch(rows)
 
 
@@ -525,14 +597,14 @@ def kept_pieces(text: str, gone: list[tuple[int, int | None]]) -> tuple[list[int
     gone: (first word, first word of the window that stays, if that is in the same text). A cut takes the blanks behind it; a line break
     inside it stays where it parts two lines.
     """
-    spans = [m.span() for m in _word.finditer(text)]
+    spans = np.fromiter((x for m in _word.finditer(text) for x in m.span()), np.int64).reshape(-1, 2)
     cut = np.zeros(len(spans), bool)
     for p, own in gone:
         cut[p if own is None else max(p, own + PASSAGE) : p + PASSAGE] = True
     edges = np.flatnonzero(np.diff(np.concatenate([[0], cut.view(np.int8), [0]]))).reshape(-1, 2).tolist()
     pieces, at = [], 0
     for a, z in edges:
-        lo, hi = spans[a][0], spans[z - 1][1]
+        lo, hi = int(spans[a, 0]), int(spans[z - 1, 1])
         while hi < len(text) and text[hi] in " \t":
             hi += 1
         pieces.append((at, lo - at))

@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from helpers import docs, roots, strange
@@ -346,3 +347,25 @@ def test_whole_labels_in_blocks(spark):
     links = [(i, j) for i in range(300) for j in range(i) if i % 2 == j % 2 and x[i] @ x[j] >= 0.93]
     got = {r.node: r.root for r in components(embeddings.whole_links(df, "<f8", 0.93, block=32)).collect()}
     assert got == {i: r for i, r in enumerate(roots(300, links)) if i != r}
+
+
+def test_a_long_line_is_read_in_pieces(spark, monkeypatch):
+    rng = np.random.default_rng(71)
+    words = np.array([f"w{i}" for i in range(40_000)])
+    line = " ".join(words[rng.integers(0, 40_000, 700_000)].tolist())
+    blocks = [substring.Lines(*b, 20) for b in substring.line_blocks(pa.array([line]))]
+    raw = np.frombuffer(line.encode(), np.uint8)
+    with monkeypatch.context() as m:
+        m.setattr(substring, "PIECE", 1 << 40)
+        whole = substring.Lines(np.array([0]), np.array([0]), raw, np.array([0, len(raw)]), 20)
+        assert len(blocks) == 1 and whole.keys() == blocks[0].keys() and whole.distinct() == blocks[0].distinct()
+        assert (blocks[0].long_bands() == whole.bands()).all()
+    found, all_ = [3, 40, 120_000, 120_030, 699_999], line.encode().split()
+    got = {first + w: part[w : w + substring.PASSAGE] for first, part, windows in substring.stretches(raw, found) for w in windows}
+    assert got == {w: all_[w : w + substring.PASSAGE] for p in found for w in range(max(0, p - substring.NEAR + 1), min(p, len(all_) - substring.PASSAGE) + 1)}
+
+    passage = " ".join(line.split()[400_000:400_060])
+    rows = [(1, line), (2, line.upper()), (3, f"before it {passage} and after"), (4, "x" * (5 << 20) + " y"), (5, None)]
+    out = {r.doc_id: r for r in substring.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[1].text == line and out[2].text == "" and out[4].text == rows[3][1] and out[5].text is None
+    assert out[3].text.split() == "before it and after".split() and out[3].home_docs == [1] and out[3].n_cut == 60
