@@ -29,6 +29,19 @@ def test_ids_are_the_librarys_whatever_the_white_space():
         assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [plain(t) for t in part]
 
 
+def test_words_are_remembered_without_the_marks_behind_them():
+    code = tokens.Encoder(vocabulary)
+    text = "beta beta. beta, straße straße; straße! 2×! 3÷. it's 'tis beta.gamma"
+    ids, _ = code.encode(pa.array([text], pa.string()))
+    assert ids.tolist() == plain(text)
+    assert {b"beta", b" beta", b".", b",", " straße".encode(), b";", b"!"} < code.slots.keys()
+    assert not {b" beta.", b" beta,", " straße;".encode(), " straße!".encode()} & code.slots.keys()
+    letters = [chr(c) for c in range(0xA0, 0x260)]
+    texts = [a + x + m + b for x in letters for a in ("", " ", "a") for m in (".", "'", "'s") for b in ("", "x", " é")]
+    ids, at = code.encode(pa.array(texts, pa.string()))
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [plain(t) for t in texts]
+
+
 def test_long_texts_go_in_parts(monkeypatch):
     monkeypatch.setattr(tokens, "PART", 300)
     rnd = random.Random(6)
