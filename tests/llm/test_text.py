@@ -188,6 +188,19 @@ def test_range_coder_round_trip():
     assert codes == [mixcoder.encode([b])[0] for b in blocks]  # blocks don't know of each other
 
 
+def test_the_coder_learns_many_ids_at_a_time(monkeypatch):
+    calls, learn = [], mixcoder.Model.learn
+    monkeypatch.setattr(mixcoder.Model, "learn", lambda self, *a: (calls.append(1), learn(self, *a))[1])
+    rng = np.random.default_rng(4)
+    sizes = [1, 2, 3, 31, 32, 33, 63, 65, 127, 129, 500, 1023, 1025, 3071, 3073, 4095, 4096, 4097, 6145, 8200, 0, 4096]
+    blocks = [np.minimum(rng.zipf(1.2, n), 65535) if n % 2 else rng.integers(0, 1 + n, n) for n in sizes] + [np.zeros(5000, int), np.full(4096, 65535)]
+    codes = mixcoder.encode(blocks)
+    assert 0 < len(calls) <= max(sizes) / mixcoder.GROUP + 8
+    assert all((a == b).all() for a, b in zip(blocks, mixcoder.decode(codes, [len(b) for b in blocks]), strict=True))
+    assert all(codes[k] == mixcoder.encode([blocks[k]])[0] for k in (3, 12, 16, 19, 20))
+    assert len(codes[-1]) < 400 and len(codes[-2]) < 400
+
+
 def test_token_files(spark):
     from tokenizers import Tokenizer
 
