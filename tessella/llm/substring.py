@@ -142,7 +142,7 @@ class Lines:
 
     def __init__(self, rows: np.ndarray, first: np.ndarray, data: np.ndarray, at: np.ndarray, min_words: int):
         self.low, starts, stops, word = word_hashes(data, at)
-        low = self.low
+        self.starts, low = starts, self.low
         breaks = np.flatnonzero(low == 10)
         doc = np.searchsorted(at, starts, "right") - 1
         line = np.searchsorted(breaks, starts) + doc  # a new number after every break and every text
@@ -162,14 +162,25 @@ class Lines:
         self.hashes = h
 
     def keys(self) -> list[bytes]:
-        return [words_digest(self.low[a:b]) for a, b in self.span.tolist()]
+        if len(self.low) > 2 * PIECE or not len(self.span):
+            return [words_digest(self.low[a:b]) for a, b in self.span.tolist()]
+        low, keep = self.low.copy(), ~_space[self.low]
+        gap = self.starts[1:] - 1  # white space before a word, or another text's last byte
+        gap = gap[~keep[gap]]
+        low[gap], keep[gap] = 32, True
+        at = np.concatenate([[0], np.cumsum(keep)])[self.span]
+        text = low[keep].tobytes()  # all words, a space between any two of a line
+        return [xxh3_128_digest(text[a:b]) for a, b in at.tolist()]
 
     def shingles(self, i: int) -> np.ndarray:
         return np.unique(self.hashes[self.w0[i] : self.w1[i] - SHINGLE + 1])
 
     def distinct(self) -> list[int]:
         """How many different shingles each line has."""
-        return [len(self.shingles(i)) for i in range(len(self.w0))]
+        if len(self.hashes) > PIECE:
+            return [len(self.shingles(i)) for i in range(len(self.w0))]
+        hashes = self.hashes.tolist()
+        return [len(set(hashes[a:b])) for a, b in zip(self.w0.tolist(), (self.w1 - SHINGLE + 1).tolist(), strict=True)]
 
     def bands(self) -> np.ndarray:
         """(lines, BANDS) band hashes of the MinHash signatures."""
@@ -178,12 +189,15 @@ class Lines:
         sizes = self.w1 - self.w0 - SHINGLE + 1
         if len(sizes) == 1 and sizes[0] > PIECE:
             return self.long_bands()
-        pick = np.repeat(self.w0 - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
-        h, cut = self.hashes[pick], np.concatenate([[0], np.cumsum(sizes)[:-1]])
         out = np.zeros((len(sizes), BANDS), np.uint64)
+        cut = np.cumsum(sizes) - sizes
+        h = self.hashes[np.repeat(self.w0 - cut, sizes) + np.arange(sizes.sum())]
+        mixed = np.empty_like(h)
         with np.errstate(over="ignore"):
             for k in range(BANDS * ROWS):
-                least = np.minimum.reduceat((h * _mul[k] + _add[k]) >> np.uint64(20), cut)
+                np.multiply(h, _mul[k], out=mixed)
+                mixed += _add[k]
+                least = np.minimum.reduceat(mixed, cut) >> np.uint64(20)
                 out[:, k // ROWS] = (out[:, k // ROWS] ^ least) * np.uint64(0xC4CEB9FE1A85EC53)
                 out[:, k // ROWS] ^= out[:, k // ROWS] >> np.uint64(29)
         return out.view(np.int64)
@@ -425,10 +439,12 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 def passages(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, tag, pos, stays, home_doc, home_pos) of every long line that occurs more than once, near copies included."""
     spark = docs.sparkSession
-    rows, _ = stored(paragraphs(docs, min_words), "paragraphs")
+    full, wide = stored(paragraphs(docs, min_words, banded=True), "banded")
     here = ["doc_id", "tag", "pos"]
-    reps = paragraphs(docs, min_words, banded=True).groupBy("key").agg(F.min(F.struct(*here)).alias("home"), F.first("bands").alias("bands"), F.first("size").alias("size"), F.count("*").alias("copies"))
+    reps = full.groupBy("key").agg(F.min(F.struct(*here)).alias("home"), F.first("bands").alias("bands"), F.first("size").alias("size"), F.count("*").alias("copies"))
     reps, banded = stored(reps.select(F.monotonically_increasing_id().alias("id"), "key", "home.*", "bands", "copies", "size"), "distinct")
+    rows, _ = stored(full.select(*here, "key"), "paragraphs")  # without the bands, which are most of it
+    remove(spark, wide)
     dealt = reps.select("id", "bands").mapInArrow(_spread, "hash long, id long")
 
     def buckets(rows: DataFrame, *more: str) -> DataFrame:

@@ -193,6 +193,20 @@ def test_long_texts_are_cut_between_lines():
     assert (np.concatenate([p.bands() for p in parts]) == whole.bands()).all()
 
 
+def test_paragraphs_are_made_once(spark, monkeypatch):
+    calls, made = [], substring.paragraphs
+    monkeypatch.setattr(substring, "paragraphs", lambda *a, **k: (calls.append(1), made(*a, **k))[1])
+    line = " ".join(f"w{i}" for i in range(30))
+    df = spark.createDataFrame([(1, f"{line}\nother"), (2, f"x\n{line}"), (3, None)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.pos, r.stays) for r in substring.passages(df).collect()) == [(1, 0, True), (2, 1, False)]
+    assert len(calls) == 1
+    texts = ["a  b\tc " * 30 + "\n" + "x y " * 20, "w" * 3 + " q" * 40, "Q" + " q" * 40, "A b\x0bc\x0cd\r" * 25, " ".join(f"é{i % 7}" for i in range(60)), " " * 9 + "z " * 25 + "\n\n" + "z " * 25]
+    lines = substring.Lines(*next(substring.line_blocks(pa.array(texts))), 20)
+    assert len(lines.span) == 8
+    assert lines.keys() == [substring.words_digest(lines.low[a:b]) for a, b in lines.span.tolist()]
+    assert lines.distinct() == [len(lines.shingles(i)) for i in range(8)]
+
+
 def test_passages_inside_longer_lines(spark):
     rng = random.Random(29)
     p, q = _lines(rng, 53), _lines(rng, 50)
