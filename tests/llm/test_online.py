@@ -29,6 +29,18 @@ def test_ids_are_the_librarys_whatever_the_white_space():
         assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [plain(t) for t in part]
 
 
+def test_items_in_use_stay_known_when_the_memory_is_full(monkeypatch):
+    learnt, learn = [], tokens.Encoder.learn
+    monkeypatch.setattr(tokens.Encoder, "learn", lambda self, items: (learnt.extend(items), learn(self, items))[1])
+    code = tokens.Encoder(vocabulary, most=60)
+    for k in range(20):
+        text = " ".join(["always here", *(f"w{chr(97 + k)}{chr(97 + j)}x" for j in range(20)), "always\n here"])
+        ids, _ = code.encode(pa.array([text]))
+        assert ids.tolist() == plain(text)
+    assert learnt.count(b" always") == 1 and len(code.slots) + len(code.older) < 120
+
+
+
 def test_words_are_remembered_without_the_marks_behind_them():
     code = tokens.Encoder(vocabulary)
     text = "beta beta. beta, straße straße; straße! 2×! 3÷. it's 'tis beta.gamma"

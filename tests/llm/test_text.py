@@ -201,6 +201,18 @@ def test_the_coder_learns_many_ids_at_a_time(monkeypatch):
     assert len(codes[-1]) < 400 and len(codes[-2]) < 400
 
 
+def test_a_block_is_coded_in_several_lanes_of_one_model(monkeypatch):
+    steps, take = [], mixcoder._Reader.take
+    monkeypatch.setattr(mixcoder._Reader, "take", lambda self, *a: (steps.append(1), take(self, *a))[1])
+    rng = np.random.default_rng(5)
+    blocks = [np.minimum(rng.zipf(1.3, n), 65535) for n in (4096, 4095, 9, 8, 7, 1, 0, 4096)] + [np.tile(rng.integers(0, 65536, 300), 13)]
+    codes = mixcoder.encode(blocks)
+    assert all(np.array_equal(a, b) for a, b in zip(blocks, mixcoder.decode(codes, [len(b) for b in blocks]), strict=True))
+    assert 0 < len(steps) <= 4096 / 4  # a step of all lanes was one id of each block
+    assert codes == [mixcoder.encode([b])[0] for b in blocks]
+    assert len(codes[-1]) < 2200  # what one lane has seen, the others know
+
+
 def test_token_files(spark):
     from tokenizers import Tokenizer
 
